@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import neardup
+from . import decontaminate, neardup, secrets
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op5_secret_scan": secrets.op5_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+}
