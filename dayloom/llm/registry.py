@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, secrets
+from . import decontaminate, lines, neardup, secrets
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op9_line_dedup": lines.op9_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op9_line_dedup": lines.OP9_SQL,
 }
