@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, language, lines, neardup, secrets
+from . import chunks, decontaminate, fingerprint, language, lines, mixing, neardup, secrets
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_language_id": language.op3_language_id,
+    "op4_mix_sources": mixing.op4_mix_sources,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_multiset_fingerprint": fingerprint.op6_multiset_fingerprint,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_content_defined_chunks": chunks.op10_content_defined_chunks,
 }
