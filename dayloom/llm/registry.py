@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, fingerprint, language, lines, mixing, neardup, secrets
+from . import chunks, decontaminate, fingerprint, language, lines, mixing, neardup, secrets, sitetree
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_multiset_fingerprint": fingerprint.op6_multiset_fingerprint,
+    "op7_site_style_tree": sitetree.op7_site_style_tree,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_content_defined_chunks": chunks.op10_content_defined_chunks,
 }
