@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, min_label_components, small_batches
+from .common import cut, min_label_components, partitions, small_batches
 from .words import U, mix, sequence_hashes, shingle_hashes, slices, utf8, word_hashes
 
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-DARTS = COORDINATES * (np.log(COORDINATES) + 4)
-#: Links of a mixed bucket are looked for among pairs whose signatures agree at this share of coordinates at least (5 standard deviations under 0.8).
-LIKELY = 0.6
+#: Mixed buckets are searched with signatures of so many coordinates, for pairs that agree at so much less than the threshold (5 standard deviations at 0.8).
+FINE, SLACK = 1024, 0.0625
 BLOCK = 128
 
 
@@ -45,11 +44,11 @@ def weighted_cells(shingles: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np
     return mix((key & U((1 << 40) - 1)) ^ (copy.astype(U) << U(40))), (key >> U(40)).astype(np.int64)
 
 
-def dart_signatures(cells: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """(n, COORDINATES) hashes of the earliest dart of each coordinate; a text without cells has zeros."""
-    out = np.zeros((n, COORDINATES), U)
+def dart_signatures(cells: np.ndarray, of: np.ndarray, n: int, coordinates: int = COORDINATES) -> np.ndarray:
+    """(n, coordinates) hashes of the earliest dart of each coordinate; a text without cells has zeros."""
+    out = np.zeros((n, coordinates), U)
     weight = np.bincount(of, minlength=n)
-    todo, reach = weight > 0, DARTS / np.maximum(weight, 1)
+    todo, reach = weight > 0, coordinates * (np.log(coordinates) + 4) / np.maximum(weight, 1)
     while todo.any():
         mine = todo[of]
         cell, text, rank = cells[mine], of[mine], np.zeros(mine.sum(), np.float32)
@@ -59,7 +58,7 @@ def dart_signatures(cells: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
             rank = rank - np.log((((dart >> U(40)).astype(np.float32)) + np.float32(0.5)) / np.float32(1 << 24))
             on = rank <= reach[text]
             cell, text, rank, dart = cell[on], text[on], rank[on], dart[on]
-            slot = text.astype(U) * U(COORDINATES) + (dart & U(0xFFFFFF)) % U(COORDINATES)
+            slot = text.astype(U) * U(coordinates) + (dart & U(0xFFFFFF)) % U(coordinates)
             keys.append((slot << U(32)) | rank.view(np.uint32))
             darts.append(dart)
             throw += 1
@@ -69,8 +68,8 @@ def dart_signatures(cells: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         first = np.ones(len(slot), bool)
         first[1:] = slot[1:] != slot[:-1]
         slot, dart = slot[first], dart[order][first]
-        full = np.bincount(slot // COORDINATES, minlength=n) == COORDINATES
-        keep = full[slot // COORDINATES]
+        full = np.bincount(slot // coordinates, minlength=n) == coordinates
+        keep = full[slot // coordinates]
         out.ravel()[slot[keep]] = dart[keep]
         todo &= ~full
         reach = reach * 2
@@ -78,7 +77,7 @@ def dart_signatures(cells: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(texts: pa.Array) -> dict[str, np.ndarray]:
-    """For each text: two hashes of its word sequence, its number of shingles, band hashes and a sketch of 16 bits a coordinate."""
+    """For each text: two hashes of its word sequence, its number of shingles and its band hashes."""
     data, ends = utf8(texts)
     words, at = word_hashes(data, ends)
     h, of = shingle_hashes(words, at)
@@ -89,10 +88,10 @@ def signatures(texts: pa.Array) -> dict[str, np.ndarray]:
         band = mix(band * U(31) + darts[:, r::ROWS])
     band = mix(band ^ mix(np.arange(BANDS, dtype=U))[None, :])
     one, two = sequence_hashes(words, at)
-    return {"one": one, "two": two, "n": np.bincount(of, minlength=len(texts)), "bands": band, "sketch": (darts >> U(44)).astype("<u2")}
+    return {"one": one, "two": two, "n": np.bincount(of, minlength=len(texts)), "bands": band}
 
 
-SIGNED = "doc_id long, one long, two long, n long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, one long, two long, n long, bands array<long>"
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -108,9 +107,8 @@ def sign(docs: DataFrame) -> DataFrame:
                         part.column(0).take(pa.array(has)),
                         *(pa.array(s[k][has].astype(np.int64)) for k in ("one", "two", "n")),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(s["bands"][has].astype(np.int64).ravel())),
-                        pa.array([x.tobytes() for x in s["sketch"][has]], pa.binary()),
                     ],
-                    names=["doc_id", "one", "two", "n", "bands", "sketch"],
+                    names=["doc_id", "one", "two", "n", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").mapInArrow(run, SIGNED)
@@ -146,7 +144,20 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame) -> DataFrame:
+def fine_sketches(texts: DataFrame) -> DataFrame:
+    """(rep, sketch): a byte for each of FINE coordinates."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 500_000):
+                h, of = shingle_hashes(*word_hashes(*utf8(part.column(1))))
+                found = dart_signatures(*weighted_cells(h, of), part.num_rows, FINE)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in (found >> U(44)).astype(np.uint8)], pa.binary())], names=["rep", "sketch"])
+
+    return texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(run, "rep long, sketch binary")
+
+
+def across(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of likely links between different labels of a bucket.
 
     members: bh, rep, label, sketch. Every member outside the largest label of
@@ -171,17 +182,18 @@ def across(members: DataFrame) -> DataFrame:
         x, y = pdf[pdf.minor], pdf[~pdf.minor]
         if x.empty or y.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        p, q = (np.frombuffer(b"".join(z.sketch), "<u2").reshape(len(z), -1) for z in (x, y))
+        p, q = (np.frombuffer(b"".join(z.sketch), np.uint8).reshape(len(z), -1) for z in (x, y))
         found = []
         for k in range(len(x)):
-            near = (p[k] == q).mean(axis=1) >= LIKELY
+            near = (p[k] == q).mean(axis=1) >= threshold - SLACK
             near &= (y.label != x.label.iloc[k]).to_numpy()
             other = y.rep.to_numpy()[near]
             found.append(np.stack([np.minimum(other, x.rep.iloc[k]), np.maximum(other, x.rep.iloc[k])]))
         a, b = np.concatenate(found, axis=1)
         return pd.DataFrame({"a": a, "b": b})
 
-    return minor.unionByName(every).groupBy("bh", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    dealt = minor.unionByName(every).repartition(partitions(members.sparkSession), "bh", "i", "j")
+    return dealt.groupBy("bh", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -195,7 +207,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     signed = cut(sign(docs))
-    reps = cut(signed.where("doc_id is not null").groupBy("one", "two").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r")).select("one", "two", F.col("r.doc_id").alias("rep"), "r.bands", "r.sketch"))
+    reps = cut(signed.where("doc_id is not null").groupBy("one", "two").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("one", "two", F.col("r.doc_id").alias("rep"), "r.bands"))
     banded = reps.select("rep", F.explode("bands").alias("bh"))
     turn = lambda k: F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), "rep"))["rep"]
     buckets = cut(banded.groupBy("bh").agg(F.min("rep").alias("c0"), F.max("rep").alias("far"), turn(1).alias("c1"), turn(2).alias("c2")).where("c0 <> far").drop("far"))
@@ -210,8 +222,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     named = met.select("bh", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bh", "rep", F.coalesce("label", "rep").alias("label"))
     named = cut(named)
     mixed = cut(named.groupBy("bh").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bh"))
-    members = cut(named.join(mixed, "bh", "left_semi").join(reps.select("rep", "sketch"), "rep"))
-    more = cut(verified(across(members), texts, threshold))
+    unsettled = cut(named.join(mixed, "bh", "left_semi"))
+    sketches = fine_sketches(texts.join(unsettled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    members = cut(unsettled.join(cut(sketches), "rep"))
+    more = cut(verified(across(members, threshold), texts, threshold))
     labels = cut(min_label_components(links.unionByName(more)))
     classes = reps.select("one", "two", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "rep", F.coalesce("label", "rep").alias("label"))
     told = cut(signed.select("doc_id", "one", "two")).join(cut(classes), ["one", "two"], "left").select("doc_id", F.col("label").alias("class_id"), F.col("rep").alias("class_text"))
