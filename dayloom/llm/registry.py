@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, fingerprint, language, lines, mixing, neardup, secrets, sitetree
+from . import chunks, decontaminate, fingerprint, language, lines, mixing, neardup, secrets, sitetree, suffix
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_multiset_fingerprint": fingerprint.op6_multiset_fingerprint,
     "op7_site_style_tree": sitetree.op7_site_style_tree,
+    "op8_run_length_index": suffix.op8_run_length_index,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_content_defined_chunks": chunks.op10_content_defined_chunks,
 }
