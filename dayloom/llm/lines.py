@@ -168,7 +168,7 @@ def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None) -> Data
     """docs with two more columns: kept (the text without the lines it loses) and flags (true for each lost line, in order)."""
     small_batches(docs.sparkSession, 10_000)
     index = index or LineIndex.insert(docs)
-    lost = cut(index.drops().distinct().groupBy("doc_id").agg(F.collect_list("k2").alias("lost"))).withColumnRenamed("doc_id", "lost_from")
+    lost = cut(index.drops().groupBy("doc_id").agg(F.collect_set("k2").alias("lost"))).withColumnRenamed("doc_id", "lost_from")
     both = docs.join(lost, docs.doc_id.cast("long").eqNullSafe(lost.lost_from), "left").drop("lost_from")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     flag = F.transform(lines, lambda x: (F.length(line_key(x)) >= MIN_CHARS) & F.array_contains(F.col("lost"), digest(line_key(x))[1]))
