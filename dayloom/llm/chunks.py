@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import carried, cut, released, small_batches, table
 from .words import mix, slices, utf8
 
 BITS, MIN, MAX, WINDOW = 6, 16, 1024, 32
@@ -107,18 +107,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with n_chunks, n_bytes, spans (of the repeated chunks) and kept (the text without them)."""
     small_batches(docs.sparkSession)
     found = cut(repeats(docs)).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
-    both = identified(docs).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").drop("d", "t", "text_hash")
-    raw = F.encode("text", "UTF-8")
+    rows = identified(carried(docs, "doc_id", "text"))
+    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").withColumn("raw", F.encode("text", "UTF-8"))
+    both = both.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:long,end:long>>)")))
     edges = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda x: x["end"]))
     parts = F.transform(edges, lambda e, i: F.decode(F.substring("raw", (e + 1).cast("int"), (F.coalesce(F.get(F.col("spans"), i)["start"], F.col("n_bytes")) - e).cast("int")), "UTF-8"))
-    kept = F.when(F.coalesce(F.size("spans"), F.lit(0)) <= 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(parts, ""))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return both.withColumn("raw", raw).withColumn("kept", kept).drop("raw").withColumns({"n_chunks": zero("n_chunks"), "n_bytes": zero("n_bytes")})
+    kept = F.when(F.size("spans") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(parts, ""))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return released(both.withColumns({"kept": kept, "n_chunks": zero("n_chunks"), "n_bytes": zero("n_bytes")}), "n_chunks", "n_bytes", "spans", "kept")
 
 
 def op10_content_defined_chunks(spark, sf_dir: str) -> DataFrame:
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:long,end:long>>)"))
     return out.select(
-        "doc_id", "n_chunks", F.size(spans).cast("long").alias("n_repeated_chunks"), "n_bytes", F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_chunks", F.size("spans").cast("long").alias("n_repeated_chunks"), "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
     )

@@ -36,6 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, *names: str) -> DataFrame:
+    """_doc, a struct of all columns of docs, and the named columns: so that no column of docs can clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *(F.col(n) for n in names))
+
+
+def released(df: DataFrame, *new: str) -> DataFrame:
+    """The columns in _doc and the new ones; a new one takes the place of a column of the same name."""
+    taken = {n.lower() for n in new}
+    return df.select(*(F.col("_doc").getField(f.name).alias(f.name) for f in df.schema["_doc"].dataType.fields if f.name.lower() not in taken), *(F.col(n) for n in new))
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Let Arrow batches to Python hold few rows, as one row may hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

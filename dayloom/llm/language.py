@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import carried, cut, released, small_batches, table
 from .words import slices, utf8
 
 ORDER = 3
@@ -141,12 +141,12 @@ def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
     letter, or if nothing could be learned. Every row gives one row.
     """
     small_batches(docs.sparkSession)
+    docs = carried(docs, "text").withColumn("text", F.col("text").cast("string"))
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    told = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits")]
+    new = ("lang_pred", "score", "bits")
     if trees is None:
-        return docs.select("*", *told)
+        return released(docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits": F.lit(None).cast("double")}), *new)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    fields = [f for f in docs.schema.fields]
 
     @F.pandas_udf("lang_pred string, score double, bits double")
     def score(texts):
@@ -164,9 +164,9 @@ def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
             out.append(pd.DataFrame({"lang_pred": np.array(model.langs, object)[best], "score": 1 / weight.sum(axis=1), "bits": low / np.maximum(np.diff(ends), 1)}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "score": pd.Series([], dtype=float), "bits": pd.Series([], dtype=float)})
 
-    kept = [F.col(f"`{f.name}`") for f in fields]
-    seen = docs.select(*kept, score(F.when(known, F.col("text")).otherwise("")).alias("_told"), known.alias("_known"))
-    return seen.select(*kept, F.when(F.col("_known"), F.col("_told.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_known"), F.col("_told.score")).otherwise(0.0).alias("score"), F.when(F.col("_known"), F.col("_told.bits")).alias("bits"))
+    seen = docs.select("_doc", known.alias("known"), score(F.when(known, F.col("text")).otherwise("")).alias("told"))
+    told = lambda c, other: F.when(F.col("known"), F.col(f"told.{c}")).otherwise(other)
+    return released(seen.withColumns({"lang_pred": told("lang_pred", UNKNOWN), "score": told("score", 0.0), "bits": told("bits", None)}), *new)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
@@ -178,4 +178,5 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
 def known_language(docs: DataFrame) -> DataFrame:
     """The documents whose text is in a language that can be told; those that have no letter go."""
     trees = train(docs.where(~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
-    return identify(docs, trees).where(F.col("lang_pred") != UNKNOWN).select(*(F.col(f"`{c}`") for c in docs.columns))
+    told = identify(carried(docs, "text"), trees).where(F.col("lang_pred") != UNKNOWN)
+    return released(told)

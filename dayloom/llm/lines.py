@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import carried, cut, released, small_batches, table
 from .words import U, mix
 
 MIN_CHARS = 10
@@ -165,16 +165,16 @@ def probe(lines: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
-    """docs with two more columns: kept (the text without the lines it loses) and flags (true for each lost line, in order)."""
+    """docs with two more columns (in place of any of their names): kept (the text without the lines it loses) and flags (true for each lost line, in order)."""
     small_batches(docs.sparkSession, 10_000)
     index = index or LineIndex.insert(docs)
     lost = cut(index.drops().groupBy("doc_id").agg(F.collect_set("k2").alias("lost"))).withColumnRenamed("doc_id", "lost_from")
-    both = docs.join(lost, docs.doc_id.cast("long").eqNullSafe(lost.lost_from), "left").drop("lost_from")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    flag = F.transform(lines, lambda x: (F.length(line_key(x)) >= MIN_CHARS) & F.array_contains(F.col("lost"), digest(line_key(x))[1]))
-    both = both.withColumn("lines", lines).withColumn("flags", F.when(F.col("lost").isNull(), F.transform("lines", lambda x: F.lit(False))).otherwise(flag))
-    kept = F.when(F.col("lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.get("flags", i)), "\n"))
-    return both.withColumn("kept", kept).drop("lines", "lost")
+    rows = carried(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
+    both = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_from")), "left")
+    flag = F.transform("lines", lambda x: (F.length(line_key(x)) >= MIN_CHARS) & F.array_contains(F.col("lost"), digest(line_key(x))[1]))
+    both = both.withColumn("lines", F.split("text", "\n", -1)).withColumn("flags", F.when(F.col("lost").isNull(), F.transform("lines", lambda x: F.lit(False))).otherwise(flag))
+    kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.get("flags", i)), "\n"))
+    return released(both.withColumn("kept", kept), "kept", "flags")
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import carried, cut, released, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -98,7 +98,7 @@ def rounded(table: pa.Table) -> pa.Table:
 
 
 def mix_sources(docs: DataFrame, keep: list[str] | None = None, **how) -> DataFrame:
-    """keep (all columns unless given) plus size, source_size, target, copies and taken for each row of docs.
+    """keep (all columns unless given) plus size, source_size, target, copies and taken for each row of docs (in place of any of their names).
 
     Only what is kept moves: leave out the text where the counts are all that is asked for.
     """
@@ -122,7 +122,7 @@ def mix_sources(docs: DataFrame, keep: list[str] | None = None, **how) -> DataFr
     for x in done:
         out = out.unionByName(x)
     out = out.withColumn("copies", (F.col("_whole") + F.when(F.col("_p") >= 1, 1).otherwise(0)).cast("long"))
-    return out.select("_doc.*", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    return released(out.withColumns({"size": F.col("_size"), "taken": F.col("copies") * F.col("_size")}), "size", "source_size", "target", "copies", "taken")
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -132,5 +132,5 @@ def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them; copy counts from 1."""
-    out = mix_sources(docs)
-    return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns), "copy")
+    out = mix_sources(carried(docs, "source", "text"), keep=["_doc"])
+    return released(out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), "copy")

@@ -103,7 +103,7 @@ def by_document(keys: tuple[np.ndarray, np.ndarray], values: np.ndarray, names:
     a, b, values = keys[0][order], keys[1][order], np.ascontiguousarray(values[order])
     at = firsts(a, b)
     return pa.RecordBatch.from_arrays(
-        [pa.array(a[at]), pa.array(b[at]), pa.array([values[i:j].tobytes() for i, j in zip(at.tolist(), np.append(at[1:], len(a)).tolist(), strict=True)], pa.binary())], names=list(names)
+        [pa.array(a[at]), pa.array(b[at]), pa.array([values[i:j].tobytes() for i, j in zip(at.tolist(), np.append(at, len(a))[1:].tolist(), strict=True)], pa.binary())], names=list(names)
     )
 
 
