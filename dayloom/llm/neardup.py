@@ -29,8 +29,8 @@ from .words import U, mix, sequence_hashes, shingle_hashes, slices, utf8, word_h
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Mixed buckets are searched with signatures of so many coordinates, for pairs that agree at so much less than the threshold (5 standard deviations at 0.8).
-FINE, SLACK = 1024, 0.0625
-BLOCK = 128
+FINE, SLACK = 1536, 0.051
+COARSE, BLOCK = 256, 128
 
 
 def weighted_cells(shingles: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,10 +183,10 @@ def across(members: DataFrame, threshold: float) -> DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         p, q = (np.frombuffer(b"".join(z.sketch), np.uint8).reshape(len(z), -1) for z in (x, y))
-        found = []
+        found, labels = [], y.label.to_numpy()
         for k in range(len(x)):
-            near = (p[k] == q).mean(axis=1) >= threshold - SLACK
-            near &= (y.label != x.label.iloc[k]).to_numpy()
+            near = np.flatnonzero((labels != x.label.iloc[k]) & ((p[k, :COARSE] == q[:, :COARSE]).mean(axis=1) >= threshold - SLACK * (FINE / COARSE) ** 0.5))
+            near = near[(p[k] == q[near]).mean(axis=1) >= threshold - SLACK]
             other = y.rep.to_numpy()[near]
             found.append(np.stack([np.minimum(other, x.rep.iloc[k]), np.maximum(other, x.rep.iloc[k])]))
         a, b = np.concatenate(found, axis=1)
