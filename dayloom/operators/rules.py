@@ -147,22 +147,28 @@ def best_rule(hits: DataFrame) -> DataFrame:
 
 def resolve(t: DataFrame, rules: DataFrame) -> DataFrame:
     """(tid, rule_project, by_rule, silenced, covered, subject, ambiguous) of each target that has a hit."""
-    hits = all_hits(t, rules)
-    flags = hits.groupBy("tid").agg(
-        F.max((F.col("level") == "never") & (F.col("kind") == "path")).alias("silenced"),
-        F.max(F.col("level").isin("never", "ambiguous")).alias("shut"),
-        F.min(F.when(F.col("level") == "ambiguous", F.struct((F.col("kind") != "path").alias("o"), "rule_id", F.concat("kind", F.lit(":"), "value").alias("entry")))).alias("amb"),
+    one = F.struct("level", "kind", "n", "since_n", "rule_id", "project", "subject", "capture", "value")
+    h = all_hits(t, rules).groupBy("tid").agg(F.collect_list(one).alias("hits"))  # no more than there are rules
+    score = lambda x: F.struct(x["n"], x["since_n"])
+    floor = lambda kind: F.array_max(F.transform(F.filter("hits", lambda x: (x["level"] == "never") & (x["kind"] == kind)), score))
+    h = h.withColumns({"path_floor": floor("path"), "key_floor": floor("key")})
+    beats = lambda x, kind, c: (x["kind"] != kind) | F.col(c).isNull() | (score(x) > F.col(c))
+    h = h.withColumn("open", F.filter("hits", lambda x: x["level"].isin("project", "subject") & beats(x, "path", "path_floor") & beats(x, "key", "key_floor")))
+    order = lambda x, name: ((-x["n"]).alias("a"), (-x["since_n"]).alias("b"), x["rule_id"].alias("c"), name.alias("name"))
+    h = h.withColumn("best", F.array_min(F.transform(F.filter("open", lambda x: x["level"] == "project"), lambda x: F.struct(*order(x, x["project"])))))
+    name = lambda x: F.when(x["subject"] != "", x["subject"]).otherwise(x["capture"])
+    mine = F.filter("open", lambda x: (x["level"] == "subject") & ((x["project"] == "") | (x["project"] == F.col("best.name"))) & (name(x) != ""))
+    h = h.withColumn("sub", F.array_min(F.transform(mine, lambda x: F.struct((x["project"] == "").alias("own"), *order(x, name(x))))))
+    amb = F.array_min(F.transform(F.filter("hits", lambda x: x["level"] == "ambiguous"), lambda x: F.struct((x["kind"] != "path").alias("o"), x["rule_id"].alias("r"), F.concat(x["kind"], F.lit(":"), x["value"]).alias("entry"))))
+    return h.select(
+        "tid",
+        S.text(F.col("best.name")).alias("rule_project"),
+        F.col("best").isNotNull().alias("by_rule"),
+        F.col("path_floor").isNotNull().alias("silenced"),
+        F.exists("hits", lambda x: x["level"] != "subject").alias("covered"),
+        S.text(F.col("sub.name")).alias("subject"),
+        S.text(amb["entry"]).alias("ambiguous"),
     )
-    open_ = above_floor(hits)
-    best = best_rule(open_).select("tid", F.col("project").alias("rule_project"))
-    # covered asks whether a rule hits at all, without floors
-    named = hits.where("level = 'project'").select("tid").distinct().withColumn("has", F.lit(True))
-    subject = open_.where("level = 'subject'").join(best, "tid", "left").where((F.col("project") == "") | (F.col("project") == F.col("rule_project")))
-    subject = subject.withColumn("name", F.when(F.col("subject") != "", F.col("subject")).otherwise(F.col("capture"))).where("name <> ''")
-    w = W.partitionBy("tid").orderBy(F.col("project") == "", F.desc("n"), F.desc("since_n"), "rule_id")
-    subject = subject.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("tid", F.col("name").alias("subject"))
-    out = flags.join(best, "tid", "left").join(named, "tid", "left").join(subject, "tid", "left")
-    return out.select("tid", S.text(F.col("rule_project")).alias("rule_project"), F.col("rule_project").isNotNull().alias("by_rule"), "silenced", (F.col("shut") | F.coalesce("has", F.lit(False))).alias("covered"), S.text(F.col("subject")).alias("subject"), S.text(F.col("amb.entry")).alias("ambiguous"))
 
 
 def named(entries: DataFrame, rules: DataFrame | None = None) -> DataFrame:
