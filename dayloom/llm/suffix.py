@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, small_batches, table
+from .common import small_batches, table
 from .words import U, mix, powers, slices, utf8
 
 LENGTH, K = 50, 20
@@ -275,7 +275,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 if late.any():
                     n = windows[late]
                     spans = covered(doc[late], mark[late], local[late], n, np.ones(int(n.sum()), bool))
-                    yield pa.RecordBatch.from_arrays([pa.array([-1] * spans.num_rows, pa.int32()), *spans.columns], names=["shard", "doc", "text_hash", "body"])
+                    known = -1 - np.abs(spans.column(0).to_numpy() % shards)
+                    yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int32)), *spans.columns], names=["shard", "doc", "text_hash", "body"])
                 asks = np.flatnonzero(~late)
                 shard = (h[asks] % U(shards)).astype(np.int64)
                 asks = asks[np.argsort(shard, kind="stable")]
@@ -293,6 +294,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "doc", "text_hash", "body"])
 
     def search(asked: pa.Table) -> pa.Table:
+        if asked["shard"][0].as_py() < 0:  # spans that a slice knew by itself
+            return asked.select(["doc", "text_hash", "body"]).rename_columns(["doc", "text_hash", "spans"])
         names, sizes, bodies, docs_of, marks_of, frag, local = [], [], [], [], [], [], []
         base = 0
         for x in asked["body"].to_pylist():
@@ -316,16 +319,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         on = found[at[mine[of]] + nth] < doc[of]
         return pa.Table.from_batches([covered(doc, mark, local, windows, on)])
 
-    found = cut(both.mapInArrow(cut_out, "shard int, doc long, text_hash long, body binary"))
-    local = found.where("shard < 0").select("doc", "text_hash", F.col("body").alias("spans"))
-    return local.unionByName(found.where("shard >= 0").select("shard", "body").groupBy("shard").applyInArrow(search, SPANS))
+    return both.mapInArrow(cut_out, "shard int, doc long, text_hash long, body binary").groupBy("shard").applyInArrow(search, SPANS)
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """REMOVED for each row of docs: kept holds the remaining bytes, which may cut a character."""
+    """REMOVED for each row of docs: kept holds the remaining bytes, which may cut a character.
+
+    All is one plan, so the texts, dealt by document once, serve both joins.
+    """
     spans = repeated_spans(docs).groupBy("doc", "text_hash").agg(F.collect_list("spans").alias("spans"))
     both = identified(docs).join(spans, ["doc", "text_hash"], "left").select("doc", "text", "spans")
 
