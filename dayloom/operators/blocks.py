@@ -6,24 +6,30 @@ one exchange by D serves all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.traces import ORD, D
 
 B = (*D, "block_id")
-DAY = W.partitionBy(*D).orderBy(*ORD)
-BLOCK = W.partitionBy(*B).orderBy(*ORD)
 ALL = (W.unboundedPreceding, W.unboundedFollowing)
 
 
+def day() -> WindowSpec:
+    return W.partitionBy(*D).orderBy(*ORD)
+
+
+def block() -> WindowSpec:
+    return W.partitionBy(*B).orderBy(*ORD)
+
+
 def blocks(entries: DataFrame) -> DataFrame:
     """entries with nth (1, 2, ... in the day) and block_id: a new block starts where a trace begins more than the gap after everything before it has ended."""
-    before = F.max("end_us").over(DAY.rowsBetween(W.unboundedPreceding, -1))
+    before = F.max("end_us").over(day().rowsBetween(W.unboundedPreceding, -1))
     new = before.isNull() | (F.col("ts_us") - before > F.col("gap_us"))
-    out = entries.withColumns({"before_us": before, "_new": new.cast("int"), "nth": F.row_number().over(DAY)})
-    return out.withColumn("block_id", F.sum("_new").over(DAY.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    out = entries.withColumns({"before_us": before, "_new": new.cast("int"), "nth": F.row_number().over(day())})
+    return out.withColumn("block_id", F.sum("_new").over(day().rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
 def block_bounds(b: DataFrame) -> DataFrame:
@@ -34,8 +40,8 @@ def block_bounds(b: DataFrame) -> DataFrame:
 def _nearest(flag: Column, payload: Column) -> Column:
     """payload of the nearest row of the block with flag, its own if it has it; a tie goes to the earlier, null if there is none."""
     mark = F.when(flag, F.struct(F.col("ts_us").alias("at"), payload.alias("x")))
-    p = F.last(mark, ignorenulls=True).over(BLOCK.rowsBetween(W.unboundedPreceding, -1))
-    n = F.first(mark, ignorenulls=True).over(BLOCK.rowsBetween(1, W.unboundedFollowing))
+    p = F.last(mark, ignorenulls=True).over(block().rowsBetween(W.unboundedPreceding, -1))
+    n = F.first(mark, ignorenulls=True).over(block().rowsBetween(1, W.unboundedFollowing))
     closer = n.isNull() | (p.isNotNull() & (F.col("ts_us") - p["at"] <= n["at"] - F.col("ts_us")))
     return F.when(flag, payload).when(closer, p["x"]).otherwise(n["x"])
 
@@ -46,10 +52,10 @@ def nearest_anchor(b: DataFrame) -> DataFrame:
     Anchors are named events that own time, if the block has one, else all named events.
     """
     b = b.withColumn("own", F.col("project") != "")
-    strong = F.max(F.col("own") & F.col("owns")).over(BLOCK.rowsBetween(*ALL))
+    strong = F.max(F.col("own") & F.col("owns")).over(block().rowsBetween(*ALL))
     b = b.withColumn("anchor", F.when(strong, F.col("own") & F.col("owns")).otherwise(F.col("own")))
     got = _nearest(F.col("anchor"), F.col("project"))
-    ends = BLOCK.rowsBetween(*ALL)
+    ends = block().rowsBetween(*ALL)
     mark = F.when(F.col("anchor"), F.col("project"))
     return b.withColumns(
         {"_got": F.when(F.col("own"), F.col("project")).otherwise(F.coalesce(got, F.lit(""))), "first_named": F.first(mark, ignorenulls=True).over(ends), "last_named": F.last(mark, ignorenulls=True).over(ends)}

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..sources.traces import D
 
-ZERO = F.lit(0).cast("long")
+def zero() -> Column:
+    return F.lit(0).cast("long")
 
 
 def evidence(b: DataFrame) -> DataFrame:
@@ -27,13 +28,13 @@ def project_time(s: DataFrame) -> DataFrame:
 def project_rows(b: DataFrame, s: DataFrame, agent: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
     """(D, project) for every project with an event, time or a claim."""
     parts = [
-        evidence(b).select(*D, "project", "events", "wall_us", ZERO.alias("attention_us"), ZERO.alias("background_us"), ZERO.alias("agent_us"), ZERO.alias("claimed_us"), F.lit(True).alias("row")),
-        project_time(s).select(*D, "project", ZERO.alias("events"), ZERO.alias("wall_us"), "attention_us", "background_us", ZERO.alias("agent_us"), ZERO.alias("claimed_us"), F.lit(True).alias("row")),
+        evidence(b).select(*D, "project", "events", "wall_us", zero().alias("attention_us"), zero().alias("background_us"), zero().alias("agent_us"), zero().alias("claimed_us"), F.lit(True).alias("row")),
+        project_time(s).select(*D, "project", zero().alias("events"), zero().alias("wall_us"), "attention_us", "background_us", zero().alias("agent_us"), zero().alias("claimed_us"), F.lit(True).alias("row")),
     ]
     if agent is not None:
-        parts.append(agent.groupBy(*D, "project").agg(F.sum("agent_us").alias("agent_us")).select(*D, "project", ZERO.alias("events"), ZERO.alias("wall_us"), ZERO.alias("attention_us"), ZERO.alias("background_us"), "agent_us", ZERO.alias("claimed_us"), F.lit(False).alias("row")))
+        parts.append(agent.groupBy(*D, "project").agg(F.sum("agent_us").alias("agent_us")).select(*D, "project", zero().alias("events"), zero().alias("wall_us"), zero().alias("attention_us"), zero().alias("background_us"), "agent_us", zero().alias("claimed_us"), F.lit(False).alias("row")))
     if claims is not None:
-        parts.append(claims.groupBy(*D, "project").agg(F.sum("held_us").alias("c")).select(*D, "project", ZERO.alias("events"), ZERO.alias("wall_us"), ZERO.alias("attention_us"), ZERO.alias("background_us"), ZERO.alias("agent_us"), F.col("c").alias("claimed_us"), F.lit(True).alias("row")))
+        parts.append(claims.groupBy(*D, "project").agg(F.sum("held_us").alias("c")).select(*D, "project", zero().alias("events"), zero().alias("wall_us"), zero().alias("attention_us"), zero().alias("background_us"), zero().alias("agent_us"), F.col("c").alias("claimed_us"), F.lit(True).alias("row")))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -50,7 +51,7 @@ def subject_rows(b: DataFrame, s: DataFrame) -> DataFrame:
     """(D, project, subject): events that name it themselves, and the time of stretches filed under it."""
     e = b.where("subject <> ''").groupBy(*D, "project", "subject").agg(F.count("*").alias("events"))
     t = s.where("subject <> ''").groupBy(*D, F.col("owner").alias("project"), "subject").agg(F.sum("attention_us").alias("attention_us"), F.sum("background_us").alias("background_us"))
-    both = e.select("*", ZERO.alias("attention_us"), ZERO.alias("background_us")).unionByName(t.withColumn("events", ZERO))
+    both = e.select("*", zero().alias("attention_us"), zero().alias("background_us")).unionByName(t.withColumn("events", zero()))
     return both.groupBy(*D, "project", "subject").agg(*(F.sum(c).alias(c) for c in ("events", "attention_us", "background_us")))
 
 
@@ -79,7 +80,7 @@ def day_totals(h: DataFrame, s: DataFrame, agent: DataFrame | None = None, claim
         if df is not None:
             out = out.join(df.groupBy(*D).agg(F.sum(c).alias(name)), list(D), "left")
             names.append(name)
-    out = out.withColumns({c: F.coalesce(c, ZERO) for c in names})
+    out = out.withColumns({c: F.coalesce(c, zero()) for c in names})
     return out.withColumn("active_us", F.col("attention_us") + F.col("background_us"))
 
 
@@ -114,7 +115,7 @@ def unmatched(b: DataFrame, s: DataFrame) -> DataFrame:
     open_ = "not covered and (path <> '' or key <> '')"
     e = b.where(open_).groupBy(*D, "path", "key").agg(F.count("*").alias("events"), F.min_by("project", "nth").alias("project"))
     t = s.where(open_).groupBy(*D, "path", "key").agg(F.sum(F.col("to_us") - F.col("from_us")).alias("time_us"))
-    return e.join(t, [*D, "path", "key"], "left").withColumn("time_us", F.coalesce("time_us", ZERO))
+    return e.join(t, [*D, "path", "key"], "left").withColumn("time_us", F.coalesce("time_us", zero()))
 
 
 def unmatched_range(u: DataFrame) -> DataFrame:
@@ -171,9 +172,9 @@ def claimed_pauses(pauses: DataFrame, r: DataFrame, days: DataFrame) -> DataFram
     taken = F.max("to_us").over(W.partitionBy(*D).orderBy("from_us", "answered_at").rowsBetween(W.unboundedPreceding, -1))
     p = p.withColumn("from_us", F.greatest("from_us", F.coalesce(taken, F.col("from_us")))).where("to_us > from_us").select(*D, "from_us", "to_us", "project", "subject")
     inside = r.where("not gap").select(*D, F.col("from_us").alias("rf"), F.col("to_us").alias("rt"))
-    over = F.greatest(ZERO, F.least("to_us", "rt") - F.greatest("from_us", "rf"))
+    over = F.greatest(zero(), F.least("to_us", "rt") - F.greatest("from_us", "rf"))
     held = p.join(inside, list(D), "left").groupBy(*D, "from_us", "to_us", "project", "subject").agg(F.sum(over).alias("over"))
-    return held.withColumn("held_us", F.col("to_us") - F.col("from_us") - F.coalesce("over", ZERO)).where("held_us > 0").drop("over")
+    return held.withColumn("held_us", F.col("to_us") - F.col("from_us") - F.coalesce("over", zero())).where("held_us > 0").drop("over")
 
 
 def mark_claimed_runs(r: DataFrame, pauses: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def run_evidence(r: DataFrame, b: DataFrame) -> DataFrame:
     e = b.select(*D, "ts_us", "source", "key")
     both = x.join(e, list(D), "left").where(F.col("ts_us").isNull() | (F.col("ts_us") >= F.col("from_us")) & ((F.col("ts_us") < F.col("to_us")) | F.col("shut") & (F.col("ts_us") <= F.col("to_us"))))
     got = both.groupBy(*D, "from_us", "to_us").agg(F.count("ts_us").alias("events"), F.count_distinct("source").alias("sources"), F.count_if(F.col("key") != "").alias("visits"))
-    return x.join(got, [*D, "from_us", "to_us"], "left").select(*D, "from_us", "to_us", *(F.coalesce(c, ZERO).alias(c) for c in ("events", "sources", "visits")))
+    return x.join(got, [*D, "from_us", "to_us"], "left").select(*D, "from_us", "to_us", *(F.coalesce(c, zero()).alias(c) for c in ("events", "sources", "visits")))
 
 
 def pauses_between(r: DataFrame) -> DataFrame:
