@@ -171,9 +171,12 @@ def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None) -> Data
     lost = cut(index.drops().groupBy("doc_id").agg(F.collect_set("k2").alias("lost"))).withColumnRenamed("doc_id", "lost_from")
     rows = carried(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
     both = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_from")), "left")
-    flag = F.transform("lines", lambda x: (F.length(line_key(x)) >= MIN_CHARS) & F.array_contains(F.col("lost"), digest(line_key(x))[1]))
-    both = both.withColumn("lines", F.split("text", "\n", -1)).withColumn("flags", F.when(F.col("lost").isNull(), F.transform("lines", lambda x: F.lit(False))).otherwise(flag))
-    kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.get("flags", i)), "\n"))
+    # a lambda names no computed column, as Spark may put its whole expression there and work it out for every line
+    gone = lambda x: (F.length(line_key(x)) >= MIN_CHARS) & F.array_contains(F.col("lost"), digest(line_key(x))[1])
+    lines = F.split("text", "\n", -1)
+    flags = F.when(F.col("lost").isNull(), F.transform(lines, lambda x: F.lit(False))).otherwise(F.transform(lines, gone))
+    kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x: ~gone(x)), "\n"))
+    both = both.withColumn("flags", flags)
     return released(both.withColumn("kept", kept), "kept", "flags")
 
 
