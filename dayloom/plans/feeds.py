@@ -79,7 +79,7 @@ def feeds(c):
     o = table(c, "orders").withColumn("k", F.col("o_orderkey").cast("string"))
     crlf = "\r\n"
     event = F.concat_ws(
-        crlf, F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "k"), F.concat(F.lit("SUMMARY:a\\, b\; "), F.lit(crlf + " "), "k"),
+        crlf, F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "k"), F.concat(F.lit("SUMMARY:a\\, b\\; "), F.lit(crlf + " "), "k"),
         F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format("o_orderdate", "yyyyMMdd"))).otherwise(F.concat(F.lit("DTSTART;TZID=Europe/Berlin:"), F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss"))),
         F.when(F.col("o_orderkey") % 3 == 0, F.lit("DURATION:PT1H30M")), F.when(F.col("o_orderkey") % 7 == 0, F.lit("STATUS:CANCELLED")), F.lit("END:VEVENT"), F.lit(""),
     )
