@@ -40,7 +40,7 @@ from .words import U, mix, powers, slices, utf8
 
 LENGTH, K = 50, 20
 #: Bytes of text to a slice, and anchors to a shard.
-SLICE, SHARD = 4_000_000, 1_000_000
+SLICE, SHARD = 2_000_000, 500_000
 LAST = 2**63 - 1
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
