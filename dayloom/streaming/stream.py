@@ -48,7 +48,7 @@ def stream_counts(traces: DataFrame, every: str = "1 day", late: str = LATE) ->
 
 def stream_blocks(entries: DataFrame, late: str = LATE) -> DataFrame:
     """Blocks as sessions: a trace keeps its session open for its own length and the gap; a pause as long as the gap stays inside."""
-    hold = F.expr("make_dt_interval(0, 0, 0, cast((span_us + gap_us) / 1000000 as decimal(18, 6)))")
+    hold = F.expr("make_interval(0, 0, 0, 0, 0, 0, cast((span_us + gap_us) / 1000000 as decimal(18, 6)))")
     return entries.withWatermark("ts", late).groupBy(F.session_window("ts", hold), *D).agg(F.min("ts_us").alias("from_us"), F.max(F.least("end_us", "day_end_us")).alias("to_us"), F.count("*").alias("events")).drop("session_window")
 
 
