@@ -30,7 +30,7 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Mixed buckets are searched with signatures of so many coordinates, for pairs that agree at so much less than the threshold (5 standard deviations at 0.8).
 FINE, SLACK = 1536, 0.051
-COARSE, BLOCK = 256, 128
+COARSE, BLOCK, FINE_ROWS = 256, 128, 50
 
 
 def weighted_cells(shingles: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +149,8 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 500_000):
+            for at in range(0, batch.num_rows, FINE_ROWS):  # each text has thousands of darts, however short it is
+                part = batch.slice(at, FINE_ROWS)
                 h, of = shingle_hashes(*word_hashes(*utf8(part.column(1))))
                 found = dart_signatures(*weighted_cells(h, of), part.num_rows, FINE)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in (found >> U(44)).astype(np.uint8)], pa.binary())], names=["rep", "sketch"])
