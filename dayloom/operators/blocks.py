@@ -20,8 +20,9 @@ def day() -> WindowSpec:
     return W.partitionBy(*D).orderBy(*ORD)
 
 
-def block() -> WindowSpec:
-    return W.partitionBy(*B).orderBy(*ORD)
+def block(backwards: bool = False) -> WindowSpec:
+    """The rows of a block in order, or from the last: what comes next is then a running frame, which costs a step a row."""
+    return W.partitionBy(*B).orderBy(*(F.desc(c) if backwards else F.asc(c) for c in ORD))
 
 
 def blocks(entries: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def _nearest(flag: Column, payload: Column) -> Column:
     """payload of the nearest row of the block with flag, its own if it has it; a tie goes to the earlier, null if there is none."""
     mark = F.when(flag, F.struct(F.col("ts_us").alias("at"), payload.alias("x")))
     p = F.last(mark, ignorenulls=True).over(block().rowsBetween(W.unboundedPreceding, -1))
-    n = F.first(mark, ignorenulls=True).over(block().rowsBetween(1, W.unboundedFollowing))
+    n = F.last(mark, ignorenulls=True).over(block(backwards=True).rowsBetween(W.unboundedPreceding, -1))
     closer = n.isNull() | (p.isNotNull() & (F.col("ts_us") - p["at"] <= n["at"] - F.col("ts_us")))
     return F.when(flag, payload).when(closer, p["x"]).otherwise(n["x"])
 
@@ -66,7 +67,7 @@ def neighbour_blocks(b: DataFrame) -> DataFrame:
     """b with origin of the block (own, neighbours, one-neighbour, none) and candidates; an unnamed block takes the name that its nearest named blocks agree on."""
     w = W.partitionBy(*D).orderBy("block_id")
     before = F.last("last_named", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, -1))
-    after = F.first("first_named", ignorenulls=True).over(w.rangeBetween(1, W.unboundedFollowing))
+    after = F.last("first_named", ignorenulls=True).over(W.partitionBy(*D).orderBy(F.desc("block_id")).rangeBetween(W.unboundedPreceding, -1))
     b = b.withColumns({"_b": before, "_a": after})
     x, y = F.col("_b"), F.col("_a")
     origin = F.when(F.col("first_named").isNotNull(), "own").when(x == y, "neighbours").when(x.isNull() != y.isNull(), "one-neighbour").otherwise("none")

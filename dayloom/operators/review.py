@@ -69,7 +69,7 @@ def question_places(b: DataFrame) -> DataFrame:
     n = b.groupBy(*B).agg(F.min_by("project", "nth").alias("project"))
     w = W.partitionBy(*D).orderBy("block_id")
     mark = F.when(F.col("project") != "", F.col("project"))
-    n = n.select(*B, F.last(mark, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first(mark, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    n = n.select(*B, F.last(mark, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.last(mark, ignorenulls=True).over(W.partitionBy(*D).orderBy(F.desc("block_id")).rowsBetween(W.unboundedPreceding, -1)).alias("after"))
     return e.join(n, list(B)).select(*D, "trace", "block_id", "events", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
 
 
@@ -92,7 +92,7 @@ def around_subject(s: DataFrame) -> DataFrame:
     """(D, from_us, around): the subject on both sides of a stretch, if it is the same."""
     w = W.partitionBy(*D).orderBy("from_us", "to_us")
     mark = F.when(F.col("subject") != "", F.col("subject"))
-    x = s.withColumns({"_b": F.last(mark, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), "_a": F.first(mark, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))})
+    x = s.withColumns({"_b": F.last(mark, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), "_a": F.last(mark, ignorenulls=True).over(W.partitionBy(*D).orderBy(F.desc("from_us"), F.desc("to_us")).rowsBetween(W.unboundedPreceding, -1))})
     return x.select(*D, "from_us", F.when(F.col("_b") == F.col("_a"), F.col("_b")).otherwise("").alias("around"))
 
 

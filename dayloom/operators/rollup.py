@@ -199,7 +199,7 @@ def pauses_between(r: DataFrame) -> DataFrame:
     """Gap runs with the nearest named project on either side."""
     o = W.partitionBy(*D).orderBy("from_us", "to_us")
     name = F.when(~F.col("gap") & (F.col("project") != ""), F.col("project"))
-    out = r.withColumns({"left_project": F.last(name, ignorenulls=True).over(o.rowsBetween(W.unboundedPreceding, -1)), "right_project": F.first(name, ignorenulls=True).over(o.rowsBetween(1, W.unboundedFollowing))})
+    out = r.withColumns({"left_project": F.last(name, ignorenulls=True).over(o.rowsBetween(W.unboundedPreceding, -1)), "right_project": F.last(name, ignorenulls=True).over(W.partitionBy(*D).orderBy(F.desc("from_us"), F.desc("to_us")).rowsBetween(W.unboundedPreceding, -1))})
     return out.where("gap").select(*D, "from_us", "to_us", F.coalesce("left_project", F.lit("")).alias("left_project"), F.coalesce("right_project", F.lit("")).alias("right_project"))
 
 

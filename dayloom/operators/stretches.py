@@ -52,27 +52,32 @@ def edges(h: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     else:
         h = h.withColumn("answers", F.expr("cast(null as array<struct<made_at:int,from_us:bigint,to_us:bigint,project:string,subject:string,clear_subject:boolean,one_off:boolean>>)"))
     pay = lambda human: F.struct(*(F.col(c) if c != "human" else F.lit(human).alias("human") for c in PAY))
-    none = F.lit(None)
-    kind = "struct<instant:bigint,pay:struct<block_id:bigint,nth:int,human:boolean,owner:string,owner_subject:string,owner_session:string,ground:string,origin:string,covered:boolean,path:string,key:string,ambiguous:string,project:string>,cut:boolean,in_block:int,in_window:int>"
-    edge = lambda at, p, cut, block, window: F.struct(at.alias("instant"), p.alias("pay"), F.lit(cut).alias("cut"), F.lit(block).alias("in_block"), F.lit(window).alias("in_window")).cast(kind)
     c = F.col
+    # edges carry which payload they open with: 0 the event's, 1 the event's for a head or tail, 2 none
+    edge = lambda at, which, cut, block, window: F.struct(at.alias("instant"), F.lit(which).alias("which"), F.lit(cut).alias("cut"), F.lit(block).alias("in_block"), F.lit(window).alias("in_window"))
     first, last = c("nth") == c("_first"), c("nth") == c("_last")
     inside = (c("end_us") > c("ts_us")) & (c("end_us") < c("block_to_us"))
-    window = F.when(c("span_us") > 0, F.array(c("ts_us"), c("end_us"))).when(c("touch"), F.array(c("ts_us") - c("window_us"), c("ts_us") + c("window_us")))
+    long, touch = c("span_us") > 0, c("touch")
+    opens = F.when(long, c("ts_us")).when(touch, c("ts_us") - c("window_us"))
+    shuts = F.when(long, c("end_us")).when(touch, c("ts_us") + c("window_us"))
     made = F.array(
-        edge(c("ts_us"), pay(False), True, 0, 0),
-        F.when(inside, edge(c("end_us"), none, True, 0, 0)),
-        F.when(first & (c("from_us") < c("block_from_us")), edge(c("from_us"), pay(True), True, 0, 0)),
-        F.when(first, edge(c("from_us"), none, True, 1, 0)),
-        F.when(last & (c("to_us") > c("block_to_us")), edge(c("block_to_us"), pay(True), True, 0, 0)),
-        F.when(last, edge(c("block_to_us"), none, True, 0, 0)),
-        F.when(last, edge(c("to_us"), none, True, -1, 0)),
-        F.when(window.isNotNull(), edge(F.get(window, 0), none, False, 0, 1)),
-        F.when(window.isNotNull(), edge(F.get(window, 1), none, False, 0, -1)),
+        edge(c("ts_us"), 0, True, 0, 0),
+        F.when(inside, edge(c("end_us"), 2, True, 0, 0)),
+        F.when(first & (c("from_us") < c("block_from_us")), edge(c("from_us"), 1, True, 0, 0)),
+        F.when(first, edge(c("from_us"), 2, True, 1, 0)),
+        F.when(last & (c("to_us") > c("block_to_us")), edge(c("block_to_us"), 1, True, 0, 0)),
+        F.when(last, edge(c("block_to_us"), 2, True, 0, 0)),
+        F.when(last, edge(c("to_us"), 2, True, -1, 0)),
+        F.when(long | touch, edge(opens, 2, False, 0, 1)),
+        F.when(long | touch, edge(shuts, 2, False, 0, -1)),
     )
-    cuts = F.filter(F.flatten(F.transform("answers", lambda x: F.array(x["from_us"], x["to_us"]))), lambda x: (x > c("block_from_us")) & (x < c("block_to_us")))
-    made = F.concat(made, F.when(first & c("answers").isNotNull(), F.transform(cuts, lambda x: edge(x, none, True, 0, 0))).otherwise(F.array().cast(f"array<{kind}>")))
-    return h.select(*D, "answers", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("e")).select(*D, "answers", "e.*")
+    h = h.withColumns({"_pay0": pay(False), "_pay1": pay(True), "_made": made})
+    if answers is not None:
+        cuts = F.filter(F.flatten(F.transform("answers", lambda x: F.array(x["from_us"], x["to_us"]))), lambda x: (x > c("block_from_us")) & (x < c("block_to_us")))
+        said = F.when(first & c("answers").isNotNull(), F.transform(cuts, lambda x: edge(x, 2, True, 0, 0)))
+        h = h.withColumn("_made", F.when(said.isNotNull(), F.concat("_made", said)).otherwise(c("_made")))
+    out = h.select(*D, "answers", "_pay0", "_pay1", F.explode("_made").alias("e")).where("e is not null")
+    return out.select(*D, "answers", "e.instant", F.when(c("e.which") == 0, c("_pay0")).when(c("e.which") == 1, c("_pay1")).alias("pay"), "e.cut", "e.in_block", "e.in_window")
 
 
 def pieces(h: DataFrame, answers: DataFrame | None = None) -> DataFrame:

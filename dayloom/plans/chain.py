@@ -1,4 +1,8 @@
-"""The account of a day over the supplied tables, step by step, each step made when it is asked for."""
+"""The account of a day over the supplied tables, step by step, each step made when it is asked for.
+
+Steps that several roll-ups read are persisted: a query that joins them back
+together would else work the whole chain out once for each.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +44,7 @@ class Chain:
 
     @cached_property
     def b(self) -> DataFrame:
-        return blocks.attributed(self.named)
+        return blocks.attributed(self.named).persist()
 
     @cached_property
     def h(self) -> DataFrame:
@@ -48,7 +52,7 @@ class Chain:
 
     @cached_property
     def p(self) -> DataFrame:
-        return stretches.pieces(self.h, fixtures.answers(self.spark))
+        return stretches.pieces(self.h, fixtures.answers(self.spark)).persist()
 
     @cached_property
     def s(self) -> DataFrame:
@@ -64,7 +68,7 @@ class Chain:
 
     @cached_property
     def runs(self) -> DataFrame:
-        return stretches.runs(self.p, self.h)
+        return stretches.runs(self.p, self.h).persist()
 
     @cached_property
     def pauses(self) -> DataFrame:
