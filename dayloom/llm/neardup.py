@@ -158,10 +158,10 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(run, "rep long, sketch binary")
 
 
-def across(members: DataFrame, threshold: float) -> DataFrame:
+def across(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of likely links between different labels of a bucket.
 
-    members: bh, rep, label, sketch. Every member outside the largest label of
+    members: bh, rep, label; sketches: rep, sketch, joined last, as they are wide. Every member outside the largest label of
     its bucket meets all members of the bucket, in blocks of about BLOCK; a
     task compares the sketches of two blocks and passes on likely pairs alone.
     """
@@ -171,12 +171,12 @@ def across(members: DataFrame, threshold: float) -> DataFrame:
     minor = (
         rows.where("label <> main")
         .withColumn("i", F.pmod(F.xxhash64("rep", F.lit(3)), "minors"))
-        .select("bh", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("minor"), "rep", "label", "sketch")
+        .select("bh", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("minor"), "rep", "label")
     )
     every = (
         rows.withColumn("j", F.pmod(F.xxhash64("rep", F.lit(5)), "blocks"))
         .where("minors > 0")
-        .select("bh", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("i"), "j", F.lit(False).alias("minor"), "rep", "label", "sketch")
+        .select("bh", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("i"), "j", F.lit(False).alias("minor"), "rep", "label")
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +193,7 @@ def across(members: DataFrame, threshold: float) -> DataFrame:
         a, b = np.concatenate(found, axis=1)
         return pd.DataFrame({"a": a, "b": b})
 
-    dealt = minor.unionByName(every).repartition(partitions(members.sparkSession), "bh", "i", "j")
+    dealt = minor.unionByName(every).join(sketches, "rep").repartition(partitions(members.sparkSession), "bh", "i", "j")
     return dealt.groupBy("bh", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
@@ -225,8 +225,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     mixed = cut(named.groupBy("bh").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bh"))
     unsettled = cut(named.join(mixed, "bh", "left_semi"))
     sketches = fine_sketches(texts.join(unsettled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    members = cut(unsettled.join(cut(sketches), "rep"))
-    more = cut(verified(across(members, threshold), texts, threshold))
+    more = cut(verified(across(unsettled, cut(sketches), threshold), texts, threshold))
     labels = cut(min_label_components(links.unionByName(more)))
     classes = reps.select("one", "two", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "rep", F.coalesce("label", "rep").alias("label"))
     told = cut(signed.select("doc_id", "one", "two")).join(cut(classes), ["one", "two"], "left").select("doc_id", F.col("label").alias("class_id"), F.col("rep").alias("class_text"))
