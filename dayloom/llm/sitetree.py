@@ -6,13 +6,17 @@ which sequences of children (presentations) and with which texts (content). A
 branch whose content is spread over the host's pages has high entropy and so
 low importance; one whose content is of a page alone has high importance, and
 varied presentation adds to it. Branches of low importance are removed from
-each page. What the markup itself says goes before: <article> and <main> hold
-the text and are never removed for being repeated (pages are copied, too), and
-elements that are named as menus, adverts, forms, comments and the like are
-removed even on a host with a single page, where no tree can tell.
+each page. Pages of a host with the same text count once, so that copies don't
+look like boilerplate. That a branch is inside <article> or <main> is evidence
+of importance: it must be more repeated than others to go, and it stays if else
+most of the page's text would go (a near copy). Elements that are named as
+menus, adverts, forms, comments and the like are removed before, even on a host
+with a single page, where no tree can tell.
 
 A page is parsed once to count and once to extract. Null or empty html gives an
-empty text; a page without a host has no tree and is judged by its markup.
+empty text; a page without a host, or of a host with fewer than PAGES texts, has
+no tree and is judged by its markup: where <article> and <main> hold most of the
+text, they hold all of it.
 Repeated rows each count and each give a row.
 """
 
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import carried, cut, released, small_batches, table
 
 GAMMA = 0.9
-LOW, PAGES = 0.4, 4
+LOW, LOW_INSIDE, PAGES = 0.4, 0.2, 4
 
 # Names of elements, and words in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -105,38 +109,55 @@ class Page:
         self.inside.append("article" if tag == "article" and not noise else self.inside[parent] or ("main" if tag == "main" else ""))
         return len(self.tag) - 1
 
-    def branches(self) -> list[tuple[int, int, list[int]]]:
-        """(path, hash of its children, hashes of its texts) of each node that the markup leaves open; nodes of one path together."""
+    def branches(self) -> tuple[int, list[tuple[int, bool, int, list[int]]]]:
+        """Hash of the page's text, and (path, inside <article> or <main>, hash of its children, hashes of its texts) of each node with text that the markup leaves open; nodes of one path together."""
         children: dict[int, dict[str, None]] = {}
         texts: dict[int, set[int]] = {}
-        open_ = [not n and not i for n, i in zip(self.noise, self.inside, strict=True)]
+        inside: dict[int, bool] = {}
+        page = xxhash.xxh64()
         for k in range(1, len(self.tag)):
-            if open_[k]:
+            if not self.noise[k]:
                 children.setdefault(self.path[k], {})
-                if open_[self.parent[k]]:
+                inside[self.path[k]] = inside.get(self.path[k], False) or bool(self.inside[k])
+                if not self.noise[self.parent[k]]:
                     children.setdefault(self.path[self.parent[k]], {})[self.tag[k]] = None
         for piece in self.pieces:
-            if piece and open_[piece[0]] and (text := " ".join(piece[1].split())):
+            if piece and not self.noise[piece[0]] and (text := " ".join(piece[1].split())):
+                page.update(text + "\n")
                 h, k = xxhash.xxh64_intdigest(text) >> 1, piece[0]
                 while k > 0:
                     texts.setdefault(self.path[k], set()).add(h)
                     k = self.parent[k]
-        return [(p, xxhash.xxh64_intdigest(",".join(children.get(p, ()))) >> 1, sorted(t)) for p, t in texts.items()]
+        return page.intdigest() >> 1, [(p, inside[p], xxhash.xxh64_intdigest(",".join(children.get(p, ()))) >> 1, sorted(t)) for p, t in sorted(texts.items())]
 
-    def text(self, low: frozenset[int] = frozenset()) -> str:
-        """The blocks that stay, joined by line ends."""
-        held = {k for k in self.inside if k}
-        scope = "article" if any(i == "article" and not n for i, n in zip(self.inside, self.noise, strict=True)) else "main" if held else ""
-        gone = [False] * len(self.tag)
+    def _size(self, gone: list[bool], inside: bool) -> int:
+        return sum(len("".join(p[1].split())) for p in self.pieces if p and not gone[p[0]] and bool(self.inside[p[0]]) == inside)
+
+    def _gone(self, low: frozenset[int], inside: bool) -> list[bool]:
+        """Which nodes go: noise, and branches of low importance; those inside <article> and <main> only if asked."""
+        gone = list(self.noise)
         for k in range(1, len(self.tag)):
-            gone[k] = gone[self.parent[k]] or self.noise[k] or not self.inside[k] and self.path[k] in low and self.tag[k] not in ("html", "body")
+            gone[k] = gone[k] or gone[self.parent[k]] or (inside or not self.inside[k]) and self.path[k] in low and self.tag[k] not in ("html", "body")
+        return gone
+
+    def text(self, low: frozenset[int] | None = None) -> str:
+        """The blocks that stay, joined by line ends. low: the branches of low importance, None without a tree."""
+        if low is None:
+            gone = list(self.noise)
+            if self._size(gone, True) >= self._size(gone, False):
+                gone = [g or not i for g, i in zip(gone, self.inside, strict=True)] if any(self.inside) else gone
+        else:
+            gone, outside = self._gone(low, True), self._gone(low, False)
+            held = self._size(gone, False)
+            if 2 * (self._size(gone, True) + held) < self._size(outside, True) + held:
+                gone = outside
         blocks, now = [], []
         for piece in [*self.pieces, None]:
             if piece is None:
                 if line := " ".join(unescape("".join(now)).split()):
                     blocks.append(line)
                 now = []
-            elif not gone[piece[0]] and (not scope or self.inside[piece[0]] == scope):
+            elif not gone[piece[0]]:
                 now.append(piece[1])
         return "\n".join(blocks)
 
@@ -146,42 +167,46 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the nodes that the markup leaves open.
+    """(host, path, pages, inside, importance) of the nodes that the markup leaves open; path 0 is the host itself. Pages of a host with the same text count once.
 
     content: 1 - mean over the node's texts of log(pages with that text) / log(pages with the node).
     presentation: entropy of its sequences of children, in units of log(pages with the node).
     """
+    tree = pa.struct([("path", pa.int64()), ("inside", pa.bool_()), ("style", pa.int64()), ("texts", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            rows = {"host": [], "path": [], "kind": [], "value": []}
+            rows = {"host": [], "page": [], "tree": []}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, style, texts in Page(html).branches():
-                    for kind, values in (("style", [style]), ("text", texts)):
-                        for v in values:
-                            for c, x in zip(rows, (host, path, kind, v), strict=True):
-                                rows[c].append(x)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.string()), ("value", pa.int64())]))
-
-    seen = with_host(pages).where("host is not null and html is not null").select("host", F.col("html").cast("string")).mapInArrow(run, "host string, path long, kind string, value long")
-    counts = cut(seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n")))
+                page, nodes = Page(html).branches()
+                if nodes:
+                    nodes.append((0, False, 0, []))
+                    for c, x in zip(rows, (host, page, [dict(zip(("path", "inside", "style", "texts"), n, strict=True)) for n in nodes]), strict=True):
+                        rows[c].append(x)
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("host", pa.string()), ("page", pa.int64()), ("tree", pa.list_(tree))]))
+
+    seen = with_host(pages).where("host is not null and html is not null").select("host", F.col("html").cast("string")).mapInArrow(run, "host string, page long, tree array<struct<path:long,inside:boolean,style:long,texts:array<long>>>")
+    nodes = seen.groupBy("host", "page").agg(F.min("tree").alias("tree")).select("host", F.explode("tree").alias("t")).select("host", "t.*")
+    values = F.explode(F.concat(F.array(F.struct(F.lit("style").alias("kind"), F.col("style").alias("value"))), F.transform("texts", lambda x: F.struct(F.lit("text").alias("kind"), x.alias("value")))))
+    counts = cut(nodes.select("host", "path", "inside", values.alias("v")).groupBy("host", "path", "v.kind", "v.value").agg(F.count("*").alias("n"), F.max("inside").alias("inside")))
     is_style = F.col("kind") == "style"
     node = counts.groupBy("host", "path").agg(
         F.sum(F.when(is_style, F.col("n"))).alias("pages"),
         F.sum(F.when(is_style, F.col("n") * F.ln("n"))).alias("style_nln"),
         F.count_if(~is_style).alias("texts"),
         F.sum(F.when(~is_style, F.ln("n"))).alias("text_ln"),
+        F.max("inside").alias("inside"),
     )
     many, log_m = F.col("pages") > 1, F.ln("pages")
     content = F.when(many & (F.col("texts") > 0), 1 - F.col("text_ln") / F.col("texts") / log_m).otherwise(1.0)
     presentation = F.when(many, (log_m - F.col("style_nln") / F.col("pages")) / log_m).otherwise(1.0)
-    return node.select("host", "path", "pages", ((1 - GAMMA) * presentation + GAMMA * content).alias("importance"))
+    return node.select("host", "path", "pages", "inside", ((1 - GAMMA) * presentation + GAMMA * content).alias("importance"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """pages with one more column, text (in place of one of that name)."""
     small_batches(pages.sparkSession, 200)
-    low = style_trees(pages).where((F.col("importance") < LOW) & (F.col("pages") >= PAGES))
+    low = style_trees(pages).where((F.col("pages") >= PAGES) & ((F.col("path") == 0) | (F.col("importance") < F.when(F.col("inside"), LOW_INSIDE).otherwise(LOW))))
     low = cut(low.groupBy("host").agg(F.collect_list("path").alias("_low"))).withColumnRenamed("host", "_host")
     # Spark broadcasts the trees' low nodes while their file is small, and else splits hosts with many pages
     both = with_host(carried(pages, "url", "html").withColumn("html", F.col("html").cast("string")))
@@ -191,7 +216,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     def extract(html, low):
         import pandas as pd
 
-        known: dict[bytes, frozenset] = {}
+        known: dict[bytes, frozenset | None] = {}
         out = []
         for h, x in zip(html, low, strict=True):
             if h is None or h != h:
@@ -199,7 +224,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 continue
             key = b"" if x is None else x.tobytes()
             if key not in known:
-                known[key] = frozenset(() if x is None else x.tolist())
+                known[key] = None if x is None else frozenset(x.tolist()) - {0}
             out.append(Page(h).text(known[key]))
         return pd.Series(out, dtype=object)
 

@@ -217,6 +217,22 @@ def test_trees_remove_what_a_host_repeats(spark):
     assert got[99] == "same words on all\nunique text 0\nend" and got[100].startswith("same") and got[101] == got[102] == ""
     assert sitetree.main_text(out.limit(0)).count() == 0
 
+def test_trees_judge_articles_and_what_is_beside_them(spark):
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    cards = "<article class=card>Read this one</article><article class=card>and that one</article>"
+    teaser = lambda i: f"<body>{cards}<div class=text><p>{words(i, 30)}</p></div></body>"
+    inner = lambda i: f"<body><main><p>intro {i}</p><article><p>{words(i, 30)}</p><div class=about>About this site, the same each time</div></article></main></body>"
+    near = lambda i: f"<body><article>{''.join(f'<p>{words(k, 9)}</p>' for k in range(8))}<p>edit {i}</p></article></body>"
+    pages = [("teaser", i, teaser(i)) for i in range(6)] + [("inner", i, inner(i)) for i in range(6)] + [("near", i, near(i)) for i in range(6)]
+    pages += [("copies", i, inner(0)) for i in range(9)] + [("lone", 0, teaser(0)), ("one", 0, inner(0))]
+    df = spark.createDataFrame([(f"{h}{i}", f"http://{h}.example/{i}", x) for h, i, x in pages], "page_id string, url string, html string")
+    got = {r.page_id: r.text for r in sitetree.main_text(df).collect()}
+    assert got["teaser3"] == words(3, 30)
+    assert got["inner3"] == f"intro 3\n{words(3, 30)}"
+    assert got["near3"] == "\n".join(words(k, 9) for k in range(8)) + "\nedit 3"
+    whole = f"intro 0\n{words(0, 30)}\nAbout this site, the same each time"
+    assert got["copies4"] == got["one0"] == whole and got["lone0"] == f"Read this one\nand that one\n{words(0, 30)}"
+
 
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
