@@ -11,7 +11,9 @@ look like boilerplate. That a branch is inside <article> or <main> is evidence
 of importance: it must be more repeated than others to go, and it stays if else
 most of the page's text would go (a near copy). Elements that are named as
 menus, adverts, forms, comments and the like are removed before, even on a host
-with a single page, where no tree can tell.
+with a single page, where no tree can tell; but a name in class, id or role
+counts only whole ("sidebar" or "cookie-notice", not "with-sidebar"), and a
+branch that holds an article, <main> or most of the page's text is left open.
 
 A page is parsed once to count and once to extract. Null or empty html gives an
 empty text; a page without a host, or of a host with fewer than PAGES texts, has
@@ -34,6 +36,7 @@ from .common import carried, cut, released, small_batches, table
 
 GAMMA = 0.9
 LOW, LOW_INSIDE, PAGES = 0.4, 0.2, 4
+BODY = 400
 
 # Names of elements, and words in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,14 +53,14 @@ LISTS = frozenset("ul ol dl table select".split())
 PARAGRAPH_ENDS = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "summary", "legend", "figcaption"}
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-TOKEN = re.compile(r"[a-z]+")
+TOKEN = re.compile(r"[^\W_]+")
 
 
 class Page:
     """Element nodes of a page in order (parent, tag, path, noise, inside) and its pieces of text (node, text), None between blocks."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.noise, self.inside = [-1], ["#"], [0], [False], [""]
+        self.parent, self.tag, self.path, self.named = [-1], ["#"], [0], [False]
         self.pieces: list[tuple[int, str] | None] = []
         stack, at, n = [0], 0, len(html)
         while at < n:
@@ -89,6 +92,7 @@ class Page:
                 at = end.end() if end else n
             elif tag not in VOID and not m[3].endswith("/"):
                 stack.append(node)
+        self._judge()
 
     def _close(self, stack: list[int], tags: set[str], walls: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -100,15 +104,42 @@ class Page:
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
         names = " ".join(x or y or z for x, y, z in NAME.findall(attributes)).lower() if attributes else ""
-        keep = tag in ("html", "body", "article", "main")
-        noise = self.noise[parent] or tag in NOISE or tag == "header" and not self.inside[parent] or bool(names) and not NOISE_WORDS.isdisjoint(TOKEN.findall(names)) and not (keep and tag != "article")
         self.parent.append(parent)
         self.tag.append(tag)
         self.path.append(xxhash.xxh64_intdigest(f"{self.path[parent]}/{tag}.{names}") >> 1)
-        self.noise.append(noise)
-        self.inside.append("article" if tag == "article" and not noise else self.inside[parent] or ("main" if tag == "main" else ""))
+        self.named.append(any(NOISE_WORDS.issuperset(TOKEN.findall(name)) and TOKEN.search(name) is not None for name in names.split()))
         return len(self.tag) - 1
 
+    def _judge(self) -> None:
+        """Find noise, and what is inside <article> or <main>.
+
+        An element's tag always makes noise of it. Its name doesn't if it holds
+        an article (not one of its own, as comments are) or <main>; or over half
+        of the text, where no such element is on the page or the text is BODY
+        long at least.
+        """
+        n = len(self.tag)
+        tagged, article, size = [False] * n, [False] * n, [0] * n
+        holds = [False] * n
+        for k in range(1, n):
+            up, tag = self.parent[k], self.tag[k]
+            article[k] = article[up] or tag == "article"
+            tagged[k] = tagged[up] or tag in NOISE
+            holds[k] = not tagged[k] and (tag == "main" or tag == "article" and not article[up] and not self.named[k])
+        for piece in self.pieces:
+            if piece and not tagged[piece[0]]:
+                size[piece[0]] += len("".join(piece[1].split()))
+        for k in range(n - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+            holds[self.parent[k]] |= holds[k]
+        self.noise, self.inside = [False] * n, [""] * n
+        for k in range(1, n):
+            up, tag = self.parent[k], self.tag[k]
+            body = holds[k] or 2 * size[k] > size[0] and (not holds[0] or size[k] >= BODY)
+            by_name = self.named[k] and tag not in ("html", "body", "main") and not body
+            self.noise[k] = self.noise[up] or tagged[k] or tag == "header" and not self.inside[up] or by_name
+            self.inside[k] = "article" if tag == "article" and not self.noise[k] else self.inside[up] or ("main" if tag == "main" else "")
+
     def branches(self) -> tuple[int, list[tuple[int, bool, int, list[int]]]]:
         """Hash of the page's text, and (path, inside <article> or <main>, hash of its children, hashes of its texts) of each node with text that the markup leaves open; nodes of one path together."""
         children: dict[int, dict[str, None]] = {}

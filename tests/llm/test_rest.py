@@ -234,6 +234,19 @@ def test_trees_judge_articles_and_what_is_beside_them(spark):
     assert got["copies4"] == got["one0"] == whole and got["lone0"] == f"Read this one\nand that one\n{words(0, 30)}"
 
 
+def test_a_name_alone_removes_no_main_text():
+    text = lambda body: sitetree.Page(f"<body>{body}</body>").text()
+    words = " ".join(f"word{k}" for k in range(120))
+    for name in ("layout with-sidebar", "has-header", "sidebar", "no_comments"):
+        assert text(f"<div class='{name}'><article>The text</article></div>") == "The text"
+        assert text(f"<div id={name.split()[-1]}><p>The text of a page<p>in two</div><p>end") == "The text of a page\nin two\nend"
+    assert text("<article class='post has-comments'>The text<ol class=comments><li><article>me too</article></ol></article>") == "The text"
+    assert text(f"<article>card</article><article>card</article><div class=notice>{words}</div>") == f"card\ncard\n{words}"
+    assert text("<p>The text of a page</p><div class=ad>buy</div><div id=cookie-notice>accept</div><ul class='x breadcrumbs'><li>a</ul>") == "The text of a page"
+    assert text("<div class=ad>an advert longer than the text</div><article>The text</article>") == "The text"
+
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
