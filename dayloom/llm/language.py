@@ -8,8 +8,8 @@ As the statistics are frozen, the cost of every byte in every context is worked
 out once, in a table; a text's code length under a language is a sum of table
 entries, and the language with the shortest code is predicted.
 
-The sample is bounded: about TRAIN_BYTES bytes of each language, whole documents
-drawn by the hash of their text. Contexts seen fewer than SEEN times over all
+The sample is bounded: of each language the distinct texts in the order of their
+hash, until they have TRAIN_BYTES bytes; one at least. Contexts seen fewer than SEEN times over all
 languages are left out of the trees.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import carried, cut, released, small_batches, table
@@ -26,6 +27,7 @@ from .words import slices, utf8
 ORDER = 3
 TRAIN_BYTES = 500_000
 SEEN = 3
+HASH_BUCKETS = 4096
 UNKNOWN = "und"
 
 
@@ -120,12 +122,25 @@ class ContextTrees:
         return out
 
 
-def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> ContextTrees | None:
-    """Trees from (text, lang) rows with a language; None if there is none. The driver gets the counts of the bounded sample alone."""
-    rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang is not null and text is not null and text <> ''")
-    sizes = cut(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))).withColumnRenamed("lang", "l")
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * train_bytes / F.col("bytes")
-    counts = gram_counts(rows.join(sizes, F.col("lang") == F.col("l")).where(share)).toArrow()
+def sample(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(lang, h, text): the distinct texts to learn from, in order of a hash until a language has train_bytes; at least one of each language.
+
+    A histogram over HASH_BUCKETS finds the bucket in which a language gets
+    full, so that only texts up to that bucket are put in order.
+    """
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null and text <> ''").withColumn("h", F.xxhash64("text"))
+    bucket = F.pmod("h", F.lit(HASH_BUCKETS))
+    texts = cut(rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).cast("long").alias("size")).withColumn("bucket", bucket))
+    before = F.sum("size").over(W.partitionBy("lang").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    open_ = texts.groupBy("lang", "bucket").agg(F.sum("size").alias("size")).withColumn("before", before).where(F.col("before") < train_bytes).select("lang", "bucket")
+    first = F.sum("size").over(W.partitionBy("lang").orderBy("bucket", "h").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    chosen = texts.join(F.broadcast(open_), ["lang", "bucket"]).withColumn("first", first).where(F.col("first") < train_bytes).select("lang", "h")
+    return cut(rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")))
+
+
+def learned(texts: DataFrame) -> ContextTrees | None:
+    """Trees from (lang, text) rows; None if there is none. The driver gets the counts alone."""
+    counts = gram_counts(texts).toArrow()
     if not counts.num_rows:
         return None
     names = counts.column("lang").to_pylist()
@@ -134,6 +149,11 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> ContextTrees | Non
     return ContextTrees(langs, np.array([nth[x] for x in names]), counts.column("gram").to_numpy(), counts.column("n").to_numpy())
 
 
+def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> ContextTrees | None:
+    """Trees from the sample of (text, lang) rows with a language; None if there is none."""
+    return learned(sample(docs, train_bytes))
+
+
 def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
     """docs with lang_pred, score (posterior of that language under equal priors) and bits (code length for each byte).
 

@@ -74,6 +74,21 @@ def test_language_held_out(spark):
     assert all(language_held == (zlib.crc32(str(d).encode()) % 4 == 2) for d, language_held in docs.select("doc_id", language.is_held_out(F.col("doc_id"))).collect())
 
 
+def test_language_sample_has_every_language_and_counts_copies_once(spark):
+    copies = [("en", "the cat sat on the mat " * 40)] * 300
+    other = [("en", f"the dog number {i} ran to the hat") for i in range(50)]
+    rows = [*copies, *other, ("de", "der hund und die katze und der hut " * 200), ("fr", "le chat et le chien"), (None, "no language"), ("es", ""), ("es", None)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    got = [(r.lang, r.text) for r in language.sample(df, 500).collect()]
+    size = {x: sum(len(t) for y, t in got if y == x) for x in ("en", "de", "fr")}
+    assert {x for x, _ in got} == {"en", "de", "fr"} and len(set(got)) == len(got)
+    assert size["en"] >= 500 and size["de"] == 7000 and size["fr"] == 19
+    assert sorted(got) == sorted((r.lang, r.text) for r in language.sample(df.repartition(2), 500).collect())
+    assert sorted(language.sample(df).select("lang", "text").collect()) == sorted({r for r in rows if r[0] and r[1]})
+    assert language.train(df, 500).langs == ["de", "en", "fr"]
+
+
+
 def test_language_of_odd_rows(odd, none):
     trees = language.train(odd)
     out = language.identify(odd, trees)
