@@ -29,6 +29,7 @@ TRAIN_BYTES = 500_000
 SEEN = 3
 HASH_BUCKETS = 4096
 UNKNOWN = "und"
+FAR, TELLING = 1.5, 100
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -195,8 +196,33 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), trees).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
 
 
+def far_bits(texts: DataFrame) -> float | None:
+    """Code length a byte beyond which a text is in none of the languages: FAR times the longest of the sample's texts under the trees of the other half of the sample, 8 (plain bytes) at least. None if a half is empty, as nothing tells then.
+
+    Only texts of TELLING bytes count, as the first bytes cost most.
+    """
+    half = [texts.where(F.pmod("h", F.lit(2)) == k) for k in (0, 1)]
+    worst = []
+    for mine, other in (half, half[::-1]):
+        trees = learned(mine)
+        found = identify(other.where(F.octet_length("text") >= TELLING), trees).agg(F.max("bits")).first()[0] if trees else None
+        if found is None:
+            return None
+        worst.append(found)
+    return max(8.0, FAR * max(worst))
+
+
 def known_language(docs: DataFrame) -> DataFrame:
-    """The documents whose text is in a language that can be told; those that have no letter go."""
-    trees = train(docs.where(~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
-    told = identify(carried(docs, "text"), trees).where(F.col("lang_pred") != UNKNOWN)
+    """The documents whose text is in a language that can be told.
+
+    Those that have no letter go, and those of TELLING bytes or more whose code
+    length under all trees is far above that of the texts learned from. If
+    nothing could be learned, all that have a letter stay.
+    """
+    texts = sample(docs.where(~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    trees = learned(texts)
+    limit = far_bits(texts) if trees else None
+    if limit is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    told = identify(carried(docs, "text"), trees).where((F.col("lang_pred") != UNKNOWN) & ((F.col("bits") <= limit) | (F.octet_length("text") < TELLING)))
     return released(told)

@@ -98,6 +98,23 @@ def test_language_of_odd_rows(odd, none):
     assert language.known_language(odd).columns == odd.columns and language.known_language(odd).count() == 7
 
 
+def test_known_language_keeps_what_it_cannot_judge_and_drops_what_is_far(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    letters = {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+    kept = lambda df: {r.doc_id for r in language.known_language(df).collect()}
+    assert kept(docs.withColumn("lang", F.lit(None).cast("string"))) == letters
+    assert kept(docs.where(language.is_held_out(F.col("doc_id")))) == {i for i in letters if zlib.crc32(str(i).encode()) % 4 == 2}
+    rng = random.Random(2)
+    far = [
+        (-1, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300)), None),
+        (-2, " ".join("".join(chr(rng.randrange(0x3B1, 0x3C9)) for _ in range(6)) for _ in range(60)), None),
+        (-3, "".join(chr(rng.randrange(33, 127)) for _ in range(800)), None),
+        (-4, "ελληνικά", None),
+    ]
+    assert kept(docs.unionByName(spark.createDataFrame(far, docs.schema))) == letters | {-4}
+
+
+
 def water(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
