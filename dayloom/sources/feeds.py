@@ -107,7 +107,8 @@ def scan_ical(feeds: DataFrame) -> DataFrame:
     """(feed, value: the whole text) as properties (feed, event, nth, name, params, value) of its events; a feed that isn't whole is refused (no rows)."""
     text = F.regexp_replace("value", r"\r?\n[ \t]", "")
     f = feeds.select("feed", text.alias("t")).where(F.col("t").rlike(r"(?s)^\s*BEGIN:VCALENDAR\b.*END:VCALENDAR\s*$"))
-    e = f.select("feed", F.posexplode(F.slice(F.split("t", r"BEGIN:VEVENT\r?\n"), 2, 1_000_000)).alias("event", "body"))
+    bodies = F.split("t", r"BEGIN:VEVENT\r?\n")
+    e = f.select("feed", F.posexplode(F.slice(bodies, F.lit(2), F.size(bodies))).alias("event", "body"))
     p = e.select("feed", "event", F.posexplode(F.split(F.split("body", "END:VEVENT").getItem(0), r"\r?\n")).alias("nth", "line")).where("line <> ''")
     name = F.upper(F.regexp_extract("line", r"^([A-Za-z0-9-]+)", 1))
     pattern = r'^[A-Za-z0-9-]+((?:;[A-Za-z0-9-]+=(?:"[^"]*"|[^;:"]*))*):(.*)$'
@@ -115,10 +116,12 @@ def scan_ical(feeds: DataFrame) -> DataFrame:
 
 
 def events_of(properties: DataFrame) -> DataFrame:
-    """One row an event: the last value and parameters of each property that counts."""
+    """One row an event: the last value and parameters of each property that counts, and DECLINED, the addresses of those who declined."""
     get = lambda n: F.max_by(F.when(F.col("name") == n, F.struct("value", "params")), F.when(F.col("name") == n, F.col("nth")))
     names = ["UID", "SUMMARY", "DTSTART", "DTEND", "DURATION", "RRULE", "STATUS", "TRANSP", "RECURRENCE-ID"]
-    out = properties.groupBy("feed", "event").agg(*(get(n).alias(n) for n in names), F.collect_list(F.when(F.col("name") == "EXDATE", F.col("value"))).alias("EXDATE"), F.collect_list(F.when(F.col("name") == "RDATE", F.col("value"))).alias("RDATE"))
+    declined = (F.col("name") == "ATTENDEE") & F.col("params").rlike('(?i);PARTSTAT="?DECLINED"?(;|$)')
+    address = F.lower(F.trim(F.regexp_replace("value", "(?i)^mailto:", "")))
+    out = properties.groupBy("feed", "event").agg(*(get(n).alias(n) for n in names), F.collect_list(F.when(F.col("name") == "EXDATE", F.col("value"))).alias("EXDATE"), F.collect_list(F.when(F.col("name") == "RDATE", F.col("value"))).alias("RDATE"), F.collect_list(F.when(declined, address)).alias("DECLINED"))
     return out
 
 
@@ -132,36 +135,75 @@ def ical_times(events: DataFrame, tz: str) -> DataFrame:
     return events.withColumns({"start_local": read(v), "tzid": zone, "all_day": all_day, "length_us": length, "title": S.unescape_ical(S.text(F.col("SUMMARY.value"))), "uid": F.col("UID.value")})
 
 
-def meeting_filter(events: DataFrame) -> DataFrame:
-    """events with reason, the first that refuses them, else 'kept'."""
+def meeting_filter(events: DataFrame, me: tuple[str, ...] = ()) -> DataFrame:
+    """events with reason, the first that refuses them, else 'kept'. me: the addresses of whose calendar it is; without them no one's refusal is known to be theirs."""
     n = F.col("length_us")
+    declined = F.arrays_overlap("DECLINED", F.array(*(F.lit(x.strip().lower()) for x in me))) if me else F.lit(False)
     return events.withColumn(
         "reason",
-        F.when(F.col("start_local").isNull(), "unreadable").when(F.upper(S.text(F.col("STATUS.value"))) == "CANCELLED", "cancelled").when(F.col("all_day"), "all-day").when(F.upper(S.text(F.col("TRANSP.value"))) == "TRANSPARENT", "free").when(n < 0, "negative").when(n > 86_400_000_000, "over a day").when(n == 0, "zero").otherwise("kept"),
+        F.when(F.col("start_local").isNull(), "unreadable").when(F.upper(S.text(F.col("STATUS.value"))) == "CANCELLED", "cancelled").when(F.col("all_day"), "all-day").when(F.upper(S.text(F.col("TRANSP.value"))) == "TRANSPARENT", "free").when(declined, "declined-by-me").when(n < 0, "negative").when(n > 86_400_000_000, "over a day").when(n == 0, "zero").otherwise("kept"),
     )
 
 
 DOW = "MO TU WE TH FR SA SU".split()
-MOST_OCCURRENCES = 10_000
+MOST_OCCURRENCES, MOST_PERIODS = 10_000, 200_000
+SECONDS = {"HOURLY": 3600, "MINUTELY": 60, "SECONDLY": 1}
+RULE_PARTS = {
+    "FREQ": "(SECOND|MINUTE|HOUR|WEEK|MONTH|YEAR)LY|DAILY",
+    "INTERVAL": r"0*[1-9]\d{0,8}",
+    "COUNT": r"0*[1-9]\d{0,8}",
+    "UNTIL": r"\d{8}(T\d{6}Z?)?",
+    "BYDAY": r"([+-]?\d{1,2})?(MO|TU|WE|TH|FR|SA|SU)(,([+-]?\d{1,2})?(MO|TU|WE|TH|FR|SA|SU))*",
+    "BYMONTHDAY": r"[+-]?\d{1,2}(,[+-]?\d{1,2})*",
+    "BYMONTH": r"\d{1,2}(,\d{1,2})*",
+    "WKST": "MO|TU|WE|TH|FR|SA|SU",
+}
 
 
 def expand_recurrence(series: DataFrame, window_from: str, window_to: str) -> DataFrame:
-    """(columns of series, at): the occurrences of rrule in [window_from, window_to), in UTC.
+    """(columns of series, at, outcome): the occurrences of rrule in [window_from, window_to), in UTC.
 
     series: start_local, tzid, rrule, and whatever else is to be kept. Dates are
-    expanded in local time, so the clock stays over DST; COUNT counts from the
-    start of the series; MOST_OCCURRENCES bounds it. Days that a month lacks are
-    skipped.
+    expanded in local time, so the clock stays over DST; hours, minutes and seconds
+    pass evenly over it. COUNT counts from the start of the series. Days that a
+    month lacks are skipped.
+
+    outcome: expanded; truncated on all rows of a series that has more than
+    MOST_OCCURRENCES in the window, or of which MOST_PERIODS shorter than a day
+    were walked (then it has a row without at, too); unexpanded for a rule with a
+    part that isn't supported, which gives one row without at.
     """
     keep = series.columns
+    rule = F.upper(S.text(F.col("rrule")))
+    freq = F.regexp_extract(F.concat(F.lit(";"), rule), ";FREQ=([^;]*)", 1)
+    known = rule.rlike("^((" + "|".join(f"{k}=({v})" for k, v in RULE_PARTS.items()) + ")(;|$))+$") & (freq != "")
+    wrong = rule.rlike(r"BYDAY=[^;]*\d") & ~freq.isin("MONTHLY", "YEARLY") | rule.contains("BYMONTHDAY=") & (freq == "WEEKLY")
+    bad = (rule != "") & (~known | wrong)
     part = lambda n: F.nullif(F.regexp_extract(F.concat(F.lit(";"), F.upper(S.text(F.col("rrule")))), rf";{n}=([^;]*)", 1), F.lit(""))
     s = series.withColumn("_id", F.monotonically_increasing_id()).withColumns(
-        {"_freq": part("FREQ"), "_every": F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)), "_count": part("COUNT").try_cast("int"), "_until": F.coalesce(F.try_to_timestamp(F.regexp_replace(part("UNTIL"), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(part("UNTIL"), F.lit("yyyyMMdd")) + F.expr("interval 1 day - interval 1 microsecond")), "_byday": part("BYDAY"), "_bymonthday": part("BYMONTHDAY"), "_bymonth": part("BYMONTH"), "_wkst": F.coalesce(part("WKST"), F.lit("MO")), "_d0": F.to_date("start_local")}
+        {"_freq": part("FREQ"), "_every": F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)), "_count": part("COUNT").try_cast("int"), "_until": F.coalesce(F.try_to_timestamp(F.regexp_replace(part("UNTIL"), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(part("UNTIL"), F.lit("yyyyMMdd")) + F.expr("interval 1 day - interval 1 microsecond")), "_byday": part("BYDAY"), "_bymonthday": part("BYMONTHDAY"), "_bymonth": part("BYMONTH"), "_wkst": F.coalesce(part("WKST"), F.lit("MO")), "_d0": F.to_date("start_local"), "_bad": bad}
     )
     end = F.least(F.to_date(F.lit(window_to)), F.coalesce(F.to_date("_until"), F.to_date(F.lit(window_to))))
     begin = F.when(F.col("_count").isNull(), F.greatest(F.col("_d0"), F.date_sub(F.to_date(F.lit(window_from)), 1))).otherwise(F.col("_d0"))
-    days = F.when(F.col("_freq").isNull(), F.array("_d0")).when(F.date_add(end, 1) >= begin, F.sequence(begin, F.date_add(end, 1))).otherwise(F.expr("cast(array() as array<date>)"))
-    x = s.withColumn("_d", F.explode(days))
+    none = F.expr("cast(array() as array<bigint>)")
+    long_date = lambda c: F.unix_date(c).cast("bigint")
+    days = F.when(F.col("_freq").isNull(), F.array(long_date(F.col("_d0")))).when(F.date_add(end, 1) >= begin, F.sequence(long_date(begin), long_date(F.date_add(end, 1)))).otherwise(none)
+    # of frequencies under a day, the numbers of the periods since the start; without BY parts each is an occurrence
+    start = F.to_utc_timestamp("start_local", F.col("tzid"))
+    unit = F.element_at(F.create_map(*(F.lit(x) for kv in SECONDS.items() for x in kv)), F.col("_freq"))
+    s = s.withColumns({"_start_us": F.unix_micros(start), "_step_us": (unit * F.col("_every")).cast("bigint") * 1_000_000, "_plain": F.coalesce("_byday", "_bymonthday", "_bymonth").isNull()})
+    period = lambda us: F.floor((us - F.col("_start_us")) / F.col("_step_us"))
+    to_us = F.unix_micros(F.lit(window_to).cast("timestamp"))
+    until_us = F.coalesce(F.unix_micros(F.to_utc_timestamp("_until", F.col("tzid"))), to_us)
+    k0 = F.when(F.col("_plain") | F.col("_count").isNull(), F.greatest(F.lit(0), period(F.unix_micros(F.lit(window_from).cast("timestamp"))))).otherwise(0)
+    k1 = F.least(period(F.least(to_us, until_us)), F.when(F.col("_plain"), F.col("_count").cast("bigint") - 1))
+    s = s.withColumns({"_k0": k0.cast("bigint"), "_k1": k1.cast("bigint")}).withColumn("_clipped", F.coalesce(F.col("_k1") - F.col("_k0") >= MOST_PERIODS, F.lit(False)))
+    periods = F.when(F.col("_k1") >= F.col("_k0"), F.sequence("_k0", F.least("_k1", F.col("_k0") + MOST_PERIODS - 1))).otherwise(none)
+    sub = F.col("_step_us").isNotNull()
+    mark = F.array(F.lit(None).cast("bigint"))
+    x = s.withColumn("_k", F.explode(F.when(F.col("_bad"), mark).when(sub & F.col("_clipped"), F.concat(periods, mark)).when(sub, periods).otherwise(days)))
+    x = x.withColumn("_at", F.when(sub, F.timestamp_micros(F.col("_start_us") + F.col("_k") * F.col("_step_us"))))
+    x = x.withColumn("_d", F.when(sub, F.to_date(F.from_utc_timestamp("_at", F.col("tzid")))).otherwise(F.date_from_unix_date(F.col("_k").cast("int"))))
     d, d0 = F.col("_d"), F.col("_d0")
     months = lambda c: F.year(c) * 12 + F.month(c)
     wk = F.coalesce(F.array_position(F.array(*(F.lit(n) for n in DOW)), F.col("_wkst")) - 1, F.lit(0))
@@ -177,26 +219,34 @@ def expand_recurrence(series: DataFrame, window_from: str, window_to: str) -> Da
     by_day = F.when(F.col("_byday").isNotNull(), listed(F.col("_byday"), name, F.concat(nth.cast("string"), name), F.concat(back.cast("string"), name)))
     by_monthday = F.when(F.col("_bymonthday").isNotNull(), listed(F.col("_bymonthday"), F.dayofmonth(d), F.dayofmonth(d) - last - 1))
     by_month = F.when(F.col("_bymonth").isNotNull(), listed(F.col("_bymonth"), F.month(d)))
-    none = F.col("_byday").isNull() & F.col("_bymonthday").isNull()
-    same = F.when(~none, True).when(F.col("_freq") == "WEEKLY", F.weekday(d) == F.weekday(d0)).when(F.col("_freq") == "MONTHLY", F.dayofmonth(d) == F.dayofmonth(d0)).when(F.col("_freq") == "YEARLY", (F.dayofmonth(d) == F.dayofmonth(d0)) & (F.col("_bymonth").isNotNull() | (F.month(d) == F.month(d0)))).otherwise(True)
+    unlisted = F.col("_byday").isNull() & F.col("_bymonthday").isNull()
+    same = F.when(~unlisted, True).when(F.col("_freq") == "WEEKLY", F.weekday(d) == F.weekday(d0)).when(F.col("_freq") == "MONTHLY", F.dayofmonth(d) == F.dayofmonth(d0)).when(F.col("_freq") == "YEARLY", (F.dayofmonth(d) == F.dayofmonth(d0)) & (F.col("_bymonth").isNotNull() | (F.month(d) == F.month(d0)))).otherwise(True)
     ok = (d >= d0) & (step % F.greatest("_every", F.lit(1)) == 0) & same
     for c in (by_day, by_monthday, by_month):
         ok = ok & F.coalesce(c, F.lit(True))
-    x = x.where(F.col("_freq").isNull() | ok)
-    local = (F.unix_micros(d.cast("timestamp")) + F.unix_micros("start_local") - F.unix_micros(d0.cast("timestamp"))).alias("l")
-    x = x.withColumn("_local", F.timestamp_micros(local)).where(F.col("_until").isNull() | (F.col("_local") <= F.col("_until")))
-    x = x.withColumn("_n", F.row_number().over(W.partitionBy("_id").orderBy("_d"))).where((F.col("_n") <= F.coalesce("_count", F.lit(MOST_OCCURRENCES))) & (F.col("_n") <= MOST_OCCURRENCES))
-    x = x.withColumn("at", F.to_utc_timestamp("_local", F.col("tzid")))
-    return x.where((F.col("at") >= F.lit(window_from).cast("timestamp")) & (F.col("at") < F.lit(window_to).cast("timestamp"))).select(*keep, "at")
+    marked = F.col("_k").isNull()
+    x = x.where(marked | F.col("_freq").isNull() | ok)
+    local = F.timestamp_micros(F.unix_micros(d.cast("timestamp")) + F.unix_micros("start_local") - F.unix_micros(d0.cast("timestamp")))
+    x = x.withColumn("_local", F.when(sub, F.from_utc_timestamp("_at", F.col("tzid"))).otherwise(local)).where(marked | F.col("_until").isNull() | (F.col("_local") <= F.col("_until")))
+    series_ = W.partitionBy("_id")
+    nth_ = F.when(sub & F.col("_plain"), F.col("_k") + 1).otherwise(F.row_number().over(series_.orderBy(F.asc_nulls_last("_k"))))
+    # a clipped series that has its COUNT all the same is whole
+    x = x.withColumn("_n", nth_).withColumn("_whole", F.coalesce(F.max(F.when(~marked, F.col("_n"))).over(series_) >= F.col("_count"), F.lit(False))).where(marked | (F.col("_n") <= F.coalesce(F.col("_count").cast("bigint"), F.col("_n"))))
+    x = x.withColumn("at", F.when(~marked, F.coalesce("_at", F.to_utc_timestamp("_local", F.col("tzid")))))
+    x = x.where(marked | (F.col("at") >= F.lit(window_from).cast("timestamp")) & (F.col("at") < F.lit(window_to).cast("timestamp")))
+    x = x.withColumns({"_w": F.row_number().over(series_.orderBy(F.asc_nulls_last("_k"))), "_in": F.count("_k").over(series_)})
+    over = (F.col("_in") > MOST_OCCURRENCES) | sub & F.col("_clipped") & ~F.col("_whole")
+    x = x.withColumn("outcome", F.when(F.col("_bad"), "unexpanded").when(F.coalesce(over, F.lit(False)), "truncated").otherwise("expanded"))
+    return x.where(F.when(marked, F.col("outcome") != "expanded").otherwise(F.col("_w") <= MOST_OCCURRENCES)).select(*keep, "at", "outcome")
 
 
 def recurrence_overrides(occurrences: DataFrame, excluded: DataFrame, overridden: DataFrame, added: DataFrame) -> DataFrame:
     """(uid, at): occurrences without the excluded and the overridden ones, with the added ones, each once."""
-    return occurrences.select("uid", "at").unionByName(added.select("uid", "at")).join(excluded.select("uid", "at"), ["uid", "at"], "left_anti").join(overridden.select("uid", "at"), ["uid", "at"], "left_anti").dropDuplicates(["uid", "at"])
+    return occurrences.where("at is not null").select("uid", "at").unionByName(added.select("uid", "at")).join(excluded.select("uid", "at"), ["uid", "at"], "left_anti").join(overridden.select("uid", "at"), ["uid", "at"], "left_anti").dropDuplicates(["uid", "at"])
 
 
 def meeting_to_trace(occurrences: DataFrame, calendar: str) -> DataFrame:
-    return occurrences.select(F.lit("calendar").alias("source"), F.lit("event").alias("type"), S.meeting_external_id(F.lit(calendar), F.col("uid"), F.col("at")).alias("external_id"), F.col("at").alias("ts"), (F.col("length_us") / 1000).cast("bigint").alias("duration_ms"), F.col("title"))
+    return occurrences.where("at is not null").select(F.lit("calendar").alias("source"), F.lit("event").alias("type"), S.meeting_external_id(F.lit(calendar), F.col("uid"), F.col("at")).alias("external_id"), F.col("at").alias("ts"), (F.col("length_us") / 1000).cast("bigint").alias("duration_ms"), F.col("title"))
 
 
 IDENTITY = ["actor_id", "source", "external_id"]

@@ -83,6 +83,31 @@ def test_recurrence_keeps_the_clock_over_summer_time(spark):
     assert got["o"] == ["03-10 07", "04-14 06"] and got["1"] == ["03-30 05"]
 
 
+def test_recurrence_under_a_day_and_its_outcomes(spark):
+    rules = {"h": "FREQ=HOURLY;INTERVAL=2", "c": "FREQ=MINUTELY;INTERVAL=20;COUNT=5", "b": "FREQ=HOURLY;BYDAY=SU;COUNT=3", "u": "FREQ=HOURLY;INTERVAL=6;UNTIL=20260328T120000", "s": "FREQ=SECONDLY", "e": "FREQ=SECONDLY;BYMONTH=12", "x": "FREQ=DAILY;BYSETPOS=1", "y": "FREQ=OFTEN", "d": "FREQ=DAILY"}
+    df = spark.createDataFrame(list(rules.items()), "uid string, rrule string").selectExpr("*", "timestamp '2026-03-28 00:00:00' as start_local", "'Europe/Berlin' as tzid")
+    got = {}
+    for r in feeds.expand_recurrence(df, "2026-03-28", "2026-04-02").orderBy("at").collect():
+        got.setdefault(r.uid, []).append((r["at"] and r["at"].strftime("%d %H:%M"), r.outcome))
+    assert [t for t, _ in got["h"]][:13] == [f"28 {h:02}:00" for h in range(1, 24, 2)] + ["29 01:00"] and len(got["h"]) == 60
+    assert [t for t, _ in got["c"]] == ["28 00:00", "28 00:20"]  # the first three are before the window
+    assert [t for t, _ in got["b"]] == ["28 23:00", "29 00:00", "29 01:00"]
+    assert [t for t, _ in got["u"]] == ["28 05:00", "28 11:00"]
+    assert {o for k in "hcbud" for _, o in got[k]} == {"expanded"} and len(got["d"]) == 5
+    assert len(got["s"]) == 10001 and {o for _, o in got["s"]} == {"truncated"} and got["e"] == [(None, "truncated")]
+    assert got["x"] == got["y"] == [(None, "unexpanded")]
+
+
+def test_declined_meetings_are_refused(spark):
+    event = lambda i, who: f"BEGIN:VEVENT\r\nUID:{i}\r\nDTSTART:20260328T090000\r\nDURATION:PT1H\r\n{who}END:VEVENT\r\n"
+    who = ["", "ATTENDEE;CN=Me;PARTSTAT=DECLINED:mailto:Me@example.com\r\n", "ATTENDEE;PARTSTAT=ACCEPTED:mailto:me@example.com\r\n", "ATTENDEE;PARTSTAT=declined:mailto:you@example.com\r\n"]
+    text = "BEGIN:VCALENDAR\r\n" + "".join(event(i, w) for i, w in enumerate(who)) + "END:VCALENDAR\r\n"
+    events = feeds.ical_times(feeds.events_of(feeds.scan_ical(spark.createDataFrame([("f", text)], "feed string, value string"))), "UTC")
+    assert {r.uid: r.reason for r in feeds.meeting_filter(events, (" me@Example.com",)).collect()} == {"0": "kept", "1": "declined-by-me", "2": "kept", "3": "kept"}
+    assert {r.reason for r in feeds.meeting_filter(events).collect()} == {"kept"}
+
+
+
 def test_frozen_days_are_replaced_and_read_when_complete(spark, tmp_path):
     part = lambda n, e: spark.createDataFrame([("a", dt.date(2026, 5, 4), e)], f"actor_id string, local_day date, {n} int")
     for e in (1, 2):
