@@ -1,13 +1,13 @@
-"""Benchmark items inside long documents, by size-partitioned MinHash containment search.
+"""Benchmark items inside long documents, by bottom-k MinHash containment search.
 
 DataFrame functions only. An item of n distinct five-word shingles is contained
 in a document if at least ceil(threshold * n) of them occur there. Each item
 keeps a bottom-k MinHash sketch: its k = n - ceil(threshold * n) + 1 smallest
 shingle hashes. A document that contains the item misses at most k - 1 of its
-shingles, so it holds a hash of the sketch: the search loses nothing. Items are
-partitioned by size (powers of two of n), and for each partition only document
-shingles up to the partition's largest sketch hash can matter, so most of a
-document's shingles never leave its row. Candidates are then verified on the
+shingles, so it holds a hash of the sketch: the search loses nothing. Document
+shingles above the largest sketch hash of all items never leave their row; the
+size partition of the items (powers of two of n) isn't used for that yet, so one
+short item can let nearly all through. Candidates are then verified on the
 shingles themselves.
 
 A word is a maximal run of ASCII letters and digits and of characters outside
