@@ -10,15 +10,20 @@ COORDINATES * ln(COORDINATES) darts are looked at for a text, however long.
 
 Bands of ROWS coordinates name buckets. Texts that meet in a bucket are joined
 to a few centres of the bucket (stars), each link is checked on the exact
-shingle multisets, and linked texts form components. Buckets in which more than
-one component is left are then compared in blocks across the components, so
-that a link which no star has shows as well.
+shingle multisets, and linked texts form components. In buckets in which more
+than one component is left, an exact bound settles the texts that share too
+little with all other components; the others meet new centres as long as that
+joins many. A round costs a row a member, however large a group of near copies
+is. What is left then - texts whose shingles nearly all occur in other
+components, and which no centre is like - is compared exactly, in blocks, the
+texts of smaller components with all: nothing is lost.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +33,9 @@ from .words import U, mix, sequence_hashes, shingle_hashes, slices, utf8, word_h
 
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-#: Mixed buckets are searched with signatures of so many coordinates, for pairs that agree at so much less than the threshold (5 standard deviations at 0.8).
-FINE, SLACK = 1536, 0.051
-COARSE, BLOCK, FINE_ROWS = 256, 128, 50
+#: Texts and cells of a block, where what is left is compared, and the share of labels that a round of stars must join to be followed by another.
+BLOCK, BLOCK_CELLS = 4096, 2_000_000
+WORTH = 0.25
 
 
 def weighted_cells(shingles: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,57 +149,142 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def fine_sketches(texts: DataFrame) -> DataFrame:
-    """(rep, sketch): a byte for each of FINE coordinates."""
+CELLS = "rep long, n int, cells binary"
+
+
+def cells_of(texts: DataFrame) -> DataFrame:
+    """CELLS rows: the 64-bit cells of each text's shingle multiset, so that multisets are compared as sets."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, FINE_ROWS):  # each text has thousands of darts, however short it is
-                part = batch.slice(at, FINE_ROWS)
+            for part in slices(batch, "text"):
                 h, of = shingle_hashes(*word_hashes(*utf8(part.column(1))))
-                found = dart_signatures(*weighted_cells(h, of), part.num_rows, FINE)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in (found >> U(44)).astype(np.uint8)], pa.binary())], names=["rep", "sketch"])
+                cells, text = weighted_cells(h, of)
+                at = np.searchsorted(text, np.arange(part.num_rows + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(at).astype(np.int32)), pa.array([cells[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["rep", "n", "cells"]
+                )
+
+    return texts.select("doc_id", "text").mapInArrow(run, CELLS)
+
+
+def unpacked(cells: DataFrame) -> DataFrame:
+    """(rep, label, n, cell), a row for each cell."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "cells", 8_000_000):
+                n = part.column(2).to_numpy()
+                row = pa.array(np.repeat(np.arange(len(n)), n))
+                cell = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(3)), pa.array(cell)], names=["rep", "label", "n", "cell"])
 
-    return texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(run, "rep long, sketch binary")
+    return cells.select("rep", "label", "n", "cells").mapInArrow(run, "rep long, label long, n int, cell long")
 
 
-def across(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of likely links between different labels of a bucket.
+def still_open(named: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """Those members (bh, rep, label) of mixed buckets that may have a link to another label of their bucket, with n and c.
 
-    members: bh, rep, label; sketches: rep, sketch, joined last, as they are wide. Every member outside the largest label of
-    its bucket meets all members of the bucket, in blocks of about BLOCK; a
-    task compares the sketches of two blocks and passes on likely pairs alone.
+    c counts a text's cells that a text of another label has as well. Texts a
+    and b share at most c(a) cells, so they are similar only if
+    c(a) >= threshold / (1 + threshold) * (n(a) + n(b)), and their sizes differ
+    by the threshold at most. A member for which no size in its bucket allows
+    that is settled: nothing is lost. Work is a row a cell and a row a member.
     """
-    sizes = members.groupBy("bh", "label").agg(F.count("*").alias("m")).groupBy("bh").agg(F.sum("m").alias("n"), F.max(F.struct("m", F.col("label").alias("main"))).alias("top"))
-    sizes = cut(sizes.select("bh", F.col("top.main").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK).alias("minors")))
-    rows = members.join(sizes, "bh")
-    minor = (
-        rows.where("label <> main")
-        .withColumn("i", F.pmod(F.xxhash64("rep", F.lit(3)), "minors"))
-        .select("bh", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("minor"), "rep", "label")
-    )
-    every = (
-        rows.withColumn("j", F.pmod(F.xxhash64("rep", F.lit(5)), "blocks"))
-        .where("minors > 0")
-        .select("bh", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("i"), "j", F.lit(False).alias("minor"), "rep", "label")
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.minor], pdf[~pdf.minor]
-        if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        p, q = (np.frombuffer(b"".join(z.sketch), np.uint8).reshape(len(z), -1) for z in (x, y))
-        found, labels = [], y.label.to_numpy()
-        for k in range(len(x)):
-            near = np.flatnonzero((labels != x.label.iloc[k]) & ((p[k, :COARSE] == q[:, :COARSE]).mean(axis=1) >= threshold - SLACK * (FINE / COARSE) ** 0.5))
-            near = near[(p[k] == q[near]).mean(axis=1) >= threshold - SLACK]
-            other = y.rep.to_numpy()[near]
-            found.append(np.stack([np.minimum(other, x.rep.iloc[k]), np.maximum(other, x.rep.iloc[k])]))
-        a, b = np.concatenate(found, axis=1)
-        return pd.DataFrame({"a": a, "b": b})
-
-    dealt = minor.unionByName(every).join(sketches, "rep").repartition(partitions(members.sparkSession), "bh", "i", "j")
-    return dealt.groupBy("bh", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    named = cut(named)
+    labels = named.select("rep", "label").distinct()
+    each = unpacked(cells.join(labels, "rep"))
+    shared = each.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
+    held = cut(each.join(shared, "cell").groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= threshold * F.col("n") - 1e-9))
+    rows = cut(named.join(held, "rep"))
+    step = float(np.log(1.02))
+    size_class = lambda c: F.floor(F.ln(c) / step)
+    buckets = rows.groupBy("bh").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_set(size_class(F.col("n"))).alias("sizes")).where("lo <> hi").select("bh", "sizes")
+    low, high = size_class(F.col("n") * threshold * 0.999), size_class(F.greatest(F.lit(0.5), F.col("c") * ((1 + threshold) / threshold) - F.col("n") + 1e-6))
+    # the member's own size is in the set, and counts as that of a possible partner
+    return rows.join(buckets, "bh").where(F.exists("sizes", lambda k: (k >= low) & (k <= high))).select("bh", "rep", "label", "n", "c")
+
+
+def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a member and a centre of its bucket under another label: two rows a member.
+
+    One centre is the member with the largest share of common cells, which is
+    the likeliest original of copies; the other one is drawn anew every turn.
+    """
+    share = F.struct((F.col("c") / F.col("n")).alias("o"), F.col("n").alias("m"), "rep", "label")
+    drawn = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep", "label")
+    centres = members.groupBy("bh").agg(F.max(share).alias("best"), F.max(drawn).alias("drawn"))
+    centres = centres.select("bh", F.array(*(F.struct(F.col(f"{k}.rep").alias("to"), F.col(f"{k}.label").alias("other")) for k in ("best", "drawn"))).alias("centres"))
+    met = members.join(cut(centres), "bh").select("rep", "label", F.explode("centres").alias("x")).where(F.col("label") != F.col("x.other"))
+    return met.select(F.least("rep", "x.to").alias("a"), F.greatest("rep", "x.to").alias("b")).distinct()
+
+
+def linked(cells: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Similar pairs of different labels among left x right, exactly; of those that join the same labels, the first."""
+    if not len(left) or not len(right):
+        return []
+    size = np.array([len(c) for c in cells])
+    of = np.repeat(right, size[right])
+    every = np.concatenate([cells[k] for k in right.tolist()])
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    root = {int(x): int(x) for x in label}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for k in left.tolist():
+        lo, hi = np.searchsorted(every, cells[k], "left"), np.searchsorted(every, cells[k], "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(of[at], minlength=len(cells))
+        for j in np.flatnonzero((both > 0) & (both >= threshold * (size[k] + size - both) - 1e-9)).tolist():
+            p, q = find(int(label[k])), find(int(label[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((k, j))
+    return out
+
+
+def across(members: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different labels of a bucket, exactly.
+
+    members: the rows that neither still_open nor the stars could settle.
+    Buckets that share a label make a group, so that two texts meet once,
+    however many buckets they share. In a group each text outside its largest
+    label is compared with all, on the cells themselves; a task holds a block of
+    either side, BLOCK texts and BLOCK_CELLS cells at most, and passes on at
+    most one link fewer than it has labels. So a group within a block costs a
+    row a text, and one of many blocks a row of each smaller label a block.
+    """
+    head = members.groupBy("bh").agg(F.min("label").alias("b"))
+    groups = min_label_components(members.join(head, "bh").select(F.col("label").alias("a"), "b").distinct())
+    rows = cut(members.select("rep", "label", "n").distinct().join(groups.select(F.col("node").alias("label"), F.col("label").alias("grp")), "label"))
+    sizes = rows.groupBy("grp", "label").agg(F.count("*").alias("m"), F.sum("n").alias("w")).groupBy("grp").agg(F.sum("m").alias("all_m"), F.sum("w").alias("all_w"), F.max(F.struct("m", "w", "label")).alias("top"))
+    blocks = lambda m, w: F.ceil(F.greatest(m / BLOCK, w / BLOCK_CELLS, F.lit(1.0)))
+    sizes = cut(sizes.select("grp", F.col("top.label").alias("main"), blocks(F.col("all_m"), F.col("all_w")).alias("blocks"), blocks(F.col("all_m") - F.col("top.m"), F.col("all_w") - F.col("top.w")).alias("minors")))
+    rows = rows.join(sizes, "grp")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    minor = rows.where("label <> main").select("grp", F.pmod(F.xxhash64("rep", F.lit(3)), "minors").alias("i"), every("blocks").alias("j"), F.lit(True).alias("minor"), "rep", "label")
+    rest = rows.select("grp", every("minors").alias("i"), F.pmod(F.xxhash64("rep", F.lit(5)), "blocks").alias("j"), F.lit(False).alias("minor"), "rep", "label")
+
+    def run(part: pa.Table) -> pa.Table:
+        minor, rep = part["minor"].to_numpy(), part["rep"].to_numpy()
+        found = linked([np.frombuffer(x, U) for x in part["cells"].to_pylist()], part["label"].to_numpy(), np.flatnonzero(minor), np.flatnonzero(~minor), threshold)
+        x, y = (rep[[f[k] for f in found]] if found else rep[:0] for k in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+    dealt = minor.unionByName(rest).join(cells.select("rep", "cells"), "rep").repartition(partitions(members.sparkSession), "grp", "i", "j")
+    return dealt.groupBy("grp", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bh, rep, label); a text without a link is its own label."""
+    return members.select("bh", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bh", "rep", F.coalesce("label", "rep").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -205,6 +295,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     words. A null or wordless text stands alone, under its own doc_id. Rows
     that share a doc_id are one document. A row without a doc_id gets the class
     of an equal text, if one has an id, else null. Empty input gives no rows.
+    Texts of any length are hashed whole; ties between centres go by doc_id, and
+    classes don't depend on them.
     """
     small_batches(docs.sparkSession)
     signed = cut(sign(docs))
@@ -219,14 +311,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(taken, "doc_id", "left_semi")
     texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
     links = cut(verified(stars, texts, threshold))
-    labels = cut(min_label_components(links))
-    named = met.select("bh", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bh", "rep", F.coalesce("label", "rep").alias("label"))
-    named = cut(named)
-    mixed = cut(named.groupBy("bh").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bh"))
-    unsettled = cut(named.join(mixed, "bh", "left_semi"))
-    sketches = fine_sketches(texts.join(unsettled.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    more = cut(verified(across(unsettled, cut(sketches), threshold), texts, threshold))
-    labels = cut(min_label_components(links.unionByName(more)))
+    labels = min_label_components(links)
+    named = cut(labelled(met, labels))
+    mixed = named.groupBy("bh").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bh")
+    members = cut(named.join(cut(mixed), "bh", "left_semi"))
+    cells = cut(cells_of(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")))
+    last = False
+    for turn_ in itertools.count(3):
+        members = cut(still_open(members, cells, threshold))
+        left = members.select("label").distinct().count()
+        if not left:
+            break
+        new = cut(across(members, cells, threshold) if last else verified(star_pairs(members, turn_), texts, threshold))
+        found = new.count()
+        if found:
+            links = cut(links.unionByName(new))
+            labels = min_label_components(links)
+        if last:
+            break
+        members = labelled(members, labels)
+        last = found < WORTH * left
     classes = reps.select("one", "two", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "rep", F.coalesce("label", "rep").alias("label"))
     told = cut(signed.select("doc_id", "one", "two")).join(cut(classes), ["one", "two"], "left").select("doc_id", F.col("label").alias("class_id"), F.col("rep").alias("class_text"))
     alone = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("class_text"))

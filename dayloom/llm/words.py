@@ -36,10 +36,10 @@ _VALUE = mix(np.arange(1, 257, dtype=U))
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string array; a null is empty."""
-    texts = texts.cast(pa.large_string())
+    """Bytes and offsets of a string or binary array; a null is empty."""
+    texts = texts.cast(pa.large_binary())
     if texts.null_count:
-        texts = texts.fill_null("")
+        texts = texts.fill_null(b"")
     _, where, data = texts.buffers()
     ends = np.frombuffer(where, np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
