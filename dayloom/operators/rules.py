@@ -1,7 +1,8 @@
 """Names for traces from a prioritised dictionary: a table of rules.
 
-Rules are matched on distinct trace values: directories by hash join on their
-prefixes, hosts on their suffixes, expressions on the distinct texts. A rule of
+Rules are matched on the distinct values of their kind: directories by hash join
+on their prefixes, hosts on their suffixes, expressions on the distinct texts. A
+rule holds from its day on, so matches carry that day, not the days of entries. A rule of
 an actor and one for everybody (actor_id null) are both found by the join key
 scope, the actor or '*'.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.store import stored
 
 #: Score of a literal match, above that of every expression.
 LITERAL = 1 << 20
@@ -44,41 +46,33 @@ def parse_rules(rules: DataFrame) -> DataFrame:
     ).withColumn("is_address", S.is_address(F.col("rule_host")))
 
 
-def targets(entries: DataFrame) -> DataFrame:
-    """Distinct values that rules read, by tid. Directories and branches count for agent logs and git, keys for browsers, titles for all."""
+#: The columns that rules of a kind read.
+READS = {"path": ("cwd",), "key": ("host", "port", "path_head"), "branch": ("git_branch",), "title": ("title",)}
+
+
+def values() -> dict[str, Column]:
+    """What rules read of an entry: directories and branches count for agent logs and git, keys for browsers, titles for all."""
     work, web = F.col("source").isin("agent-log", "git"), F.col("source") == "browser"
-    t = entries.select(
-        *(F.col(c) for c in TARGET[:2]),
-        F.when(work, S.trimmed_path(F.col("cwd"))).otherwise("").alias("cwd"),
-        F.when(work, S.text(F.col("git_branch"))).otherwise("").alias("git_branch"),
-        F.when(web, S.canonical_host(F.col("host"))).otherwise("").alias("host"),
-        F.when(web, S.text(F.col("port"))).otherwise("").alias("port"),
-        F.when(web, S.text(F.col("path_head"))).otherwise("").alias("path_head"),
-        S.text(F.col("title")).alias("title"),
-        "local_day",
-    )
-    return t.distinct().withColumn("tid", tid())
+    return {
+        "cwd": F.when(work, S.trimmed_path(F.col("cwd"))).otherwise(""),
+        "git_branch": F.when(work, S.text(F.col("git_branch"))).otherwise(""),
+        "host": F.when(web, S.canonical_host(F.col("host"))).otherwise(""),
+        "port": F.when(web, S.text(F.col("port"))).otherwise(""),
+        "path_head": F.when(web, S.text(F.col("path_head"))).otherwise(""),
+        "title": S.text(F.col("title")),
+    }
 
 
-def tid() -> Column:
-    return F.md5(F.to_json(F.struct("actor_id", "source", "cwd", "git_branch", "host", "port", "path_head", "title", "local_day")))
+def targets(entries: DataFrame) -> DataFrame:
+    """Distinct combinations of what rules read, by tid."""
+    v = values()
+    return with_tid(entries.select(*(v[c].alias(c) if c in v else F.col(c) for c in TARGET)).distinct(), read=True)
 
 
-def with_tid(entries: DataFrame) -> DataFrame:
+def with_tid(entries: DataFrame, read: bool = False) -> DataFrame:
     """entries with the tid of their target."""
-    work, web = F.col("source").isin("agent-log", "git"), F.col("source") == "browser"
-    s = F.struct(
-        "actor_id",
-        "source",
-        F.when(work, S.trimmed_path(F.col("cwd"))).otherwise("").alias("cwd"),
-        F.when(work, S.text(F.col("git_branch"))).otherwise("").alias("git_branch"),
-        F.when(web, S.canonical_host(F.col("host"))).otherwise("").alias("host"),
-        F.when(web, S.text(F.col("port"))).otherwise("").alias("port"),
-        F.when(web, S.text(F.col("path_head"))).otherwise("").alias("path_head"),
-        S.text(F.col("title")).alias("title"),
-        "local_day",
-    )
-    return entries.withColumn("tid", F.md5(F.to_json(s)))
+    v = {} if read else values()
+    return entries.withColumn("tid", F.sha2(F.concat_ws("\x1f", *(F.coalesce(v.get(c, F.col(c)).cast("string"), F.lit("\x1e")) for c in TARGET)), 224))
 
 
 def scoped(df: DataFrame) -> DataFrame:
@@ -89,39 +83,68 @@ def rule_in_force() -> Column:
     return F.col("since_day").isNull() | (F.col("local_day") >= F.col("since_day"))
 
 
-def _hits(joined: DataFrame, n: Column, capture: Column) -> DataFrame:
+def _matches(joined: DataFrame, reads: tuple[str, ...], n: Column, capture: Column) -> DataFrame:
     since = F.coalesce(F.datediff("since_day", F.lit("1970-01-01").cast("date")), F.lit(0))
-    return joined.where(rule_in_force()).select("tid", "rule_id", "level", "project", "subject", "kind", "value", n.cast("long").alias("n"), since.cast("long").alias("since_n"), capture.alias("capture"))
+    return joined.select("actor_id", *reads, "rule_id", "level", "project", "subject", "kind", "value", "since_day", n.cast("long").alias("n"), since.cast("long").alias("since_n"), capture.alias("capture"))
 
 
-def match_paths(t: DataFrame, rules: DataFrame) -> DataFrame:
-    """Directory prefix join: the directory itself, what lies under it, or a plain prefix for entries that end in '*'; never-entries take one directory."""
-    p = scoped(t.where("cwd <> ''").select("tid", "actor_id", "cwd", "local_day")).withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.length("cwd")), lambda i: F.left(F.col("cwd"), i))))
-    r = rules.where("kind = 'path' and prefix <> ''").drop("actor_id")
-    under = F.col("subtree") & F.expr("startswith(cwd, concat(prefix, '/'))")
-    return _hits(p.join(r, ["scope", "prefix"]).where(F.col("glob") | (F.col("cwd") == F.col("prefix")) | under), LITERAL + F.octet_length("prefix"), F.lit(""))
+def _distinct(values_: DataFrame, kind: str) -> DataFrame:
+    first = READS[kind][0]
+    return values_.where(F.col(first) != "").select("actor_id", *READS[kind]).distinct()
 
 
-def match_keys(t: DataFrame, rules: DataFrame) -> DataFrame:
-    """Host suffix join: host or parent domain (addresses exactly), then port and first segment where the entry names them."""
+def path_matches(values_: DataFrame, rules: DataFrame) -> DataFrame:
+    """Directory prefix join on distinct directories: the directory itself and what lies under it, or a plain prefix for entries that end in '*'; never-entries take one directory.
+
+    A directory asks with its prefixes that end where a name does, and for
+    entries with '*' with those as long as one of them.
+    """
+    r = rules.where("kind = 'path' and prefix <> ''").drop("actor_id")
+    lengths = [x["n"] for x in r.where("glob").select(F.length("prefix").alias("n")).distinct().collect()]
+    d = scoped(_distinct(values_, "path"))
+    names = F.split("cwd", "/", -1)
+    whole = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, F.lit(1), i), "/"))
+    parts = F.array_distinct(F.concat(whole, F.array(F.lit("/"), F.col("cwd"))))
+    plain = d.withColumn("prefix", F.explode(parts)).join(r.where("not glob"), ["scope", "prefix"])
+    plain = plain.where((F.col("cwd") == F.col("prefix")) | F.col("subtree") & F.expr("startswith(cwd, concat(prefix, '/'))"))
+    globs = d.withColumn("prefix", F.explode(F.array_distinct(F.array(*(F.left("cwd", F.lit(n)) for n in lengths))) if lengths else F.expr("cast(array() as array<string>)"))).join(r.where("glob"), ["scope", "prefix"])
+    return _matches(plain.unionByName(globs), READS["path"], LITERAL + F.octet_length("prefix"), F.lit(""))
+
+
+def key_matches(values_: DataFrame, rules: DataFrame) -> DataFrame:
+    """Host suffix join on distinct keys: host or parent domain (addresses exactly), then port and first segment where the entry names them."""
     labels = F.split("host", r"\.")
     suffixes = F.when(S.is_address(F.col("host")), F.array("host")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    p = scoped(t.where("host <> ''").select("tid", "actor_id", "host", "port", "path_head", "local_day")).withColumn("rule_host", F.explode(suffixes))
+    p = scoped(_distinct(values_, "key")).withColumn("rule_host", F.explode(suffixes))
     r = rules.where("kind = 'key' and rule_host <> ''").drop("actor_id")
     ok = ((F.col("host") == F.col("rule_host")) | ~F.col("is_address")) & ((F.col("rule_port") == "") | (F.col("rule_port") == F.col("port"))) & ((F.col("segment") == "") | (F.col("segment") == F.col("path_head")))
-    return _hits(p.join(r, ["scope", "rule_host"]).where(ok), LITERAL + F.octet_length("value"), F.lit(""))
+    return _matches(p.join(r, ["scope", "rule_host"]).where(ok), READS["key"], LITERAL + F.octet_length("value"), F.lit(""))
+
+
+def regex_matches(values_: DataFrame, rules: DataFrame, kind: str) -> DataFrame:
+    """Expressions on distinct branches or titles, all of score 1, with their first group."""
+    (column,) = READS[kind]
+    p = scoped(_distinct(values_, kind)).withColumn("s", F.col(column))
+    joined = p.join(rules.where(F.col("kind") == kind).drop("actor_id"), "scope").where(F.expr("rlike(s, value)"))
+    group = F.when(F.col("value").rlike(r"(?<!\\)\((?!\?)"), F.expr("regexp_extract(s, value, 1)")).otherwise("")
+    return _matches(joined, READS[kind], F.lit(1), group)
+
+
+def _hits(t: DataFrame, matches: DataFrame, kind: str) -> DataFrame:
+    """The matches of targets: values meet rules once, however many days and combinations have them."""
+    return t.join(matches, ["actor_id", *READS[kind]]).where(rule_in_force()).select("tid", "rule_id", "level", "project", "subject", "kind", "value", "n", "since_n", "capture")
+
+
+def match_paths(t: DataFrame, rules: DataFrame) -> DataFrame:
+    return _hits(t, path_matches(t, rules), "path")
+
+
+def match_keys(t: DataFrame, rules: DataFrame) -> DataFrame:
+    return _hits(t, key_matches(t, rules), "key")
 
 
 def match_regex(t: DataFrame, rules: DataFrame) -> DataFrame:
-    """Expressions on branch and title, all of score 1, with their first group."""
-    out = None
-    for kind, column in (("branch", "git_branch"), ("title", "title")):
-        p = scoped(t.where(F.col(column) != "").select("tid", "actor_id", F.col(column).alias("s"), "local_day"))
-        joined = p.join(rules.where(F.col("kind") == kind).drop("actor_id"), "scope").where(F.expr("rlike(s, value)"))
-        group = F.when(F.col("value").rlike(r"(?<!\\)\((?!\?)"), F.expr("regexp_extract(s, value, 1)")).otherwise("")
-        hits = _hits(joined, F.lit(1), group)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    return _hits(t, regex_matches(t, rules, "branch"), "branch").unionByName(_hits(t, regex_matches(t, rules, "title"), "title"))
 
 
 def all_hits(t: DataFrame, rules: DataFrame) -> DataFrame:
@@ -145,13 +168,23 @@ def best_rule(hits: DataFrame) -> DataFrame:
     return hits.where("level = 'project'").withColumn("nth", F.row_number().over(w)).where("nth = 1").select("tid", "rule_id", "project", "n")
 
 
-def resolve(t: DataFrame, rules: DataFrame) -> DataFrame:
-    """(tid, rule_project, by_rule, silenced, covered, subject, ambiguous) of each target that has a hit."""
-    one = F.struct("level", "kind", "n", "since_n", "rule_id", "project", "subject", "capture", "value")
-    h = all_hits(t, rules).groupBy("tid").agg(F.collect_list(one).alias("hits"))  # no more than there are rules
+HIT = ("level", "kind", "n", "since_n", "rule_id", "project", "subject", "capture", "value", "since_day")
+
+
+def hit_arrays(entries: DataFrame, rules: DataFrame) -> dict[str, DataFrame]:
+    """By kind: (actor_id, values, hits), the matches of each distinct value; small tables, stored so that Spark broadcasts them by their size."""
+    rules = stored(rules)
+    read = stored(entries.select("actor_id", *(x.alias(c) for c, x in values().items())).distinct())
+    matches = {"path": path_matches(read, rules), "key": key_matches(read, rules), "branch": regex_matches(read, rules, "branch"), "title": regex_matches(read, rules, "title")}
+    kinds = {r["kind"] for r in rules.select("kind").distinct().collect()}  # the four kinds at most
+    return {k: stored(m.groupBy("actor_id", *READS[k]).agg(F.collect_list(F.struct(*HIT)).alias("hits"))) for k, m in matches.items() if k in kinds}
+
+
+def decide(h: DataFrame, keep: list[str]) -> DataFrame:
+    """keep plus rule_project, by_rule, silenced, covered, rule_subject and ambiguous, from the array hits of rules in force."""
     score = lambda x: F.struct(x["n"], x["since_n"])
     floor = lambda kind: F.array_max(F.transform(F.filter("hits", lambda x: (x["level"] == "never") & (x["kind"] == kind)), score))
-    h = h.withColumns({"path_floor": floor("path"), "key_floor": floor("key")})
+    h = h.select(*keep, "hits", floor("path").alias("path_floor"), floor("key").alias("key_floor"))
     beats = lambda x, kind, c: (x["kind"] != kind) | F.col(c).isNull() | (score(x) > F.col(c))
     h = h.withColumn("open", F.filter("hits", lambda x: x["level"].isin("project", "subject") & beats(x, "path", "path_floor") & beats(x, "key", "key_floor")))
     order = lambda x, name: ((-x["n"]).alias("a"), (-x["since_n"]).alias("b"), x["rule_id"].alias("c"), name.alias("name"))
@@ -161,33 +194,42 @@ def resolve(t: DataFrame, rules: DataFrame) -> DataFrame:
     h = h.withColumn("sub", F.array_min(F.transform(mine, lambda x: F.struct((x["project"] == "").alias("own"), *order(x, name(x))))))
     amb = F.array_min(F.transform(F.filter("hits", lambda x: x["level"] == "ambiguous"), lambda x: F.struct((x["kind"] != "path").alias("o"), x["rule_id"].alias("r"), F.concat(x["kind"], F.lit(":"), x["value"]).alias("entry"))))
     return h.select(
-        "tid",
+        *keep,
         S.text(F.col("best.name")).alias("rule_project"),
         F.col("best").isNotNull().alias("by_rule"),
         F.col("path_floor").isNotNull().alias("silenced"),
         F.exists("hits", lambda x: x["level"] != "subject").alias("covered"),
-        S.text(F.col("sub.name")).alias("subject"),
+        S.text(F.col("sub.name")).alias("rule_subject"),
         S.text(amb["entry"]).alias("ambiguous"),
     )
 
 
 def named(entries: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """entries with project, subject, by_rule, covered and ambiguous: the rules' names, else the guess made at import unless silenced."""
+    """entries with project, subject, by_rule, covered and ambiguous: the rules' names, else the guess made at import unless silenced.
+
+    Rules meet distinct values of their kind. Entries join those by plain
+    columns, so that none is moved while the tables are small.
+    """
     guess = S.text(F.col("project"))
     if rules is None:
         return entries.withColumns({"project": guess, "subject": F.lit(""), "by_rule": F.lit(False), "covered": F.lit(False), "ambiguous": F.lit("")})
-    e = with_tid(entries)
-    out = e.join(resolve(targets(entries), parse_rules(rules)), "tid", "left")
-    kept = F.when((F.col("fallback") == "cwd-basename") & ~F.coalesce("silenced", F.lit(False)), guess).otherwise("")
-    return out.withColumns(
-        {
-            "project": F.when(F.coalesce("by_rule", F.lit(False)), F.col("rule_project")).otherwise(kept),
-            "subject": S.text(F.col("subject")),
-            "by_rule": F.coalesce("by_rule", F.lit(False)),
-            "covered": F.coalesce("covered", F.lit(False)),
-            "ambiguous": S.text(F.col("ambiguous")),
-        }
-    ).drop("tid", "rule_project", "silenced")
+    tables = hit_arrays(entries, parse_rules(rules))
+    kept = F.when((F.col("fallback") == "cwd-basename") & ~F.col("silenced"), guess).otherwise("")
+    if tables:
+        keep, arrays = [c for c in entries.columns if c not in ("subject", "by_rule", "covered", "ambiguous")], []
+        e = entries.withColumns({f"_{c}": x for c, x in values().items()})
+        for k, table in tables.items():
+            on = F.col("actor_id") == F.col("_actor")
+            for c in READS[k]:
+                on = on & (F.col(f"_{c}") == F.col(f"_of_{c}"))
+            e = e.join(table.withColumnsRenamed({"actor_id": "_actor", "hits": f"_hits_{k}"} | {c: f"_of_{c}" for c in READS[k]}), on, "left").drop("_actor", *(f"_of_{c}" for c in READS[k]))
+            nothing = F.expr(f"cast(array() as {table.schema['hits'].dataType.simpleString()})")
+            arrays.append(F.coalesce(F.col(f"_hits_{k}"), nothing))
+        in_force = F.filter(F.concat(*arrays), lambda x: x["since_day"].isNull() | (F.col("local_day") >= x["since_day"]))
+        e = decide(e.select(*keep, in_force.alias("hits")), keep)
+    else:
+        e = entries.withColumns({"rule_project": F.lit(""), "by_rule": F.lit(False), "silenced": F.lit(False), "covered": F.lit(False), "rule_subject": F.lit(""), "ambiguous": F.lit("")})
+    return e.withColumns({"project": F.when(F.col("by_rule"), F.col("rule_project")).otherwise(kept), "subject": F.col("rule_subject")}).drop("rule_project", "rule_subject", "silenced")
 
 
 def rules_start_inside(rules: DataFrame, first: str, last: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The account of a day over the supplied tables, step by step, each step made when it is asked for.
 
-Steps that several roll-ups read are persisted: a query that joins them back
-together would else work the whole chain out once for each.
+Steps that several roll-ups read are stored as Parquet: a query that joins them
+back together would else work the whole chain out once for each.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import blocks, rollup, rules, stretches
 from ..sources import fixtures, traces
+from ..sources.store import stored
 
 
 class Chain:
@@ -22,6 +23,10 @@ class Chain:
     def traces(self) -> DataFrame:
         return fixtures.traces(self.spark, self.sf_dir)
 
+    @cached_property
+    def live_traces(self) -> DataFrame:
+        return fixtures.live_traces(self.spark, self.sf_dir)
+
     @cached_property
     def rules(self) -> DataFrame:
         return fixtures.rules(self.spark)
@@ -44,7 +49,7 @@ class Chain:
 
     @cached_property
     def b(self) -> DataFrame:
-        return blocks.attributed(self.named).persist()
+        return stored(blocks.attributed(self.named))
 
     @cached_property
     def h(self) -> DataFrame:
@@ -52,7 +57,7 @@ class Chain:
 
     @cached_property
     def p(self) -> DataFrame:
-        return stretches.pieces(self.h, fixtures.answers(self.spark)).persist()
+        return stored(stretches.pieces(self.h, fixtures.answers(self.spark)))
 
     @cached_property
     def s(self) -> DataFrame:
@@ -68,7 +73,7 @@ class Chain:
 
     @cached_property
     def runs(self) -> DataFrame:
-        return stretches.runs(self.p, self.h).persist()
+        return stored(stretches.runs(self.p, self.h))
 
     @cached_property
     def pauses(self) -> DataFrame:
