@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,23 +15,36 @@ from .rollup import claimed_pauses
 TABLES = ("stretches", "projects", "subjects", "days")
 
 
-def rules_hash(rules: DataFrame) -> DataFrame:
-    """One hash of the dictionary in its written order, whatever the order of the rows."""
+def with_rules_hash(rows: DataFrame, rules: DataFrame, name: str = "rules_hash") -> DataFrame:
+    """rows (actor_id ...) with a hash of the rules that hold for their actor: those for all and their own, in the order written.
+
+    Rows of rules are hashed first, and gathered by actor; one person's edit
+    moves nobody else's hash.
+    """
     text = F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(rules.columns)))
-    return rules.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "\u001e"), 256).alias("rules_hash"))
+    by_actor = rules.select("actor_id", F.sha2(text, 256).alias("h")).groupBy("actor_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("own"))
+    general = by_actor.where("actor_id is null").agg(F.max("own").alias("_all"))  # one row
+    own = by_actor.where("actor_id is not null").select(F.col("actor_id").alias("_actor"), "own")
+    out = rows.join(own, F.col("actor_id") == F.col("_actor"), "left").join(F.broadcast(general))
+    return out.withColumn(name, F.sha2(F.concat_ws(":", F.coalesce("own", F.lit("")), F.coalesce("_all", F.lit(""))), 256)).drop("_actor", "own", "_all")
 
 
 def confirm_snapshot(parts: dict[str, DataFrame], path: str) -> None:
-    """Replace the partitions (actor_id, local_day) of the four tables; days comes last and marks the commit."""
+    """Freeze days: write the four tables under a new version; the rows of days, written last, commit their days to it.
+
+    Nothing that an earlier version wrote is changed, so until its row is there
+    a day reads as before, and a part that has no rows now keeps none of before.
+    """
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     for name in TABLES:
-        parts[name].write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*D).parquet(f"{path}/{name}")
+        parts[name].write.parquet(f"{path}/{name}/version={version}")
 
 
 def snapshot_read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of committed days alone."""
-    days = spark.read.parquet(f"{path}/days")
-    out = {n: spark.read.parquet(f"{path}/{n}").join(days.select(*D), list(D), "left_semi") for n in TABLES[:-1]}
-    return out | {"days": days}
+    """The tables of committed days, each day at its last version."""
+    read = lambda n: spark.read.option("basePath", f"{path}/{n}").parquet(f"{path}/{n}").withColumn("version", F.col("version").cast("string"))
+    last = read("days").groupBy(*D).agg(F.max("version").alias("version"))
+    return {n: read(n).join(last, [*D, "version"], "left_semi").drop("version") for n in TABLES}
 
 
 def snapshot_runs(stretches: DataFrame) -> DataFrame:
@@ -45,8 +61,7 @@ def snapshot_runs(stretches: DataFrame) -> DataFrame:
 
 def confirmed_list(days: DataFrame, rules: DataFrame) -> DataFrame:
     """Frozen days with whether the rules have moved since (newest first where order matters)."""
-    now = rules_hash(rules).withColumnRenamed("rules_hash", "_now")
-    return days.join(F.broadcast(now)).withColumn("rules_moved", F.col("rules_hash") != F.col("_now")).drop("_now").select(*D, "events", "rules_moved")
+    return with_rules_hash(days, rules, "_now").withColumn("rules_moved", F.col("rules_hash") != F.col("_now")).select(*D, "events", "rules_moved")
 
 
 def rules_moved(days: DataFrame, rules: DataFrame) -> DataFrame:

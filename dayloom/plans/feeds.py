@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -10,7 +12,9 @@ from ..operators import review as V
 from ..operators import rollup as U
 from ..operators import stretches as T
 from ..sources import feeds as X
-from ..sources import fixtures
+from ..sources import fixtures, store
+from ..sources import traces as T2
+from ..streaming import stream as Z
 from .oracle import after
 
 D = ("actor_id", "local_day")
@@ -79,13 +83,14 @@ def feeds(c):
     o = table(c, "orders").withColumn("k", F.col("o_orderkey").cast("string"))
     crlf = "\r\n"
     event = F.concat_ws(
-        crlf, F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "k"), F.concat(F.lit("SUMMARY:a\\, b\\; "), F.lit(crlf + " "), "k"),
-        F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format("o_orderdate", "yyyyMMdd"))).otherwise(F.concat(F.lit("DTSTART;TZID=Europe/Berlin:"), F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss"))),
+        crlf, F.lit("BEGIN:VEVENT"), F.when(F.col("o_orderkey") % 17 != 0, F.concat(F.lit("UID:"), "k")),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit(f"BEGIN:VALARM{crlf}SUMMARY:alarm{crlf}DURATION:PT5M{crlf}END:VALARM")), F.concat(F.lit("SUMMARY:a\\, b\\; "), F.lit(crlf + " "), "k"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format("o_orderdate", "yyyyMMdd"))).otherwise(F.concat(F.lit("DTSTART;TZID="), F.when(F.col("o_orderkey") % 11 == 0, "W. Europe Standard Time").otherwise("Europe/Berlin"), F.lit(":"), F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss"))),
         F.when(F.col("o_orderkey") % 3 == 0, F.lit("DURATION:PT1H30M")), F.when(F.col("o_orderkey") % 7 == 0, F.lit("STATUS:CANCELLED")), F.lit("END:VEVENT"), F.lit(""),
     )
     body = o.groupBy((F.col("o_custkey") % 97).alias("feed")).agg(F.array_join(F.sort_array(F.collect_list(event)), "").alias("body"))
     end = F.when(F.col("feed") == 5, "").otherwise("END:VCALENDAR" + crlf)  # one feed is cut off
-    return body.select("feed", F.concat(F.lit("BEGIN:VCALENDAR" + crlf), "body", end).alias("value"))
+    return body.select("feed", F.concat(F.when(F.col("feed") == 7, "\ufeff").otherwise(""), F.lit("BEGIN:VCALENDAR" + crlf), "body", end).alias("value"))
 
 
 WHOLE = "(SELECT * FROM orders WHERE o_custkey % 97 <> 5)"
@@ -129,7 +134,7 @@ def register(query) -> None:
     query("canonical_host", lambda c: visits(c).select("page_id", S.canonical_host(F.upper(F.expr("try_parse_url(url, 'HOST')"))).alias("host")), f"SELECT page_id, lower({HOST}) AS host FROM pages")
     query("effective_port", lambda c: visits(c).select("page_id", S.effective_port(F.expr("split(url, ':')[0]"), F.when(F.col("page_id") % 2 == 0, "443").otherwise("8080")).alias("port")), "SELECT page_id, CASE WHEN page_id % 2 = 0 AND starts_with(url, 'https:') THEN '' WHEN page_id % 2 = 0 THEN '443' ELSE '8080' END AS port FROM pages")
     query("path_head", lambda c: X.visit_to_trace(visits(c)).groupBy("path_head").agg(F.count("*").alias("n")), f"SELECT path_head, count(*) AS n FROM ({VISIT_SQL}) GROUP BY ALL")
-    query("printable", lambda c: table(c, "documents").select("doc_id", F.md5(S.printable(F.col("text"), 200)).alias("text_md5")), r"SELECT doc_id, md5(substring(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), 1, 200)) AS text_md5 FROM documents")
+    query("printable", lambda c: table(c, "documents").select("doc_id", F.md5(S.printable(F.col("text"))).alias("text_md5")), r"SELECT doc_id, md5(substring(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), 1, 4096)) AS text_md5 FROM documents")
     query("visit_external_id", lambda c: chrome(c).select(S.visit_external_id(F.lit("default"), F.col("visit_id")).alias("external_id")), "SELECT 'default/' || event_id AS external_id FROM events WHERE event_type IN ('click', 'view')")
     query("scan_reflog", lambda c: X.scan_reflog(reflog_lines(c)), REF_SQL)
     query("reflog_verb", lambda c: X.scan_reflog(reflog_lines(c)).groupBy("verb").agg(F.count("*").alias("n")), f"SELECT verb, count(*) AS n FROM ({REF_SQL}) GROUP BY ALL")
@@ -144,11 +149,11 @@ def register(query) -> None:
     feed = lambda c: cal(c).where("external_id not like '%3'").withColumn("duration_ms", F.when(F.col("external_id").like("%5"), F.col("duration_ms") + 60000).otherwise(F.col("duration_ms"))).withColumn("external_id", F.when(F.col("external_id").like("%7"), F.concat("external_id", F.lit("x"))).otherwise(F.col("external_id")))
     inw = "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'"
     query("replace_window", lambda c: X.replace_window(cal(c), feed(c), "2024-01-10", "2024-01-20"), after("traces", f"SELECT actor_id, source, external_id, CASE WHEN external_id LIKE '%3' OR external_id LIKE '%7' THEN 'removed' WHEN external_id LIKE '%5' THEN 'moved' ELSE 'unchanged' END AS change FROM traces WHERE source = 'calendar' AND ({inw} OR NOT (external_id LIKE '%3' OR external_id LIKE '%7')) UNION ALL SELECT actor_id, source, external_id || 'x', 'new' FROM traces WHERE source = 'calendar' AND external_id LIKE '%7'"))
-    query("scan_ical", lambda c: X.scan_ical(feeds(c)).groupBy("name").agg(F.count("*").alias("n")), f"SELECT name, count(*) AS n FROM (SELECT unnest(['UID', 'SUMMARY', 'DTSTART'] || CASE WHEN o_orderkey % 3 = 0 THEN ['DURATION'] ELSE [] END || CASE WHEN o_orderkey % 7 = 0 THEN ['STATUS'] ELSE [] END) AS name FROM {WHOLE}) GROUP BY ALL")
-    query("ical_times", lambda c: timed(c).select("uid", F.unix_micros("start_local").alias("local_us"), "tzid", "all_day", "length_us"), f"SELECT CAST(o_orderkey AS VARCHAR) AS uid, epoch_us(CASE WHEN o_orderkey % 4 = 0 THEN date_trunc('day', o_orderdate) ELSE date_trunc('second', o_orderdate) END) AS local_us, CASE WHEN o_orderkey % 4 = 0 THEN 'UTC' ELSE 'Europe/Berlin' END AS tzid, o_orderkey % 4 = 0 AS all_day, CASE WHEN o_orderkey % 3 = 0 THEN 5400000000 WHEN o_orderkey % 4 = 0 THEN 86400000000 ELSE 0 END AS length_us FROM {WHOLE}")
-    query("unescape_ical", lambda c: timed(c).select("uid", "title"), f"SELECT CAST(o_orderkey AS VARCHAR) AS uid, 'a, b; ' || o_orderkey AS title FROM {WHOLE}")
+    query("scan_ical", lambda c: X.scan_ical(feeds(c)).groupBy("name").agg(F.count("*").alias("n")), f"SELECT name, count(*) AS n FROM (SELECT unnest(['SUMMARY', 'DTSTART'] || CASE WHEN o_orderkey % 17 <> 0 THEN ['UID'] ELSE [] END || CASE WHEN o_orderkey % 3 = 0 THEN ['DURATION'] ELSE [] END || CASE WHEN o_orderkey % 7 = 0 THEN ['STATUS'] ELSE [] END) AS name FROM {WHOLE}) GROUP BY ALL")
+    query("ical_times", lambda c: timed(c).select("uid", F.unix_micros("start_local").alias("local_us"), "tzid", "unknown_zone", "all_day", "length_us"), f"SELECT CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS uid, epoch_us(CASE WHEN o_orderkey % 4 = 0 THEN date_trunc('day', o_orderdate) ELSE date_trunc('second', o_orderdate) END) AS local_us, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 11 = 0 THEN 'UTC' ELSE 'Europe/Berlin' END AS tzid, CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 11 = 0 THEN 'W. Europe Standard Time' END AS unknown_zone, o_orderkey % 4 = 0 AS all_day, CASE WHEN o_orderkey % 3 = 0 THEN 5400000000 WHEN o_orderkey % 4 = 0 THEN 86400000000 ELSE 0 END AS length_us FROM {WHOLE}")
+    query("unescape_ical", lambda c: timed(c).select("uid", "title"), f"SELECT CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS uid, 'a, b; ' || o_orderkey AS title FROM {WHOLE}")
     query("iso_duration", lambda c: table(c, "orders").select("o_orderkey", S.iso_duration(F.concat(F.lit("P"), F.col("o_orderkey") % 9, F.lit("DT"), F.col("o_orderkey") % 23, F.lit("H"), F.col("o_orderkey") % 59, F.lit("M"))).alias("us")), "SELECT o_orderkey, ((o_orderkey % 9) * 86400 + (o_orderkey % 23) * 3600 + (o_orderkey % 59) * 60) * 1000000 AS us FROM orders")
-    query("meeting_filter", lambda c: X.meeting_filter(timed(c)).groupBy("reason").agg(F.count("*").alias("n")), f"SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'cancelled' WHEN o_orderkey % 4 = 0 THEN 'all-day' WHEN o_orderkey % 3 = 0 THEN 'kept' ELSE 'zero' END AS reason, count(*) AS n FROM {WHOLE} GROUP BY ALL")
+    query("meeting_filter", lambda c: X.meeting_filter(timed(c)).groupBy("reason").agg(F.count("*").alias("n")), f"SELECT CASE WHEN o_orderkey % 17 = 0 THEN 'no uid' WHEN o_orderkey % 7 = 0 THEN 'cancelled' WHEN o_orderkey % 4 = 0 THEN 'all-day' WHEN o_orderkey % 3 = 0 THEN 'kept' ELSE 'zero' END AS reason, count(*) AS n FROM {WHOLE} GROUP BY ALL")
     query("expand_recurrence", lambda c: occurrences(c).select("uid", F.unix_micros("at").alias("at_us")), OCC_SQL)
     third = lambda c, k: occurrences(c).where(F.col("uid").cast("bigint") % 10 == k)
     query("recurrence_overrides", lambda c: X.recurrence_overrides(occurrences(c), third(c, 1), third(c, 2), third(c, 3).withColumn("at", F.col("at") + F.expr("interval 1 minute"))).select("uid", F.unix_micros("at").alias("at_us")), f"SELECT uid, at_us FROM ({OCC_SQL}) WHERE CAST(uid AS BIGINT) % 10 NOT IN (1, 2) UNION ALL SELECT uid, at_us + 60000000 FROM ({OCC_SQL}) WHERE CAST(uid AS BIGINT) % 10 = 3")
@@ -185,12 +190,13 @@ def register(query) -> None:
     query("answer_delta", lambda c: V.answer_delta(plain(c), U.project_time(c.s)), after("st", f"SELECT {DS}, project, before_us, after_us, after_us - before_us AS delta_us FROM (SELECT s.actor_id, s.local_day, project, sum(b) AS before_us, sum(a) AS after_us FROM (SELECT s.actor_id, s.local_day, o.owner AS project, s.to_us - s.from_us AS b, 0 AS a FROM st s JOIN own_ o ON o.actor_id = s.actor_id AND o.local_day = s.local_day AND o.nth = s.opener UNION ALL SELECT {DS}, owner, 0, to_us - from_us FROM st) s GROUP BY ALL) WHERE after_us <> before_us"))
 
     # frozen days
-    frozen = lambda c: c.entries.where("external_id not like '%77'").groupBy(*D).agg(F.count("*").alias("events")).crossJoin(C.rules_hash(c.rules)).withColumn("rules_hash", F.when(F.dayofmonth("local_day") % 2 == 0, "old").otherwise(F.col("rules_hash")))
+    frozen = lambda c: C.with_rules_hash(c.entries.where("external_id not like '%77'").groupBy(*D).agg(F.count("*").alias("events")), c.rules).withColumn("rules_hash", F.when(F.dayofmonth("local_day") % 2 == 0, "old").otherwise(F.col("rules_hash")))
     fz = f"(SELECT {DS}, count(*) AS events FROM ent WHERE external_id NOT LIKE '%77' GROUP BY ALL)"
     query("confirmed_list", lambda c: C.confirmed_list(frozen(c), c.rules), after("ent", f"SELECT {DS}, events, day(local_day) % 2 = 0 AS rules_moved FROM {fz}"))
     query("rules_moved", lambda c: C.rules_moved(frozen(c), c.rules), after("ent", f"SELECT {DS} FROM {fz} WHERE day(local_day) % 2 = 0"))
     query("disturbed_days", lambda c: C.disturbed_days(frozen(c), c.entries), after("ent", f"SELECT f.*, n.now FROM {fz} f JOIN (SELECT {DS}, count(*) AS now FROM ent GROUP BY ALL) n ON n.actor_id = f.actor_id AND n.local_day = f.local_day WHERE events <> now"))
-    query("snapshot_read", lambda c: C.snapshot_runs(c.s.where("to_us > from_us")), after("st", f"SELECT {DS}, min(from_us) AS from_us, max(to_us) AS to_us, any_value(owner) AS project, false AS gap FROM (SELECT *, sum(CASE WHEN po IS NULL OR po <> owner OR pt < from_us THEN 1 ELSE 0 END) OVER (PARTITION BY {DS} ORDER BY from_us, to_us ROWS UNBOUNDED PRECEDING) AS r FROM (SELECT *, lag(owner) OVER w AS po, lag(to_us) OVER w AS pt FROM st WINDOW w AS (PARTITION BY {DS} ORDER BY from_us, to_us))) GROUP BY {DS}, r UNION ALL SELECT {DS}, pt, from_us, '', true FROM (SELECT *, lag(to_us) OVER (PARTITION BY {DS} ORDER BY from_us, to_us) AS pt FROM st) WHERE pt < from_us"))
+    query("confirm_snapshot", lambda c: snapshot(c, frozen(c))["days"].select(*D, "events"), after("ent", f"SELECT {DS}, events FROM {fz}"))
+    query("snapshot_read", lambda c: C.snapshot_runs(snapshot(c, frozen(c))["stretches"].where("to_us > from_us")), after("st", f"SELECT {DS}, min(from_us) AS from_us, max(to_us) AS to_us, any_value(owner) AS project, false AS gap FROM (SELECT *, sum(CASE WHEN po IS NULL OR po <> owner OR pt < from_us THEN 1 ELSE 0 END) OVER (PARTITION BY {DS} ORDER BY from_us, to_us ROWS UNBOUNDED PRECEDING) AS r FROM (SELECT *, lag(owner) OVER w AS po, lag(to_us) OVER w AS pt FROM st WINDOW w AS (PARTITION BY {DS} ORDER BY from_us, to_us))) GROUP BY {DS}, r UNION ALL SELECT {DS}, pt, from_us, '', true FROM (SELECT *, lag(to_us) OVER (PARTITION BY {DS} ORDER BY from_us, to_us) AS pt FROM st) WHERE pt < from_us"))
     query("snapshot_claims", lambda c: C.snapshot_claims(c.pauses, C.snapshot_runs(c.s), c.entries, c.rows), after("prow", f"SELECT {DS}, project, attention_us, background_us, claimed_us FROM prow"))
     query("export_rows", lambda c: C.export_rows(c.rows, c.subjects), after("srow", f"SELECT {DS}, project, '' AS subject, attention_us FROM prow UNION ALL SELECT {DS}, project, subject, attention_us FROM srow UNION ALL SELECT s.actor_id, s.local_day, s.project, 'rest of project', p.attention_us - s.a FROM (SELECT {DS}, project, sum(attention_us) AS a FROM srow GROUP BY ALL) s JOIN prow p ON p.actor_id = s.actor_id AND p.local_day = s.local_day AND p.project = s.project"))
     long = lambda c, us: gaps(c).where(F.col("to_us") - F.col("from_us") > us).select(*D, "from_us", "to_us")
@@ -198,6 +204,46 @@ def register(query) -> None:
     query("pause_answer_supersede", lambda c: C.pause_answer_supersede(long(c, 1_800_000_000), shift(c)), after("run", f"SELECT {DS}, from_us, to_us FROM run WHERE gap AND to_us - from_us > 1800000000 AND to_us - from_us <= 3600000000 UNION ALL SELECT {DS}, from_us + 600000000, from_us + 1200000000 FROM run WHERE gap AND to_us - from_us > 3600000000"))
 
 
+    # streams, run to the end of what is there
+    query("stream_dedup", lambda c: landed(c, Z.stream_dedup(c.live_traces.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(2)))).drop("_n"))).select(*X.IDENTITY), after("traces", "SELECT actor_id, source, external_id FROM traces"))
+    query("stream_ingest", ingested, after("traces", "SELECT actor_id, source, external_id FROM traces"))
+    query("stream_counts", lambda c: landed(c, Z.stream_counts(c.live_traces), "complete").select(F.unix_micros("from_ts").alias("from_us"), "source", "n"), after("traces", "SELECT epoch_us(date_trunc('day', ts)) AS from_us, source, count(*) AS n FROM traces GROUP BY ALL"))
+    query("stream_blocks", lambda c: landed(c, Z.stream_blocks(T2.entries(c.live_traces)), "complete"), after("bl", f"SELECT {DS}, block_from_us AS from_us, block_to_us AS to_us, events FROM bl"))
+    query("stream_touched_days", touched, after("ent", f"SELECT DISTINCT {DS} FROM ent"))
+
+def landed(c, rows, mode="append"):
+    """What a stream of rows gives when all that is there has been read."""
+    path = f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}"
+    write = lambda batch, _: batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{path}/rows")
+    q = rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return c.spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
+def ingested(c):
+    """The stored table after the same traces came in twice."""
+    path = f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}"
+    for run in ("first", "again"):
+        Z.stream_ingest(c.live_traces, f"{path}/rows", f"{path}/{run}").awaitTermination()
+    return c.spark.read.parquet(f"{path}/rows").select(*X.IDENTITY)
+
+
+def touched(c):
+    """The days that a stream of traces touches, as its batches tell them."""
+    path = f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}"
+    Z.stream_touched_days(T2.entries(c.live_traces), lambda days: days.write.mode("append").parquet(f"{path}/days"), f"{path}/state").awaitTermination()
+    return c.spark.read.parquet(f"{path}/days").distinct()
+
+
+def snapshot(c, days):
+    """All days frozen twice, the first time with nothing in them, and read back."""
+    path = f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}"
+    parts = {"stretches": c.s, "projects": c.rows, "subjects": c.subjects, "days": days}
+    C.confirm_snapshot({n: p.limit(0) if n == "projects" else p for n, p in (parts | {"stretches": c.s.where("owner = ''")}).items()}, path)
+    C.confirm_snapshot(parts, path)
+    return C.snapshot_read(c.spark, path)
+
+
 def _pause() -> str:
     from .oracle import _spans
 

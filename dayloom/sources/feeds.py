@@ -104,12 +104,17 @@ def reflog_to_trace(rows: DataFrame, from_s: int, to_s: int) -> DataFrame:
 
 
 def scan_ical(feeds: DataFrame) -> DataFrame:
-    """(feed, value: the whole text) as properties (feed, event, nth, name, params, value) of its events; a feed that isn't whole is refused (no rows)."""
-    text = F.regexp_replace("value", r"\r?\n[ \t]", "")
+    """(feed, value: the whole text) as properties (feed, event, nth, name, params, value) of its events; a feed that isn't whole is refused (no rows).
+
+    A byte order mark is skipped. Components inside an event, such as alarms,
+    go with all their properties.
+    """
+    text = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n[ \t]", "")
     f = feeds.select("feed", text.alias("t")).where(F.col("t").rlike(r"(?s)^\s*BEGIN:VCALENDAR\b.*END:VCALENDAR\s*$"))
-    bodies = F.split("t", r"BEGIN:VEVENT\r?\n")
+    bodies = F.split("t", r"(?im)^BEGIN:VEVENT[ \t]*\r?\n")
     e = f.select("feed", F.posexplode(F.slice(bodies, F.lit(2), F.size(bodies))).alias("event", "body"))
-    p = e.select("feed", "event", F.posexplode(F.split(F.split("body", "END:VEVENT").getItem(0), r"\r?\n")).alias("nth", "line")).where("line <> ''")
+    own = F.regexp_replace(F.split("body", r"(?im)^END:VEVENT").getItem(0), r"(?ims)^BEGIN:([A-Z0-9-]+)[ \t]*\r?\n.*?^END:\1[ \t]*(\r?\n|\z)", "")
+    p = e.select("feed", "event", F.posexplode(F.split(own, r"\r?\n")).alias("nth", "line")).where("line <> ''")
     name = F.upper(F.regexp_extract("line", r"^([A-Za-z0-9-]+)", 1))
     pattern = r'^[A-Za-z0-9-]+((?:;[A-Za-z0-9-]+=(?:"[^"]*"|[^;:"]*))*):(.*)$'
     return p.select("feed", "event", "nth", name.alias("name"), F.regexp_extract("line", pattern, 1).alias("params"), F.regexp_extract("line", pattern, 2).alias("value"))
@@ -125,14 +130,37 @@ def events_of(properties: DataFrame) -> DataFrame:
     return out
 
 
+def zone_known(zone: Column) -> Column:
+    return F.try_to_timestamp(F.concat(F.lit("2000-01-01 00:00:00 "), zone), F.lit("yyyy-MM-dd HH:mm:ss VV")).isNotNull()
+
+
 def ical_times(events: DataFrame, tz: str) -> DataFrame:
-    """events with start_local, tzid, all_day and length_us: dates, UTC, zoned and floating times; DTEND, else DURATION, else a day for dates and nothing for times."""
-    v, p = F.col("DTSTART.value"), S.text(F.col("DTSTART.params"))
-    zone = F.when(v.endswith("Z"), "UTC").otherwise(F.coalesce(F.nullif(F.regexp_extract(p, r'TZID="?([^;"]+)"?', 1), F.lit("")), F.lit(tz)))
+    """events with start_local, tzid, unknown_zone, all_day, length_us and bad_dates.
+
+    Dates, UTC, zoned and floating times. A zone that isn't in the database
+    (unknown_zone names it) is read as local. The length is from DTEND, in its
+    own zone, else DURATION, else a day for dates and nothing for times.
+    bad_dates counts the EXDATE and RDATE values that can't be read.
+    """
     read = lambda x: F.coalesce(F.try_to_timestamp(F.regexp_replace(x, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(x, F.lit("yyyyMMdd")))
+
+    def zone(name: str) -> tuple[Column, Column]:
+        said = F.nullif(F.regexp_extract(S.text(F.col(f"{name}.params")), r'(?i)TZID="?([^;"]+)"?', 1), F.lit(""))
+        utc = S.text(F.col(f"{name}.value")).endswith("Z")
+        return F.when(utc, "UTC").when(zone_known(said), said).otherwise(F.lit(tz)), F.when(~utc & ~zone_known(said), said)
+
+    v = F.col("DTSTART.value")
+    (start_zone, unknown), (end_zone, _) = zone("DTSTART"), zone("DTEND")
     all_day = ~v.contains("T")
-    length = F.coalesce(F.unix_micros(read(F.col("DTEND.value"))) - F.unix_micros(read(v)), S.iso_duration(F.col("DURATION.value")), F.when(all_day, F.lit(86_400_000_000)).otherwise(F.lit(0)))
-    return events.withColumns({"start_local": read(v), "tzid": zone, "all_day": all_day, "length_us": length, "title": S.unescape_ical(S.text(F.col("SUMMARY.value"))), "uid": F.col("UID.value")})
+    at = lambda x, z: F.unix_micros(F.to_utc_timestamp(x, z))
+    start, end = F.col("start_local"), read(F.col("DTEND.value"))
+    length = F.coalesce(F.when(all_day, F.unix_micros(end) - F.unix_micros(start)).otherwise(at(end, F.coalesce("_end_zone", "tzid")) - at(start, F.col("tzid"))), S.iso_duration(F.col("DURATION.value")), F.when(all_day, F.lit(86_400_000_000)).otherwise(F.lit(0)))
+    dates = F.flatten(F.transform(F.concat("EXDATE", "RDATE"), lambda x: F.split(x, ",")))
+    out = events.withColumns({"start_local": read(v), "tzid": start_zone, "_end_zone": F.when(F.col("DTEND").isNotNull(), end_zone), "unknown_zone": unknown, "all_day": all_day, "bad_dates": F.size(F.filter(dates, lambda x: read(x).isNull())), "title": S.unescape_ical(S.text(F.col("SUMMARY.value"))), "uid": F.col("UID.value")})
+    return out.withColumn("length_us", length).drop("_end_zone")
+
+
+LONGEST_UID = 512
 
 
 def meeting_filter(events: DataFrame, me: tuple[str, ...] = ()) -> DataFrame:
@@ -141,7 +169,7 @@ def meeting_filter(events: DataFrame, me: tuple[str, ...] = ()) -> DataFrame:
     declined = F.arrays_overlap("DECLINED", F.array(*(F.lit(x.strip().lower()) for x in me))) if me else F.lit(False)
     return events.withColumn(
         "reason",
-        F.when(F.col("start_local").isNull(), "unreadable").when(F.upper(S.text(F.col("STATUS.value"))) == "CANCELLED", "cancelled").when(F.col("all_day"), "all-day").when(F.upper(S.text(F.col("TRANSP.value"))) == "TRANSPARENT", "free").when(declined, "declined-by-me").when(n < 0, "negative").when(n > 86_400_000_000, "over a day").when(n == 0, "zero").otherwise("kept"),
+        F.when(F.col("start_local").isNull(), "unreadable").when(S.text(F.col("uid")) == "", "no uid").when(F.octet_length("uid") > LONGEST_UID, "uid too long").when(F.upper(S.text(F.col("STATUS.value"))) == "CANCELLED", "cancelled").when(F.col("all_day"), "all-day").when(F.upper(S.text(F.col("TRANSP.value"))) == "TRANSPARENT", "free").when(declined, "declined-by-me").when(n < 0, "negative").when(n > 86_400_000_000, "over a day").when(n == 0, "zero").otherwise("kept"),
     )
 
 
@@ -163,7 +191,8 @@ RULE_PARTS = {
 def expand_recurrence(series: DataFrame, window_from: str, window_to: str) -> DataFrame:
     """(columns of series, at, outcome): the occurrences of rrule in [window_from, window_to), in UTC.
 
-    series: start_local, tzid, rrule, and whatever else is to be kept. Dates are
+    series: start_local, tzid, rrule, and whatever else is to be kept. With a
+    length_us, an occurrence that began before the window and runs into it is in. Dates are
     expanded in local time, so the clock stays over DST; hours, minutes and seconds
     pass evenly over it. COUNT counts from the start of the series. Days that a
     month lacks are skipped.
@@ -184,7 +213,8 @@ def expand_recurrence(series: DataFrame, window_from: str, window_to: str) -> Da
         {"_freq": part("FREQ"), "_every": F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)), "_count": part("COUNT").try_cast("int"), "_until": F.coalesce(F.try_to_timestamp(F.regexp_replace(part("UNTIL"), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(part("UNTIL"), F.lit("yyyyMMdd")) + F.expr("interval 1 day - interval 1 microsecond")), "_byday": part("BYDAY"), "_bymonthday": part("BYMONTHDAY"), "_bymonth": part("BYMONTH"), "_wkst": F.coalesce(part("WKST"), F.lit("MO")), "_d0": F.to_date("start_local"), "_bad": bad}
     )
     end = F.least(F.to_date(F.lit(window_to)), F.coalesce(F.to_date("_until"), F.to_date(F.lit(window_to))))
-    begin = F.when(F.col("_count").isNull(), F.greatest(F.col("_d0"), F.date_sub(F.to_date(F.lit(window_from)), 1))).otherwise(F.col("_d0"))
+    lasts = F.greatest(F.lit(0), F.coalesce(F.col("length_us"), F.lit(0))).cast("bigint") if "length_us" in keep else F.lit(0).cast("bigint")
+    begin = F.when(F.col("_count").isNull(), F.greatest(F.col("_d0"), F.date_sub(F.to_date(F.lit(window_from)), (1 + F.ceil(lasts / 86_400_000_000)).cast("int")))).otherwise(F.col("_d0"))
     none = F.expr("cast(array() as array<bigint>)")
     long_date = lambda c: F.unix_date(c).cast("bigint")
     days = F.when(F.col("_freq").isNull(), F.array(long_date(F.col("_d0")))).when(F.date_add(end, 1) >= begin, F.sequence(long_date(begin), long_date(F.date_add(end, 1)))).otherwise(none)
@@ -195,7 +225,7 @@ def expand_recurrence(series: DataFrame, window_from: str, window_to: str) -> Da
     period = lambda us: F.floor((us - F.col("_start_us")) / F.col("_step_us"))
     to_us = F.unix_micros(F.lit(window_to).cast("timestamp"))
     until_us = F.coalesce(F.unix_micros(F.to_utc_timestamp("_until", F.col("tzid"))), to_us)
-    k0 = F.when(F.col("_plain") | F.col("_count").isNull(), F.greatest(F.lit(0), period(F.unix_micros(F.lit(window_from).cast("timestamp"))))).otherwise(0)
+    k0 = F.when(F.col("_plain") | F.col("_count").isNull(), F.greatest(F.lit(0), period(F.unix_micros(F.lit(window_from).cast("timestamp")) - lasts))).otherwise(0)
     k1 = F.least(period(F.least(to_us, until_us)), F.when(F.col("_plain"), F.col("_count").cast("bigint") - 1))
     s = s.withColumns({"_k0": k0.cast("bigint"), "_k1": k1.cast("bigint")}).withColumn("_clipped", F.coalesce(F.col("_k1") - F.col("_k0") >= MOST_PERIODS, F.lit(False)))
     periods = F.when(F.col("_k1") >= F.col("_k0"), F.sequence("_k0", F.least("_k1", F.col("_k0") + MOST_PERIODS - 1))).otherwise(none)
@@ -233,7 +263,8 @@ def expand_recurrence(series: DataFrame, window_from: str, window_to: str) -> Da
     # a clipped series that has its COUNT all the same is whole
     x = x.withColumn("_n", nth_).withColumn("_whole", F.coalesce(F.max(F.when(~marked, F.col("_n"))).over(series_) >= F.col("_count"), F.lit(False))).where(marked | (F.col("_n") <= F.coalesce(F.col("_count").cast("bigint"), F.col("_n"))))
     x = x.withColumn("at", F.when(~marked, F.coalesce("_at", F.to_utc_timestamp("_local", F.col("tzid")))))
-    x = x.where(marked | (F.col("at") >= F.lit(window_from).cast("timestamp")) & (F.col("at") < F.lit(window_to).cast("timestamp")))
+    opens = F.lit(window_from).cast("timestamp")
+    x = x.where(marked | ((F.col("at") >= opens) | (F.unix_micros("at") + lasts > F.unix_micros(opens))) & (F.col("at") < F.lit(window_to).cast("timestamp")))
     x = x.withColumns({"_w": F.row_number().over(series_.orderBy(F.asc_nulls_last("_k"))), "_in": F.count("_k").over(series_)})
     over = (F.col("_in") > MOST_OCCURRENCES) | sub & F.col("_clipped") & ~F.col("_whole")
     x = x.withColumn("outcome", F.when(F.col("_bad"), "unexpanded").when(F.coalesce(over, F.lit(False)), "truncated").otherwise("expanded"))
@@ -241,8 +272,17 @@ def expand_recurrence(series: DataFrame, window_from: str, window_to: str) -> Da
 
 
 def recurrence_overrides(occurrences: DataFrame, excluded: DataFrame, overridden: DataFrame, added: DataFrame) -> DataFrame:
-    """(uid, at): occurrences without the excluded and the overridden ones, with the added ones, each once."""
-    return occurrences.where("at is not null").select("uid", "at").unionByName(added.select("uid", "at")).join(excluded.select("uid", "at"), ["uid", "at"], "left_anti").join(overridden.select("uid", "at"), ["uid", "at"], "left_anti").dropDuplicates(["uid", "at"])
+    """(uid, at): occurrences without the excluded and the overridden ones, with the added ones, each once.
+
+    overridden may have a column reason (as meeting_filter gives): an override
+    that is unreadable, negative or over-long in its uid is broken and leaves its occurrence.
+    """
+    if "reason" in overridden.columns:
+        overridden = overridden.where("reason is null or reason not in ('unreadable', 'no uid', 'uid too long', 'negative')")
+    rows = occurrences.where("at is not null").select("uid", "at").unionByName(added.where("at is not null").select("uid", "at"))
+    for gone in (excluded, overridden):
+        rows = rows.join(gone.select("uid", "at"), ["uid", "at"], "left_anti")
+    return rows.dropDuplicates(["uid", "at"])
 
 
 def meeting_to_trace(occurrences: DataFrame, calendar: str) -> DataFrame:

@@ -9,8 +9,18 @@ KIND = "CASE WHEN event_type IN ('click','view') THEN 'browser' WHEN event_type
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as traces: users are sessions, groups of users are actors."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The events table as traces."""
+    return as_traces(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def live_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of traces."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return as_traces(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))  # a pattern, as the source takes no single file
+
+
+def as_traces(e: DataFrame) -> DataFrame:
+    """Events as traces: users are sessions, groups of users are actors."""
     visit, agent = "event_type IN ('click','view')", "event_type IN ('purchase','error')"
     return e.select(
         F.expr("concat('a', cast(user_id % 3 as string))").alias("actor_id"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,19 +26,27 @@ def stream_dedup(traces: DataFrame, late: str = LATE) -> DataFrame:
     return traces.withWatermark("ts", late).dropDuplicatesWithinWatermark(IDENTITY)
 
 
-def stream_ingest(traces: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append traces to the table at path, each identity once over all runs; a batch that is tried again finds its rows there."""
+def stream_ingest(traces: DataFrame, path: str, checkpoint: str, overlap_days: int = 7) -> StreamingQuery:
+    """Append traces to the table at path, each identity once over all runs; a batch that is tried again finds its rows there.
+
+    The table is partitioned by day, and a batch is held against the days it
+    has and overlap_days on either side alone.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        batch = batch.withColumn("day", F.to_date("ts"))
+        first, last = batch.agg(F.min("day"), F.max("day")).first()
         try:
             stored = spark.read.schema(batch.schema).parquet(path)
-            new = append_dedup(batch, stored)
-        except Exception as e:
+        except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            new = append_dedup(batch, batch.limit(0))
-        new.write.mode("append").parquet(path)
+            stored = batch.limit(0)
+        if first is not None:
+            near = dt.timedelta(days=overlap_days)
+            stored = stored.where(F.col("day").between(F.lit(first - near), F.lit(last + near)))
+        append_dedup(batch, stored).write.mode("append").partitionBy("day").parquet(path)
 
     return traces.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -113,9 +113,25 @@ def test_frozen_days_are_replaced_and_read_when_complete(spark, tmp_path):
     for e in (1, 2):
         confirm.confirm_snapshot({n: part("events", e) for n in confirm.TABLES}, str(tmp_path))
     other = part("events", 9).withColumn("actor_id", F.lit("b"))
-    other.write.mode("append").partitionBy("actor_id", "local_day").parquet(f"{tmp_path}/projects")  # a day that was never committed
+    other.unionByName(part("events", 9)).write.parquet(f"{tmp_path}/projects/version=99999999999999999999-x")  # days that were never committed
     got = confirm.snapshot_read(spark, str(tmp_path))
     assert [r.events for r in got["projects"].collect()] == [2] and got["days"].count() == 1
+    # confirmed again without subjects, it keeps none of before
+    confirm.confirm_snapshot({n: part("events", 3).limit(0 if n == "subjects" else 1) for n in confirm.TABLES}, str(tmp_path))
+    got = confirm.snapshot_read(spark, str(tmp_path))
+    assert [r.events for r in got["projects"].collect()] == [3] and got["subjects"].count() == 0
+
+
+def test_one_persons_rules_move_their_days_alone(spark):
+    schema = "rule_id int, actor_id string, value string"
+    rules_ = spark.createDataFrame([(0, None, "x"), (1, "a", "y"), (2, "b", "z")], schema)
+    days = spark.createDataFrame([(x, dt.date(2026, 5, 4), 1) for x in "abc"], "actor_id string, local_day date, events int")
+    frozen = confirm.with_rules_hash(days, rules_)
+    moved = lambda r: sorted(x.actor_id for x in confirm.rules_moved(frozen, spark.createDataFrame(r, schema)).collect())
+    assert moved([(2, "b", "z"), (0, None, "x"), (1, "a", "y")]) == []
+    assert moved([(0, None, "x"), (1, "a", "changed"), (2, "b", "z")]) == ["a"]
+    assert moved([(0, None, "x"), (1, "a", "y"), (2, "b", "z"), (3, "c", "new")]) == ["c"]
+    assert moved([(0, None, "changed"), (1, "a", "y"), (2, "b", "z")]) == ["a", "b", "c"]
 
 
 def agent_lines(path, ids):
@@ -153,3 +169,40 @@ def test_block_and_count_streams(spark, tmp_path):
     assert [r.events for r in got[:2]] == [5, 2] and not again.exists()
     assert result(stream.stream_counts(rows), "counts").count() <= 2
     assert result(entries, "once").count() == 6
+
+
+def feed(*events):
+    return "\ufeffBEGIN:VCALENDAR\r\n" + "".join("BEGIN:VEVENT\r\n" + "".join(f"{x}\r\n" for x in e) + "END:VEVENT\r\n" for e in events) + "END:VCALENDAR\r\n"
+
+
+def test_events_with_alarms_odd_zones_and_bad_dates(spark):
+    text = feed(
+        ("UID:a", "SUMMARY:real", "DTSTART;TZID=Europe/Berlin:20260302T090000", "DTEND;TZID=Europe/London:20260302T090000", "BEGIN:VALARM", "SUMMARY:alarm", "DURATION:PT5M", "END:VALARM"),
+        ("UID:b", 'DTSTART;TZID="W. Europe Standard Time":20260302T090000', "DURATION:PT1H", "EXDATE:20260309T090000,nonsense", "RDATE:20260310T090000"),
+        ("SUMMARY:no uid", "DTSTART:20260302T090000Z", "DURATION:PT1H"),
+        ("UID:" + "u" * 600, "DTSTART:20260302T090000Z", "DURATION:PT1H"),
+        ("UID:c", "DTSTART:rubbish", "DURATION:PT1H"),
+        ("UID:d", "DTSTART:20260302T090000Z", "DTEND:20260302T080000Z"),
+    )
+    events = feeds.ical_times(feeds.events_of(feeds.scan_ical(spark.createDataFrame([("f", text)], "feed string, value string"))), "Asia/Tokyo")
+    got = {r.event: r for r in feeds.meeting_filter(events).collect()}
+    assert [got[i].reason for i in range(6)] == ["kept", "kept", "no uid", "uid too long", "unreadable", "negative"]
+    assert got[0].title == "real" and got[0].length_us == 3_600_000_000 and got[0].unknown_zone is None
+    assert got[1].tzid == "Asia/Tokyo" and got[1].unknown_zone == "W. Europe Standard Time" and got[1].bad_dates == 1 and got[0].bad_dates == 0
+
+
+def test_an_occurrence_that_runs_into_the_window_is_in(spark):
+    rows = [("a", "2026-03-01 23:00:00", "FREQ=DAILY;COUNT=3", 2 * 3_600_000_000), ("b", "2026-03-01 22:00:00", "FREQ=DAILY;COUNT=3", 2 * 3_600_000_000), ("c", "2026-02-27 00:00:00", None, 4 * 86_400_000_000), ("h", "2026-03-01 22:30:00", "FREQ=HOURLY;COUNT=4", 3_600_000_000)]
+    df = spark.createDataFrame(rows, "uid string, s string, rrule string, length_us long").selectExpr("uid", "rrule", "cast(s as timestamp) as start_local", "'UTC' as tzid", "length_us")
+    got = {}
+    for r in feeds.expand_recurrence(df, "2026-03-02", "2026-03-03").orderBy("at").collect():
+        got.setdefault(r.uid, []).append(r.at.strftime("%d %H:%M"))
+    assert got == {"a": ["01 23:00", "02 23:00"], "b": ["02 22:00"], "c": ["27 00:00"], "h": ["01 23:30", "02 00:30", "02 01:30"]}
+
+
+def test_a_broken_override_leaves_its_occurrence(spark):
+    df = lambda *r: spark.createDataFrame(r, "uid string, at string, reason string").withColumn("at", F.col("at").cast("timestamp"))
+    days = [df(("a", f"2026-03-0{k} 09:00:00", reason)) for k, reason in ((1, None), (2, "kept"), (3, "unreadable"), (4, None), (5, None))]
+    every = days[0].unionByName(days[1]).unionByName(days[2]).unionByName(days[3])
+    got = feeds.recurrence_overrides(every, days[3], days[1].unionByName(days[2]), days[4])
+    assert sorted(r["at"].day for r in got.collect()) == [1, 3, 5]
