@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.traces import D
 
+
 def zero() -> Column:
     return F.lit(0).cast("long")
 
@@ -25,21 +26,31 @@ def project_time(s: DataFrame) -> DataFrame:
     return s.groupBy(*D, F.col("owner").alias("project")).agg(F.sum("attention_us").alias("attention_us"), F.sum("background_us").alias("background_us"))
 
 
+def tagged(df: DataFrame, keys: list[str], sums: tuple[str, ...], **values: Column) -> DataFrame:
+    """keys and the named sums of each row of df, 0 where values has none."""
+    return df.select(*keys, *(values.get(c, zero()).cast("long").alias(c) for c in sums))
+
+
 def project_rows(b: DataFrame, s: DataFrame, agent: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
-    """(D, project) for every project with an event, time or a claim."""
-    parts = [
-        evidence(b).select(*D, "project", "events", "wall_us", zero().alias("attention_us"), zero().alias("background_us"), zero().alias("agent_us"), zero().alias("claimed_us"), F.lit(True).alias("row")),
-        project_time(s).select(*D, "project", zero().alias("events"), zero().alias("wall_us"), "attention_us", "background_us", zero().alias("agent_us"), zero().alias("claimed_us"), F.lit(True).alias("row")),
+    """(D, project) for every project with an event, time or a claim: rows of all sources are tagged and summed up in one grouping."""
+    sums, keys = ("events", "attention_us", "background_us", "agent_us", "claimed_us"), [*D, "project"]
+    named = lambda df: df.withColumn("project", F.col("owner"))
+    none = F.lit(None).cast("long")
+    with_wall = lambda df, a=none, z=none, row=True: df.withColumns({"_a": a, "_z": z, "_row": F.lit(row)})
+    rows = [
+        (with_wall(b, F.col("ts_us"), F.least("end_us", "day_end_us")), {"events": F.lit(1)}),
+        (with_wall(named(s)), {c: F.col(c) for c in sums[1:3]}),
     ]
     if agent is not None:
-        parts.append(agent.groupBy(*D, "project").agg(F.sum("agent_us").alias("agent_us")).select(*D, "project", zero().alias("events"), zero().alias("wall_us"), zero().alias("attention_us"), zero().alias("background_us"), "agent_us", zero().alias("claimed_us"), F.lit(False).alias("row")))
+        rows.append((with_wall(agent, row=False), {"agent_us": F.col("agent_us")}))
     if claims is not None:
-        parts.append(claims.groupBy(*D, "project").agg(F.sum("held_us").alias("c")).select(*D, "project", zero().alias("events"), zero().alias("wall_us"), zero().alias("attention_us"), zero().alias("background_us"), zero().alias("agent_us"), F.col("c").alias("claimed_us"), F.lit(True).alias("row")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    sums = [F.sum(c).alias(c) for c in ("events", "attention_us", "background_us", "agent_us", "claimed_us", "wall_us")]
-    return out.groupBy(*D, "project").agg(F.max("row").alias("row"), *sums).where("row").drop("row")
+        rows.append((with_wall(claims), {"claimed_us": F.col("held_us")}))
+    out = None
+    for df, values in rows:
+        part = tagged(df, [*keys, "_a", "_z", "_row"], sums, **values)
+        out = part if out is None else out.unionByName(part)
+    wall_us = F.coalesce(F.max("_z") - F.min("_a"), zero()).alias("wall_us")
+    return out.groupBy(*keys).agg(F.max("_row").alias("_row"), *(F.sum(c).alias(c) for c in sums), wall_us).where("_row").drop("_row")
 
 
 def union_projects(b: DataFrame, s: DataFrame, claims: DataFrame) -> DataFrame:
@@ -71,16 +82,15 @@ def spans(h: DataFrame) -> DataFrame:
 def day_totals(h: DataFrame, s: DataFrame, agent: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
     """(D): attention, background, active, padding, one-neighbour time, span, first and last trace, agent and claimed time."""
     span = F.col("to_us") - F.col("from_us")
-    t = s.groupBy(*D).agg(
-        F.sum("attention_us").alias("attention_us"), F.sum("background_us").alias("background_us"), F.sum(F.when(F.col("padding"), span).otherwise(0)).alias("padding_us"), F.sum(F.when(F.col("origin") == "one-neighbour", span).otherwise(0)).alias("one_neighbour_us")
-    )
-    out = spans(h).join(t, list(D), "left")
-    names = ["attention_us", "background_us", "padding_us", "one_neighbour_us"]
-    for df, c, name in ((agent, "agent_us", "agent_us"), (claims, "held_us", "claimed_us")):
-        if df is not None:
-            out = out.join(df.groupBy(*D).agg(F.sum(c).alias(name)), list(D), "left")
-            names.append(name)
-    out = out.withColumns({c: F.coalesce(c, zero()) for c in names})
+    names = ("attention_us", "background_us", "padding_us", "one_neighbour_us")
+    values = {c: F.col(c) for c in names[:2]} | {"padding_us": F.when(F.col("padding"), span).otherwise(0), "one_neighbour_us": F.when(F.col("origin") == "one-neighbour", span).otherwise(0)}
+    more = [(df, c, name) for df, c, name in ((agent, "agent_us", "agent_us"), (claims, "held_us", "claimed_us")) if df is not None]
+    names = (*names, *(name for _, _, name in more))
+    t = tagged(s, list(D), names, **values)
+    for df, c, name in more:
+        t = t.unionByName(tagged(df, list(D), names, **{name: F.col(c)}))
+    t = t.groupBy(*D).agg(*(F.sum(c).alias(c) for c in names))
+    out = spans(h).join(t, list(D), "left").withColumns({c: F.coalesce(c, zero()) for c in names})
     return out.withColumn("active_us", F.col("attention_us") + F.col("background_us"))
 
 
@@ -189,9 +199,12 @@ def run_evidence(r: DataFrame, b: DataFrame) -> DataFrame:
     """(D, from_us, to_us, events, sources, visits) of runs that aren't gaps: events inside, the end included for a run that a gap or the day's end follows."""
     o = W.partitionBy(*D).orderBy("from_us", "to_us")
     x = r.withColumn("shut", F.coalesce(F.lead("gap").over(o), F.lit(True))).where("not gap").select(*D, "from_us", "to_us", "shut")
-    e = b.select(*D, "ts_us", "source", "key")
-    both = x.join(e, list(D), "left").where(F.col("ts_us").isNull() | (F.col("ts_us") >= F.col("from_us")) & ((F.col("ts_us") < F.col("to_us")) | F.col("shut") & (F.col("ts_us") <= F.col("to_us"))))
-    got = both.groupBy(*D, "from_us", "to_us").agg(F.count("ts_us").alias("events"), F.count_distinct("source").alias("sources"), F.count_if(F.col("key") != "").alias("visits"))
+    # runs don't overlap, so an event can only be in the last one that began
+    begins = x.select(*D, F.col("from_us").alias("at"), F.lit(0).alias("is_event"), F.struct("from_us", "to_us", "shut").alias("run"), F.lit("").alias("source"), F.lit("").alias("key"))
+    events = b.select(*D, F.col("ts_us").alias("at"), F.lit(1).alias("is_event"), F.lit(None).cast(begins.schema["run"].dataType).alias("run"), "source", "key")
+    w = W.partitionBy(*D).orderBy("at", "is_event", "run.to_us").rowsBetween(W.unboundedPreceding, 0)
+    both = begins.unionByName(events).withColumn("run", F.last("run", ignorenulls=True).over(w)).where("is_event = 1 and (at < run.to_us or run.shut and at <= run.to_us)")
+    got = both.groupBy(*D, F.col("run.from_us").alias("from_us"), F.col("run.to_us").alias("to_us")).agg(F.count("*").alias("events"), F.count_distinct("source").alias("sources"), F.count_if(F.col("key") != "").alias("visits"))
     return x.join(got, [*D, "from_us", "to_us"], "left").select(*D, "from_us", "to_us", *(F.coalesce(c, zero()).alias(c) for c in ("events", "sources", "visits")))
 
 
