@@ -18,6 +18,44 @@ E = (*D, "external_id")
 DS = "actor_id, local_day"
 
 
+#: What of a stretch lies between attention windows, longer than four minutes.
+LONG_BACKGROUND = f"""SELECT {DS}, from_us, to_us, owner FROM (
+  WITH w AS (
+    SELECT s.actor_id, s.local_day, s.from_us AS a, s.to_us AS b, s.owner, greatest(w.from_us, s.from_us) AS f, least(w.to_us, s.to_us) AS t
+    FROM st s JOIN win w ON w.actor_id = s.actor_id AND w.local_day = s.local_day AND w.from_us < s.to_us AND w.to_us > s.from_us
+    WHERE NOT padding
+  )
+  SELECT {DS}, owner, coalesce(lag(t) OVER (PARTITION BY {DS}, a, b ORDER BY f), a) AS from_us, f AS to_us FROM w
+  UNION ALL SELECT {DS}, owner, max(t), b FROM w GROUP BY {DS}, owner, a, b
+  UNION ALL SELECT {DS}, owner, from_us, to_us FROM st s WHERE NOT padding AND NOT EXISTS (
+    SELECT 1 FROM w WHERE w.actor_id = s.actor_id AND w.local_day = s.local_day AND w.a = s.from_us AND w.b = s.to_us)
+) WHERE to_us - from_us > 240000000"""
+
+#: Rules that can't fire, each with what is wrong with it; as in fixtures.RULES, under the ids from 100 on.
+FLAWED = [
+    ("project", "dead", "", "key", "h5.example.com", None, "covered by never"),
+    ("project", "p", "", "key", "", None, "empty"),
+    ("project", "p", "", "key", "x.example.com:443", None, "default port"),
+    ("subject", "", "", "path", "/src/p2", None, "no capture"),
+    ("project", "p", "", "emoji", "x", None, "no matcher"),
+]
+
+
+def dead(c):
+    """Every rule, what is wrong with it and on how many entries it hits all the same."""
+    flawed = c.spark.createDataFrame([(100 + i, None, *r[:-1]) for i, r in enumerate(FLAWED)], c.rules.schema)
+    rules = c.rules.unionByName(flawed)
+    hits = R.all_hits(c.targets, R.parse_rules(rules)).join(R.with_tid(c.entries).groupBy("tid").agg(F.count("*").alias("n_")), "tid").groupBy("rule_id").agg(F.sum("n_").alias("hits"))
+    out = rules.select("rule_id").join(R.dead_rules(rules), "rule_id", "left").join(hits, "rule_id", "left")
+    return out.select("rule_id", F.coalesce("problem", F.lit("")).alias("problem"), F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
+
+
+DEAD = """SELECT range AS rule_id, '' AS problem, (SELECT count(*) FROM hit WHERE hit.rule_id = range) AS hits FROM range(12)
+UNION ALL SELECT 100, 'covered by never', (SELECT count(*) FROM ent WHERE host = 'h5.example.com')
+UNION ALL SELECT 103, 'no capture', (SELECT count(*) FROM ent WHERE cwd = '/src/p2')
+UNION ALL SELECT * FROM (VALUES (101, 'empty', 0), (102, 'default port', 0), (104, 'no matcher', 0))"""
+
+
 def register(query) -> None:
     # predicates, columns and ranges
     query("count_events", lambda c: c.entries.where("local_day >= date '2024-01-05' and local_day < date '2024-01-20'").groupBy("source").agg(F.count("*").alias("n")), after("ent", "SELECT source, count(*) AS n FROM ent WHERE local_day >= DATE '2024-01-05' AND local_day < DATE '2024-01-20' GROUP BY source"))
@@ -51,8 +89,13 @@ def register(query) -> None:
     query("covers_trace", lambda c: c.named.where("covered").select(*E), after("named", f"SELECT {DS}, external_id FROM named WHERE covered"))
     query("ambiguous_trace", lambda c: c.named.where("ambiguous <> ''").select(*E, "ambiguous"), after("named", f"SELECT {DS}, external_id, ambiguous FROM named WHERE ambiguous <> ''"))
     query("except_covered", lambda c: U.except_covered(c.named), after("named", "SELECT DISTINCT actor_id, path, key FROM named WHERE NOT covered AND (path <> '' OR key <> '')"))
-    query("rules_start_inside", lambda c: c.entries.join(R.parse_rules(c.rules).where("since_day > date '2024-01-01'").select("since_day", "value"), F.col("local_day") == F.col("since_day")).groupBy("value", F.col("since_day").alias("since")).agg(F.count("*").alias("events")), after("rule", "SELECT value, since, count(*) AS events FROM rule JOIN traces ON local_day = since WHERE since > DATE '2024-01-01' GROUP BY ALL"))
-    query("dead_rules", lambda c: c.hits.join(R.dead_rules(c.rules), "rule_id", "left").groupBy("rule_id", F.coalesce("problem", F.lit("")).alias("problem")).agg(F.count_distinct("tid").alias("targets")).select("rule_id", "problem"), after("hit", "SELECT DISTINCT rule_id, '' AS problem FROM hit"))
+    inside = lambda c: R.rules_start_inside(c.rules, "2024-01-01", "2024-01-31")
+    query(
+        "rules_start_inside",
+        lambda c: c.entries.join(inside(c).select("value", F.to_date("since").alias("since")), F.col("local_day") == F.col("since")).groupBy("value", "since").agg(F.count("*").alias("events")),
+        after("rule", "SELECT value, since, count(*) AS events FROM rule JOIN traces ON local_day = since WHERE since > DATE '2024-01-01' GROUP BY ALL"),
+    )
+    query("dead_rules", dead, after("hit", DEAD))
 
     # blocks and attribution
     query("blocks", lambda c: B.blocks(c.entries).select(*E, "nth", "block_id"), after("blk", f"SELECT {DS}, external_id, nth, block_id FROM blk"))
@@ -86,7 +129,7 @@ def register(query) -> None:
     query("pauses", lambda c: U.pauses_between(c.runs), after("run", f"SELECT {DS}, from_us, to_us, {side('arg_max', '', 'x.to_us <= r.from_us')} AS left_project, {side('arg_min', '', 'x.from_us >= r.to_us')} AS right_project FROM run r WHERE gap"))
     query("claimed_pauses", lambda c: c.claims, after("claim", f"SELECT {DS}, from_us, to_us, project, subject, held_us FROM claim"))
     query("mark_claimed_runs", lambda c: U.mark_claimed_runs(c.runs, c.pauses.unionByName(c.runs.where("gap and to_us - from_us > 3600000000").select(*D, "from_us", "to_us", F.lit(True).alias("worked"), F.lit("long").alias("project"), F.lit("").alias("subject"), F.lit(0).alias("answered_at")))).select(*D, "from_us", "to_us", "gap", "project", "claimed"), after("run", f"SELECT {DS}, from_us, to_us, gap, CASE WHEN gap AND to_us - from_us > 3600000000 THEN 'long' ELSE project END AS project, gap AND to_us - from_us > 3600000000 AS claimed FROM run"))
-    query("long_background", lambda c: U.long_background(c.p, 240_000_000))
+    query("long_background", lambda c: U.long_background(c.p, 240_000_000), after("st", LONG_BACKGROUND))
 
     # roll-ups
     cols = "project, events, attention_us, background_us, agent_us, claimed_us, wall_us"
