@@ -41,6 +41,16 @@ FLAWED = [
 ]
 
 
+#: The day as compact JSON, with its projects and runs in order.
+DOCUMENT = f"""SELECT t.actor_id, t.local_day, CAST(to_json({{'day': CAST(t.local_day AS VARCHAR),
+  'totals': {{{', '.join(f"'{c}': CAST({c} AS BIGINT)" for c in ('attention_us', 'background_us', 'active_us', 'span_us', 'padding_us', 'first_us', 'last_us'))}}},
+  'projects': p.projects, 'runs': r.runs}}) AS VARCHAR) AS document
+FROM tot t
+JOIN (SELECT {DS}, list({{'place': place, 'project': project, 'events': CAST(events AS BIGINT), 'attention_us': CAST(attention_us AS BIGINT), 'background_us': CAST(background_us AS BIGINT), 'wall_us': CAST(wall_us AS BIGINT)}} ORDER BY place) AS projects
+  FROM (SELECT *, row_number() OVER (PARTITION BY {DS} ORDER BY project = '', attention_us DESC, background_us DESC, events DESC, project) AS place FROM prow) GROUP BY ALL) p ON p.actor_id = t.actor_id AND p.local_day = t.local_day
+JOIN (SELECT {DS}, list({{'from_us': from_us, 'to_us': to_us, 'project': project, 'attention_us': CAST(attention_us AS BIGINT), 'background_us': CAST(background_us AS BIGINT), 'gap': gap}} ORDER BY from_us, to_us, project) AS runs FROM run GROUP BY ALL) r ON r.actor_id = t.actor_id AND r.local_day = t.local_day"""
+
+
 def dead(c):
     """Every rule, what is wrong with it and on how many entries it hits all the same."""
     flawed = c.spark.createDataFrame([(100 + i, None, *r[:-1]) for i, r in enumerate(FLAWED)], c.rules.schema)
@@ -157,4 +167,4 @@ def register(query) -> None:
     query("topk_keys", lambda c: U.top(U.browser_keys(c.b, *D, "project"), 3, (*D, "project"), F.desc("visits"), F.asc("key")), after("own_", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {DS}, project ORDER BY visits DESC, key) AS place, greatest(0, count(*) OVER (PARTITION BY {DS}, project) - 3) AS rest FROM (SELECT {DS}, project, key, count(*) AS visits FROM own_ WHERE key <> '' GROUP BY ALL)) WHERE place <= 3"))
     query("topk_subjects", lambda c: U.top(c.subjects, 8, D, *U.order_subjects()), after("srow", f"SELECT * FROM (SELECT *, row_number() {over} attention_us DESC, background_us DESC, events DESC, subject, project) AS place, greatest(0, count(*) OVER (PARTITION BY {DS}) - 8) AS rest FROM srow) WHERE place <= 8"))
     query("topk_unmatched", lambda c: U.top(c.unmatched, 15, D, *U.order_unmatched()), after("unm", f"SELECT * FROM (SELECT *, row_number() {over} time_us DESC, events DESC, path, key) AS place, greatest(0, count(*) OVER (PARTITION BY {DS}) - 15) AS rest FROM unm) WHERE place <= 15"))
-    query("day_document", lambda c: U.day_document(c.totals, c.rows, c.runs))
+    query("day_document", lambda c: U.day_document(c.totals, c.rows, c.runs), after("tot", DOCUMENT))
