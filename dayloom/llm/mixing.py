@@ -97,31 +97,67 @@ def rounded(table: pa.Table) -> pa.Table:
     return table.set_column(table.schema.get_field_index("_p"), "_p", pa.array(p, pa.float64()))
 
 
-def mix_sources(docs: DataFrame, keep: list[str] | None = None, **how) -> DataFrame:
-    """keep (all columns unless given) plus size, source_size, target, copies and taken for each row of docs (in place of any of their names).
+def plan(narrow: DataFrame, **how) -> DataFrame:
+    """(source, _size, _row, source_size, target, _whole, _m, _extra) for each distinct row of narrow (source, _size, _row).
 
-    Only what is kept moves: leave out the text where the counts are all that is asked for.
+    _m rows are the same; each is taken _whole times and _extra of them once
+    more. As they have one size and one fraction, pivots among them leave a
+    whole number of them taken and one with the rest, so only that one goes to
+    the rounding groups. Rows without words have nothing to round.
     """
-    keep = docs.columns if keep is None else keep
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_doc"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("_size"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    goal = cut(targets(base.select("source", F.col("_size").alias("size")), **how)).withColumnRenamed("source", "_s")
+    rows = cut(narrow.groupBy("source", "_size", "_row").agg(F.count("*").alias("_m")))
+    goal = cut(targets(rows.select("source", (F.col("_size") * F.col("_m")).alias("size")), **how)).withColumnRenamed("source", "_s")
     # one row a source: Spark broadcasts it while its file is small
-    rows = base.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = rows.withColumn("_whole", F.floor(share + 1e-12)).withColumn("_p", F.greatest(F.lit(0.0), share - F.col("_whole")) * F.col("_m"))
+    rows = rows.withColumn("_extra", F.when(F.col("_size") > 0, F.floor(F.col("_p") + 1e-12)).otherwise(0)).withColumn("_p", F.greatest(F.lit(0.0), F.col("_p") - F.col("_extra")))
     groups = F.ceil((F.col("source_size") + 1) / GROUP_WORDS)
-    level = rows.withColumn("_whole", F.floor(share + 1e-12)).withColumn("_p", F.greatest(F.lit(0.0), share - F.col("_whole"))).withColumn("_group", F.pmod(F.shiftright("_row", 3), groups))
+    rows = cut(rows.withColumn("_group", F.pmod(F.shiftright("_row", 3), groups)))
+    open_ = (F.col("_p") > 0) & (F.col("_p") < 1) & (F.col("_size") > 0)
+    done, level = [rows.where(~open_).withColumn("_p", F.lit(0.0))], rows.where(open_)
     widest = goal.agg(F.max(groups)).first()[0] or 1
-    done = []
     for _ in range(1 + max(0, math.ceil(math.log(widest, FANOUT) - 1e-9))):
         level = cut(level.groupBy("source", "_group").applyInArrow(rounded, level.schema))
-        open_ = (F.col("_p") > 0) & (F.col("_p") < 1) & (F.col("_size") > 0)
         done.append(level.where(~open_))
         level = level.where(open_).withColumn("_group", F.floor(F.col("_group") / FANOUT))
     chance = F.pmod(F.xxhash64("_row", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = level.withColumn("_p", F.when(chance < F.col("_p"), 1.0).otherwise(0.0))  # the last document of each source
     for x in done:
         out = out.unionByName(x)
-    out = out.withColumn("copies", (F.col("_whole") + F.when(F.col("_p") >= 1, 1).otherwise(0)).cast("long"))
+    return out.withColumn("_extra", F.col("_extra") + F.when(F.col("_p") >= 1, 1).otherwise(0)).drop("_p", "_group")
+
+
+def mix_sources(docs: DataFrame, keep: list[str] | None = None, **how) -> DataFrame:
+    """keep (all columns unless given) plus size, source_size, target, copies and taken for each row of docs (in place of any of their names).
+
+    Rounding sees narrow rows only - a hash of the row and its size - and what
+    is kept moves once, when it meets its count, or not at all if Spark
+    broadcasts the counts by their size. Leave out the text where the counts
+    are all that is asked for. Empty input gives no rows; a very long text is
+    one document, so a mix can miss its target by that much.
+    """
+    keep = docs.columns if keep is None else keep
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_doc"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("_size"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    counts = cut(plan(base.select("source", "_size", "_row"), **how))
+
+    def told(part: DataFrame) -> DataFrame:
+        there = part.withColumnsRenamed({"source": "_s", "_size": "_n", "_row": "_r"})
+        return base.join(there, (F.col("_row") == F.col("_r")) & (F.col("_size") == F.col("_n")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_n", "_r")
+
+    # of rows that are the same in all columns some may be taken once more than others
+    apart = (F.col("_extra") > 0) & (F.col("_extra") < F.col("_m"))
+    out = told(counts.where(~apart)).withColumn("copies", F.col("_whole") + F.when(F.col("_extra") > 0, 1).otherwise(0))
+    if counts.where(apart).limit(1).count():
+        same = cut(told(counts.where(apart)).withColumn("_part", F.spark_partition_id()))
+        here = same.groupBy("_row", "_size", "source", "_part").agg(F.count("*").alias("_here"))
+        before = F.coalesce(F.sum("_here").over(W.partitionBy("_row", "_size", "source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        here = here.select(F.col("_row").alias("_r"), F.col("_part").alias("_q"), F.col("_size").alias("_n"), before.alias("_before"))
+        nth = F.row_number().over(W.partitionBy("_row", "_size", "_part").orderBy("_row"))
+        same = same.withColumn("_nth", nth).join(cut(here), (F.col("_row") == F.col("_r")) & (F.col("_part") == F.col("_q")) & (F.col("_size") == F.col("_n")))
+        same = same.withColumn("copies", F.col("_whole") + F.when(F.col("_nth") + F.col("_before") <= F.col("_extra"), 1).otherwise(0))
+        out = out.unionByName(same.select(out.columns))
+    out = out.withColumn("copies", F.col("copies").cast("long"))
     return released(out.withColumns({"size": F.col("_size"), "taken": F.col("copies") * F.col("_size")}), "size", "source_size", "target", "copies", "taken")
 
 
