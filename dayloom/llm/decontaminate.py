@@ -4,11 +4,14 @@ DataFrame functions only. An item of n distinct five-word shingles is contained
 in a document if at least ceil(threshold * n) of them occur there. Each item
 keeps a bottom-k MinHash sketch: its k = n - ceil(threshold * n) + 1 smallest
 shingle hashes. A document that contains the item misses at most k - 1 of its
-shingles, so it holds a hash of the sketch: the search loses nothing. Document
-shingles above the largest sketch hash of all items never leave their row; the
-size partition of the items (powers of two of n) isn't used for that yet, so one
-short item can let nearly all through. Candidates are then verified on the
-shingles themselves.
+shingles, so it holds a hash of the sketch: the search loses nothing. Items are
+partitioned by size (powers of two of n), as short ones keep a large part of
+their hashes and long ones only small hashes: each partition has a bound of its
+own, its largest sketch hash. A document's shingle asks those partitions alone
+whose bound it doesn't exceed, and never leaves its row if there is none.
+Candidates are then verified on the shingles themselves. Very long texts are
+searched whole; empty tables give no rows; there are no ties, as every pair at
+the threshold or above is a row.
 
 A word is a maximal run of ASCII letters and digits and of characters outside
 ASCII in the lower-cased text. Texts of fewer than five words (nulls too) have
@@ -48,8 +51,8 @@ def hashed(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def spelled(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each shingle (s, its words joined by a space), repeats included."""
-    return df.select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("s"))
+    """A row for each distinct shingle (s, its words joined by a space) of a row."""
+    return df.select(*keep, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))).alias("s"))
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
@@ -61,18 +64,26 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def searched(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item_id), repeats included: documents with a hash of the item's sketch. docs: doc_id, text_hash, h (the array)."""
+    bounds = sketch.groupBy("part").agg(F.max("h").alias("bound")).collect()  # a row for each power of two
+    if not bounds:
+        return docs.select("doc_id", "text_hash", F.lit(None).cast(sketch.schema["item_id"].dataType).alias("item_id")).limit(0)
+    parts = F.array(*(F.struct(F.lit(r["part"]).alias("part"), F.lit(r["bound"]).alias("bound")) for r in bounds))
+    highest = max(r["bound"] for r in bounds)
+    asks = F.transform(F.filter("h", lambda h: h <= F.lit(highest)), lambda h: F.transform(F.filter(parts, lambda p: h <= p["bound"]), lambda p: F.struct(p["part"].alias("part"), h.alias("h"))))
+    found = docs.select("doc_id", "text_hash", F.explode(F.flatten(asks)).alias("ask")).select("doc_id", "text_hash", "ask.part", "ask.h")
+    # Spark broadcasts the sketches while they are small, by the size of their files, and else shuffles both sides.
+    return found.join(sketch.select("item_id", "part", "h"), ["part", "h"]).select("doc_id", "text_hash", "item_id")
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) of every document and item with containment of threshold or more."""
     docs = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     items = items.select("item_id", "text")
     sketch = cut(sketches(items, threshold))
-    highest = sketch.agg(F.max("h")).first()[0]
-    if highest is None:
-        highest = -1
     found = hashed(with_shingles(docs, "text", ["doc_id", "text_hash"]), ["doc_id", "text_hash"])
-    found = found.select("doc_id", "text_hash", F.explode(F.filter("h", lambda h: h <= F.lit(highest))).alias("h"))
-    # Spark broadcasts the sketches while they are small, by the size of their files, and else shuffles both sides.
-    pairs = cut(found.join(sketch.select("item_id", "h"), "h").select("doc_id", "text_hash", "item_id").distinct())
+    pairs = cut(searched(found, sketch).distinct())
     who = pairs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
     held = docs.join(who, docs.doc_id.eqNullSafe(who.d) & (docs.text_hash == who.t), "left_semi")
     held = spelled(with_shingles(held, "text", ["doc_id", "text_hash"]), ["doc_id", "text_hash"])
