@@ -6,15 +6,20 @@ deleted by adding and subtracting their vectors (Fingerprint).
 
 * dense: each non-empty paragraph (line) adds a vector of DENSE lanes modulo
   2^32 drawn from its hash; equal multisets of paragraphs have equal sums.
-* sparse: each piece of a paragraph adds one value to one of SPARSE lanes modulo
-  2^16, at LEVELS levels of which each keeps an eighth of the pieces before.
-  Pieces are runs of words that end at a word whose hash says so, so they follow
-  the content. Texts that share pieces agree in lanes: the likeness is the share
-  of equal lanes among those in use, at the first level that isn't crowded.
+* sparse: each paragraph adds a vector of LEVELS * SPARSE lanes modulo 2^8, the
+  sum of what its pieces add: a piece adds one value to one lane, at LEVELS levels
+  of which each keeps an eighth of the pieces before. Pieces are runs of words
+  that end at a word whose hash says so, so they follow the content.
+
+A fingerprint is both parts in a row, as bytes. Texts that share pieces agree in
+lanes: likeness() reads two fingerprints, and is the share of equal lanes among
+those in use, at the first level that isn't crowded; 1 for equal dense parts.
 
 A null text is empty. Documents are ordered by descending doc_id, nulls last,
-equal ids by the hash of their text; the first follows the last, and a lone
-document follows itself. Every row gives one row.
+equal ids and nulls by the hash of their text; the first follows the last, and a
+lone document follows itself. Every row gives one row, repeated ones as well;
+empty input gives none. A very long text is read whole, and one whose levels are
+all crowded is judged by the last.
 """
 
 from __future__ import annotations
@@ -30,21 +35,21 @@ from pyspark.sql import functions as F
 from .common import partitions, small_batches, table
 from .words import U, mix, powers, slices, utf8, word_hashes
 
-DENSE, SPARSE, LEVELS, PIECE = 32, 256, 5, 8
-LONGEST = 2**63 - 1
+DENSE, SPARSE, LEVELS, PIECE = 32, 128, 5, 8
+DENSE_BYTES = 4 * DENSE
 
 
 class Fingerprint:
     """The fingerprint of a multiset of paragraphs, to be kept up to date."""
 
     def __init__(self, paragraphs=()):
-        self.dense, self.sparse = np.zeros(DENSE, np.uint32), np.zeros((LEVELS, SPARSE), np.uint16)
+        self.dense, self.sparse = np.zeros(DENSE, np.uint32), np.zeros(LEVELS * SPARSE, np.uint8)
         for p in paragraphs:
             self.insert(p)
 
     def _sum(self, paragraph: str) -> tuple[np.ndarray, np.ndarray]:
-        dense, sparse = fingerprints(pa.array([paragraph], pa.string()))
-        return dense[0], sparse[0]
+        one = fingerprints(pa.array([paragraph], pa.string()))[0]
+        return one[:DENSE_BYTES].view(np.uint32), one[DENSE_BYTES:]
 
     def insert(self, paragraph: str) -> None:
         dense, sparse = self._sum(paragraph)
@@ -54,9 +59,12 @@ class Fingerprint:
         dense, sparse = self._sum(paragraph)
         self.dense, self.sparse = self.dense - dense, self.sparse - sparse
 
+    def hex(self) -> str:
+        return self.dense.tobytes().hex() + self.sparse.tobytes().hex()
+
 
-def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(n, DENSE) and (n, LEVELS, SPARSE) sums of n texts."""
+def fingerprints(texts: pa.Array) -> np.ndarray:
+    """The fingerprints of n texts, a row of bytes for each."""
     data, ends = utf8(texts)
     n, raw = len(texts), data.tobytes()
     seeds, of = [], []
@@ -72,7 +80,7 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for lane in range(DENSE):
             value = (mix(seed[:, 0] + seed[:, 1] * U(2 * lane + 1)) >> U(32)).astype(np.uint32)
             dense[of[first], lane] = np.add.reduceat(value, first, dtype=np.uint32)
-    return dense, sparse_sums(data, ends)
+    return np.concatenate([dense.view(np.uint8), sparse_sums(data, ends).reshape(n, -1)], axis=1)
 
 
 def sparse_sums(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -80,7 +88,7 @@ def sparse_sums(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lines = np.flatnonzero(data == 10) + 1
     cuts = np.unique(np.concatenate([ends, lines]))
     words, at = word_hashes(data, cuts)  # paragraph by paragraph
-    out = np.zeros((n, LEVELS, SPARSE), np.uint16)
+    out = np.zeros((n, LEVELS, SPARSE), np.uint8)
     if not len(words):
         return out
     stop = mix(words) % U(PIECE) == 0
@@ -92,26 +100,25 @@ def sparse_sums(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     np.cumsum(words * powers(base, len(words)), out=total[1:])
     piece = mix((total[end] - total[start]) * powers(U(pow(int(base), -1, 1 << 64)), len(words) + 1)[start] + (end - start).astype(U))
     text = np.searchsorted(ends, cuts[np.searchsorted(at, start, "right") - 1], "right") - 1
-    value = ((piece & U(0xFFFF)) | U(1)).astype(np.float64)
+    value = ((piece & U(0xFF)) | U(1)).astype(np.float64)
     lane = ((piece >> U(20)) % U(SPARSE)).astype(np.int64)
     for level in range(LEVELS):
         on = (piece >> U(40)) % U(8**level) == 0
         sums = np.bincount(text[on] * SPARSE + lane[on], weights=value[on], minlength=n * SPARSE)
-        out[:, level] = (sums.astype(np.int64) & 0xFFFF).astype(np.uint16).reshape(n, SPARSE)
+        out[:, level] = (sums.astype(np.int64) & 0xFF).astype(np.uint8).reshape(n, SPARSE)
     return out
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 for each pair of fingerprints (rows of a and b)."""
-    (x, p), (y, q) = a, b
+    p, q = (x[:, DENSE_BYTES:].reshape(-1, LEVELS, SPARSE) for x in (a, b))
     used = (p != 0) | (q != 0)
-    load = used.sum(axis=2)
-    fits = load <= SPARSE * 3 // 5
+    fits = used.sum(axis=2) <= SPARSE * 3 // 5
     level = np.where(fits.any(axis=1), fits.argmax(axis=1), LEVELS - 1)
     row = np.arange(len(p))
     one, two, on = p[row, level], q[row, level], used[row, level]
     same = ((one == two) & on).sum(axis=1) / np.maximum(on.sum(axis=1), 1)
-    return np.where((x == y).all(axis=1), 1.0, same)
+    return np.where((a[:, :DENSE_BYTES] == b[:, :DENSE_BYTES]).all(axis=1), 1.0, same)
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -126,32 +133,34 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    place = F.coalesce("doc_id", F.lit(-LONGEST - 1))
+    tie, last = F.xxhash64("text"), F.col("doc_id").isNull()
+    key = F.when(last, tie).otherwise(F.bitwise_not("doc_id"))  # ascending is the order
     ranges = 4 * partitions(spark)
-    bounds = rows.agg(F.percentile_approx(place, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
-    bounds = np.unique(np.array(bounds, np.int64))
+    bounds = {r["last"]: np.unique(np.array(r["b"], np.int64)) for r in rows.groupBy(last.alias("last")).agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 20 * ranges).alias("b")).collect()}
+    known, unknown = bounds.get(False, np.zeros(0, np.int64)), bounds.get(True, np.zeros(0, np.int64))
+
+    def range_of(lasts: pd.Series, keys: pd.Series) -> np.ndarray:
+        lasts, keys = lasts.to_numpy(), keys.to_numpy()
+        return np.where(lasts, len(known) + 1 + np.searchsorted(unknown, keys), np.searchsorted(known, keys))
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series((len(bounds) - np.searchsorted(bounds, ids.to_numpy(), "left")).astype(np.int32))
+    def placed(lasts: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series(range_of(lasts, keys).astype(np.int32))
 
-    heads = {r["g"]: r["head"] for r in rows.select(place.alias("id")).select("id", range_of("id").alias("g")).groupBy("g").agg(F.max("id").alias("head")).collect()}  # one row a range
+    heads = {r["g"]: r["head"] for r in rows.select(placed(last, key).alias("g"), key.alias("key")).groupBy("g").agg(F.min("key").alias("head")).collect()}  # one row a range
     order = sorted(heads)
-    before = {heads[g]: order[i - 1] for i, g in enumerate(order)}  # the first range's head goes to the last range
-    head_ids = np.array(sorted(before), np.int64)
-    before_of = np.array([before[x] for x in head_ids.tolist()], np.int32)
+    head_of, before_of = np.zeros(len(known) + len(unknown) + 2, np.int64), np.zeros(len(known) + len(unknown) + 2, np.int64)
+    for i, g in enumerate(order):  # the first range's head goes to the last range
+        head_of[g], before_of[g] = heads[g], order[i - 1]
 
     @F.pandas_udf("array<int>")
-    def dealt(ids: pd.Series) -> pd.Series:
-        ids = ids.to_numpy()
-        own = 2 * (len(bounds) - np.searchsorted(bounds, ids, "left"))
-        at = np.minimum(np.searchsorted(head_ids, ids), len(head_ids) - 1)
-        head = head_ids[at] == ids
-        return pd.Series([[a, 2 * b + 1] if h else [a] for a, b, h in zip(own.tolist(), before_of[at].tolist(), head.tolist(), strict=True)])
+    def dealt(lasts: pd.Series, keys: pd.Series) -> pd.Series:
+        g = range_of(lasts, keys)
+        return pd.Series([[2 * a, 2 * b + 1] if h else [2 * a] for a, b, h in zip(g.tolist(), before_of[g].tolist(), (head_of[g] == keys.to_numpy()).tolist(), strict=True)])
 
-    sent = rows.select("doc_id", "text", F.explode(dealt(place)).alias("to"), place.alias("place"), F.xxhash64("text").alias("tie"))
-    sent = sent.select("doc_id", "text", F.shiftright("to", 1).alias("range"), (F.col("to") % 2).alias("guest"), "place", "tie")
-    laid = sent.repartition(partitions(spark), "range").sortWithinPartitions("range", "guest", F.desc("place"), "tie").select("doc_id", "text", "range", "guest")
+    sent = rows.select("doc_id", "text", F.explode(dealt(last, key)).alias("to"), key.alias("key"), tie.alias("tie"))
+    sent = sent.select("doc_id", "text", F.shiftright("to", 1).alias("range"), (F.col("to") % 2).alias("guest"), "key", "tie")
+    laid = sent.repartition(partitions(spark), "range").sortWithinPartitions("range", "guest", "key", "tie").select("doc_id", "text", "range", "guest")
 
     def run(batches):
         held = None  # the last document of what came before
@@ -167,18 +176,17 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
                 if not len(own):
                     continue
                 edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in own.tolist()]
-                dense, sparse = fingerprints(part["text"].chunk(0))
-                other = fingerprints(pa.array(edited, pa.large_string()))
-                mine = dense[own], sparse[own]
+                every = fingerprints(part["text"].chunk(0))
+                other, mine = fingerprints(pa.array(edited, pa.large_string())), every[own]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"].chunk(0).take(pa.array(own)),
                         pa.array([len(texts[i]) for i in own.tolist()], pa.int64()),
                         pa.array([sha256(x.encode()).hexdigest() for x in edited], pa.string()),
-                        pa.array([x.tobytes().hex() for x in mine[0]], pa.string()),
-                        pa.array([x.tobytes().hex() for x in other[0]], pa.string()),
+                        pa.array([x.tobytes().hex() for x in mine], pa.string()),
+                        pa.array([x.tobytes().hex() for x in other], pa.string()),
                         pa.array(likeness(mine, other)),
-                        pa.array(likeness(mine, (dense[own + 1], sparse[own + 1]))),
+                        pa.array(likeness(mine, every[own + 1])),
                     ],
                     names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
