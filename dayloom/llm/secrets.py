@@ -9,7 +9,9 @@ joined on (text, bucket of SCOPE code points), so that no row meets more than
 the parts of three buckets, however long the text.
 
 A null text is empty: no spans. Every row of the input gives one row, repeated
-rows and null ids as well. All positions are code points, ends exclusive.
+rows and null ids as well; empty input gives none. Very long texts are searched
+whole, in time proportional to their matches. Of two kinds that begin at one
+place the one listed first comes first. All positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-SCOPE = 400
+SCOPE, RUN = 400, 256
 
 # Kind, pattern, shortest match (or second group) that counts.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -39,25 +41,29 @@ def spans(text: Column, kind: str, pattern: str) -> Column:
     """All matches of pattern, leftmost and not overlapping, as SPAN.
 
     The pieces between the matches and the matches take turns in the text, so
-    running sums of their lengths give the positions.
+    running sums of their lengths give the positions: first within RUN matches,
+    then over the runs, so that no long array is copied for each match.
     """
-    nothing = F.expr(f"cast(array() as {SPAN})")
-    both = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    fold = F.aggregate(
-        F.filter(both, lambda x: x["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), nothing.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + F.length(x["hit"])).alias("at"),
-            F.concat(
-                s["out"],
-                F.array(F.struct((s["at"] + x["gap"]).alias("start"), F.lit(ORDER.index(kind)).alias("nth"), F.lit(kind).alias("kind"), (s["at"] + x["gap"] + F.length(x["hit"])).alias("end"))).cast(SPAN)
-                if kind != "assign"
-                else F.when(F.length(F.regexp_extract(x["hit"], ASSIGN_VALUE, 1)) >= 12, F.array(F.struct((s["at"] + x["gap"]).alias("start"), F.lit(0).alias("nth"), F.lit(kind).alias("kind"), (s["at"] + x["gap"] + F.length(x["hit"])).alias("end"))).cast(SPAN)).otherwise(nothing),
-            ).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.when(text.rlike(pattern), fold).otherwise(nothing)
+    nothing, zero = F.expr(f"cast(array() as {SPAN})"), F.lit(0)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    long_enough = (lambda x: F.length(F.regexp_extract(x, ASSIGN_VALUE, 1)) >= 12) if kind == "assign" else (lambda x: F.lit(True))
+    both = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), F.transform(hits, lambda x: F.struct(F.length(x).alias("n"), long_enough(x).alias("ok"))).alias("hit"))
+    span = lambda start, end: F.struct(start.alias("start"), F.lit(ORDER.index(kind)).alias("nth"), F.lit(kind).alias("kind"), end.alias("end"))
+
+    def within(run: Column) -> Column:
+        def add(s: Column, x: Column) -> Column:
+            start, end = s["at"] + x["gap"], s["at"] + x["gap"] + x["hit"]["n"]
+            return F.struct(end.alias("at"), F.when(x["hit"]["ok"], F.concat(s["out"], F.array(span(start, end)).cast(SPAN))).otherwise(s["out"]).alias("out"))
+
+        return F.aggregate(run, F.struct(zero.alias("at"), nothing.alias("out")), add)
+
+    def over(every: Column) -> Column:  # every is a lambda's variable, so that the text is searched once
+        runs = F.transform(F.sequence(zero, F.floor((F.size(every) - 1) / RUN).cast("int")), lambda k: within(F.slice(every, k * RUN + 1, F.lit(RUN))))
+        moved = lambda s, r: F.transform(r["out"], lambda x: span(x["start"] + s["at"], x["end"] + s["at"])).cast(SPAN)
+        return F.aggregate(runs, F.struct(zero.alias("at"), nothing.alias("out")), lambda s, r: F.struct((s["at"] + r["at"]).alias("at"), F.concat(s["out"], moved(s, r)).alias("out")))["out"]
+
+    found = F.get(F.transform(F.array(F.filter(both, lambda x: x["hit"].isNotNull())), over), F.lit(0))
+    return F.when(text.rlike(pattern), found).otherwise(nothing)
 
 
 def written(found: Column) -> Column:
