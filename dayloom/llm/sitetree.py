@@ -19,7 +19,9 @@ A page is parsed once to count and once to extract. Null or empty html gives an
 empty text; a page without a host, or of a host with fewer than PAGES texts, has
 no tree and is judged by its markup: where <article> and <main> hold most of the
 text, they hold all of it.
-Repeated rows each count and each give a row.
+Repeated rows each count and each give a row; empty input gives none. Parsing
+takes time in proportion to the html, malformed or not, for pages of any length.
+Ties: an importance equal to the bound stays.
 """
 
 from __future__ import annotations
@@ -51,55 +53,83 @@ NOISE_WORDS = frozenset(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table select".split())
 PARAGRAPH_ENDS = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "summary", "legend", "figcaption"}
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
+OPEN, ENDS_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)"), re.compile(r"""[<>"']""")
+#: Elements nested deeper belong to the element at this depth, as in browsers.
+DEEPEST = 400
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(r"[^\W_]+")
 
 
+def next_tag(html: str, at: int, last: dict[str, int]) -> tuple[int, int, bool, str, str] | None:
+    """(start, end, is an end tag, name, attributes) of the first tag from at on; comments and declarations have no name.
+
+    A "<" that no ">" ends before the next "<" outside quotes is text. last has
+    the last place of each quote and of ">", so that none is looked for in vain.
+    """
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            return at, end + 3 if end >= 0 else len(html), False, "", ""
+        if html.startswith(("<!", "<?"), at):
+            if at < last[">"]:
+                return at, html.find(">", at) + 1, False, "", ""
+        elif m := OPEN.match(html, at):
+            k = m.end()
+            while (q := ENDS_TAG.search(html, k)) and q[0] in "\"'" and q.start() < last[q[0]]:
+                k = html.find(q[0], q.end()) + 1
+            if q and q[0] == ">":
+                return at, q.end(), bool(m[1]), m[2].lower(), html[m.end() : q.start()]
+        at += 1
+    return None
+
+
 class Page:
     """Element nodes of a page in order (parent, tag, path, noise, inside) and its pieces of text (node, text), None between blocks."""
 
     def __init__(self, html: str):
         self.parent, self.tag, self.path, self.named = [-1], ["#"], [0], [False]
         self.pieces: list[tuple[int, str] | None] = []
-        stack, at, n = [0], 0, len(html)
-        while at < n:
-            m = TAG.search(html, at)
-            text = html[at : m.start() if m else n]
-            if text:
-                self.pieces.append((stack[-1], text))
-            if not m:
-                break
-            at = m.end()
-            tag = (m[2] or "").lower()
+        stack, at, last = [0], 0, {q: html.rfind(q) for q in "\"'>"}
+        self.count: dict[str, int] = {}
+        while found := next_tag(html, at, last):
+            start, end, closes, tag, attributes = found
+            if start > at:
+                self.pieces.append((stack[-1], html[at:start]))
+            at = end
             if not tag:
                 continue
             if tag in BLOCKS:
                 self.pieces.append(None)
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        del stack[k:]
-                        break
+            if closes:
+                self._close(stack, {tag}, frozenset(), across=True)
                 continue
             if tag in PARAGRAPH_ENDS:
                 self._close(stack, {"p"}, frozenset({"button"}))
             if tag in ENDS:
                 self._close(stack, ENDS[tag], LISTS)
-            node = self._open(stack[-1], tag, m[3])
+            node = self._open(stack[-1], tag, attributes)
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
-            elif tag not in VOID and not m[3].endswith("/"):
+                close = re.compile(rf"</{tag}\b[^<>]*>?", re.I).search(html, at)
+                at = close.end() if close else len(html)
+            elif tag not in VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
                 stack.append(node)
+                self.count[tag] = self.count.get(tag, 0) + 1
+        if at < len(html):
+            self.pieces.append((stack[-1], html[at:]))
         self._judge()
 
-    def _close(self, stack: list[int], tags: set[str], walls: frozenset[str]) -> None:
+    def _close(self, stack: list[int], names: set[str], walls: frozenset[str], across: bool = False) -> None:
+        """Close the innermost open element with one of the names; unless across is given, not across blocks or walls."""
+        if not any(self.count.get(t) for t in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in tags:
+            tag = self.tag[stack[k]]
+            if tag in names:
+                for gone in stack[k:]:
+                    self.count[self.tag[gone]] -= 1
                 del stack[k:]
                 return
-            if self.tag[stack[k]] in BLOCKS and self.tag[stack[k]] not in tags or self.tag[stack[k]] in walls:
+            if not across and (tag in BLOCKS or tag in walls):
                 return
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
@@ -236,7 +266,7 @@ def style_trees(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """pages with one more column, text (in place of one of that name)."""
-    small_batches(pages.sparkSession, 200)
+    small_batches(pages.sparkSession)
     low = style_trees(pages).where((F.col("pages") >= PAGES) & ((F.col("path") == 0) | (F.col("importance") < F.when(F.col("inside"), LOW_INSIDE).otherwise(LOW))))
     low = cut(low.groupBy("host").agg(F.collect_list("path").alias("_low"))).withColumnRenamed("host", "_host")
     # Spark broadcasts the trees' low nodes while their file is small, and else splits hosts with many pages
