@@ -9,8 +9,13 @@ out once, in a table; a text's code length under a language is a sum of table
 entries, and the language with the shortest code is predicted.
 
 The sample is bounded: of each language the distinct texts in the order of their
-hash, until they have TRAIN_BYTES bytes; one at least. Contexts seen fewer than SEEN times over all
-languages are left out of the trees.
+hash, until they have TRAIN_BYTES bytes; one at least. Contexts seen fewer than
+SEEN times over all languages are left out of the trees.
+
+Ties go to the language that comes first by code point. A very long text is
+scored whole; empty input gives no rows. The table that is broadcast has 4 bytes
+for each context, byte value of the sample and language: it is bounded by the
+sample, and grows with the number of languages, not with the corpus.
 """
 
 from __future__ import annotations
