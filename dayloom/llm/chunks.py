@@ -3,12 +3,15 @@
 A gear hash rolls over the UTF-8 bytes of a text: h = 2 h + g[byte] in 32 bits,
 so that h depends on the last 32 bytes. A chunk ends where the top BITS bits
 are zero, at MAX bytes at the latest, never before MIN bytes and never inside a
-character. Boundaries follow the content, so an insertion moves only the chunks
+character; a rest of fewer than MIN bytes belongs to the chunk before. So chunks
+are long enough not to repeat by chance. Boundaries follow the content, so an insertion moves only the chunks
 around it. A chunk whose digest (BLAKE2b, 128 bits) occurs earlier - in a
 document with a smaller doc_id, or earlier in its own - is a repeat.
 
-Null and empty texts have no chunks. Rows of one doc_id and text count as one
-document and get the same result; a null doc_id sorts after all others.
+Null and empty texts have no chunks, a very long one has many; empty input gives
+no rows. Rows of one doc_id and text count as one document and get the same
+result; a null doc_id sorts after all others. Ties, texts of one doc_id, go by a
+hash of the text.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import carried, cut, released, small_batches, table
 from .words import mix, slices, utf8
 
-BITS, MIN, MAX, WINDOW = 6, 16, 1024, 32
+BITS, MIN, MAX, WINDOW = 6, 64, 1024, 32
 GEAR = (mix(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -53,9 +56,11 @@ def boundaries(data: np.ndarray, ends: np.ndarray) -> list[list[int]]:
                     last = q
                 while p < b - a and not starts_char[a + p]:
                     p += 1
-                if p - last >= MIN or p == b - a and p > last:
+                if p - last >= MIN or p == b - a and not cuts:
                     cuts.append(p)
                     last = p
+                elif p == b - a and p > last:  # a short rest belongs to the chunk before
+                    cuts[-1] = p
         out.append(cuts)
     return out
 
