@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, fingerprint, language, lines, mixing, neardup, secrets, sitetree, suffix
+from . import chunks, decontaminate, divergence, fingerprint, language, lines, mixing, neardup, secrets, sitetree, suffix, vectorcodes
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_run_length_index": suffix.op8_run_length_index,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_content_defined_chunks": chunks.op10_content_defined_chunks,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_laesa_vector_codes": vectorcodes.op13_laesa_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op9_line_dedup": lines.OP9_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
+    "op13_laesa_vector_codes": vectorcodes.OP13_SQL,
 }

@@ -116,3 +116,40 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def gathered(batches, column: str, limit: int = 16_000_000):
+    """Tables of consecutive rows whose texts hold about limit bytes, from batches of any size."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column, limit):
+            held.append(part)
+            size += part.column(part.schema.get_field_index(column)).nbytes
+            if size >= limit:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def numbered_words(texts: pa.Array, inside: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The number of every word, the words by number, and for each text the index of its first word (with a last entry for the end).
+
+    A word is a maximal run of bytes of which inside is true; fold gives the byte that each counts as.
+    """
+    data, ends = utf8(texts)
+    on = inside[data]
+    first = on.copy()
+    first[1:] &= ~on[:-1]
+    starts = ends[:-1][np.diff(ends) > 0]
+    first[starts] = on[starts]
+    begin = np.flatnonzero(first)
+    body = fold[data[on]]
+    where = np.append(np.cumsum(on)[begin] - 1, len(body)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(where), pa.py_buffer(body)]).dictionary_encode()
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary, np.searchsorted(begin, ends)
+
+
+#: A-Z count as a-z.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[ord("A") : ord("Z") + 1] += 32
