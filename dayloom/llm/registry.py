@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, divergence, fingerprint, language, lines, mixing, neardup, secrets, sitetree, suffix, vectorcodes
+from . import backoff, chunks, decontaminate, divergence, fingerprint, language, lines, mixing, neardup, secrets, sitetree, suffix, vectorcodes
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_run_length_index": suffix.op8_run_length_index,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_content_defined_chunks": chunks.op10_content_defined_chunks,
+    "op11_backoff_automaton": backoff.op11_backoff_automaton,
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_laesa_vector_codes": vectorcodes.op13_laesa_vector_codes,
 }

@@ -269,18 +269,17 @@ def compress(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Codeb
     """(vec_id, label, code, error) of the usable rows of vectors (vec_id, embedding, label), and the codebooks; None if there is no such row."""
     small_batches(vectors.sparkSession)
     kept = usable(vectors)
-    first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(ENTRIES).collect()  # ENTRIES rows at most
+    first_rows = lambda df: df.orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(ENTRIES).collect()  # noqa: E731  ENTRIES at most
+    first = first_rows(kept)
     nothing = kept.select("vec_id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("bigint").alias("error"))
-    if not first:
-        return nothing, None
-    long = len(first[0]["embedding"])
-    if long % PARTS:
+    if not first or (long := len(first[0]["embedding"])) % PARTS:
         return nothing, None
     size = long // PARTS
-    limit = narrow(size)
-    start = np.array([r["embedding"] for r in first if len(r["embedding"]) == long], np.float64).reshape(-1, long)
+    limit, fits = narrow(size), F.size("embedding") == long
+    if any(len(r["embedding"]) != long for r in first):
+        first = first_rows(kept.where(fits))
+    start = np.array([r["embedding"] for r in first], np.float64).reshape(len(first), long)
     books = Codebooks([integers(start[:, k * size : (k + 1) * size], limit) for k in range(PARTS)])
-    fits = F.size("embedding") == long
     measured = cut(with_pivot_distances(kept.where(fits), books, size, limit))
     books = train(measured, books, size, limit, rounds)
     return encoded(measured, books, size, limit).unionByName(nothing.where(~fits)), books
