@@ -1,7 +1,8 @@
 """Blocks of activity, and what unnamed traces inherit from their surroundings.
 
 Everything is a window over D = (actor_id, local_day) or over a block of it, so
-one exchange by D serves all.
+one exchange by D serves all. Days with more than HOT_DAY rows go by segments.py
+instead.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from ..sources.traces import ORD, D
+from . import segments
 
 B = (*D, "block_id")
 ALL = (W.unboundedPreceding, W.unboundedFollowing)
@@ -25,8 +28,30 @@ def block(backwards: bool = False) -> WindowSpec:
     return W.partitionBy(*B).orderBy(*(F.desc(c) if backwards else F.asc(c) for c in ORD))
 
 
-def blocks(entries: DataFrame) -> DataFrame:
+#: Rows of an actor-day beyond which it is cut into slices.
+HOT_DAY = 1_000_000
+
+
+def hot_days(entries: DataFrame, most: int = HOT_DAY) -> DataFrame | None:
+    """(D) of the actor-days with more than most rows, or None: rows / most of them at the utmost."""
+    found = stored(entries.groupBy(*D).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*D))
+    return found if found.limit(1).count() else None
+
+
+def either(rows: DataFrame, hot: DataFrame | None, plain, large) -> DataFrame:
+    """plain for the days that aren't hot, large for those that are; both give the same rows and columns."""
+    if hot is None:
+        return plain(rows)
+    rest = plain(rows.join(hot, list(D), "left_anti").select(rows.columns))
+    return rest.unionByName(large(rows.join(hot, list(D), "left_semi").select(rows.columns)).select(rest.columns))
+
+
+def blocks(entries: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """entries with nth (1, 2, ... in the day) and block_id: a new block starts where a trace begins more than the gap after everything before it has ended."""
+    return either(entries, hot, day_blocks, lambda rows: segments.numbered(segments.sliced(rows)).drop("_slice"))
+
+
+def day_blocks(entries: DataFrame) -> DataFrame:
     before = F.max("end_us").over(day().rowsBetween(W.unboundedPreceding, -1))
     new = before.isNull() | (F.col("ts_us") - before > F.col("gap_us"))
     out = entries.withColumns({"before_us": before, "_new": new.cast("int"), "nth": F.row_number().over(day())})
@@ -68,7 +93,11 @@ def neighbour_blocks(b: DataFrame) -> DataFrame:
     w = W.partitionBy(*D).orderBy("block_id")
     before = F.last("last_named", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, -1))
     after = F.last("first_named", ignorenulls=True).over(W.partitionBy(*D).orderBy(F.desc("block_id")).rangeBetween(W.unboundedPreceding, -1))
-    b = b.withColumns({"_b": before, "_a": after})
+    return from_neighbours(b.withColumns({"_b": before, "_a": after}))
+
+
+def from_neighbours(b: DataFrame) -> DataFrame:
+    """b with origin, candidates and project, from first_named and last_named of its block and _b and _a, the names nearest before and after it."""
     x, y = F.col("_b"), F.col("_a")
     origin = F.when(F.col("first_named").isNotNull(), "own").when(x == y, "neighbours").when(x.isNull() != y.isNull(), "one-neighbour").otherwise("none")
     b = b.withColumn("origin", origin)
@@ -79,8 +108,15 @@ def neighbour_blocks(b: DataFrame) -> DataFrame:
 
 def nearest_touch(b: DataFrame) -> DataFrame:
     """b with owner, owner_subject, owner_session and ground of the time that begins at each event: those of the nearest event of the block that owns time."""
-    payload = F.struct("project", "subject", F.col("session_id").alias("session"), "own", "by_rule")
-    got = _nearest(F.col("owns"), payload)
+    return from_owner(b, _nearest(F.col("owns"), owner()))
+
+
+def owner() -> Column:
+    """What an event that owns time hands on."""
+    return F.struct("project", "subject", F.col("session_id").alias("session"), "own", "by_rule")
+
+
+def from_owner(b: DataFrame, got: Column) -> DataFrame:
     own = F.struct("project", "subject", F.lit("").alias("session"), "own", "by_rule")
     b = b.withColumn("_o", F.coalesce(got, own))
     return b.withColumns({"owner": F.col("_o.project"), "owner_subject": F.col("_o.subject"), "owner_session": F.coalesce("_o.session", F.lit("")), "ground": ground(F.col("_o.project"), F.col("_o.own"), F.col("_o.by_rule"))}).drop("_o")
@@ -91,9 +127,9 @@ def ground(owner: Column, own: Column, by_rule: Column) -> Column:
     return F.when(owner == "", "none").when(own & by_rule, "rule").when(own, "fallback").when(F.col("origin").isin("neighbours", "one-neighbour"), F.col("origin")).otherwise("inherited")
 
 
-def attributed(named: DataFrame) -> DataFrame:
-    """named entries with blocks, inherited names and owners."""
-    return nearest_touch(neighbour_blocks(nearest_anchor(blocks(named))))
+def attributed(named: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """named entries with blocks, inherited names and owners. hot: days to be cut into slices, as hot_days finds them."""
+    return either(named, hot, lambda rows: nearest_touch(neighbour_blocks(nearest_anchor(day_blocks(rows)))), segments.attributed)
 
 
 def block_projects(b: DataFrame) -> DataFrame:

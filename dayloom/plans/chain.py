@@ -47,9 +47,13 @@ class Chain:
     def named(self) -> DataFrame:
         return rules.named(self.entries, self.rules)
 
+    @cached_property
+    def hot(self) -> DataFrame | None:
+        return blocks.hot_days(self.entries)
+
     @cached_property
     def b(self) -> DataFrame:
-        return stored(blocks.attributed(self.named))
+        return stored(blocks.attributed(self.named, self.hot))
 
     @cached_property
     def h(self) -> DataFrame:

@@ -108,8 +108,8 @@ def register(query) -> None:
     query("dead_rules", dead, after("hit", DEAD))
 
     # blocks and attribution
-    query("blocks", lambda c: B.blocks(c.entries).select(*E, "nth", "block_id"), after("blk", f"SELECT {DS}, external_id, nth, block_id FROM blk"))
-    query("block_bounds", lambda c: B.block_bounds(B.blocks(c.entries)), after("bl", f"SELECT {DS}, block_id, block_from_us AS from_us, block_to_us AS to_us, events FROM bl"))
+    query("blocks", lambda c: B.blocks(c.entries, c.hot).select(*E, "nth", "block_id"), after("blk", f"SELECT {DS}, external_id, nth, block_id FROM blk"))
+    query("block_bounds", lambda c: B.block_bounds(B.blocks(c.entries, c.hot)), after("bl", f"SELECT {DS}, block_id, block_from_us AS from_us, block_to_us AS to_us, events FROM bl"))
     query("nearest_anchor", lambda c: B.nearest_anchor(B.blocks(c.named)).select(*E, "project", "anchor"), after("near", f"SELECT {DS}, external_id, got AS project, anchor FROM near"))
     query("neighbour_blocks", lambda c: c.b.select(*E, "project", "origin", F.array_join("candidates", "|").alias("candidates")), after("b_", f"SELECT {DS}, external_id, project, origin, candidates FROM b_"))
     query("nearest_touch", lambda c: c.b.select(*E, "owner", "owner_subject", "owner_session"), after("own_", f"SELECT {DS}, external_id, owner, owner_subject, owner_session FROM own_"))
