@@ -21,8 +21,12 @@ Documents are dealt into groups of about GROUP_BYTES, in one shuffle. A group
 asks for its distinct n-grams, with its own training counts, at the shards that
 hold ranges of their hashes; a shard adds up what its groups have, and answers
 each with the totals; a group makes the states and arcs that its texts can
-reach. So a frequent word is one row a group, whatever its share. Words are
-compared as they are; longer n-grams by 64-bit hashes of their words.
+reach. So a frequent word is one row a group, whatever its share. Only n-grams
+that may be in another group are asked for: from three tokens on, those whose
+first and last n - 1 tokens both are; the counts of all others are known where
+they are. Words are compared as they are, longer n-grams by KEY_BITS of a hash
+among the SHARD_KEYS or so of their shard: one in a hundred million shares the
+count of another, at any size of the corpus.
 
 A null text is empty: one token, the end. Rows with a null doc_id are scored and
 neither learned from nor held out. Repeated rows are documents of their own. A
@@ -34,6 +38,7 @@ no rows.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -48,7 +53,7 @@ from .words import FOLD, U, mix, numbered_words, slices
 ORDER = 3
 #: For histories of 1, 2, ... tokens.
 PRIOR = (500.0, 20.0)
-GROUP_BYTES, SHARD_KEYS = 16_000_000, 4_000_000
+GROUP_BYTES, SHARD_KEYS, KEY_BITS = 12_000_000, 2_000_000, 48
 START, END = b"\t", b"\n"
 #: Bytes of a word: all but white space.
 INSIDE = np.ones(256, bool)
@@ -69,56 +74,104 @@ def unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
+def packed(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys as steps: the low halves, which are noise, and the high ones, which are small."""
+    steps = np.diff(keys, prepend=U(0))
+    return steps.astype(np.uint32).tobytes(), zlib.compress((steps >> U(32)).astype(np.uint32).tobytes(), 1)
+
+
+def unpacked(low: bytes, high: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(low, np.uint32).astype(np.int64) | np.frombuffer(zlib.decompress(high), np.uint32).astype(np.int64) << 32)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, by value, and the number of each place's value."""
+    order = np.argsort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    number = np.empty(len(x), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], number
+
+
 class Grams:
     """The distinct n-grams of texts, and which one ends at each place.
 
     at[n - 1] has the n-gram's number for each place, -1 where the text has no
-    n tokens yet; first the place where each number comes first.
+    n tokens yet; place[n - 1] a place of each number.
     """
 
     def __init__(self, texts: pa.Array, order: int = ORDER):
         number, words, starts = numbered_words(texts, INSIDE, FOLD)
-        self.words = [*words.to_pylist(), START, END]
+        self.words = [*words.to_pylist(), START, END] if len(texts) else []
         size = len(self.words)
         ends = np.append(0, np.cumsum(np.diff(starts) + 2))
-        self.begin, seq = ends[:-1], np.full(ends[-1], -1)
+        self.begin, seq = ends[:-1], np.full(ends[-1], -1, np.int32)
         seq[self.begin], seq[ends[1:] - 1] = size - 2, size - 1
         seq[seq < 0] = number
-        self.text = np.repeat(np.arange(len(texts)), np.diff(ends))
-        nth = np.arange(len(seq)) - self.begin[self.text]
-        present, first, of = np.unique(seq, return_index=True, return_inverse=True)
-        self.words = [self.words[i] for i in present.tolist()]  # without texts there is no start and no end
-        self.at, self.first = [of], [first]
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))
+        nth = np.arange(len(seq), dtype=np.int32) - self.begin[self.text].astype(np.int32)
+        place = np.zeros(size, np.int64)
+        place[seq] = np.arange(len(seq))
+        self.at, self.place = [seq], [place]
         for n in range(2, order + 1):
-            place = np.flatnonzero(nth >= n - 1)
-            _, first, number = np.unique(self.at[-1][place - 1] * max(1, len(present)) + of[place], return_index=True, return_inverse=True)
-            ids = np.full(len(seq), -1)
-            ids[place] = number
+            ends_here = np.flatnonzero(nth >= n - 1)
+            place, number = distinct(self.at[-1][ends_here - 1].astype(np.int64) * max(1, size) + seq[ends_here])
+            ids = np.full(len(seq), -1, np.int32)
+            ids[ends_here] = number
             self.at.append(ids)
-            self.first.append(place[first])
+            self.place.append(ends_here[place])
 
     def counts(self, n: int, chosen: np.ndarray) -> np.ndarray:
         """How often each n-gram occurs in the chosen texts."""
         on = (self.at[n - 1] >= 0) & chosen[self.text]
-        return np.bincount(self.at[n - 1][on], minlength=len(self.first[n - 1]))
+        return np.bincount(self.at[n - 1][on], minlength=len(self.place[n - 1]))
 
-    def keys(self) -> list[np.ndarray]:
-        """64-bit hashes of the n-grams of each length."""
+    def keys(self, n: int) -> np.ndarray:
+        """64-bit hashes of the n-grams of length n."""
         words = np.empty(len(self.words), object)
         words[:] = self.words
-        out = [mix(pd.util.hash_array(words, categorize=False))]
-        for n in range(2, len(self.at) + 1):
-            place = self.first[n - 1]
-            out.append(mix(out[-1][self.at[n - 2][place - 1]] * _STEP + out[0][self.at[0][place]]))
+        word = out = mix(pd.util.hash_array(words, categorize=False))
+        for k in range(2, n + 1):
+            place = self.place[k - 1]
+            out = mix(out[self.at[k - 2][place - 1]] * _STEP + word[self.at[0][place]])
         return out
 
-    def sent(self, shards: int):
-        """For each n: (order of the n-grams by key, where each shard's begin in it, keys in that order)."""
-        for key in self.keys():
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            shard = ((key >> U(32)) * U(shards)) >> U(32)
-            yield order, np.searchsorted(shard, np.arange(shards + 1)), key
+    def open(self, n: int, shared: list[np.ndarray]) -> np.ndarray:
+        """The n-grams that another group may have, from what is known of shorter ones."""
+        place = self.place[n - 1]
+        if n <= 2:
+            return np.arange(len(place))
+        return np.flatnonzero(shared[n - 2][self.at[n - 2][place - 1]] & shared[n - 2][self.at[n - 2][place]])
+
+    def dealt(self, n: int, shards: int, shared: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the open n-grams by shard and key, where each shard's begin, their keys)."""
+        chosen = self.open(n, shared)
+        key = self.keys(n)[chosen]
+        order = np.argsort(key)
+        key = key[order]
+        begins = np.array([(k << 64) // shards for k in range(shards)], U)
+        cuts = np.append(np.searchsorted(key, begins), len(key))
+        key -= np.repeat(begins, np.diff(cuts))
+        return chosen[order], cuts, key >> U(max(0, ((1 << 64) // shards).bit_length() - KEY_BITS))
+
+    def told(self, train: np.ndarray, answers: pa.Table | None, shards: int, longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each length up to longest: counts over all training texts, and whether another group has the n-gram."""
+        said: dict[int, dict[int, bytes]] = {}
+        for n, shard, more in zip(*(answers[c].to_pylist() for c in ("n", "shard", "more")), strict=True) if longest else ():
+            said.setdefault(n, {})[shard] = more
+        counts: list[np.ndarray] = []
+        shared: list[np.ndarray] = []
+        for n in range(1, longest + 1):
+            total, other = self.counts(n, train), np.zeros(len(self.place[n - 1]), bool)
+            chosen, cuts, _ = self.dealt(n, shards, shared)
+            if len(chosen):
+                more = np.concatenate([unplaned(said[n][shard]) for shard in np.flatnonzero(np.diff(cuts)).tolist()])
+                total[chosen] += more >> 1
+                other[chosen] = more & 1
+            counts.append(total)
+            shared.append(other)
+        return counts, shared
 
 
 class Automaton:
@@ -129,7 +182,7 @@ class Automaton:
         p = np.maximum(counts[0], 1) / (tokens + 1)
         self.arc, self.failure = [np.log10(p)], []
         for n in range(2, len(counts) + 1):
-            place, k = grams.first[n - 1], prior[n - 2]
+            place, k = grams.place[n - 1], prior[n - 2]
             history = counts[n - 2][grams.at[n - 2][place - 1]]
             p = (counts[n - 1] + k * p[grams.at[n - 2][place]]) / (history + k)
             self.arc.append(np.log10(p))
@@ -173,38 +226,43 @@ def sizes(docs: DataFrame) -> tuple[int, int, int]:
     return tuple(x or 0 for x in r)
 
 
-def asked(t: pa.Table, shards: int, order: int) -> pa.Table:
-    """(shard, n, grp, keys, counts): the n-grams of a group of documents, a row a shard and n."""
-    grams = Grams(t["text"].combine_chunks(), order)
-    train = t["train"].to_numpy()
-    rows: dict[str, list] = {c: [] for c in ("shard", "n", "grp", "keys", "counts")}
-    for n, (by_key, cuts, key) in enumerate(grams.sent(shards), 1):
-        counts = grams.counts(n, train)[by_key]
+ASKED = "shard int, n int, grp long, keys binary, high binary, counts binary"
+
+
+def asked(t: pa.Table, answers: pa.Table | None, shards: int, lengths: tuple[int, ...]) -> pa.Table:
+    """ASKED: the open n-grams of a group of documents with their counts there, a row a shard and length. answers: those to all shorter ones."""
+    train, texts = t["train"].to_numpy(), t["text"].combine_chunks()
+    grams = Grams(texts, lengths[-1])
+    rows: dict[str, list] = {c: [] for c in ("shard", "n", "grp", "keys", "high", "counts")}
+    shared = grams.told(train, answers, shards, lengths[0] - 1)[1]
+    for n in lengths:
+        chosen, cuts, key = grams.dealt(n, shards, shared)
+        counts = grams.counts(n, train)[chosen]
         for shard in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[shard], cuts[shard + 1]
-            keys = b" ".join(grams.words[i] for i in by_key[a:b].tolist()) if n == 1 else planes(key[a:b])
-            for c, v in zip(rows, (shard, n, t["grp"][0].as_py(), keys, planes(counts[a:b])), strict=True):
+            keys = (b" ".join(grams.words[i] for i in chosen[a:b].tolist()), b"") if n == 1 else packed(key[a:b])
+            for c, v in zip(rows, (shard, n, t["grp"][0].as_py(), *keys, planes(counts[a:b])), strict=True):
                 rows[c].append(v)
-    return pa.table(rows, schema=pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("grp", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+    return pa.table(rows, schema=pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("grp", pa.int64()), ("keys", pa.binary()), ("high", pa.binary()), ("counts", pa.binary())]))
 
 
 def answered(t: pa.Table) -> pa.Table:
-    """(grp, n, shard, more, words): what other groups add to each count that was asked for; words, on one row a shard, is the number of words that training has."""
+    """(grp, n, shard, more, words): for each n-gram asked for, twice what other groups add to its count, plus one if another group has it; words, on one row a shard, is the number of words that training has."""
     out = []
     for n in sorted(set(t["n"].to_pylist())):
         rows = t.filter(pc.equal(t["n"], n))
-        read = lambda b: pa.array(b.split(b" "), pa.large_binary()) if n == 1 else pa.array(unplaned(b))  # noqa: B023, E731
-        keys = [read(b) for b in rows["keys"].to_pylist()]
+        keys = [pa.array(k.split(b" "), pa.large_binary()) if n == 1 else pa.array(unpacked(k, h)) for k, h in zip(rows["keys"].to_pylist(), rows["high"].to_pylist(), strict=True)]
         counts = np.concatenate([unplaned(b) for b in rows["counts"].to_pylist()])
         words = np.zeros(len(keys), np.int64)
         if n == 1:
             every = pa.concat_arrays(keys).dictionary_encode()
             number, token = every.indices.to_numpy(), pc.not_equal(every.dictionary, START).to_numpy(zero_copy_only=False)
         else:
-            number = np.unique(pa.concat_arrays(keys).to_numpy(), return_inverse=True)[1]
+            number = distinct(pa.concat_arrays(keys).to_numpy())[1]
         total = np.zeros(number.max() + 1, np.int64)
         np.add.at(total, number, counts)
-        more = np.split(total[number] - counts, np.cumsum([len(k) for k in keys])[:-1])
+        more = 2 * (total[number] - counts) + (np.bincount(number)[number] > 1)
+        more = np.split(more, np.cumsum([len(k) for k in keys])[:-1])
         if n == 1:
             words[0] = np.count_nonzero(token & (total > 0))
         out.append(pa.table({"grp": rows["grp"], "n": rows["n"], "shard": rows["shard"], "more": pa.array([planes(m) for m in more], pa.binary()), "words": words}))
@@ -218,14 +276,7 @@ def scored(t: pa.Table, answers: pa.Table, shards: int, tokens: int, order: int,
     """SCORED for a group of documents; words, what its shards told, on the first row."""
     grams = Grams(t["text"].combine_chunks(), order)
     train = t["train"].to_numpy()
-    told: dict[int, dict[int, bytes]] = {}
-    for n, shard, more in zip(*(answers[c].to_pylist() for c in ("n", "shard", "more")), strict=True):
-        told.setdefault(n, {})[shard] = more
-    counts = []
-    for n, (by_key, cuts, _) in enumerate(grams.sent(shards), 1):
-        total = grams.counts(n, train)
-        total[by_key] += np.concatenate([unplaned(told[n][shard]) for shard in np.flatnonzero(np.diff(cuts)).tolist()] or [np.zeros(0, np.int64)])
-        counts.append(total)
+    counts, _ = grams.told(train, answers, shards, order)
     log_p = Automaton(grams, counts, tokens, prior).read()
     c = counts[0][grams.at[0]]
     real = np.ones(len(c), bool)
@@ -249,9 +300,17 @@ def score(docs: DataFrame, order: int = ORDER, prior: tuple[float, ...] = PRIOR,
     groups, shards = max(1, math.ceil(size / group_bytes)), max(1, math.ceil(every * order / shard_keys))
     # the place in the files deals repeated rows out as well; a task that is run again gives the same
     rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    asks = rows.groupBy("grp").applyInArrow(lambda t: asked(t, shards, order), "shard int, n int, grp long, keys binary, counts binary")
-    answers = asks.groupBy("shard").applyInArrow(answered, "grp long, n int, shard int, more binary, words long")
-    found = cut(rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda t, a: scored(t, a, shards, tokens, order, prior), SCORED))
+    by_group, answers = rows.groupBy("grp"), None
+    first = lambda lengths: lambda t: asked(t, None, shards, lengths)
+    later = lambda lengths: lambda t, a: asked(t, a, shards, lengths)
+    for lengths in [tuple(range(1, min(2, order) + 1)), *((n,) for n in range(3, order + 1))]:
+        if answers is None:
+            asks = by_group.applyInArrow(first(lengths), ASKED)
+        else:
+            asks = by_group.cogroup(answers.groupBy("grp")).applyInArrow(later(lengths), ASKED)
+        new = asks.groupBy("shard").applyInArrow(answered, "grp long, n int, shard int, more binary, words long")
+        answers = new if answers is None else answers.unionByName(new)
+    found = cut(by_group.cogroup(answers.groupBy("grp")).applyInArrow(lambda t, a: scored(t, a, shards, tokens, order, prior), SCORED))
     words = found.agg(F.sum("words")).first()[0] or 0
     base = F.col("log_counts") - F.col("n_tokens") * F.lit(math.log10(tokens + words + 1))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
