@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..sources.traces import D
 from .blocks import B
-from .rollup import top
+from .rollup import order_projects, ordered, top
 
 MIN_SPLIT_US = 300_000_000
 
@@ -63,24 +63,64 @@ def question_touches(b: DataFrame) -> DataFrame:
     return open_events(b).groupBy(*D, "trace").agg(F.count_if("touch").alias("touches"), F.count("*").alias("events"))
 
 
-def question_places(b: DataFrame) -> DataFrame:
-    """(D, trace, block_id, events, before, after): blocks in which a trace occurs, with the nearest blocks that have another name on either side."""
-    e = open_events(b).groupBy(*D, "trace", "block_id").agg(F.count("*").alias("events"))
-    n = b.groupBy(*B).agg(F.min_by("project", "nth").alias("project"))
+def block_names(b: DataFrame) -> DataFrame:
+    """(B, project, origin, before, after): what a block is called, if all its events are called the same, where that comes from, and the nearest named blocks on either side."""
+    one = F.min("project") == F.max("project")
+    n = b.groupBy(*B).agg(F.when(one, F.min("project")).otherwise("").alias("project"), F.first("origin").alias("origin"))
     w = W.partitionBy(*D).orderBy("block_id")
     mark = F.when(F.col("project") != "", F.col("project"))
-    n = n.select(*B, F.last(mark, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.last(mark, ignorenulls=True).over(W.partitionBy(*D).orderBy(F.desc("block_id")).rowsBetween(W.unboundedPreceding, -1)).alias("after"))
-    return e.join(n, list(B)).select(*D, "trace", "block_id", "events", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
-
-
-def project_candidates(places: DataFrame) -> DataFrame:
-    """(D, trace, project, reason, place): names to suggest: those on both sides first, then before, then after; by the events they stand beside."""
-    side = lambda c, r, n: places.where(F.col(c) != "").select(*D, "trace", F.col(c).alias("project"), F.lit(r).alias("reason"), F.lit(n).alias("rank"), "events")
-    both = places.where("before = after and before <> ''").select(*D, "trace", F.col("before").alias("project"), F.lit("both").alias("reason"), F.lit(0).alias("rank"), "events")
-    x = both.unionByName(side("before", "before", 1)).unionByName(side("after", "after", 2))
-    x = x.groupBy(*D, "trace", "project").agg(F.min(F.struct("rank", "reason")).alias("r"), F.sum("events").alias("events"))
-    w = W.partitionBy(*D, "trace").orderBy(F.col("r.rank"), F.desc("events"), "project")
-    return x.select(*D, "trace", "project", F.col("r.reason").alias("reason"), F.row_number().over(w).alias("place"))
+    side = lambda f, *frame: F.coalesce(f(mark, ignorenulls=True).over(w.rowsBetween(*frame)), F.lit(""))
+    return n.select(*B, "project", "origin", side(F.last, W.unboundedPreceding, -1).alias("before"), side(F.first, 1, W.unboundedFollowing).alias("after"))
+
+
+def question_places(b: DataFrame) -> DataFrame:
+    """(D, trace, block_id, events, project, origin, before, after): blocks in which a trace occurs, with what they are called and the nearest named blocks on either side."""
+    e = open_events(b).groupBy(*D, "trace", "block_id").agg(F.count("*").alias("events"))
+    return e.join(block_names(b), list(B)).select(*D, "trace", "block_id", "events", "project", "origin", "before", "after")
+
+
+def dictionary(rules: DataFrame) -> DataFrame:
+    """(actor_id, project, nth): the projects that rules name, in the order written; actor_id null for everybody."""
+    return rules.where("project <> ''").groupBy("actor_id", "project").agg(F.min("rule_id").alias("nth"))
+
+
+def project_candidates(places: DataFrame, rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(D, trace, project, reason, is_default, place): what could name a trace, strongest evidence first, each name once.
+
+    block: a block it is in has the name by itself; both: the neighbours of the
+    last block that has the same name on both sides; one side: a neighbour with
+    nothing on the other side; disagree: neighbours that do; today: the day's
+    projects (rows), busiest first; dictionary: all others that are known.
+    A name is a default only where the evidence agrees: of a block, as long as no
+    neighbours agreed before it, of both sides, and of one side if there is
+    nothing above it.
+    """
+    agrees = (F.col("before") == F.col("after")) & (F.col("before") != "")
+    lone = (F.col("before") == "") != (F.col("after") == "")
+    p = places.withColumn("agreed", F.max(agrees).over(W.partitionBy(*D, "trace").orderBy("block_id").rowsBetween(W.unboundedPreceding, 0)))
+    row = lambda df, project, reason, rung, nth, default: df.select(*D, "trace", project.alias("project"), F.lit(reason).alias("reason"), F.lit(rung).alias("rung"), nth.cast("long").alias("nth"), default.alias("is_default"))
+    zero, no = F.lit(0), F.lit(False)
+    own = (F.col("project") != "") & (F.col("origin") == "own")
+    traces = p.groupBy(*D, "trace").agg(F.max_by("before", F.when(agrees, F.col("block_id"))).alias("both"), F.max_by(F.concat("before", "after"), F.when(lone, F.col("block_id"))).alias("one"), F.max(own).alias("_own"))
+    last = traces.select(*D, "trace", F.coalesce("both", F.lit("")).alias("both"), F.coalesce("one", F.lit("")).alias("one"), "_own")
+    apart = p.where("before <> after and before <> '' and after <> ''")
+    ladder = [
+        row(p.where(own), F.col("project"), "block", 1, F.col("block_id"), ~F.col("agreed")),
+        row(last, F.col("both"), "both", 2, zero, F.lit(True)),
+        row(last, F.col("one"), "one side", 3, zero, ~F.col("_own") & (F.col("both") == "")),
+        row(apart, F.col("before"), "disagree", 4, F.col("block_id") * 2, no),
+        row(apart, F.col("after"), "disagree", 4, F.col("block_id") * 2 + 1, no),
+        row(traces.select(*D, "trace").join(ordered(rows, *order_projects()).select(*D, "project", "place"), list(D)), F.col("project"), "today", 5, F.col("place"), no),
+    ]
+    if known is not None:
+        scope = known.withColumn("_scope", F.coalesce("actor_id", F.lit("*"))).drop("actor_id")
+        each = traces.select(*D, "trace", F.explode(F.array("actor_id", F.lit("*"))).alias("_scope")).join(scope, "_scope")
+        ladder.append(row(each, F.col("project"), "dictionary", 6, F.col("nth"), no))
+    out = ladder[0]
+    for more in ladder[1:]:
+        out = out.unionByName(more)
+    out = out.where("project <> ''").groupBy(*D, "trace", "project").agg(F.min(F.struct("rung", "nth", "reason", "is_default")).alias("r"))
+    return out.select(*D, "trace", "project", "r.reason", "r.is_default", F.row_number().over(W.partitionBy(*D, "trace").orderBy("r.rung", "r.nth", "project")).alias("place"))
 
 
 def encounters(s: DataFrame, least_us: int = MIN_SPLIT_US) -> DataFrame:

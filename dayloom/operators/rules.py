@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import scalars as S
 from ..sources.store import stored
+from .literals import GRAM, LOWER, UPPER, needed
 
 #: Score of a literal match, above that of every expression.
 LITERAL = 1 << 20
@@ -121,11 +123,49 @@ def key_matches(values_: DataFrame, rules: DataFrame) -> DataFrame:
     return _matches(p.join(r, ["scope", "rule_host"]).where(ok), READS["key"], LITERAL + F.octet_length("value"), F.lit(""))
 
 
+def grams(text: Column) -> Column:
+    """The distinct runs of GRAM characters of a text, ASCII letters folded; none in a shorter one."""
+    folded = F.translate(text, UPPER, LOWER)
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substring(folded, i, F.lit(GRAM))))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def with_needed(rules: DataFrame, kind: str) -> DataFrame:
+    """The expressions of a kind with needed: strings of which a match contains one, null if that can't be told."""
+    read = F.udf(needed, ArrayType(StringType()))  # a row a rule
+    return rules.where(F.col("kind") == kind).drop("actor_id").withColumn("needed", read("value"))
+
+
+def loose_rules(rules: DataFrame) -> DataFrame:
+    """(kind, rules): how many expressions meet every text of their scope, as nothing can be said of what they need."""
+    found = with_needed(rules, "branch").unionByName(with_needed(rules, "title"))
+    return found.where("needed is null").groupBy("kind").agg(F.count("*").alias("rules"))
+
+
+def text_matches(texts: DataFrame, expressions: DataFrame) -> DataFrame:
+    """(scope, s, columns of expressions): the texts (scope, s) that expressions match. expressions: with_needed.
+
+    An expression asks by the gram of each needed string that is rarest in the
+    texts, and is tried on the texts that have the gram and the string, so rows
+    grow with what comes near a match. Expressions without such a string are
+    tried on all texts of their scope.
+    """
+    texts = texts.join(expressions.select("scope").distinct(), "scope", "left_semi")
+    asked = expressions.where("needed is not null").withColumn("string", F.explode("needed")).withColumn("gram", F.explode(grams(F.col("string"))))
+    held = texts.withColumn("gram", F.explode(grams(F.col("s")))).join(asked.select("scope", "gram").distinct(), ["scope", "gram"], "left_semi")
+    held = stored(held)
+    often = held.groupBy("scope", "gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, ["scope", "gram"], "left").groupBy("scope", "rule_id", "string").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    near = held.join(rarest, ["scope", "gram"]).where(F.translate("s", UPPER, LOWER).contains(F.col("string"))).select("scope", "s", "rule_id").distinct()
+    tight = near.join(expressions, ["scope", "rule_id"])
+    loose = texts.join(expressions.where("needed is null"), "scope")
+    return tight.unionByName(loose).where(F.expr("rlike(s, value)"))
+
+
 def regex_matches(values_: DataFrame, rules: DataFrame, kind: str) -> DataFrame:
-    """Expressions on distinct branches or titles, all of score 1, with their first group."""
+    """Expressions on distinct branches or titles, all of score 1, with their first group. A text that many actors have meets the rules for everybody once."""
     (column,) = READS[kind]
     p = scoped(_distinct(values_, kind)).withColumn("s", F.col(column))
-    joined = p.join(rules.where(F.col("kind") == kind).drop("actor_id"), "scope").where(F.expr("rlike(s, value)"))
+    joined = p.join(text_matches(p.select("scope", "s").distinct(), with_needed(rules, kind)), ["scope", "s"])
     group = F.when(F.col("value").rlike(r"(?<!\\)\((?!\?)"), F.expr("regexp_extract(s, value, 1)")).otherwise("")
     return _matches(joined, READS[kind], F.lit(1), group)
 
@@ -171,13 +211,11 @@ def best_rule(hits: DataFrame) -> DataFrame:
 HIT = ("level", "kind", "n", "since_n", "rule_id", "project", "subject", "capture", "value", "since_day")
 
 
-def hit_arrays(entries: DataFrame, rules: DataFrame) -> dict[str, DataFrame]:
-    """By kind: (actor_id, values, hits), the matches of each distinct value; small tables, stored so that Spark broadcasts them by their size."""
-    rules = stored(rules)
-    read = stored(entries.select("actor_id", *(x.alias(c) for c, x in values().items())).distinct())
-    matches = {"path": path_matches(read, rules), "key": key_matches(read, rules), "branch": regex_matches(read, rules, "branch"), "title": regex_matches(read, rules, "title")}
+def hit_arrays(read: DataFrame, rules: DataFrame) -> dict[str, DataFrame]:
+    """By kind: (actor_id, values, hits), the matches of each distinct value of read (actor_id and what rules read)."""
+    matches = {"path": path_matches, "key": key_matches, "branch": lambda v, r: regex_matches(v, r, "branch"), "title": lambda v, r: regex_matches(v, r, "title")}
     kinds = {r["kind"] for r in rules.select("kind").distinct().collect()}  # the four kinds at most
-    return {k: stored(m.groupBy("actor_id", *READS[k]).agg(F.collect_list(F.struct(*HIT)).alias("hits"))) for k, m in matches.items() if k in kinds}
+    return {k: f(read, rules).groupBy("actor_id", *READS[k]).agg(F.collect_list(F.struct(*HIT)).alias("hits")) for k, f in matches.items() if k in kinds}
 
 
 def decide(h: DataFrame, keep: list[str]) -> DataFrame:
@@ -204,31 +242,41 @@ def decide(h: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def era(rules: DataFrame) -> Column:
+    """How many of the days from which a rule holds have come by local_day: the same rules are in force on all days of an era."""
+    days = [r["since_day"] for r in rules.where("since_day is not null").select("since_day").distinct().collect()]  # days of the calendar
+    return F.size(F.filter(F.array(*(F.lit(d) for d in sorted(days))), lambda d: d <= F.col("local_day"))) if days else F.lit(0)
+
+
 def named(entries: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """entries with project, subject, by_rule, covered and ambiguous: the rules' names, else the guess made at import unless silenced.
 
-    Rules meet distinct values of their kind. Entries join those by plain
-    columns, so that none is moved while the tables are small.
+    Rules meet distinct values of their kind, and what they say is decided once
+    for each combination of values and era. Entries join that by plain columns.
     """
     guess = S.text(F.col("project"))
     if rules is None:
         return entries.withColumns({"project": guess, "subject": F.lit(""), "by_rule": F.lit(False), "covered": F.lit(False), "ambiguous": F.lit("")})
-    tables = hit_arrays(entries, parse_rules(rules))
-    kept = F.when((F.col("fallback") == "cwd-basename") & ~F.col("silenced"), guess).otherwise("")
-    if tables:
-        keep, arrays = [c for c in entries.columns if c not in ("subject", "by_rule", "covered", "ambiguous")], []
-        e = entries.withColumns({f"_{c}": x for c, x in values().items()})
-        for k, table in tables.items():
-            on = F.col("actor_id") == F.col("_actor")
-            for c in READS[k]:
-                on = on & (F.col(f"_{c}") == F.col(f"_of_{c}"))
-            e = e.join(table.withColumnsRenamed({"actor_id": "_actor", "hits": f"_hits_{k}"} | {c: f"_of_{c}" for c in READS[k]}), on, "left").drop("_actor", *(f"_of_{c}" for c in READS[k]))
-            nothing = F.expr(f"cast(array() as {table.schema['hits'].dataType.simpleString()})")
-            arrays.append(F.coalesce(F.col(f"_hits_{k}"), nothing))
+    rules = stored(parse_rules(rules))
+    now, reads = era(rules), list(values())
+    read = stored(entries.select("actor_id", "local_day", *(x.alias(c) for c, x in values().items()), now.alias("era")).groupBy("actor_id", *reads, "era").agg(F.min("local_day").alias("local_day")))
+    told, arrays = read, []
+    for k, t in hit_arrays(read, rules).items():
+        told = told.join(t.withColumnRenamed("hits", f"_hits_{k}"), ["actor_id", *READS[k]], "left")
+        arrays.append(F.coalesce(F.col(f"_hits_{k}"), F.expr(f"cast(array() as {t.schema['hits'].dataType.simpleString()})")))
+    if arrays:
         in_force = F.filter(F.concat(*arrays), lambda x: x["since_day"].isNull() | (F.col("local_day") >= x["since_day"]))
-        e = decide(e.select(*keep, in_force.alias("hits")), keep)
+        told = stored(decide(told.select(*read.columns, in_force.alias("hits")), read.columns))
     else:
-        e = entries.withColumns({"rule_project": F.lit(""), "by_rule": F.lit(False), "silenced": F.lit(False), "covered": F.lit(False), "rule_subject": F.lit(""), "ambiguous": F.lit("")})
+        told = read.withColumns({"rule_project": F.lit(""), "by_rule": F.lit(False), "silenced": F.lit(False), "covered": F.lit(False), "rule_subject": F.lit(""), "ambiguous": F.lit("")})
+    new = ["rule_project", "by_rule", "silenced", "covered", "rule_subject", "ambiguous"]
+    told = told.select(F.col("actor_id").alias("_actor"), F.col("era").alias("_of_era"), *(F.col(c).alias(f"_of_{c}") for c in reads), *new)
+    e = entries.drop("subject", *new).withColumns({f"_{c}": x for c, x in values().items()} | {"_era": now})
+    on = F.col("actor_id").eqNullSafe(F.col("_actor"))
+    for c in [*reads, "era"]:
+        on = on & (F.col(f"_{c}") == F.col(f"_of_{c}"))
+    e = e.join(told, on, "left").drop("_actor", *(f"_{c}" for c in [*reads, "era"]), *(f"_of_{c}" for c in [*reads, "era"]))
+    kept = F.when((F.col("fallback") == "cwd-basename") & ~F.col("silenced"), guess).otherwise("")
     return e.withColumns({"project": F.when(F.col("by_rule"), F.col("rule_project")).otherwise(kept), "subject": F.col("rule_subject")}).drop("rule_project", "rule_subject", "silenced")
 
 

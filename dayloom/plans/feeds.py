@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..operators import stretches as T
 from ..sources import feeds as X
 from ..sources import fixtures, store
 from ..sources import traces as T2
+from ..sources.ledger import Ledger, outcomes
 from ..streaming import stream as Z
 from .oracle import after
 
@@ -121,10 +123,146 @@ x AS (SELECT uid, d FROM s JOIN d ON d >= d0 AND CASE p
 SELECT uid, epoch_us(CAST(d AS TIMESTAMP)) + 9 * 3600000000 - CASE WHEN d < DATE '1996-03-31' THEN 1 ELSE 2 END * 3600000000 AS at_us FROM x WHERE d >= DATE '{FROM}' AND d < DATE '{TO}'"""
 
 
+def ledger(c, **tables) -> Ledger:
+    return Ledger(c.spark, f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}", tables=tables)
+
+
+def ingested(c):
+    """The stored table after the same traces came in twice, forty days later the second time."""
+    path = f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}"
+    book = ledger(c)
+    for run, days in (("first", 0), ("again", 40)):
+        Z.stream_ingest(c.live_traces.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(days))), book, f"{path}/{run}").awaitTermination()
+    return book.read("events").select(*X.IDENTITY, F.unix_micros("ts").alias("ts_us"))
+
+
+def touched(c):
+    """Project rows kept by a stream whose second batch brings late traces to some of the days, and which days of those frozen in between that disturbed."""
+    path = f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}"
+    book = ledger(c, project_rows=c.rows.schema)
+
+    def build(e):
+        of = type(c)(c.spark, c.sf_dir)
+        of.entries = e  # the chain over what is stored
+        return {"project_rows": of.rows}
+
+    late, frozen = F.col("external_id").cast("bigint") % 50 == 3, None
+    for run, part in (("early", ~late), ("late", late)):
+        Z.stream_touched_days(c.live_traces.where(part), book, build, f"{path}/{run}", frozen=frozen).awaitTermination()
+        frozen = store.stored(book.read("project_rows").groupBy(*D).agg(F.sum("events").alias("events")))
+    disturbed = book.read("disturbed").select(*D, F.lit(True).alias("_d"))
+    return book.read("project_rows").join(disturbed, list(D), "left").withColumn("disturbed", F.coalesce("_d", F.lit(False))).drop("_d")
+
+
+def appended(c):
+    """What is stored after two runs that overlap, the second of which has all it brings twice, with the run that stored it."""
+    book = ledger(c)
+    new = c.traces.where("ts >= timestamp '2024-01-10'")
+    for day, rows in ((1, c.traces.where("ts < timestamp '2024-01-20'")), (2, new.unionByName(new))):
+        book.append(rows, now=dt.datetime(2024, 3, day))
+    return book.read("events").select(*X.IDENTITY, F.dayofmonth("ingested_at").alias("run"))
+
+
+def scanned(c):
+    """What a second run reads, the first of which was on 15 January, when later traces were in the future."""
+    book = ledger(c)
+    book.append(c.traces.where("ts < timestamp '2024-01-20' and actor_id <> 'a2'"), now=dt.datetime(2024, 1, 15))
+    return book.since_cursor(c.traces).select(*X.IDENTITY)
+
+
+def calendar_feed(c):
+    """Stored meetings as a feed that has lost those in 3, made those in 5 a minute longer and given those in 7 a new id."""
+    rows = c.traces.where("source = 'calendar'").withColumn("entrypoint", F.lit("work"))
+    duration = F.when(F.col("external_id").like("%5"), F.col("duration_ms") + 60000).otherwise(F.col("duration_ms"))
+    return rows, rows.where("external_id not like '%3'").withColumn("duration_ms", duration).withColumn("external_id", F.when(F.col("external_id").like("%7"), F.concat("external_id", F.lit("x"))).otherwise(F.col("external_id")))
+
+
+def replaced(c) -> tuple[Ledger, list[dict[str, int]]]:
+    """A ledger of meetings, and the counters of stating ten days of January again, twice; the feed of a2 wasn't whole."""
+    book = ledger(c)
+    rows, feed = calendar_feed(c)
+    book.append(rows)
+    asked = rows.select("actor_id", "source", "entrypoint").distinct().withColumn("whole", F.col("actor_id") != "a2")
+    return book, [book.replace_window(feed, asked, "2024-01-10", "2024-01-20") for _ in range(2)]
+
+
+def restated(c):
+    return replaced(c)[0].read("events").select(*X.IDENTITY, F.unix_micros("ts").alias("ts_us"), "duration_ms")
+
+
+INSIDE = "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'"
+RESTATED = f"""SELECT actor_id, source, external_id, epoch_us(ts) AS ts_us, CASE WHEN external_id LIKE '%5' THEN duration_ms + 60000 ELSE duration_ms END AS duration_ms FROM traces
+ WHERE source = 'calendar' AND NOT ({INSIDE} AND actor_id <> 'a2' AND (external_id LIKE '%3' OR external_id LIKE '%7'))
+ UNION ALL SELECT actor_id, source, external_id || 'x', epoch_us(ts), duration_ms FROM traces WHERE source = 'calendar' AND external_id LIKE '%7'"""
+LO, HI = 1_700_100_000, 1_700_500_000
+
+
+def accounting(c):
+    """Every counter of a run over all four sources, the stored ones included."""
+    logs, log = outcomes(X.scan_agent_log(log_lines(c)), "agent-log")
+    _, web = outcomes(X.visit_to_trace(visits(c), ignored(c)), "browser")
+    _, meetings = outcomes(X.meeting_filter(timed(c)), "calendar", "reason")
+    lines = store.stored(X.scan_reflog(reflog_lines(c)))
+    once = X.reflog_collapse(lines)
+    _, git = outcomes(X.reflog_to_trace(once, LO, HI), "git")
+    read, whole = lines.count(), lines.where("new is not null").count()
+    git |= {"malformed": read - whole, "collapsed": whole - git["found"] - git["out_of_range"]}
+    book = ledger(c)
+    found = logs.where("outcome = 'found'").withColumn("actor_id", F.lit("a"))
+    for _ in range(2):
+        log |= {n: v + log.get(n, 0) for n, v in book.append(found).items() if n != "seen"}
+    for said in replaced(c)[1]:
+        meetings |= {n: v + meetings.get(n, 0) for n, v in said.items()}
+    return X.import_accounting({"agent-log": log, "browser": web, "calendar": meetings, "git": git}, c.spark)
+
+
+def _accounts() -> str:
+    none = " UNION ALL ".join(f"SELECT '{s}' AS source, '{o}' AS outcome, 0 AS n" for s, of in X.OUTCOMES.items() for o in of)
+    stored_ = " UNION ALL ".join(f"SELECT 'calendar', '{o}', 0" for o in ("new", "moved", "unchanged", "removed", "refused"))
+    gone = f"{INSIDE} AND (external_id LIKE '%3' OR external_id LIKE '%7')"
+    return after(
+        "traces",
+        f"""SELECT source, outcome, sum(n)::BIGINT AS n FROM ({none} UNION ALL {stored_} UNION ALL
+ SELECT 'agent-log', outcome, count(*) FROM ({LOG_SQL}) GROUP BY ALL UNION ALL SELECT 'agent-log', unnest(['new', 'unchanged']), count(*) FROM ({LOG_SQL}) WHERE outcome = 'found' UNION ALL
+ SELECT 'browser', CASE WHEN ends_with({HOST}, '.example.org') OR {HOST} = 'blog.tionsh.example.net' OR ends_with({HOST}, '.blog.tionsh.example.net') THEN 'ignored' ELSE 'kept' END, count(*) FROM pages GROUP BY ALL UNION ALL
+ SELECT 'calendar', CASE WHEN o_orderkey % 17 = 0 THEN 'no uid' WHEN o_orderkey % 7 = 0 THEN 'cancelled' WHEN o_orderkey % 4 = 0 THEN 'all-day' WHEN o_orderkey % 3 = 0 THEN 'kept' ELSE 'zero' END, count(*) FROM {WHOLE} GROUP BY ALL UNION ALL
+ SELECT 'calendar', CASE WHEN {gone} THEN CASE WHEN actor_id = 'a2' THEN 'refused' ELSE 'removed' END WHEN external_id LIKE '%5' THEN 'moved' ELSE 'unchanged' END, count(*) FROM traces WHERE source = 'calendar' AND NOT (NOT ({INSIDE}) AND (external_id LIKE '%3' OR external_id LIKE '%7')) GROUP BY ALL UNION ALL
+ SELECT 'calendar', 'new', count(*) FROM traces WHERE source = 'calendar' AND external_id LIKE '%7' UNION ALL
+ SELECT 'calendar', CASE WHEN {gone} AND actor_id = 'a2' THEN 'refused' ELSE 'unchanged' END, count(*) FROM (SELECT * FROM traces WHERE source = 'calendar' AND (external_id NOT LIKE '%3' AND external_id NOT LIKE '%7' OR actor_id = 'a2' AND {gone})) GROUP BY ALL UNION ALL
+ SELECT 'calendar', 'unchanged', count(*) FROM traces WHERE source = 'calendar' AND external_id LIKE '%7' UNION ALL
+ SELECT 'git', CASE WHEN at_s >= {LO} AND at_s < {HI} THEN 'found' ELSE 'out_of_range' END, count(*) FROM (SELECT DISTINCT repo, at_s, new FROM ({REF_SQL})) GROUP BY ALL UNION ALL
+ SELECT 'git', 'collapsed', count(*) - count(DISTINCT (repo, at_s, new)) FROM ({REF_SQL})) GROUP BY ALL""",
+    )
+
+
+ACCOUNTS = _accounts()
+
+
+TRACE = "CASE WHEN key <> '' THEN 'key:' || key WHEN path <> '' THEN 'path:' || path ELSE '' END"
+#: A block is called what all its events are called; its neighbours are found by looking outwards from it.
+PLACES = f"""SELECT * FROM (WITH main AS MATERIALIZED (SELECT {DS}, block_id, CASE WHEN count(DISTINCT project) = 1 THEN any_value(project) ELSE '' END AS project, any_value(origin) AS origin FROM own_ GROUP BY ALL),
+ near AS (SELECT m.*, coalesce((SELECT arg_max(x.project, x.block_id) FROM main x WHERE x.actor_id = m.actor_id AND x.local_day = m.local_day AND x.block_id < m.block_id AND x.project <> ''), '') AS before, coalesce((SELECT arg_min(x.project, x.block_id) FROM main x WHERE x.actor_id = m.actor_id AND x.local_day = m.local_day AND x.block_id > m.block_id AND x.project <> ''), '') AS after FROM main m)
+ SELECT e.actor_id, e.local_day, trace, e.block_id, events, project, origin, before, after FROM (SELECT {DS}, {TRACE} AS trace, block_id, count(*) AS events FROM own_ WHERE NOT covered AND (path <> '' OR key <> '') GROUP BY ALL) e JOIN near n ON n.actor_id = e.actor_id AND n.local_day = e.local_day AND n.block_id = e.block_id)"""
+_DICTIONARY = ", ".join(f"({i}, '{r[1]}')" for i, r in enumerate(fixtures.RULES) if r[1])
+#: The ladder of suggestions, rung by rung; of a name the first rung counts.
+CANDIDATES = f"""SELECT * FROM (WITH p AS MATERIALIZED ({PLACES}),
+ q AS MATERIALIZED (SELECT *, CASE WHEN before <> '' AND before = after THEN 'both' WHEN before <> '' AND after = '' OR before = '' AND after <> '' THEN 'one' WHEN before <> '' AND after <> '' THEN 'apart' ELSE '' END AS kind FROM p),
+ t AS MATERIALIZED (SELECT {DS}, trace, coalesce(arg_max(before, block_id) FILTER (kind = 'both'), '') AS agreed, coalesce(arg_max(before || after, block_id) FILTER (kind = 'one'), '') AS lone, count(*) FILTER (project <> '' AND origin = 'own') AS own FROM q GROUP BY ALL),
+ ladder AS (
+  SELECT {DS}, trace, project, 'block' AS reason, 1 AS rung, block_id AS nth, NOT EXISTS (SELECT 1 FROM q x WHERE x.actor_id = q.actor_id AND x.local_day = q.local_day AND x.trace = q.trace AND x.kind = 'both' AND x.block_id <= q.block_id) AS is_default FROM q WHERE origin = 'own'
+  UNION ALL SELECT {DS}, trace, agreed, 'both', 2, 0, true FROM t
+  UNION ALL SELECT {DS}, trace, lone, 'one side', 3, 0, own = 0 AND agreed = '' FROM t
+  UNION ALL SELECT {DS}, trace, unnest([before, after]), 'disagree', 4, unnest([2 * block_id, 2 * block_id + 1]), false FROM q WHERE kind = 'apart'
+  UNION ALL SELECT t.actor_id, t.local_day, trace, r.project, 'today', 5, r.nth, false FROM t JOIN (SELECT *, row_number() OVER (PARTITION BY {DS} ORDER BY project = '', attention_us DESC, background_us DESC, events DESC, project) AS nth FROM prow) r ON r.actor_id = t.actor_id AND r.local_day = t.local_day
+  UNION ALL SELECT {DS}, trace, d.project, 'dictionary', 6, d.nth, false FROM t CROSS JOIN (SELECT name AS project, min(i) AS nth FROM (VALUES {_DICTIONARY}) v(i, name) GROUP BY name) d)
+ SELECT {DS}, trace, project, reason, is_default, row_number() OVER (PARTITION BY {DS}, trace ORDER BY rung, nth, project) AS place
+ FROM (SELECT *, row_number() OVER (PARTITION BY {DS}, trace, project ORDER BY rung, nth, reason) AS r FROM ladder WHERE project <> '') WHERE r = 1)"""
+
+
 def register(query) -> None:
     query("scan_agent_log", lambda c: X.scan_agent_log(log_lines(c)).where("outcome = 'found'").select("external_id", "session_id", "project", F.unix_micros("ts").alias("ts_us"), "type"), f"SELECT conv_id || '-' || turn AS external_id, 'c' || conv_id AS session_id, 'p' || conv_id % 7 AS project, epoch_us(TIMESTAMP '2024-01-01') + conv_id * 3600000000 + turn * 60000000 AS ts_us, role AS type FROM ({LOG_SQL}) WHERE outcome = 'found'")
     query("agent_log_label", lambda c: X.scan_agent_log(log_lines(c)).where("outcome = 'found'").groupBy("type", F.col("raw_text").alias("label")).agg(F.count("*").alias("n")), f"SELECT role AS type, CASE WHEN role = 'user' THEN 'prompt' WHEN turn % 2 = 0 THEN 'model-a Read' ELSE 'model-a' END AS label, count(*) AS n FROM ({LOG_SQL}) WHERE outcome = 'found' GROUP BY ALL")
-    query("import_accounting", lambda c: X.import_accounting(X.scan_agent_log(log_lines(c))), f"SELECT 'agent-log' AS source, outcome, count(*) AS n FROM ({LOG_SQL}) GROUP BY ALL")
+    query("import_accounting", accounting, ACCOUNTS)
     query("note_dedup", lambda c: X.note_dedup(X.scan_agent_log(log_lines(c)).where("outcome <> 'found'").select(F.col("outcome").alias("kind"), F.coalesce("type", F.lit("-")).alias("detail"))), f"SELECT outcome AS kind, count(*) AS n, min(CASE WHEN outcome = 'malformed' THEN '-' ELSE role END) AS example FROM ({LOG_SQL}) WHERE outcome <> 'found' GROUP BY ALL")
     at = "epoch_us(ts) AS ts_us"
     query("scan_visits_chrome", lambda c: chrome(c).select("visit_id", "url", F.unix_micros("ts").alias("ts_us"), "subtype"), f"SELECT event_id AS visit_id, url, {at}, ['" + "', '".join(X.CHROME) + "'][CAST(event_id % 11 AS INT) + 1] AS subtype FROM events LEFT JOIN pages ON page_id = event_id % 300 WHERE event_type IN ('click', 'view')")
@@ -139,16 +277,12 @@ def register(query) -> None:
     query("scan_reflog", lambda c: X.scan_reflog(reflog_lines(c)), REF_SQL)
     query("reflog_verb", lambda c: X.scan_reflog(reflog_lines(c)).groupBy("verb").agg(F.count("*").alias("n")), f"SELECT verb, count(*) AS n FROM ({REF_SQL}) GROUP BY ALL")
     query("reflog_collapse", lambda c: X.reflog_collapse(X.scan_reflog(reflog_lines(c))).select("repo", "at_s", "new", "ref", "rank"), f"SELECT repo, at_s, new, arg_min(ref, rank) AS ref, min(rank) AS rank FROM ({REF_SQL}) GROUP BY ALL")
-    lo, hi = 1_700_100_000, 1_700_500_000
+    lo, hi = LO, HI
     query("reflog_to_trace", lambda c: X.reflog_to_trace(X.reflog_collapse(X.scan_reflog(reflog_lines(c))), lo, hi).select("repo", "at_s", "outcome", "raw_text", "type"), f"SELECT DISTINCT repo, at_s, CASE WHEN at_s >= {lo} AND at_s < {hi} THEN 'found' ELSE 'out_of_range' END AS outcome, left(old, 7) || '..' || left(new, 7) AS raw_text, verb AS type FROM ({REF_SQL})")
     query("reflog_external_id", lambda c: X.reflog_to_trace(X.reflog_collapse(X.scan_reflog(reflog_lines(c))), lo, hi).select("external_id"), f"SELECT DISTINCT repo || '/' || strftime(make_timestamp(CAST(at_s * 1000000 AS BIGINT)), '%Y%m%dT%H%M%SZ') || '/' || left(new, 12) AS external_id FROM ({REF_SQL})")
-    new = lambda c: c.traces.where("ts >= timestamp '2024-01-10'")
-    query("append_dedup", lambda c: X.append_dedup(new(c).unionByName(new(c)), c.traces.where("ts < timestamp '2024-01-20'")).select(*X.IDENTITY), after("traces", "SELECT actor_id, source, external_id FROM traces WHERE ts >= TIMESTAMP '2024-01-20'"))
-    query("incremental_scan", lambda c: X.incremental_scan(c.traces, c.traces.where("ts < timestamp '2024-01-20' and actor_id <> 'a2'").groupBy("actor_id").agg(F.max("ts").alias("cursor"))).select(*X.IDENTITY), after("traces", "SELECT actor_id, source, external_id FROM traces t WHERE ts >= coalesce((SELECT max(x.ts) - INTERVAL 7 DAY FROM traces x WHERE x.actor_id = t.actor_id AND x.ts < TIMESTAMP '2024-01-20' AND x.actor_id <> 'a2'), TIMESTAMP '1900-01-01')"))
-    cal = lambda c: c.traces.where("source = 'calendar'")
-    feed = lambda c: cal(c).where("external_id not like '%3'").withColumn("duration_ms", F.when(F.col("external_id").like("%5"), F.col("duration_ms") + 60000).otherwise(F.col("duration_ms"))).withColumn("external_id", F.when(F.col("external_id").like("%7"), F.concat("external_id", F.lit("x"))).otherwise(F.col("external_id")))
-    inw = "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'"
-    query("replace_window", lambda c: X.replace_window(cal(c), feed(c), "2024-01-10", "2024-01-20"), after("traces", f"SELECT actor_id, source, external_id, CASE WHEN external_id LIKE '%3' OR external_id LIKE '%7' THEN 'removed' WHEN external_id LIKE '%5' THEN 'moved' ELSE 'unchanged' END AS change FROM traces WHERE source = 'calendar' AND ({inw} OR NOT (external_id LIKE '%3' OR external_id LIKE '%7')) UNION ALL SELECT actor_id, source, external_id || 'x', 'new' FROM traces WHERE source = 'calendar' AND external_id LIKE '%7'"))
+    query("append_dedup", appended, after("traces", "SELECT actor_id, source, external_id, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END AS run FROM traces"))
+    query("incremental_scan", scanned, after("traces", "SELECT actor_id, source, external_id FROM traces t WHERE ts >= coalesce((SELECT max(x.ts) - INTERVAL 7 DAY FROM traces x WHERE x.actor_id = t.actor_id AND x.source = t.source AND x.ts <= TIMESTAMP '2024-01-15' AND x.actor_id <> 'a2'), TIMESTAMP '1900-01-01')"))
+    query("replace_window", restated, after("traces", RESTATED))
     query("scan_ical", lambda c: X.scan_ical(feeds(c)).groupBy("name").agg(F.count("*").alias("n")), f"SELECT name, count(*) AS n FROM (SELECT unnest(['SUMMARY', 'DTSTART'] || CASE WHEN o_orderkey % 17 <> 0 THEN ['UID'] ELSE [] END || CASE WHEN o_orderkey % 3 = 0 THEN ['DURATION'] ELSE [] END || CASE WHEN o_orderkey % 7 = 0 THEN ['STATUS'] ELSE [] END) AS name FROM {WHOLE}) GROUP BY ALL")
     query("ical_times", lambda c: timed(c).select("uid", F.unix_micros("start_local").alias("local_us"), "tzid", "unknown_zone", "all_day", "length_us"), f"SELECT CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS uid, epoch_us(CASE WHEN o_orderkey % 4 = 0 THEN date_trunc('day', o_orderdate) ELSE date_trunc('second', o_orderdate) END) AS local_us, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 11 = 0 THEN 'UTC' ELSE 'Europe/Berlin' END AS tzid, CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 11 = 0 THEN 'W. Europe Standard Time' END AS unknown_zone, o_orderkey % 4 = 0 AS all_day, CASE WHEN o_orderkey % 3 = 0 THEN 5400000000 WHEN o_orderkey % 4 = 0 THEN 86400000000 ELSE 0 END AS length_us FROM {WHOLE}")
     query("unescape_ical", lambda c: timed(c).select("uid", "title"), f"SELECT CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS uid, 'a, b; ' || o_orderkey AS title FROM {WHOLE}")
@@ -175,12 +309,8 @@ def register(query) -> None:
     open_ = "NOT covered AND (path <> '' OR key <> '')"
     query("question_titles", lambda c: V.question_titles(c.b).select(*D, "trace", "title", "n", "place"), after("own_", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {DS}, trace ORDER BY n DESC, title) AS place FROM (SELECT {DS}, {tr} AS trace, title, count(*) AS n FROM own_ WHERE {open_} AND title <> '' GROUP BY ALL)) WHERE place <= 5"))
     query("question_touches", lambda c: V.question_touches(c.b), after("own_", f"SELECT {DS}, {tr} AS trace, count(*) FILTER (touch) AS touches, count(*) AS events FROM own_ WHERE {open_} GROUP BY ALL"))
-    nb = f"(SELECT {DS}, block_id, arg_min(project, nth) AS project FROM own_ GROUP BY ALL)"
-    pick = lambda f, op: f"coalesce((SELECT {f}(x.project, x.block_id) FROM {nb} x WHERE x.actor_id = e.actor_id AND x.local_day = e.local_day AND x.block_id {op} e.block_id AND x.project <> ''), '')"
-    places = f"SELECT {DS}, trace, block_id, events, {pick('arg_max', '<')} AS before, {pick('arg_min', '>')} AS after FROM (SELECT {DS}, {tr} AS trace, block_id, count(*) AS events FROM own_ WHERE {open_} GROUP BY ALL) e"
-    query("question_places", lambda c: V.question_places(c.b), after("own_", places))
-    query("project_candidates", lambda c: V.project_candidates(V.question_places(c.b)), after("own_", f"""SELECT {DS}, trace, project, ['both', 'before', 'after'][CAST(r + 1 AS INT)] AS reason, row_number() OVER (PARTITION BY {DS}, trace ORDER BY r, events DESC, project) AS place FROM (
- SELECT {DS}, trace, project, min(r) AS r, sum(events) AS events FROM (WITH p AS MATERIALIZED ({places}) SELECT {DS}, trace, before AS project, 0 AS r, events FROM p WHERE before = after AND before <> '' UNION ALL SELECT {DS}, trace, before, 1, events FROM p WHERE before <> '' UNION ALL SELECT {DS}, trace, after, 2, events FROM p WHERE after <> '') GROUP BY ALL)"""))
+    query("question_places", lambda c: V.question_places(c.b), after("own_", PLACES))
+    query("project_candidates", lambda c: V.project_candidates(V.question_places(c.b), c.rows, V.dictionary(c.rules)), after("prow", CANDIDATES))
     query("encounters", lambda c: V.encounters(c.s), after("st", f"SELECT {DS}, from_us, to_us, owner, ambiguous FROM st WHERE ambiguous <> '' AND NOT padding AND owner <> '' AND to_us - from_us >= {V.MIN_SPLIT_US}"))
     query("around_subject", lambda c: V.around_subject(c.s).where("around <> ''"), after("st", f"SELECT * FROM (SELECT {DS}, from_us, CASE WHEN last_value(nullif(subject, '') IGNORE NULLS) OVER (PARTITION BY {DS} ORDER BY from_us, to_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = first_value(nullif(subject, '') IGNORE NULLS) OVER (PARTITION BY {DS} ORDER BY from_us, to_us ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) THEN last_value(nullif(subject, '') IGNORE NULLS) OVER (PARTITION BY {DS} ORDER BY from_us, to_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE '' END AS around FROM st) WHERE around <> ''"))
     query("block_summary", lambda c: V.block_summary(c.b).select(*D, "block_id", "ground", "subject", F.size("traces").alias("traces")), after("own_", f"SELECT {DS}, block_id, arg_min(ground, nth) AS ground, arg_min(owner_subject, nth) AS subject, CAST(count(DISTINCT nullif({tr}, '')) AS INT) AS traces FROM own_ GROUP BY ALL"))
@@ -206,10 +336,10 @@ def register(query) -> None:
 
     # streams, run to the end of what is there
     query("stream_dedup", lambda c: landed(c, Z.stream_dedup(c.live_traces.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(2)))).drop("_n"))).select(*X.IDENTITY), after("traces", "SELECT actor_id, source, external_id FROM traces"))
-    query("stream_ingest", ingested, after("traces", "SELECT actor_id, source, external_id FROM traces"))
+    query("stream_ingest", ingested, after("traces", "SELECT actor_id, source, external_id, epoch_us(ts) AS ts_us FROM traces"))
     query("stream_counts", lambda c: landed(c, Z.stream_counts(c.live_traces), "complete").select(F.unix_micros("from_ts").alias("from_us"), "source", "n"), after("traces", "SELECT epoch_us(date_trunc('day', ts)) AS from_us, source, count(*) AS n FROM traces GROUP BY ALL"))
     query("stream_blocks", lambda c: landed(c, Z.stream_blocks(T2.entries(c.live_traces)), "complete"), after("bl", f"SELECT {DS}, block_from_us AS from_us, block_to_us AS to_us, events FROM bl"))
-    query("stream_touched_days", touched, after("ent", f"SELECT DISTINCT {DS} FROM ent"))
+    query("stream_touched_days", touched, after("prow", f"SELECT {DS}, project, events, attention_us, background_us, agent_us, claimed_us, wall_us, EXISTS (SELECT 1 FROM ent e WHERE e.actor_id = prow.actor_id AND e.local_day = prow.local_day AND CAST(e.external_id AS BIGINT) % 50 = 3) AS disturbed FROM prow"))
 
 def landed(c, rows, mode="append"):
     """What a stream of rows gives when all that is there has been read."""
@@ -220,21 +350,6 @@ def landed(c, rows, mode="append"):
     return c.spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
-def ingested(c):
-    """The stored table after the same traces came in twice."""
-    path = f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}"
-    for run in ("first", "again"):
-        Z.stream_ingest(c.live_traces, f"{path}/rows", f"{path}/{run}").awaitTermination()
-    return c.spark.read.parquet(f"{path}/rows").select(*X.IDENTITY)
-
-
-def touched(c):
-    """The days that a stream of traces touches, as its batches tell them."""
-    path = f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}"
-    Z.stream_touched_days(T2.entries(c.live_traces), lambda days: days.write.mode("append").parquet(f"{path}/days"), f"{path}/state").awaitTermination()
-    return c.spark.read.parquet(f"{path}/days").distinct()
-
-
 def snapshot(c, days):
     """All days frozen twice, the first time with nothing in them, and read back."""
     path = f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -315,8 +315,18 @@ def replace_window(stored: DataFrame, feed: DataFrame, window_from: str, window_
     return j.select(*IDENTITY, change.alias("change")).where("change is not null")
 
 
-def import_accounting(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("source", "outcome").agg(F.count("*").alias("n"))
+#: What may become of what a source holds, by source: every one is counted, and 0 is said as well.
+OUTCOMES = {
+    "agent-log": ("found", "skipped", "malformed"),
+    "browser": ("kept", "not_web", "ignored", "unparseable"),
+    "calendar": ("kept", "unreadable", "no uid", "uid too long", "cancelled", "all-day", "free", "declined-by-me", "negative", "over a day", "zero"),
+    "git": ("found", "out_of_range", "malformed", "collapsed"),
+}
+
+
+def import_accounting(counts: dict[str, dict[str, int]], spark: SparkSession) -> DataFrame:
+    """(source, outcome, n) of the counters that a run's sources gave."""
+    return spark.createDataFrame([(s, o, n) for s, of in counts.items() for o, n in of.items()], "source string, outcome string, n bigint")
 
 
 def note_dedup(notes: DataFrame, most: int = 20) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.feeds import IDENTITY, append_dedup, scan_agent_log
-from ..sources.traces import D
+from ..sources.feeds import IDENTITY, scan_agent_log
+from ..sources.ledger import Ledger
+from ..sources.traces import D, Settings, entries
 
 LATE = "7 days"
 
@@ -26,27 +26,11 @@ def stream_dedup(traces: DataFrame, late: str = LATE) -> DataFrame:
     return traces.withWatermark("ts", late).dropDuplicatesWithinWatermark(IDENTITY)
 
 
-def stream_ingest(traces: DataFrame, path: str, checkpoint: str, overlap_days: int = 7) -> StreamingQuery:
-    """Append traces to the table at path, each identity once over all runs; a batch that is tried again finds its rows there.
+def stream_ingest(traces: DataFrame, ledger: Ledger, checkpoint: str, now: dt.datetime | None = None) -> StreamingQuery:
+    """Append traces to a ledger, each identity once over all runs and whatever its time; a batch that is tried again counts once."""
 
-    The table is partitioned by day, and a batch is held against the days it
-    has and overlap_days on either side alone.
-    """
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("day", F.to_date("ts"))
-        first, last = batch.agg(F.min("day"), F.max("day")).first()
-        try:
-            stored = spark.read.schema(batch.schema).parquet(path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = batch.limit(0)
-        if first is not None:
-            near = dt.timedelta(days=overlap_days)
-            stored = stored.where(F.col("day").between(F.lit(first - near), F.lit(last + near)))
-        append_dedup(batch, stored).write.mode("append").partitionBy("day").parquet(path)
+    def write(batch: DataFrame, n: int) -> None:
+        ledger.append(batch, tag=f"{checkpoint}#{n}", now=now, observed=False)
 
     return traces.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -62,6 +46,21 @@ def stream_blocks(entries: DataFrame, late: str = LATE) -> DataFrame:
     return entries.withWatermark("ts", late).groupBy(F.session_window("ts", hold), *D).agg(F.min("ts_us").alias("from_us"), F.max(F.least("end_us", "day_end_us")).alias("to_us"), F.count("*").alias("events")).drop("session_window")
 
 
-def stream_touched_days(entries: DataFrame, recompute: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Call recompute with the distinct days (D) of each batch, to work these partitions out again."""
-    return entries.select(*D).writeStream.foreachBatch(lambda batch, _: recompute(batch.distinct())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_touched_days(traces: DataFrame, ledger: Ledger, build: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str, settings: Settings | None = None, frozen: DataFrame | None = None, now: dt.datetime | None = None) -> StreamingQuery:
+    """Keep the day tables of a ledger up to date: each batch is stored, and the actor-days that its new traces fall into are worked out again by build.
+
+    A meeting that runs over midnight counts for the day it begins in, as
+    everywhere. Days of frozen (D, events) whose number of events has changed
+    stand in the table `disturbed` after the batch. The days follow from the
+    stored traces, so a batch that stopped between the two commits works them
+    out when it is tried again.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        ledger.append(batch, tag=f"{checkpoint}#{n}", now=now, observed=False)
+        if ledger.done(f"{checkpoint}#{n}:days"):
+            return
+        days = entries(ledger.of_commit("events", f"{checkpoint}#{n}"), settings).select(*D).distinct()
+        ledger.refresh_days(days, build, settings, frozen=frozen, tag=f"{checkpoint}#{n}:days")
+
+    return traces.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
