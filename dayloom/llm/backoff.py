@@ -53,7 +53,7 @@ from .words import FOLD, U, mix, numbered_words, slices
 ORDER = 3
 #: For histories of 1, 2, ... tokens.
 PRIOR = (500.0, 20.0)
-GROUP_BYTES, SHARD_KEYS, KEY_BITS = 12_000_000, 2_000_000, 48
+GROUP_BYTES, SHARD_KEYS, KEY_BITS = 11_000_000, 2_000_000, 48
 START, END = b"\t", b"\n"
 #: Bytes of a word: all but white space.
 INSIDE = np.ones(256, bool)

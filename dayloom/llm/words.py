@@ -143,9 +143,11 @@ def numbered_words(texts: pa.Array, inside: np.ndarray, fold: np.ndarray) -> tup
     first[1:] &= ~on[:-1]
     starts = ends[:-1][np.diff(ends) > 0]
     first[starts] = on[starts]
+    last = on.copy()
+    last[:-1] &= ~on[1:]
+    last[starts[1:] - 1] = on[starts[1:] - 1]
     begin = np.flatnonzero(first)
-    body = fold[data[on]]
-    where = np.append(np.cumsum(on)[begin] - 1, len(body)).astype(np.int64)
+    body, where = fold[data[on]], np.append(0, np.cumsum(np.flatnonzero(last) + 1 - begin))
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(where), pa.py_buffer(body)]).dictionary_encode()
     return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary, np.searchsorted(begin, ends)
 
