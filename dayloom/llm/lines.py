@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,7 +193,7 @@ class LineIndex:
         ways = max(1, lines.count() // (self.shards * PROBED))
         deal = lines.withColumns({"shard": shard(self.shards), "way": F.pmod(F.xxhash64("doc_id", "at", "k2"), F.lit(ways))})
         known = self.filters.select("shard", "filter", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).alias("way"))
-        return deal.groupBy("shard", "way").cogroup(known.groupBy("shard", "way")).applyInPandas(probe, "doc_id long, text_hash long, at int, k long, k2 long")
+        return deal.groupBy("shard", "way").cogroup(known.groupBy("shard", "way")).applyInArrow(probe, "doc_id long, text_hash long, at int, k long, k2 long")
 
     def lost(self, lines: DataFrame) -> DataFrame:
         """The lines that their document loses, as another one with a smaller doc_id holds their key."""
@@ -208,11 +209,12 @@ def build_filter(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "filter": [CuckooFilter.of(pdf["k"].to_numpy()).dump()]})
 
 
-def probe(lines: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    lines = lines[["doc_id", "text_hash", "at", "k", "k2"]]
-    if known.empty or lines.empty:
-        return lines.iloc[:0]
-    return lines[CuckooFilter(table=known["filter"].iloc[0]).contains(lines["k"].to_numpy())]
+def probe(lines: pa.Table, known: pa.Table) -> pa.Table:
+    """In Arrow, as a null doc_id would turn the others into doubles elsewhere."""
+    lines = lines.select(["doc_id", "text_hash", "at", "k", "k2"])
+    if not known.num_rows or not lines.num_rows:
+        return lines.slice(0, 0)
+    return lines.filter(pa.array(CuckooFilter(table=known["filter"][0].as_py()).contains(lines["k"].to_numpy())))
 
 
 def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
