@@ -99,8 +99,8 @@ def signatures(texts: pa.Array) -> dict[str, np.ndarray]:
 SIGNED = "doc_id long, one long, two long, n long, bands array<long>"
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """SIGNED rows of the documents that have words."""
+def sign(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """SIGNED rows of the documents that have words, and their text if asked for."""
 
     def run(batches):
         for batch in batches:
@@ -112,11 +112,12 @@ def sign(docs: DataFrame) -> DataFrame:
                         part.column(0).take(pa.array(has)),
                         *(pa.array(s[k][has].astype(np.int64)) for k in ("one", "two", "n")),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(s["bands"][has].astype(np.int64).ravel())),
+                        *([part.column(1).take(pa.array(has))] if with_text else []),
                     ],
-                    names=["doc_id", "one", "two", "n", "bands"],
+                    names=["doc_id", "one", "two", "n", "bands", *(["text"] if with_text else [])],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").mapInArrow(run, SIGNED + ", text string" * with_text)
 
 
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -287,6 +288,16 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.select("bh", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bh", "rep", F.coalesce("label", "rep").alias("label"))
 
 
+def several_texts(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
+    """(doc_id, one, two, bands, text, rep) of the documents that have texts of different words, each with a made id of its own (rep); None if there are none."""
+    apart = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("one", "two")).alias("x"), F.max(F.struct("one", "two")).alias("y")).where("x <> y")
+    apart = cut(apart.select("doc_id"))
+    if not apart.limit(1).count():
+        return None
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(apart, "doc_id", "left_semi").distinct()
+    return cut(sign(texts, with_text=True).withColumn("rep", F.xxhash64("doc_id", "one", "two", F.lit(13))))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row (doc_id, class_id, class_text) for each row of docs.
 
@@ -300,7 +311,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     signed = cut(sign(docs))
-    reps = cut(signed.where("doc_id is not null").groupBy("one", "two").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("one", "two", F.col("r.doc_id").alias("rep"), "r.bands"))
+    several = several_texts(docs, signed)
+    known = signed.where("doc_id is not null")
+    if several is not None:
+        known = known.join(several.select("doc_id").distinct(), "doc_id", "left_anti")
+    known = known.select("one", "two", F.lit(False).alias("made"), F.col("doc_id").alias("rep"), "bands")
+    if several is not None:
+        known = known.unionByName(several.select("one", "two", F.lit(True).alias("made"), "rep", "bands"))
+    reps = cut(known.groupBy("one", "two").agg(F.min(F.struct("made", "rep", "bands")).alias("r")).select("one", "two", "r.made", "r.rep", "r.bands"))
     banded = reps.select("rep", F.explode("bands").alias("bh"))
     turn = lambda k: F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), "rep"))["rep"]
     buckets = cut(banded.groupBy("bh").agg(F.min("rep").alias("c0"), F.max("rep").alias("far"), turn(1).alias("c1"), turn(2).alias("c2")).where("c0 <> far").drop("far"))
@@ -308,9 +326,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     stars = met.select(F.explode(F.array("c0", "c1", "c2")).alias("c"), "rep").where("c <> rep").select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
     stars = cut(stars)
     taken = met.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(taken, "doc_id", "left_semi")
-    texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    if several is not None:
+        texts = texts.join(several.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(several.select(F.col("rep").alias("doc_id"), "text"))
+    texts = cut(texts.join(taken, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     links = cut(verified(stars, texts, threshold))
+    if several is not None:  # texts of one document belong together
+        of = cut(several.select("doc_id", "one", "two").join(reps.select("one", "two", "rep"), ["one", "two"]).select("doc_id", "rep").distinct())
+        links = cut(links.unionByName(of.join(of.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")))
     labels = min_label_components(links)
     named = cut(labelled(met, labels))
     mixed = named.groupBy("bh").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bh")
@@ -331,8 +354,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             break
         members = labelled(members, labels)
         last = found < WORTH * left
-    classes = reps.select("one", "two", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "rep", F.coalesce("label", "rep").alias("label"))
-    told = cut(signed.select("doc_id", "one", "two")).join(cut(classes), ["one", "two"], "left").select("doc_id", F.col("label").alias("class_id"), F.col("rep").alias("class_text"))
+    classes = reps.select("one", "two", "made", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "made", "rep", F.coalesce("label", "rep").alias("label"))
+    if several is not None:  # made ids give way to those of documents
+        classes = cut(classes)
+        ids = classes.where("not made").select("one", "two", "label", F.col("rep").alias("id")).unionByName(several.select("one", "two", F.col("doc_id").alias("id")).join(classes.select("one", "two", "label"), ["one", "two"]).select("one", "two", "label", "id"))
+        first = ids.groupBy("label").agg(F.min("id").alias("_first"))
+        classes = classes.join(first, "label").join(ids.groupBy("one", "two").agg(F.min("id").alias("_text")), ["one", "two"]).select("one", "two", F.col("_text").alias("rep"), F.col("_first").alias("label"))
+    told = cut(signed.select("doc_id", "one", "two")).join(cut(classes.select("one", "two", "rep", "label")), ["one", "two"], "left").select("doc_id", F.col("label").alias("class_id"), F.col("rep").alias("class_text"))
     alone = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("class_text"))
     return told.unionByName(alone)
 
@@ -342,6 +370,23 @@ def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents of which no near duplicate has a smaller doc_id; rows without a doc_id stay."""
-    gone = cut(near_duplicates(docs, threshold).where("doc_id <> class_id").select("doc_id"))
-    return docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left_anti")
+    """The documents of which no near duplicate has a smaller doc_id, one row of each doc_id.
+
+    Rows without a doc_id stay, one of each text, unless a row with an id has
+    that text.
+    """
+    gone = cut(near_duplicates(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")))
+    stay = docs.join(gone, docs.doc_id.cast("long") == gone["_gone"], "left_anti")
+    again = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_again")))
+    if not again.limit(1).count():
+        return stay
+    same = stay.doc_id.eqNullSafe(again["_again"])
+    few, rest = stay.join(again, same, "left_semi"), stay.join(again, same, "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first = F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), F.xxhash64(*columns))).alias("_row")
+    by_id = few.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(first).select("_row.*")
+    text = F.col("text").cast("string")
+    by_text = few.where("doc_id is null").groupBy(text.alias("_text")).agg(first)
+    named = docs.where("doc_id is not null").select(text.alias("_named"))
+    by_text = by_text.join(named, F.col("_text") == F.col("_named"), "left_anti").select("_row.*")
+    return rest.unionByName(by_id).unionByName(by_text)

@@ -158,7 +158,7 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert got == [(0, 0)] * 3 + [(1, 1), (2, 2), (2, 2), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (7, 7), (8, 8)]
     assert neardup.near_duplicates(none).count() == 0
     kept = neardup.keep_first(odd)
-    assert kept.columns == odd.columns and kept.count() == 12
+    assert kept.columns == odd.columns and kept.count() == 9  # one row of each id, and of each text without one
 
 
 def line_results(rows):

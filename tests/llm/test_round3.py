@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dayloom.llm import backoff, divergence, vectorcodes
+from dayloom.llm import backoff, divergence, lines, neardup, vectorcodes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -268,3 +268,37 @@ def test_queries_against_their_sql(spark, name, build, sql, table):
     df = build(spark, sf)
     cols = ", ".join(sorted(df.columns))
     assert sorted(map(repr, c.sql(f"select {cols} from ({sql})").fetchall())) == sorted(repr(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
+
+
+# --- ids that are null, repeated or of 64 bits
+
+
+def test_lines_beside_a_null_id_keep_large_ids_apart(spark):
+    line = "one line that all of them share"
+    a, b = 2**60 + 1, 2**60 + 3
+    df = spark.createDataFrame([(b, line + "\nown text of b"), (a, line + "\nown text of a"), (None, line)], "doc_id long, text string")
+    got = {r.doc_id: (r.kept, list(r.lost)) for r in lines.drop_repeated_lines(df).collect()}
+    assert got == {a: (line + "\nown text of a", []), b: ("own text of b", [0]), None: ("", [0])}
+
+
+def words_of(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def test_a_document_of_several_texts_is_near_what_any_of_them_is_near(spark):
+    x, y, z = words_of(1), words_of(2), words_of(3)
+    rows = [(5, x), (5, y), (7, y + " more"), (9, x + " more"), (11, z), (12, z), (12, words_of(4)), (2**62 + 9, words_of(5)), (2**62 + 9, words_of(6)), (2**62 + 11, words_of(6)), (None, y), (None, words_of(7))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11), (12, 11), (2**62 + 9, 2**62 + 9), (2**62 + 11, 2**62 + 9), (None, 5), (None, None)}
+
+
+def test_one_row_of_each_document_stays(spark):
+    x, y, z, u = (words_of(k) for k in (1, 2, 3, 4))
+    rows = [(1, x, "a"), (3, y, "a"), (3, y, "a"), (3, y, "b"), (4, y + " more", "a"), (None, z, "a"), (None, z, "a"), (None, x, "a"), (8, u, "a"), (8, z + " other", "a"), (None, None, "a"), (None, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _again string")
+    got = neardup.keep_first(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect()))
+    assert [k[:2] for k in kept] == [(False, 1), (False, 3), (False, 8), (True, 0), (True, 0)] and [k[2] for k in kept[3:]] == ["", z]
