@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import time
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.ledger import NO_DAY, PART, Change, Ledger
 from ..sources.traces import D
 from .rollup import claimed_pauses
 
@@ -29,22 +27,52 @@ def with_rules_hash(rows: DataFrame, rules: DataFrame, name: str = "rules_hash")
     return out.withColumn(name, F.sha2(F.concat_ws(":", F.coalesce("own", F.lit("")), F.coalesce("_all", F.lit(""))), 256)).drop("_actor", "own", "_all")
 
 
-def confirm_snapshot(parts: dict[str, DataFrame], path: str) -> None:
-    """Freeze days: write the four tables under a new version; the rows of days, written last, commit their days to it.
+#: What a frozen day keeps of the settings it was worked out with, and of the questions it was asked.
+SETTINGS = ("tz", "gap_us", "window_us", "head_us", "tail_us", "fallback", "count_background")
+ASKED = ("questions_total", "questions_answered", "one_offs")
+FROZEN_RULES = "rules_hash string, rule_id int, actor_id string, level string, project string, subject string, kind string, value string, since string"
+
+
+def frozen_ledger(spark: SparkSession, path: str, parts: dict[str, DataFrame]) -> Ledger:
+    """A ledger for frozen days, with tables shaped as parts."""
+    return Ledger(spark, path, tables={n: parts[n].schema for n in TABLES} | {"rules": FROZEN_RULES})
+
 
-    Nothing that an earlier version wrote is changed, so until its row is there
-    a day reads as before, and a part that has no rows now keeps none of before.
+def with_settings_of(days: DataFrame, entries: DataFrame, count_background: bool = False) -> DataFrame:
+    """days (D ...) with the settings that their entries were worked out with; null for a day without any."""
+    own = entries.groupBy(*D).agg(*(F.first(c).alias(c) for c in SETTINGS[:-1]))
+    return days.join(own, list(D), "left").withColumn("count_background", F.lit(count_background))
+
+
+def confirm_snapshot(parts: dict[str, DataFrame], ledger: Ledger, rules: DataFrame | None = None, tag: str = "") -> None:
+    """Freeze days, those that have a row in the part `days`: the four tables and the rules in one commit, in the place of what was frozen of them before.
+
+    A day that is frozen again keeps nothing of before, also where a part has no
+    rows for it now. Rules are stored once for each hash of them, so a day is
+    read with those it was worked out with. ledger.vacuum() removes files of
+    what was replaced.
     """
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    for name in TABLES:
-        parts[name].write.parquet(f"{path}/{name}/version={version}")
+    placed = lambda df: df.withColumns({"part_day": F.col("local_day").cast("string"), "bucket": ledger.actor_bucket()})
+    days = placed(parts["days"].select(*D).distinct())
+    touched = days.select(*PART).distinct()
+    changes = [Change(n, ledger.read(n, touched, keep_parts=True).join(days.select(*D), list(D), "left_anti").unionByName(placed(parts[n].join(days.select(*D), list(D), "left_semi"))), touched) for n in TABLES]
+    if rules is not None:
+        new = parts["days"].select(F.col("actor_id").alias("_actor"), "rules_hash").distinct().join(ledger.read("rules").select("rules_hash").distinct(), "rules_hash", "left_anti")
+        # actors without rules of their own share a hash, and are one of them here
+        new = new.groupBy("rules_hash").agg(F.min("_actor").alias("_actor")).withColumn("_scope", F.explode(F.array("_actor", F.lit("*"))))
+        held = new.join(rules.withColumn("_scope", F.coalesce("actor_id", F.lit("*"))), "_scope").withColumns({"part_day": F.lit(NO_DAY), "bucket": F.lit(0)})
+        changes.append(Change("rules", held))
+    ledger.commit(changes, tag)
+
 
+def snapshot_read(ledger: Ledger) -> dict[str, DataFrame]:
+    """The tables of frozen days, and the rules of each hash."""
+    return {n: ledger.read(n) for n in (*TABLES, "rules")}
 
-def snapshot_read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of committed days, each day at its last version."""
-    read = lambda n: spark.read.option("basePath", f"{path}/{n}").parquet(f"{path}/{n}").withColumn("version", F.col("version").cast("string"))
-    last = read("days").groupBy(*D).agg(F.max("version").alias("version"))
-    return {n: read(n).join(last, [*D, "version"], "left_semi").drop("version") for n in TABLES}
+
+def frozen_rules(ledger: Ledger) -> DataFrame:
+    """(D, rule_id, level, project, subject, kind, value, since): the rules that each frozen day was worked out with."""
+    return ledger.read("days").select(*D, "rules_hash").join(ledger.read("rules").drop("actor_id"), "rules_hash").drop("rules_hash")
 
 
 def snapshot_runs(stretches: DataFrame) -> DataFrame:
@@ -60,8 +88,16 @@ def snapshot_runs(stretches: DataFrame) -> DataFrame:
 
 
 def confirmed_list(days: DataFrame, rules: DataFrame) -> DataFrame:
-    """Frozen days with whether the rules have moved since (newest first where order matters)."""
-    return with_rules_hash(days, rules, "_now").withColumn("rules_moved", F.col("rules_hash") != F.col("_now")).select(*D, "events", "rules_moved")
+    """Frozen days with what was asked and answered, and whether the rules have moved since (newest first where order matters)."""
+    asked = [c for c in ASKED if c in days.columns]
+    return with_rules_hash(days, rules, "_now").withColumn("rules_moved", F.col("rules_hash") != F.col("_now")).select(*D, "events", *asked, "rules_moved")
+
+
+def asked_of(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """(D, questions_total, questions_answered, one_offs): how many questions a day had, how many answers were given for the day, and how many of those hold only once."""
+    q = questions.groupBy(*D).agg(F.count("*").alias("questions_total"))
+    a = answers.groupBy(*D).agg(F.count("*").alias("questions_answered"), F.count_if("one_off").alias("one_offs"))
+    return q.join(a, list(D), "full").na.fill(0, list(ASKED))
 
 
 def rules_moved(days: DataFrame, rules: DataFrame) -> DataFrame:
@@ -94,3 +130,17 @@ def export_rows(projects: DataFrame, subjects: DataFrame) -> DataFrame:
     s = subjects.select(*D, "project", "subject", "attention_us")
     rest = s.groupBy(*D, "project").agg(F.sum("attention_us").alias("_s")).join(p.drop("subject"), [*D, "project"]).select(*D, "project", F.lit("rest of project").alias("subject"), (F.col("attention_us") - F.col("_s")).alias("attention_us"))
     return p.unionByName(s).unionByName(rest)
+
+
+def export_timeline(stretches: DataFrame, pauses: DataFrame) -> DataFrame:
+    """(D, nth, from_us, to_us, project, gap, claimed): a frozen day as its runs, one after the other, with the pauses between; a pause that a worked answer fits exactly is claimed, under the answer's project."""
+    runs = snapshot_runs(stretches.where("to_us > from_us"))
+    worked = pauses.where("worked").groupBy(*D, "from_us", "to_us").agg(F.max_by("project", "answered_at").alias("_p"))
+    out = runs.join(worked, [*D, "from_us", "to_us"], "left").withColumn("claimed", F.col("gap") & F.col("_p").isNotNull())
+    nth = F.row_number().over(W.partitionBy(*D).orderBy("from_us", "to_us"))
+    return out.select(*D, nth.alias("nth"), "from_us", "to_us", F.when(F.col("claimed"), F.col("_p")).otherwise(F.col("project")).alias("project"), "gap", "claimed")
+
+
+def snapshot_span(stretches: DataFrame) -> DataFrame:
+    """(D, span_us): from the first to the last stretch of a frozen day."""
+    return stretches.groupBy(*D).agg((F.max("to_us") - F.min("from_us")).alias("span_us"))

@@ -103,10 +103,34 @@ def counted_time(rows: DataFrame, background: bool = False) -> Column:
     return F.col("attention_us") + (F.col("background_us") if background else 0)
 
 
-def range_totals(rows: DataFrame) -> DataFrame:
-    """Projects of each actor summed over days; project null is the actor's total, by one rollup."""
-    sums = [F.sum(c).alias(c) for c in ("events", "attention_us", "background_us", "wall_us") if c in rows.columns]
-    return rows.rollup("actor_id", "project").agg(*sums, F.count_distinct("local_day").alias("days")).where("actor_id is not null")
+TOTALS = ("events", "attention_us", "background_us", "agent_us", "claimed_us", "wall_us")
+
+
+def range_totals(rows: DataFrame, b: DataFrame | None = None, keys: int = 10) -> DataFrame:
+    """Projects of each actor summed over days; project null is the actor's total, by one rollup.
+
+    With b, each row has its evidence merged over the days: sources with their
+    events, the first keys browser keys by visits, how many visits the others
+    have (other_visits), and the names that could have been a block's.
+    """
+    sums = [F.sum(c).alias(c) for c in TOTALS if c in rows.columns]
+    out = rows.rollup("actor_id", "project").agg(*sums, F.count_distinct("local_day").alias("days")).where("actor_id is not null")
+    if b is None:
+        return out
+    # counts by day merge by adding up; each is made once for the project and once for the total
+    both = b.select("actor_id", F.explode(F.array(F.col("project"), F.lit(None).cast("string"))).alias("project"), "source", "key", "candidates")
+    of = ["actor_id", "project"]
+    sources = both.groupBy(*of, "source").agg(F.count("*").alias("events")).groupBy(*of).agg(F.array_sort(F.collect_list(F.struct((-F.col("events")).alias("o"), "source", "events"))).alias("s"))
+    sources = sources.select(*of, F.transform("s", lambda x: F.struct(x["source"].alias("source"), x["events"].alias("events"))).alias("sources"))
+    visits = both.where("key <> ''").groupBy(*of, "key").agg(F.count("*").alias("visits"))
+    first = top(visits, keys, ("actor_id", "project"), F.desc("visits"), F.asc("key"))
+    first = first.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("place", "key", "visits"))).alias("k"), F.sum("visits").alias("_n"))
+    total = visits.groupBy(*of).agg(F.sum("visits").alias("_all"))
+    names = both.select(*of, F.explode("candidates").alias("c")).distinct().groupBy(*of).agg(F.array_sort(F.collect_list("c")).alias("candidates"))
+    for part in (sources, first.select(*of, F.transform("k", lambda x: F.struct(x["key"].alias("key"), x["visits"].alias("visits"))).alias("keys"), "_n"), total, names):
+        part = part.withColumnsRenamed({"actor_id": "_a", "project": "_p"})
+        out = out.join(part, F.col("actor_id").eqNullSafe(F.col("_a")) & F.col("project").eqNullSafe(F.col("_p")), "left").drop("_a", "_p")
+    return out.withColumn("other_visits", F.coalesce(F.col("_all") - F.col("_n"), zero())).drop("_all", "_n")
 
 
 def subject_report(rows: DataFrame, name: str) -> DataFrame:

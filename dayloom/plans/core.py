@@ -66,6 +66,21 @@ UNION ALL SELECT 103, 'no capture', (SELECT count(*) FROM ent WHERE cwd = '/src/
 UNION ALL SELECT * FROM (VALUES (101, 'empty', 0), (102, 'default port', 0), (104, 'no matcher', 0))"""
 
 
+def ranged(c):
+    """Totals of the range with their evidence, as text where it is a list."""
+    t = U.range_totals(c.rows, c.b, 3)
+    listed = lambda col, name, n: F.coalesce(F.array_join(F.transform(col, lambda x: F.concat_ws(":", x[name], x[n].cast("string"))), "|"), F.lit(""))
+    return t.withColumns({"sources": listed("sources", "source", "events"), "keys": listed("keys", "key", "visits"), "candidates": F.coalesce(F.array_join("candidates", "|"), F.lit(""))})
+
+
+#: Every list is made from the rows of all days at once.
+RANGE = """SELECT t.*, coalesce(s.x, '') AS sources, coalesce(k.x, '') AS keys, coalesce(k.others, 0) AS other_visits, coalesce(d.x, '') AS candidates FROM (
+  SELECT actor_id, project, sum(events) AS events, sum(attention_us) AS attention_us, sum(background_us) AS background_us, sum(agent_us) AS agent_us, sum(claimed_us) AS claimed_us, sum(wall_us) AS wall_us, count(DISTINCT local_day) AS days FROM prow GROUP BY GROUPING SETS ((actor_id, project), (actor_id))) t
+ LEFT JOIN (SELECT actor_id, project, string_agg(source || ':' || n, '|' ORDER BY n DESC, source) AS x FROM (SELECT actor_id, project, source, count(*) AS n FROM b_ GROUP BY GROUPING SETS ((actor_id, project, source), (actor_id, source))) GROUP BY ALL) s ON s.actor_id = t.actor_id AND s.project IS NOT DISTINCT FROM t.project
+ LEFT JOIN (SELECT actor_id, project, string_agg(key || ':' || n, '|' ORDER BY r) FILTER (r <= 3) AS x, coalesce(sum(n) FILTER (r > 3), 0) AS others FROM (SELECT *, row_number() OVER (PARTITION BY actor_id, project ORDER BY n DESC, key) AS r FROM (SELECT actor_id, project, key, count(*) AS n FROM b_ WHERE key <> '' GROUP BY GROUPING SETS ((actor_id, project, key), (actor_id, key)))) GROUP BY ALL) k ON k.actor_id = t.actor_id AND k.project IS NOT DISTINCT FROM t.project
+ LEFT JOIN (SELECT actor_id, project, string_agg(DISTINCT c, '|' ORDER BY c) AS x FROM (SELECT actor_id, project, unnest(string_split(candidates, '|')) AS c FROM b_ WHERE candidates <> '') GROUP BY GROUPING SETS ((actor_id, project), (actor_id))) d ON d.actor_id = t.actor_id AND d.project IS NOT DISTINCT FROM t.project"""
+
+
 def register(query) -> None:
     # predicates, columns and ranges
     query("count_events", lambda c: c.entries.where("local_day >= date '2024-01-05' and local_day < date '2024-01-20'").groupBy("source").agg(F.count("*").alias("n")), after("ent", "SELECT source, count(*) AS n FROM ent WHERE local_day >= DATE '2024-01-05' AND local_day < DATE '2024-01-20' GROUP BY source"))
@@ -152,7 +167,7 @@ def register(query) -> None:
     query("day_totals", lambda c: c.totals, after("tot", "SELECT * FROM tot"))
     query("coverage", lambda c: U.coverage(c.totals), after("tot", f"SELECT {DS}, CASE WHEN span_us > 0 THEN CAST(floor(active_us * 1000 / span_us) AS BIGINT) END AS permille FROM tot"))
     query("counted_time", lambda c: c.rows.select(*D, "project", U.counted_time(c.rows).alias("counted_us"), U.counted_time(c.rows, True).alias("with_background_us")), after("prow", f"SELECT {DS}, project, attention_us AS counted_us, attention_us + background_us AS with_background_us FROM prow"))
-    query("range_totals", lambda c: U.range_totals(c.rows), after("prow", "SELECT actor_id, project, sum(events) AS events, sum(attention_us) AS attention_us, sum(background_us) AS background_us, sum(wall_us) AS wall_us, count(DISTINCT local_day) AS days FROM prow GROUP BY GROUPING SETS ((actor_id, project), (actor_id))"))
+    query("range_totals", ranged, after("prow", RANGE))
     query("subject_report", lambda c: U.subject_report(c.subjects, "tk-7"), after("srow", f"SELECT actor_id, project, local_day, sum(events) AS events, sum(attention_us) AS attention_us, sum(background_us) AS background_us, min(d) AS first_day, max(d) AS last_day FROM (SELECT *, local_day AS d FROM srow WHERE lower(subject) = 'tk-7') GROUP BY GROUPING SETS ((actor_id, project), (actor_id, local_day), (actor_id))"))
     query("subject_list", lambda c: U.subject_list(c.subjects), after("srow", "SELECT actor_id, subject, sum(events) AS events, sum(attention_us) AS attention_us, sum(background_us) AS background_us, count(DISTINCT local_day) AS days FROM srow GROUP BY ALL"))
     query("unmatched", lambda c: c.unmatched, after("unm", f"SELECT {DS}, path, key, events, project, time_us FROM unm"))

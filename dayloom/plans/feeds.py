@@ -320,13 +320,17 @@ def register(query) -> None:
     query("answer_delta", lambda c: V.answer_delta(plain(c), U.project_time(c.s)), after("st", f"SELECT {DS}, project, before_us, after_us, after_us - before_us AS delta_us FROM (SELECT s.actor_id, s.local_day, project, sum(b) AS before_us, sum(a) AS after_us FROM (SELECT s.actor_id, s.local_day, o.owner AS project, s.to_us - s.from_us AS b, 0 AS a FROM st s JOIN own_ o ON o.actor_id = s.actor_id AND o.local_day = s.local_day AND o.nth = s.opener UNION ALL SELECT {DS}, owner, 0, to_us - from_us FROM st) s GROUP BY ALL) WHERE after_us <> before_us"))
 
     # frozen days
-    frozen = lambda c: C.with_rules_hash(c.entries.where("external_id not like '%77'").groupBy(*D).agg(F.count("*").alias("events")), c.rules).withColumn("rules_hash", F.when(F.dayofmonth("local_day") % 2 == 0, "old").otherwise(F.col("rules_hash")))
+    plain_days = lambda c: C.with_rules_hash(c.entries.where("external_id not like '%77'").groupBy(*D).agg(F.count("*").alias("events")), c.rules).withColumn("rules_hash", F.when(F.dayofmonth("local_day") % 2 == 0, "old").otherwise(F.col("rules_hash")))
+    frozen = lambda c: C.with_settings_of(plain_days(c), c.entries)
     fz = f"(SELECT {DS}, count(*) AS events FROM ent WHERE external_id NOT LIKE '%77' GROUP BY ALL)"
-    query("confirmed_list", lambda c: C.confirmed_list(frozen(c), c.rules), after("ent", f"SELECT {DS}, events, day(local_day) % 2 = 0 AS rules_moved FROM {fz}"))
+    answered = ", ".join(f"('{r[0]}', DATE '{r[1]}', {r[7]})" for r in fixtures.ANSWERS)
+    zeros = lambda df: df.na.fill(0, list(C.ASKED))
+    query("confirmed_list", lambda c: C.confirmed_list(zeros(plain_days(c).join(C.asked_of(folded(c), fixtures.answers(c.spark)), list(D), "left")), c.rules), after("unm", f"SELECT f.*, coalesce(q.n, 0) AS questions_total, coalesce(a.n, 0) AS questions_answered, coalesce(a.once, 0) AS one_offs, day(f.local_day) % 2 = 0 AS rules_moved FROM {fz} f LEFT JOIN (SELECT {DS}, count(*) AS n FROM ({fold}) GROUP BY ALL) q ON q.actor_id = f.actor_id AND q.local_day = f.local_day LEFT JOIN (SELECT actor_id, local_day, count(*) AS n, count(*) FILTER (once) AS once FROM (VALUES {answered}) v(actor_id, local_day, once) GROUP BY ALL) a ON a.actor_id = f.actor_id AND a.local_day = f.local_day"))
     query("rules_moved", lambda c: C.rules_moved(frozen(c), c.rules), after("ent", f"SELECT {DS} FROM {fz} WHERE day(local_day) % 2 = 0"))
     query("disturbed_days", lambda c: C.disturbed_days(frozen(c), c.entries), after("ent", f"SELECT f.*, n.now FROM {fz} f JOIN (SELECT {DS}, count(*) AS now FROM ent GROUP BY ALL) n ON n.actor_id = f.actor_id AND n.local_day = f.local_day WHERE events <> now"))
-    query("confirm_snapshot", lambda c: snapshot(c, frozen(c))["days"].select(*D, "events"), after("ent", f"SELECT {DS}, events FROM {fz}"))
-    query("snapshot_read", lambda c: C.snapshot_runs(snapshot(c, frozen(c))["stretches"].where("to_us > from_us")), after("st", f"SELECT {DS}, min(from_us) AS from_us, max(to_us) AS to_us, any_value(owner) AS project, false AS gap FROM (SELECT *, sum(CASE WHEN po IS NULL OR po <> owner OR pt < from_us THEN 1 ELSE 0 END) OVER (PARTITION BY {DS} ORDER BY from_us, to_us ROWS UNBOUNDED PRECEDING) AS r FROM (SELECT *, lag(owner) OVER w AS po, lag(to_us) OVER w AS pt FROM st WINDOW w AS (PARTITION BY {DS} ORDER BY from_us, to_us))) GROUP BY {DS}, r UNION ALL SELECT {DS}, pt, from_us, '', true FROM (SELECT *, lag(to_us) OVER (PARTITION BY {DS} ORDER BY from_us, to_us) AS pt FROM st) WHERE pt < from_us"))
+    query("confirm_snapshot", lambda c: settled(c, snapshot(c, frozen(c))), after("ent", f"SELECT {DS}, events, 'UTC' AS tz, 600000000 AS gap_us, 300000000 AS window_us, 120000000 AS head_us, 120000000 AS tail_us, 'cwd-basename' AS fallback, false AS count_background, {len(fixtures.RULES)} AS rules FROM {fz}"))
+    runs_sql = f"SELECT {DS}, min(from_us) AS from_us, max(to_us) AS to_us, any_value(owner) AS project, false AS gap FROM (SELECT *, sum(CASE WHEN po IS NULL OR po <> owner OR pt < from_us THEN 1 ELSE 0 END) OVER (PARTITION BY {DS} ORDER BY from_us, to_us ROWS UNBOUNDED PRECEDING) AS r FROM (SELECT *, lag(owner) OVER w AS po, lag(to_us) OVER w AS pt FROM st WINDOW w AS (PARTITION BY {DS} ORDER BY from_us, to_us))) GROUP BY {DS}, r UNION ALL SELECT {DS}, pt, from_us, '', true FROM (SELECT *, lag(to_us) OVER (PARTITION BY {DS} ORDER BY from_us, to_us) AS pt FROM st) WHERE pt < from_us"
+    query("snapshot_read", lambda c: timeline(c, C.snapshot_read(snapshot(c, frozen(c)))["stretches"]), after("st", f"SELECT row_number() OVER (PARTITION BY {DS} ORDER BY from_us, to_us) AS nth, {DS}, from_us, to_us, CASE WHEN gap AND to_us - from_us > 3600000000 THEN 'long' ELSE project END AS project, gap, gap AND to_us - from_us > 3600000000 AS claimed, max(to_us) OVER (PARTITION BY {DS}) - min(from_us) OVER (PARTITION BY {DS}) AS span_us FROM ({runs_sql})"))
     query("snapshot_claims", lambda c: C.snapshot_claims(c.pauses, C.snapshot_runs(c.s), c.entries, c.rows), after("prow", f"SELECT {DS}, project, attention_us, background_us, claimed_us FROM prow"))
     query("export_rows", lambda c: C.export_rows(c.rows, c.subjects), after("srow", f"SELECT {DS}, project, '' AS subject, attention_us FROM prow UNION ALL SELECT {DS}, project, subject, attention_us FROM srow UNION ALL SELECT s.actor_id, s.local_day, s.project, 'rest of project', p.attention_us - s.a FROM (SELECT {DS}, project, sum(attention_us) AS a FROM srow GROUP BY ALL) s JOIN prow p ON p.actor_id = s.actor_id AND p.local_day = s.local_day AND p.project = s.project"))
     long = lambda c, us: gaps(c).where(F.col("to_us") - F.col("from_us") > us).select(*D, "from_us", "to_us")
@@ -351,12 +355,26 @@ def landed(c, rows, mode="append"):
 
 
 def snapshot(c, days):
-    """All days frozen twice, the first time with nothing in them, and read back."""
-    path = f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}"
+    """A ledger of all days, frozen twice, the first time with little in them."""
     parts = {"stretches": c.s, "projects": c.rows, "subjects": c.subjects, "days": days}
-    C.confirm_snapshot({n: p.limit(0) if n == "projects" else p for n, p in (parts | {"stretches": c.s.where("owner = ''")}).items()}, path)
-    C.confirm_snapshot(parts, path)
-    return C.snapshot_read(c.spark, path)
+    book = C.frozen_ledger(c.spark, f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}", parts)
+    rules = c.rules.select("rule_id", "actor_id", "level", "project", "subject", "kind", "value", "since")
+    C.confirm_snapshot({n: p.limit(0) if n == "projects" else p for n, p in (parts | {"stretches": c.s.where("owner = ''")}).items()}, book, rules.limit(0))
+    C.confirm_snapshot(parts, book, rules)
+    book.vacuum()
+    return book
+
+
+def settled(c, book):
+    """Frozen days with their settings and how many rules they were worked out with."""
+    n = C.frozen_rules(book).groupBy(*D).agg(F.count("*").alias("rules"))
+    return C.snapshot_read(book)["days"].join(n, list(D), "left").select(*D, "events", *C.SETTINGS, "rules")
+
+
+def timeline(c, stretches):
+    """The timeline of frozen days, every pause of over an hour claimed, with the day's span."""
+    long = C.snapshot_runs(stretches.where("to_us > from_us")).where("gap and to_us - from_us > 3600000000").select(*D, "from_us", "to_us", F.lit(True).alias("worked"), F.lit("long").alias("project"), F.lit(1).alias("answered_at"))
+    return C.export_timeline(stretches, long).join(C.snapshot_span(stretches), list(D))
 
 
 def _pause() -> str:

@@ -8,7 +8,7 @@ from dayloom.functions import scalars as S
 from dayloom.operators import confirm, rules
 from dayloom.sources import feeds
 from dayloom.sources import traces as T
-from dayloom.sources.ledger import Ledger
+from dayloom.sources.ledger import Change, Ledger
 from dayloom.streaming import stream
 
 
@@ -109,18 +109,46 @@ def test_declined_meetings_are_refused(spark):
 
 
 
+RULE = "rule_id int, actor_id string, level string, project string, subject string, kind string, value string, since string"
+
+
 def test_frozen_days_are_replaced_and_read_when_complete(spark, tmp_path):
-    part = lambda n, e: spark.createDataFrame([("a", dt.date(2026, 5, 4), e)], f"actor_id string, local_day date, {n} int")
+    part = lambda n, e, hash="h1": spark.createDataFrame([("a", dt.date(2026, 5, 4), e, hash)], f"actor_id string, local_day date, {n} int, rules_hash string")
+    every = lambda e, hash="h1": {n: part("events", e, hash) for n in confirm.TABLES}
+    book = confirm.frozen_ledger(spark, f"file://{tmp_path}/book", every(1))
     for e in (1, 2):
-        confirm.confirm_snapshot({n: part("events", e) for n in confirm.TABLES}, str(tmp_path))
-    other = part("events", 9).withColumn("actor_id", F.lit("b"))
-    other.unionByName(part("events", 9)).write.parquet(f"{tmp_path}/projects/version=99999999999999999999-x")  # days that were never committed
-    got = confirm.snapshot_read(spark, str(tmp_path))
-    assert [r.events for r in got["projects"].collect()] == [2] and got["days"].count() == 1
-    # confirmed again without subjects, it keeps none of before
-    confirm.confirm_snapshot({n: part("events", 3).limit(0 if n == "subjects" else 1) for n in confirm.TABLES}, str(tmp_path))
-    got = confirm.snapshot_read(spark, str(tmp_path))
-    assert [r.events for r in got["projects"].collect()] == [3] and got["subjects"].count() == 0
+        confirm.confirm_snapshot(every(e), book)
+    other = every(9)
+    other["projects"] = other["projects"].unionByName(other["projects"].withColumn("actor_id", F.lit("b")))  # b isn't frozen
+    confirm.confirm_snapshot(other, book)
+    book.write(Change("projects", part("events", 7).withColumns({"part_day": F.lit("2026-05-04"), "bucket": F.lit(0)})), "99999999999999999999-x")  # never committed
+    got = confirm.snapshot_read(book)
+    assert [(r.actor_id, r.events) for r in got["projects"].collect()] == [("a", 9)] and got["days"].count() == 1
+    # confirmed again without subjects, it keeps none of before; another day stays
+    june = {n: df.withColumn("local_day", F.lit("2026-06-04").cast("date")) for n, df in every(5).items()}
+    confirm.confirm_snapshot(june, book)
+    confirm.confirm_snapshot({n: df.limit(0 if n == "subjects" else 1) for n, df in every(3).items()}, book)
+    got = confirm.snapshot_read(book)
+    assert sorted(r.events for r in got["projects"].collect()) == [3, 5] and [r.events for r in got["subjects"].collect()] == [5]
+    assert book.vacuum() > 0 and sorted(r.events for r in confirm.snapshot_read(book)["projects"].collect()) == [3, 5]
+
+
+def test_a_frozen_day_keeps_the_rules_it_was_worked_out_with(spark, tmp_path):
+    days = lambda d, h: spark.createDataFrame([("a", dt.date(2026, 5, d), 1, h)], "actor_id string, local_day date, events int, rules_hash string")
+    rules_ = lambda *v: spark.createDataFrame([(i, a, "project", x, "", "path", f"/{x}", None) for i, (a, x) in enumerate(v)], RULE)
+    book = confirm.frozen_ledger(spark, f"file://{tmp_path}/book", {n: days(1, "") for n in confirm.TABLES})
+    for d, h, r in ((1, "h1", rules_((None, "x"), ("a", "y"), ("b", "z"))), (2, "h2", rules_((None, "w"))), (3, "h1", rules_((None, "not looked at")))):
+        confirm.confirm_snapshot({n: days(d, h) for n in confirm.TABLES}, book, r)
+    assert sorted((r.local_day.day, r.project) for r in confirm.frozen_rules(book).collect()) == [(1, "x"), (1, "y"), (2, "w"), (3, "x"), (3, "y")]
+
+
+def test_a_timeline_has_its_pauses_and_claims(spark):
+    day = dt.date(2026, 5, 4)
+    s = spark.createDataFrame([("a", day, 0, 10, "x"), ("a", day, 10, 30, "x"), ("a", day, 50, 60, "y"), ("a", day, 60, 60, "z"), ("a", day, 90, 95, "y")], "actor_id string, local_day date, from_us long, to_us long, owner string")
+    p = spark.createDataFrame([("a", day, 30, 50, True, "lunch", 1), ("a", day, 30, 50, True, "talk", 2), ("a", day, 60, 80, True, "part", 1), ("a", day, 60, 90, False, "no", 2)], "actor_id string, local_day date, from_us long, to_us long, worked boolean, project string, answered_at int")
+    got = [(r.nth, r.from_us, r.to_us, r.project, r.gap, r.claimed) for r in confirm.export_timeline(s, p).orderBy("nth").collect()]
+    assert got == [(1, 0, 30, "x", False, False), (2, 30, 50, "talk", True, True), (3, 50, 60, "y", False, False), (4, 60, 90, "", True, False), (5, 90, 95, "y", False, False)]
+    assert confirm.snapshot_span(s).first().span_us == 95
 
 
 def test_one_persons_rules_move_their_days_alone(spark):
