@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SOURCES = ("agent-log", "browser", "calendar", "git")
-IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
+OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IPV4 = rf"^{OCTET}(\.{OCTET}){{3}}$"
+#: Characters that can't be seen: controls, formats, line and paragraph separators.
+UNSEEN = r"[\p{Cc}\p{Cf}\u2028\u2029]"
 # The reflog verbs that are kept, and the qualifiers that may follow one.
 VERBS = ("am", "applypatch", "branch", "checkout", "cherry-pick", "clone", "commit", "detach", "fetch", "filter-branch", "gc", "initial", "merge", "pull", "push", "rebase", "reset", "revert", "stash", "update-ref")
 QUALIFIERS = ("(abort)", "(amend)", "(cherry-pick)", "(continue)", "(edit)", "(finish)", "(fixup)", "(initial)", "(merge)", "(no-ff)", "(pick)", "(reword)", "(squash)", "(start)")
@@ -36,8 +39,8 @@ def ipv6(host: Column) -> Column:
 
 
 def canonical_host(host: Column) -> Column:
-    """Lower case, one final dot off, IPv6 in its shortest form without brackets."""
-    h = F.regexp_replace(F.regexp_replace(F.lower(text(host)), r"^\[|\]$", ""), r"(?<=.)\.$", "")
+    """Lower case, characters that can't be seen as U+FFFD, one final dot off, IPv6 in its shortest form without brackets."""
+    h = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(text(host), UNSEEN, "\ufffd")), r"^\[|\]$", ""), r"(?<=.)\.$", "")
     return F.when(h.rlike("^[0-9a-f:]*:[0-9a-f:]*$"), ipv6(h)).otherwise(h)
 
 

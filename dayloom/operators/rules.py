@@ -285,14 +285,29 @@ def rules_start_inside(rules: DataFrame, first: str, last: str) -> DataFrame:
     return parse_rules(rules).where((F.col("since_day") > F.lit(first).cast("date")) & (F.col("since_day") <= F.lit(last).cast("date"))).select("level", "project", "subject", "kind", "value", F.col("since_day").cast("string").alias("since")).distinct()
 
 
+def shadowed(r: DataFrame) -> DataFrame:
+    """(rule_id, by): parsed rules of projects and subjects that a never-entry refuses wherever they hold, with the first such entry.
+
+    Only an entry of the same kind, at least as specific and in force from the
+    same day can: for a directory one that ends in '*' with the same prefix, for
+    a key one that covers its host, port and segment. A rule looks its prefix,
+    or the suffixes of its host, up among the entries; one for everybody is
+    refused by an entry for everybody alone.
+    """
+    since = F.coalesce("since_day", F.lit("0001-01-01").cast("date"))
+    n = r.where("level = 'never'").select(F.col("scope").alias("seen_by"), "kind", since.alias("from_day"), F.col("rule_id").alias("by"), "glob", "prefix", F.col("rule_host").alias("host"), F.col("rule_port").alias("n_port"), F.col("segment").alias("n_segment"), F.octet_length("value").alias("n_length"))
+    rule = r.where("level in ('project', 'subject')").withColumns({"from_day": since, "seen_by": F.explode(F.array_distinct(F.array("scope", F.lit("*"))))})
+    paths = rule.where("kind = 'path' and prefix <> ''").join(n.where("kind = 'path' and glob").select("seen_by", "from_day", "prefix", "by"), ["seen_by", "from_day", "prefix"])
+    labels = F.split("rule_host", r"\.")
+    suffixes = F.when(F.col("is_address"), F.array("rule_host")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    keys = rule.where("kind = 'key' and rule_host <> ''").withColumn("host", F.explode(suffixes)).join(n.where("kind = 'key' and host <> ''").drop("glob", "prefix", "kind"), ["seen_by", "from_day", "host"])
+    covers = ((F.col("n_port") == "") | (F.col("n_port") == F.col("rule_port"))) & ((F.col("n_segment") == "") | (F.col("n_segment") == F.col("segment")))
+    keys = keys.where(covers & (F.col("n_length") >= F.octet_length("value")))
+    return paths.select("rule_id", "by").unionByName(keys.select("rule_id", "by")).groupBy("rule_id").agg(F.min("by").alias("by"))
+
+
 def dead_rules(rules: DataFrame) -> DataFrame:
-    """(rule_id, problem): rules that can't fire, as a never-entry of their kind covers all they match, and entries with a flaw of their own."""
+    """(rule_id, problem): rules that can't fire, as a never-entry refuses all they match, and entries with a flaw of their own."""
     r = parse_rules(rules)
-    n = r.where("level = 'never'").select(F.col("scope").alias("s"), F.col("kind").alias("k"), F.col("prefix").alias("np"), F.col("glob").alias("ng"), F.col("rule_host").alias("nh"), F.col("rule_port").alias("nport"), F.col("segment").alias("nseg"), F.col("is_address").alias("nad"), F.octet_length("value").alias("nlen"), F.col("since_day").alias("nsince"))
-    paths = (F.col("kind") == "path") & F.col("glob") & F.col("ng") & F.expr("startswith(prefix, np)") & (F.octet_length("np") >= F.octet_length("prefix"))
-    host = (F.col("rule_host") == F.col("nh")) | (~F.col("nad") & ~F.col("is_address") & F.expr("endswith(rule_host, concat('.', nh))"))
-    keys = (F.col("kind") == "key") & host & F.col("nport").isin("") & F.col("nseg").isin("") & (F.col("nlen") >= F.octet_length("value"))
-    dead = r.where("level = 'project'").join(n, (F.col("kind") == F.col("k")) & ((F.col("scope") == F.col("s")) | (F.col("s") == "*"))).where((paths | keys) & F.col("nsince").isNull())
-    dead = dead.select("rule_id", F.lit("covered by never").alias("problem")).distinct()
     flaw = F.when(F.col("value").isNull() | (F.col("value") == ""), "empty").when((F.col("kind") == "key") & F.col("rule_port").isin("80", "443"), "default port").when((F.col("level") == "subject") & (F.col("subject") == "") & ~((F.col("kind").isin("title", "branch")) & F.col("value").rlike(r"(?<!\\)\((?!\?)")), "no capture").when(~F.col("kind").isin("path", "key", "branch", "title"), "no matcher")
-    return dead.unionByName(r.select("rule_id", flaw.alias("problem")).where("problem is not null"))
+    return shadowed(r).select("rule_id", F.lit("covered by never").alias("problem")).unionByName(r.select("rule_id", flaw.alias("problem")).where("problem is not null"))

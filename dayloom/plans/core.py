@@ -11,7 +11,7 @@ from ..operators import rules as R
 from ..operators import stretches as T
 from ..sources import fixtures
 from ..sources import traces as X
-from .oracle import after
+from .oracle import _rules, after
 
 D = ("actor_id", "local_day")
 E = (*D, "external_id")
@@ -31,13 +31,32 @@ LONG_BACKGROUND = f"""SELECT {DS}, from_us, to_us, owner FROM (
     SELECT 1 FROM w WHERE w.actor_id = s.actor_id AND w.local_day = s.local_day AND w.a = s.from_us AND w.b = s.to_us)
 ) WHERE to_us - from_us > 240000000"""
 
-#: Rules that can't fire, each with what is wrong with it; as in fixtures.RULES, under the ids from 100 on.
+#: More rules, some of which can't fire; as in fixtures.RULES, under the ids from 100 on.
 FLAWED = [
-    ("project", "dead", "", "key", "h5.example.com", None, "covered by never"),
-    ("project", "p", "", "key", "", None, "empty"),
-    ("project", "p", "", "key", "x.example.com:443", None, "default port"),
-    ("subject", "", "", "path", "/src/p2", None, "no capture"),
-    ("project", "p", "", "emoji", "x", None, "no matcher"),
+    ("project", "dead", "", "key", "h5.example.com", None),
+    ("project", "p", "", "key", "", None),
+    ("project", "p", "", "key", "x.example.com:443", None),
+    ("subject", "", "", "path", "/src/p2", None),
+    ("project", "p", "", "emoji", "x", None),
+    ("never", "", "", "path", "/src/p9*", None),
+    ("project", "p", "", "path", "/src/p9*", None),
+    ("project", "p", "", "path", "/src/p9", None),
+    ("project", "p", "", "path", "/src/p9*", "2024-01-20"),
+    ("project", "p", "", "path", "/src/p9/deeper", None),
+    ("never", "", "", "path", "/src/p8*", "2024-01-20"),
+    ("subject", "p", "s", "path", "/src/p8*", "2024-01-20"),
+    ("subject", "p", "s", "path", "/src/p8*", None),
+    ("never", "", "", "key", "h2.example.com/k1", None),
+    ("project", "p", "", "key", "h2.example.com", None),
+    ("subject", "p", "s", "key", "h2.example.com/k1", None),
+    ("never", "", "", "key", "example.com/section", None),
+    ("project", "p", "", "key", "a.b.example.com/section", None),
+    ("project", "p", "", "key", "h.example.com", None),
+    ("never", "", "", "key", "example.com/k2", None),
+    ("subject", "p", "s", "key", "h.example.com/k2", None),
+    ("never", "", "", "key", "h1.example.com:3000/k3", None),
+    ("project", "p", "", "key", "h1.example.com:3000/k3", None),
+    ("project", "p", "", "key", "h1.example.com/k3", None),
 ]
 
 
@@ -53,17 +72,30 @@ JOIN (SELECT {DS}, list({{'from_us': from_us, 'to_us': to_us, 'project': project
 
 def dead(c):
     """Every rule, what is wrong with it and on how many entries it hits all the same."""
-    flawed = c.spark.createDataFrame([(100 + i, None, *r[:-1]) for i, r in enumerate(FLAWED)], c.rules.schema)
+    flawed = c.spark.createDataFrame([(100 + i, None, *r) for i, r in enumerate(FLAWED)], c.rules.schema)
     rules = c.rules.unionByName(flawed)
     hits = R.all_hits(c.targets, R.parse_rules(rules)).join(R.with_tid(c.entries).groupBy("tid").agg(F.count("*").alias("n_")), "tid").groupBy("rule_id").agg(F.sum("n_").alias("hits"))
     out = rules.select("rule_id").join(R.dead_rules(rules), "rule_id", "left").join(hits, "rule_id", "left")
     return out.select("rule_id", F.coalesce("problem", F.lit("")).alias("problem"), F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
 
 
-DEAD = """SELECT range AS rule_id, '' AS problem, (SELECT count(*) FROM hit WHERE hit.rule_id = range) AS hits FROM range(12)
-UNION ALL SELECT 100, 'covered by never', (SELECT count(*) FROM ent WHERE host = 'h5.example.com')
-UNION ALL SELECT 103, 'no capture', (SELECT count(*) FROM ent WHERE cwd = '/src/p2')
-UNION ALL SELECT * FROM (VALUES (101, 'empty', 0), (102, 'default port', 0), (104, 'no matcher', 0))"""
+def _dead() -> str:
+    """What is wrong with a rule, worked out from the rules as written, and what it hits."""
+    rows = _rules([*((i, *r) for i, r in enumerate(fixtures.RULES)), *((100 + i, *r) for i, r in enumerate(FLAWED))])
+    covers = """n.level = 'never' AND n.kind = r.kind AND n.since IS NOT DISTINCT FROM r.since AND r.level IN ('project', 'subject') AND (
+   r.kind = 'path' AND n.value LIKE '%*' AND rtrim(n.value, '*') = CASE WHEN r.value LIKE '%*' THEN rtrim(r.value, '*') ELSE r.value END
+   OR r.kind = 'key' AND r.value <> '' AND (r.rhost = n.rhost OR ends_with(r.rhost, '.' || n.rhost)) AND n.rport IN ('', r.rport) AND n.rsegment IN ('', r.rsegment) AND length(n.value) >= length(r.value))"""
+    flaw = """CASE WHEN value = '' THEN 'empty' WHEN kind = 'key' AND rport IN ('80', '443') THEN 'default port' WHEN level = 'subject' AND rsubject = '' AND NOT (kind IN ('title', 'branch') AND contains(value, '(')) THEN 'no capture' WHEN kind NOT IN ('path', 'key', 'branch', 'title') THEN 'no matcher' END"""
+    hit = """(r.since IS NULL OR local_day >= r.since) AND (
+   r.kind = 'path' AND cwd <> '' AND CASE WHEN r.value LIKE '%*' THEN starts_with(cwd, rtrim(r.value, '*')) WHEN r.level = 'never' THEN cwd = r.value ELSE cwd = r.value OR starts_with(cwd, r.value || '/') END
+   OR r.kind = 'key' AND r.value <> '' AND host <> '' AND (host = r.rhost OR ends_with(host, '.' || r.rhost)) AND (r.rport = '' OR r.rport = port) AND (r.rsegment = '' OR r.rsegment = path_head)
+   OR r.kind = 'title' AND title <> '' AND regexp_matches(title, CASE WHEN r.kind = 'title' THEN r.value ELSE '' END))"""
+    return f"""SELECT r.rule_id, coalesce(p.problem, '') AS problem, coalesce(h.n, 0) AS hits FROM (SELECT * FROM {rows}) r
+ LEFT JOIN (SELECT DISTINCT r.rule_id, 'covered by never' AS problem FROM (SELECT * FROM {rows}) r JOIN (SELECT * FROM {rows}) n ON {covers} UNION ALL SELECT rule_id, {flaw} FROM (SELECT * FROM {rows}) WHERE {flaw} IS NOT NULL) p ON p.rule_id = r.rule_id
+ LEFT JOIN (SELECT r.rule_id, count(*) AS n FROM ent JOIN (SELECT * FROM {rows}) r ON {hit} GROUP BY ALL) h ON h.rule_id = r.rule_id"""
+
+
+DEAD = _dead()
 
 
 def ranged(c):

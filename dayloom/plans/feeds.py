@@ -63,11 +63,22 @@ def ignored(c):
     return c.spark.createDataFrame([("example.org",), ("Blog.tionsh.example.net.",)], "domain string")
 
 
+def written_entries(c):
+    """The hosts of all pages as somebody might write them into a list, with what becomes of each."""
+    host = F.expr("try_parse_url(url, 'HOST')")
+    shapes = [host, F.concat(F.lit("https://"), host, F.lit("/")), F.concat(host, F.lit(":8080")), F.concat(F.lit("*."), host), F.concat(F.lit("so\u00adft."), host), F.concat(F.lit("a "), host), F.lit(" . ")]
+    e = table(c, "pages").select("page_id", F.get(F.array(*shapes), (F.col("page_id") % len(shapes)).cast("int")).alias("domain"))
+    return X.ignore_entries(e).select("page_id", "host", "problem")
+
+
 HOST = "regexp_extract(url, '^https?://([^/:?#]+)', 1)"
 VISIT_SQL = f"""SELECT page_id, 'kept' AS outcome, lower({HOST}) AS host, CASE WHEN regexp_extract(url, '^https?://[^/:?#]+:([0-9]+)', 1) IN ('80', '443') THEN '' ELSE regexp_extract(url, '^https?://[^/:?#]+:([0-9]+)', 1) END AS port,
  regexp_extract(url, '^https?://[^/?#]+/+([^/?#]*)', 1) AS path_head FROM pages"""
 
 
+ENTRIES = f"""SELECT page_id, CASE page_id % 7 WHEN 0 THEN h WHEN 1 THEN h WHEN 4 THEN 'so' || chr(65533) || 'ft.' || h END AS host, CASE WHEN page_id % 7 IN (2, 3, 5) THEN 'not a domain' WHEN page_id % 7 = 4 THEN 'unseen character' END AS problem FROM (SELECT page_id, lower({HOST}) AS h FROM pages)"""
+
+
 def reflog_lines(c):
     k = F.col("l_orderkey").cast("string")
     ref = F.element_at(F.array(F.lit("refs/heads/main"), F.lit("HEAD"), F.lit("refs/remotes/origin/main")), (F.col("l_linenumber") % 3 + 1).cast("int"))
@@ -269,6 +280,7 @@ def register(query) -> None:
     query("scan_visits_firefox", lambda c: firefox(c).select("visit_id", "url", F.unix_micros("ts").alias("ts_us"), "subtype"), f"SELECT event_id AS visit_id, url, {at}, ['" + "', '".join(X.FIREFOX.values()) + "'][CAST(event_id % 9 AS INT) + 1] AS subtype FROM events LEFT JOIN pages ON page_id = event_id % 300 WHERE event_type IN ('click', 'view')")
     query("visit_to_trace", lambda c: X.visit_to_trace(visits(c)).select("page_id", "outcome", "host", "port", "path_head"), VISIT_SQL)
     query("domain_ignore", lambda c: X.domain_ignore(visits(c), ignored(c)).select("page_id", "host"), f"SELECT page_id, lower({HOST}) AS host FROM pages WHERE ends_with({HOST}, '.example.org') OR {HOST} = 'blog.tionsh.example.net' OR ends_with({HOST}, '.blog.tionsh.example.net')")
+    query("domain_ignore_entries", written_entries, ENTRIES)
     query("canonical_host", lambda c: visits(c).select("page_id", S.canonical_host(F.upper(F.expr("try_parse_url(url, 'HOST')"))).alias("host")), f"SELECT page_id, lower({HOST}) AS host FROM pages")
     query("effective_port", lambda c: visits(c).select("page_id", S.effective_port(F.expr("split(url, ':')[0]"), F.when(F.col("page_id") % 2 == 0, "443").otherwise("8080")).alias("port")), "SELECT page_id, CASE WHEN page_id % 2 = 0 AND starts_with(url, 'https:') THEN '' WHEN page_id % 2 = 0 THEN '443' ELSE '8080' END AS port FROM pages")
     query("path_head", lambda c: X.visit_to_trace(visits(c)).groupBy("path_head").agg(F.count("*").alias("n")), f"SELECT path_head, count(*) AS n FROM ({VISIT_SQL}) GROUP BY ALL")

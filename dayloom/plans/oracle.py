@@ -17,9 +17,9 @@ def _key_parts(value: str) -> tuple[str, str, str]:
     return host, port, segment
 
 
-def _rules() -> str:
+def _rules(written: list | None = None) -> str:
     rows = []
-    for i, (level, project, subject, kind, value, since) in enumerate(fixtures.RULES):
+    for i, level, project, subject, kind, value, since in written or [(i, *r) for i, r in enumerate(fixtures.RULES)]:
         host, port, segment = _key_parts(value) if kind == "key" else ("", "", "")
         rows.append("(" + ", ".join(_lit(x) for x in (i, level, project, subject, kind, value, host, port, segment)) + ", " + (f"DATE '{since}'" if since else "NULL::DATE") + ")")
     return "(VALUES " + ", ".join(rows) + ") v(rule_id, level, rproject, rsubject, kind, value, rhost, rport, rsegment, since)"

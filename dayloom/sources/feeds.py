@@ -52,6 +52,23 @@ def scan_visits_firefox(visits: DataFrame, places: DataFrame) -> DataFrame:
     return visits.join(p, visits.place_id == p.pid, "left").select(F.col("id").alias("visit_id"), "url", "title", F.timestamp_micros("visit_date").alias("ts"), word.alias("subtype"))
 
 
+def ignore_entries(ignored: DataFrame) -> DataFrame:
+    """ignored (domain ...) with host, what an entry is matched as (null for one that is blank or matches nothing), and problem.
+
+    A scheme, brackets and dots or slashes around an entry go. problem: not a
+    domain, for what no host can be (a port, a path, a wildcard, a user, white
+    space, an empty label), or unseen character, for one that is matched as
+    something else than it looks like; null for an entry that is fine.
+    """
+    e = F.regexp_replace(F.lower(F.trim(S.text(F.col("domain")))), "^https?://", "")
+    bare = F.regexp_replace(F.regexp_replace(e, r"^[./]+|[./]+$", ""), r"^\[(.*)\]$", "$1")
+    host = S.canonical_host(bare)
+    six = host.rlike("^[0-9a-f:]*:[0-9a-f:]*:[0-9a-f:.]*$")
+    wrong = host.contains("..") | (~six & host.rlike(r"[/*?:@\\\s\x{A0}\x{2000}-\x{200A}\x{3000}]"))
+    problem = F.when(wrong, "not a domain").when(bare.rlike(S.UNSEEN), "unseen character")
+    return ignored.withColumns({"host": F.when(~wrong & (host != ""), host), "problem": F.when(host != "", problem)})
+
+
 def visit_to_trace(visits: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
     """visits with outcome (kept, not_web, ignored, unparseable), host, port, path_head and printable title; nothing else of the address is kept.
 
@@ -62,7 +79,7 @@ def visit_to_trace(visits: DataFrame, ignored: DataFrame | None = None) -> DataF
     v = visits.withColumns({"scheme": scheme, "host": S.canonical_host(part("HOST")), "_port": F.regexp_extract(S.text(part("AUTHORITY")), r":(\d+)$", 1), "path_head": S.path_head(part("PATH")), "title": S.printable(F.col("title"))})
     v = v.withColumn("port", S.effective_port(F.col("scheme"), F.col("_port")))
     if ignored is not None:
-        d = ignored.select(S.canonical_host(F.col("domain")).alias("suffix")).distinct()
+        d = ignore_entries(ignored).where("host is not null").select(F.col("host").alias("suffix")).distinct()
         labels = F.split("host", r"\.")
         suffixes = F.when(S.is_address(F.col("host")), F.array("host")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
         hosts = v.select("host").distinct().withColumn("suffix", F.explode(suffixes)).join(d, "suffix", "left_semi").select("host").distinct().withColumn("_ignored", F.lit(True))

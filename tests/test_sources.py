@@ -232,3 +232,21 @@ def test_a_broken_override_leaves_its_occurrence(spark):
     every = days[0].unionByName(days[1]).unionByName(days[2]).unionByName(days[3])
     got = feeds.recurrence_overrides(every, days[3], days[1].unionByName(days[2]), days[4])
     assert sorted(r["at"].day for r in got.collect()) == [1, 3, 5]
+
+
+def test_entries_of_an_ignore_list(spark):
+    entries = {
+        " HTTPS://Example.org/ ": ("example.org", None), "[::1]": ("::1", None), "0:0:0:0:0:0:0:1": ("::1", None), "localhost": ("localhost", None), "..a.b..": ("a.b", None), "10.0.0.1": ("10.0.0.1", None),
+        "localhost:3000": (None, "not a domain"), "*.example.com": (None, "not a domain"), "example.com/watch": (None, "not a domain"), "me@example.com": (None, "not a domain"), "a..b": (None, "not a domain"), "a b.org": (None, "not a domain"),
+        "so­ft.org": ("so�ft.org", "unseen character"), "": (None, None), " ./ ": (None, None), None: (None, None),
+    }
+    got = feeds.ignore_entries(spark.createDataFrame([(d,) for d in entries], "domain string")).collect()
+    assert {r.domain: (r.host, r.problem) for r in got} == entries
+
+
+def test_addresses_and_unseen_characters_of_hosts(spark):
+    hosts = {"1.2.3.4": True, "999.1.1.1": False, "1.2.3": False, "01.2.3.4": False, "255.255.255.255": True, "fe80::1": True, "a.b": False}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert {r.h: r.a for r in df.select("h", S.is_address(F.col("h")).alias("a")).collect()} == hosts
+    odd = spark.createDataFrame([("EX​ample.org.",)], "h string")
+    assert odd.select(S.canonical_host(F.col("h"))).first()[0] == "ex�ample.org"
