@@ -244,12 +244,20 @@ def long_background(p: DataFrame, least_us: int = 900_000_000) -> DataFrame:
     return p.where((F.col("kind") == "background") & (F.col("to_us") - F.col("from_us") > least_us)).select(*D, "from_us", "to_us", "owner")
 
 
-def day_document(totals: DataFrame, rows: DataFrame, r: DataFrame) -> DataFrame:
-    """(D, document): the day as nested JSON, with its projects and runs in order."""
+def clusters(h: DataFrame) -> DataFrame:
+    """(D, block_id, from_us, to_us, project, origin, events) of blocks with head and tail; the project if all events of the block have the same."""
+    one = F.min("project") == F.max("project")
+    return h.groupBy(*D, "block_id").agg(F.first("from_us").alias("from_us"), F.first("to_us").alias("to_us"), F.when(one, F.min("project")).otherwise("").alias("project"), F.first("origin").alias("origin"), F.count("*").alias("events"))
+
+
+def day_document(totals: DataFrame, rows: DataFrame, r: DataFrame, h: DataFrame | None = None) -> DataFrame:
+    """(D, document): the day as nested JSON, with its projects and runs in order; with h, also its blocks and the settings it was worked out with."""
     p = ordered(rows, *order_projects()).groupBy(*D).agg(F.array_sort(F.collect_list(F.struct("place", "project", "events", "attention_us", "background_us", "wall_us"))).alias("projects"))
     t = r.groupBy(*D).agg(F.array_sort(F.collect_list(F.struct("from_us", "to_us", "project", "attention_us", "background_us", "gap"))).alias("runs"))
-    out = totals.join(p, list(D), "left").join(t, list(D), "left")
+    out, more = totals.join(p, list(D), "left").join(t, list(D), "left"), []
+    if h is not None:
+        c = clusters(h).groupBy(*D).agg(F.array_sort(F.collect_list(F.struct("block_id", "from_us", "to_us", "project", "origin", "events"))).alias("clusters"))
+        settings = h.groupBy(*D).agg(F.first(F.struct("tz", "gap_us", "window_us", "head_us", "tail_us", "fallback")).alias("settings"))
+        out, more = out.join(c, list(D), "left").join(settings, list(D), "left"), ["clusters", "settings"]
     head = F.struct("attention_us", "background_us", "active_us", "span_us", "padding_us", "first_us", "last_us")
-    return out.select(*D, F.to_json(F.struct(F.col("local_day").cast("string").alias("day"), head.alias("totals"), "projects", "runs")).alias("document"))
-
-
+    return out.select(*D, F.to_json(F.struct(F.col("local_day").cast("string").alias("day"), head.alias("totals"), "projects", "runs", *more)).alias("document"))

@@ -63,11 +63,13 @@ FLAWED = [
 #: The day as compact JSON, with its projects and runs in order.
 DOCUMENT = f"""SELECT t.actor_id, t.local_day, CAST(to_json({{'day': CAST(t.local_day AS VARCHAR),
   'totals': {{{', '.join(f"'{c}': CAST({c} AS BIGINT)" for c in ('attention_us', 'background_us', 'active_us', 'span_us', 'padding_us', 'first_us', 'last_us'))}}},
-  'projects': p.projects, 'runs': r.runs}}) AS VARCHAR) AS document
+  'projects': p.projects, 'runs': r.runs, 'clusters': k.clusters, 'settings': {{'tz': 'UTC', 'gap_us': 600000000, 'window_us': 300000000, 'head_us': 120000000, 'tail_us': 120000000, 'fallback': 'cwd-basename'}}}}) AS VARCHAR) AS document
 FROM tot t
 JOIN (SELECT {DS}, list({{'place': place, 'project': project, 'events': CAST(events AS BIGINT), 'attention_us': CAST(attention_us AS BIGINT), 'background_us': CAST(background_us AS BIGINT), 'wall_us': CAST(wall_us AS BIGINT)}} ORDER BY place) AS projects
   FROM (SELECT *, row_number() OVER (PARTITION BY {DS} ORDER BY project = '', attention_us DESC, background_us DESC, events DESC, project) AS place FROM prow) GROUP BY ALL) p ON p.actor_id = t.actor_id AND p.local_day = t.local_day
-JOIN (SELECT {DS}, list({{'from_us': from_us, 'to_us': to_us, 'project': project, 'attention_us': CAST(attention_us AS BIGINT), 'background_us': CAST(background_us AS BIGINT), 'gap': gap}} ORDER BY from_us, to_us, project) AS runs FROM run GROUP BY ALL) r ON r.actor_id = t.actor_id AND r.local_day = t.local_day"""
+JOIN (SELECT {DS}, list({{'from_us': from_us, 'to_us': to_us, 'project': project, 'attention_us': CAST(attention_us AS BIGINT), 'background_us': CAST(background_us AS BIGINT), 'gap': gap}} ORDER BY from_us, to_us, project) AS runs FROM run GROUP BY ALL) r ON r.actor_id = t.actor_id AND r.local_day = t.local_day
+JOIN (SELECT {DS}, list({{'block_id': block_id, 'from_us': from_us, 'to_us': to_us, 'project': project, 'origin': origin, 'events': n}} ORDER BY block_id) AS clusters
+  FROM (SELECT b.actor_id, b.local_day, b.block_id, any_value(p.from_us) AS from_us, any_value(p.to_us) AS to_us, CASE WHEN count(DISTINCT b.project) = 1 THEN any_value(b.project) ELSE '' END AS project, any_value(b.origin) AS origin, count(*) AS n FROM b_ b JOIN pad p ON p.actor_id = b.actor_id AND p.local_day = b.local_day AND p.block_id = b.block_id GROUP BY ALL) GROUP BY ALL) k ON k.actor_id = t.actor_id AND k.local_day = t.local_day"""
 
 
 def dead(c):
@@ -206,7 +208,8 @@ def register(query) -> None:
     query("unmatched_range", lambda c: U.unmatched_range(c.unmatched), after("unm", "SELECT actor_id, path, key, sum(events) AS events, sum(time_us) AS time_us, coalesce(arg_max(project, local_day) FILTER (project <> ''), '') AS project FROM unm GROUP BY ALL"))
     least = 600_000_000
     query("fold_small", lambda c: U.fold_small(c.rows, least), after("prow", f"SELECT {DS}, CASE WHEN project <> '' AND greatest(attention_us, background_us, agent_us, claimed_us) < {least} THEN '(other)' ELSE project END AS project, sum(events) AS events, sum(attention_us) AS attention_us, sum(background_us) AS background_us, sum(agent_us) AS agent_us, sum(claimed_us) AS claimed_us, count(*) AS folded FROM (SELECT {DS}, project AS project, events, attention_us, background_us, agent_us, claimed_us FROM prow) GROUP BY 1, 2, 3"))
-    query("ran_without_you", lambda c: U.ran_without_you(c.agent, c.s), after("agent", f"SELECT {DS}, project, sum(agent_us) AS agent_us FROM agent a WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.actor_id = a.actor_id AND st.local_day = a.local_day AND st.owner = a.project) GROUP BY ALL"))
+    # as on days when nobody turned to some of the projects
+    query("ran_without_you", lambda c: U.ran_without_you(c.agent, c.s.where("owner not in ('alpha', 'beta', 'p2')")), after("agent", f"SELECT {DS}, project, sum(agent_us) AS agent_us FROM agent a WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.actor_id = a.actor_id AND st.local_day = a.local_day AND st.owner = a.project AND st.owner NOT IN ('alpha', 'beta', 'p2')) GROUP BY ALL"))
     over = f"OVER (PARTITION BY {DS} ORDER BY"
     query("order_projects", lambda c: U.ordered(c.rows, *U.order_projects()).select(*D, "project", "place"), after("prow", f"SELECT {DS}, project, row_number() {over} project = '', attention_us DESC, background_us DESC, events DESC, project) AS place FROM prow"))
     query("order_subjects", lambda c: U.ordered(c.subjects, *U.order_subjects()).select(*D, "project", "subject", "place"), after("srow", f"SELECT {DS}, project, subject, row_number() {over} attention_us DESC, background_us DESC, events DESC, subject, project) AS place FROM srow"))
@@ -214,4 +217,4 @@ def register(query) -> None:
     query("topk_keys", lambda c: U.top(U.browser_keys(c.b, *D, "project"), 3, (*D, "project"), F.desc("visits"), F.asc("key")), after("own_", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {DS}, project ORDER BY visits DESC, key) AS place, greatest(0, count(*) OVER (PARTITION BY {DS}, project) - 3) AS rest FROM (SELECT {DS}, project, key, count(*) AS visits FROM own_ WHERE key <> '' GROUP BY ALL)) WHERE place <= 3"))
     query("topk_subjects", lambda c: U.top(c.subjects, 8, D, *U.order_subjects()), after("srow", f"SELECT * FROM (SELECT *, row_number() {over} attention_us DESC, background_us DESC, events DESC, subject, project) AS place, greatest(0, count(*) OVER (PARTITION BY {DS}) - 8) AS rest FROM srow) WHERE place <= 8"))
     query("topk_unmatched", lambda c: U.top(c.unmatched, 15, D, *U.order_unmatched()), after("unm", f"SELECT * FROM (SELECT *, row_number() {over} time_us DESC, events DESC, path, key) AS place, greatest(0, count(*) OVER (PARTITION BY {DS}) - 15) AS rest FROM unm) WHERE place <= 15"))
-    query("day_document", lambda c: U.day_document(c.totals, c.rows, c.runs), after("tot", DOCUMENT))
+    query("day_document", lambda c: U.day_document(c.totals, c.rows, c.runs, c.h), after("tot", DOCUMENT))

@@ -8,7 +8,7 @@ from dayloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = "blocks block_bounds match_keys resolve_project resolve_subject nearest_anchor nearest_touch stretches manual_override attention_overlap runs claimed_pauses project_rows subject_rows day_totals range_totals unmatched fold_by_host scan_agent_log visit_to_trace domain_ignore reflog_collapse ical_times meeting_filter expand_recurrence replace_window export_rows dead_rules snapshot_read stream_dedup stream_ingest stream_counts stream_blocks stream_touched_days long_background run_evidence".split()
+SOME = "blocks block_bounds match_keys resolve_project resolve_subject nearest_anchor nearest_touch stretches manual_override attention_overlap runs claimed_pauses project_rows subject_rows day_totals range_totals unmatched fold_by_host scan_agent_log visit_to_trace domain_ignore reflog_collapse ical_times meeting_filter expand_recurrence replace_window export_rows dead_rules snapshot_read stream_dedup stream_ingest stream_counts stream_blocks stream_touched_days long_background run_evidence incremental_scan append_dedup project_candidates domain_ignore_entries day_document".split()
 
 
 @pytest.fixture(scope="module")
