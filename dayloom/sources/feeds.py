@@ -309,27 +309,20 @@ def meeting_to_trace(occurrences: DataFrame, calendar: str) -> DataFrame:
 IDENTITY = ["actor_id", "source", "external_id"]
 
 
+def earliest(rows: DataFrame) -> DataFrame:
+    """Each identity once, the row with the earliest time; a repeated identity is combined in each task first."""
+    return rows.groupBy(*IDENTITY).agg(F.min_by(F.struct(*rows.columns), F.struct(F.col("ts").isNull(), "ts")).alias("r")).select("r.*")
+
+
 def append_dedup(new: DataFrame, stored: DataFrame) -> DataFrame:
     """The rows of new that stored has not, each identity once (the earliest)."""
-    w = W.partitionBy(*IDENTITY).orderBy("ts")
-    return new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").join(stored.select(*IDENTITY), IDENTITY, "left_anti")
+    return earliest(new).join(stored.select(*IDENTITY), IDENTITY, "left_anti")
 
 
 def incremental_scan(rows: DataFrame, cursors: DataFrame, overlap_days: int = 7) -> DataFrame:
-    """Rows since the cursor of their actor less the overlap; all rows of an actor without one."""
-    c = cursors.select("actor_id", (F.col("cursor") - F.make_dt_interval(F.lit(overlap_days))).alias("_from"))
-    return rows.join(c, "actor_id", "left").where(F.col("_from").isNull() | (F.col("ts") >= F.col("_from"))).drop("_from")
-
-
-def replace_window(stored: DataFrame, feed: DataFrame, window_from: str, window_to: str, whole: bool = True) -> DataFrame:
-    """(identity, change): what a source that restates a window changes: new, moved, unchanged or removed; nothing is removed unless the feed was read whole."""
-    s = stored.select(*IDENTITY, F.struct("ts", "duration_ms", "title").alias("_s"), F.col("ts").alias("_at"))
-    f = feed.select(*IDENTITY, F.struct("ts", "duration_ms", "title").alias("_f"))
-    j = s.join(f, IDENTITY, "full")
-    inside = (F.col("_at") >= F.lit(window_from).cast("timestamp")) & (F.col("_at") < F.lit(window_to).cast("timestamp"))
-    gone = F.when(inside & F.lit(whole), "removed")
-    change = F.when(F.col("_s").isNull(), "new").when(F.col("_f").isNull(), gone).when(F.col("_s").eqNullSafe(F.col("_f")), "unchanged").otherwise("moved")
-    return j.select(*IDENTITY, change.alias("change")).where("change is not null")
+    """Rows since the cursor of their actor and source less the overlap; all rows where there is none."""
+    c = cursors.select("actor_id", "source", (F.col("cursor") - F.make_dt_interval(F.lit(overlap_days))).alias("_from"))
+    return rows.join(c, ["actor_id", "source"], "left").where(F.col("_from").isNull() | (F.col("ts") >= F.col("_from"))).drop("_from")
 
 
 #: What may become of what a source holds, by source: every one is counted, and 0 is said as well.

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .feeds import IDENTITY, OUTCOMES
+from .feeds import IDENTITY, OUTCOMES, append_dedup, earliest, incremental_scan
 from .store import stored
 from .traces import SCHEMA, D, Settings, entries
 
@@ -210,9 +210,7 @@ class Ledger:
         counted = Counted()
         rows = self.whole(traces, at)
         rows = stored(counted.watch(rows, seen=F.lit(True)) if observed else rows)  # read once, asked three times
-        # a repeated identity is combined in each task first
-        first = rows.groupBy(*IDENTITY).agg(F.min_by(F.struct(*rows.columns), F.struct(F.col("ts").isNull(), "ts")).alias("r")).select("r.*")
-        new = first.join(self.found(rows), IDENTITY, "left_anti")
+        new = append_dedup(rows, self.found(rows))
         version = self.new_version()
         self.write(Change("events", self.placed(new)), version)
         fresh = self.written("events", version)  # the index is made of what was written
@@ -231,8 +229,7 @@ class Ledger:
 
     def since_cursor(self, rows: DataFrame, overlap_days: int = 7) -> DataFrame:
         """Rows from the stored cursor of their actor and source less the overlap; all rows where there is none."""
-        c = self.read("cursors").select("actor_id", "source", (F.col("cursor") - F.make_dt_interval(F.lit(overlap_days))).alias("_from"))
-        return rows.join(c, ["actor_id", "source"], "left").where(F.col("_from").isNull() | (F.col("ts") >= F.col("_from"))).drop("_from")
+        return incremental_scan(rows, self.read("cursors"), overlap_days)
 
     def import_files(self, folder: str, read: Callable[[list[str]], DataFrame], pattern: str = "*", now: dt.datetime | None = None) -> dict[str, int]:
         """Append what read makes of the files of a folder that are new or have changed in size or time; the others aren't opened."""
@@ -261,8 +258,7 @@ class Ledger:
         if tag and self.done(tag):
             return counts
         at = instant(now)
-        feed = self.whole(feed, at)
-        feed = feed.groupBy(*IDENTITY).agg(F.min_by(F.struct(*feed.columns), F.struct(F.col("ts").isNull(), "ts")).alias("r")).select("r.*")
+        feed = earliest(self.whole(feed, at))
         opens, shuts = F.lit(window_from).cast("timestamp"), F.lit(window_to).cast("timestamp")
         asked = instances.select("actor_id", "source", "entrypoint", "whole").distinct()
         here = self.live("events").where(F.col("part_day").between(F.to_date(opens).cast("string"), F.to_date(shuts).cast("string")))
