@@ -1,12 +1,14 @@
 """Blocks of activity, and what unnamed traces inherit from their surroundings.
 
 Everything is a window over D = (actor_id, local_day) or over a block of it, so
-one exchange by D serves all. Days with more than HOT_DAY rows go by segments.py
-instead.
+one exchange by D serves all, into as many tasks as the rows need. Days with more
+than HOT_DAY rows go by segments.py instead.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ def block(backwards: bool = False) -> WindowSpec:
     return W.partitionBy(*B).orderBy(*(F.desc(c) if backwards else F.asc(c) for c in ORD))
 
 
-#: Rows of an actor-day beyond which it is cut into slices.
-HOT_DAY = 1_000_000
+#: Rows of an actor-day beyond which it is cut into slices, and rows of the other days for which there is a task; by chance one gets a few days.
+HOT_DAY, TASK_ROWS = 100_000, 25_000
 
 
 def hot_days(entries: DataFrame, most: int = HOT_DAY) -> DataFrame | None:
@@ -42,13 +44,18 @@ def either(rows: DataFrame, hot: DataFrame | None, plain, large) -> DataFrame:
     """plain for the days that aren't hot, large for those that are; both give the same rows and columns."""
     if hot is None:
         return plain(rows)
-    rest = plain(rows.join(hot, list(D), "left_anti").select(rows.columns))
-    return rest.unionByName(large(rows.join(hot, list(D), "left_semi").select(rows.columns)).select(rest.columns))
+    rest = plain(rows.join(F.broadcast(hot), list(D), "left_anti").select(rows.columns))
+    return rest.unionByName(large(rows.join(F.broadcast(hot), list(D), "left_semi").select(rows.columns)).select(rest.columns))
+
+
+def spread(rows: DataFrame, task_rows: int | None = None) -> DataFrame:
+    """rows by D over as many tasks as they need. By their size, Spark would put very many into one, as they are short; but they are sorted many times."""
+    return rows.repartition(max(1, math.ceil(rows.count() / (task_rows or TASK_ROWS))), *D)
 
 
 def blocks(entries: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """entries with nth (1, 2, ... in the day) and block_id: a new block starts where a trace begins more than the gap after everything before it has ended."""
-    return either(entries, hot, day_blocks, lambda rows: segments.numbered(segments.sliced(rows)).drop("_slice"))
+    return either(entries, hot, lambda rows: day_blocks(spread(rows)), lambda rows: segments.numbered(segments.sliced(rows)).drop("_slice"))
 
 
 def day_blocks(entries: DataFrame) -> DataFrame:
@@ -128,8 +135,8 @@ def ground(owner: Column, own: Column, by_rule: Column) -> Column:
 
 
 def attributed(named: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """named entries with blocks, inherited names and owners. hot: days to be cut into slices, as hot_days finds them."""
-    return either(named, hot, lambda rows: nearest_touch(neighbour_blocks(nearest_anchor(day_blocks(rows)))), segments.attributed)
+    """named entries, best stored, with blocks, inherited names and owners. hot: days to be cut into slices, as hot_days finds them."""
+    return either(named, hot, lambda rows: nearest_touch(neighbour_blocks(nearest_anchor(day_blocks(spread(rows))))), segments.attributed)
 
 
 def block_projects(b: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ a slice everything is a window over the slice; what a slice hands on - its
 latest end, how many rows and blocks it has, its first and last anchor and
 owner - is one row, and so is each piece, the part of a block in a slice. These
 few rows are scanned over the day or the block, and each slice or piece gets
-what comes before and after it. So no task holds more than a slice, however many
-rows a day or a block has.
+what comes before and after it. There are as many tasks as slices, so each holds
+a few of them at most, however many rows a day or a block has.
 
 The result is that of blocks.attributed, row by row.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..sources.store import stored
 from ..sources.traces import ORD, D
 
-SLICE_ROWS = 250_000
+SLICE_ROWS = 50_000
 SLICE, PIECE, BLOCK = (*D, "_slice"), (*D, "_slice", "block_id"), (*D, "block_id")
 BEFORE, AFTER, ALL = (W.unboundedPreceding, -1), (1, W.unboundedFollowing), (W.unboundedPreceding, W.unboundedFollowing)
 
@@ -39,22 +39,26 @@ def along(keys: tuple[str, ...], order: str = "_slice") -> WindowSpec:
 
 def sliced(rows: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """rows with _slice: places in the total order, about slice_rows to each; written, as the borders are estimates that must not move."""
-    n = max(1, math.ceil(rows.count() / slice_rows))
-    return stored(rows.repartitionByRange(n, *D, *ORD).withColumn("_slice", F.spark_partition_id()))
+    return stored(rows.repartitionByRange(slices_of(rows.count(), slice_rows), *D, *ORD).withColumn("_slice", F.spark_partition_id()))
 
 
-def met(rows: DataFrame, summary: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """rows joined with what is known of their slice or piece: a row for each, so no key of the join has more rows than a slice."""
-    return rows.join(summary, list(keys))
+def slices_of(rows: int, slice_rows: int = SLICE_ROWS) -> int:
+    return max(1, math.ceil(rows / slice_rows))
 
 
-def numbered(slices: DataFrame) -> DataFrame:
-    """slices with before_us, nth and block_id, as blocks.blocks gives them."""
+def met(rows: DataFrame, summary: DataFrame, keys: tuple[str, ...], tasks: int | None = None) -> DataFrame:
+    """rows joined with what is known of their slice or piece: a row for each, so no key of the join has more rows than a slice. tasks: over how many they are dealt."""
+    return (rows.repartition(tasks, *keys) if tasks else rows).join(summary, list(keys))
+
+
+def numbered(slices: DataFrame, tasks: int | None = None) -> DataFrame:
+    """slices with before_us, nth and block_id, as blocks.blocks gives them. tasks: their number, if not to be counted off their files."""
+    tasks = tasks or slices_of(slices.count())
     handed = slices.groupBy(*SLICE).agg(F.max("end_us").alias("_e"), F.count("*").alias("_c"))
     handed = handed.select(*SLICE, F.max("_e").over(along(D).rowsBetween(*BEFORE)).alias("_end"), F.coalesce(F.sum("_c").over(along(D).rowsBetween(*BEFORE)), F.lit(0)).alias("_rows"))
     w = within(SLICE)
     before = F.greatest("_end", F.max("end_us").over(w.rowsBetween(*BEFORE)))  # greatest passes nulls over
-    out = met(slices, handed, SLICE).withColumns({"before_us": before, "nth": (F.col("_rows") + F.row_number().over(w)).cast("int")})
+    out = met(slices, handed, SLICE, tasks).withColumns({"before_us": before, "nth": (F.col("_rows") + F.row_number().over(w)).cast("int")})
     out = out.withColumn("_new", (F.col("before_us").isNull() | (F.col("ts_us") - F.col("before_us") > F.col("gap_us"))).cast("int"))
     out = stored(out.withColumn("_opened", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_end", "_rows"))
     opened = out.groupBy(*SLICE).agg(F.sum("_new").alias("_n"))
@@ -84,7 +88,7 @@ def around(first: str, last: str) -> list[Column]:
     return [F.last(last, ignorenulls=True).over(w.rowsBetween(*BEFORE)).alias("_before"), F.first(first, ignorenulls=True).over(w.rowsBetween(*AFTER)).alias("_after")]
 
 
-def inherited(rows: DataFrame) -> DataFrame:
+def inherited(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """rows with own, anchor, origin, candidates and the project they inherit, as nearest_anchor and neighbour_blocks give them."""
     from .blocks import from_neighbours  # blocks sends its hot days here
 
@@ -101,23 +105,25 @@ def inherited(rows: DataFrame) -> DataFrame:
     named_before = F.last("last_named", ignorenulls=True).over(along(D, "block_id").rangeBetween(*BEFORE))
     named_after = F.first("first_named", ignorenulls=True).over(along(D, "block_id").rangeBetween(*AFTER))
     pieces = pieces.withColumns({"_b": named_before, "_n": named_after}).withColumnRenamed("_n", "_a")
-    rows = met(rows, pieces, PIECE)
+    rows = met(rows, pieces, PIECE, tasks)
     rows = rows.withColumn("anchor", F.when(F.col("_strong"), strong).otherwise(weak))
     got = nearest(F.col("anchor"), F.col("project"), F.col("_before"), F.col("_after"))
     rows = rows.withColumn("_got", F.when(F.col("own"), F.col("project")).otherwise(F.coalesce(got, F.lit("")))).withColumn("project", F.col("_got"))
     return from_neighbours(rows).drop("_got", "_strong", "_before", "_after")
 
 
-def owned(rows: DataFrame) -> DataFrame:
+def owned(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """rows with owner, owner_subject, owner_session and ground, as nearest_touch gives them."""
     from .blocks import from_owner, owner
 
     first, last = ends(F.col("owns"), owner())
     pieces = rows.groupBy(*PIECE).agg(first.alias("_a"), last.alias("_z")).select(*PIECE, *around("_a", "_z"))
-    rows = met(rows, pieces, PIECE)
+    rows = met(rows, pieces, PIECE, tasks)
     return from_owner(rows, nearest(F.col("owns"), owner(), F.col("_before"), F.col("_after"))).drop("_before", "_after")
 
 
 def attributed(named: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """named entries with blocks, inherited names and owners."""
-    return owned(stored(inherited(numbered(sliced(named, slice_rows))))).drop("_slice")
+    slices = sliced(named, slice_rows)
+    tasks = slices_of(slices.count(), slice_rows)
+    return owned(stored(inherited(numbered(slices, tasks), tasks)), tasks).drop("_slice")

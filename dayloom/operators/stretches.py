@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.traces import ORD, D
-from .blocks import ALL, B, block
+from .blocks import ALL, B, block, spread
 
 PAY = ("block_id", "nth", "human", "owner", "owner_subject", "owner_session", "ground", "origin", "covered", "path", "key", "ambiguous", "project")
 
@@ -24,6 +24,7 @@ def head_tail(b: DataFrame) -> DataFrame:
     A head needs an agent-log prompt that opens the block, a tail a touch in it;
     either takes half the pause to the neighbour at most and stays in the day.
     """
+    b = spread(b)  # the sweep over the day stays in the same tasks
     every, first = block().rowsBetween(*ALL), block().rowsBetween(*ALL)
     w = W.partitionBy(*D).orderBy("block_id").rangeBetween(1, 1)
     b = b.withColumns(

@@ -53,7 +53,7 @@ class Chain:
 
     @cached_property
     def b(self) -> DataFrame:
-        return stored(blocks.attributed(self.named, self.hot))
+        return stored(blocks.attributed(stored(self.named), self.hot))
 
     @cached_property
     def h(self) -> DataFrame:

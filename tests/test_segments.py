@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dayloom.operators import blocks, rules, segments
+from dayloom.operators import blocks, rules, segments, stretches
 from dayloom.sources import traces as T
 
 from .test_day import COLS, M, event, random_day
@@ -43,6 +43,15 @@ def test_only_hot_days_are_cut(named, monkeypatch):
     assert numbered.exceptAll(blocks.blocks(named, hot).select(numbered.columns)).count() == 0
 
 
+def test_days_are_dealt_over_tasks_by_rows(named, monkeypatch):
+    monkeypatch.setattr(blocks, "TASK_ROWS", 10)
+    plain = blocks.attributed(named)
+    for df in (blocks.blocks(named), plain, stretches.head_tail(plain)):
+        days = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct(*DAY).alias("n"))
+        assert days.agg(F.max("n")).first()[0] < 6 and days.count() > 8
+    assert max(blocks.HOT_DAY, segments.SLICE_ROWS) <= 100_000
+
+
 def plan_windows(df):
     """(partition keys, whether raw rows are below) of every window of the plan."""
     text = df._jdf.queryExecution().optimizedPlan().toString()
