@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, cut, released, small_batches, table
+from .common import cut, released, small_batches, table
 from .words import U, mix
 
 MIN_CHARS = 10
@@ -226,9 +226,11 @@ def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None) -> Data
     lines = cut(lines_of(docs))
     index = index or LineIndex.of(lines)
     lost = cut(index.lost(lines).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("lost"))).withColumnsRenamed({"doc_id": "lost_from", "text_hash": "lost_text"})
-    rows = carried(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    both = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_from")) & (F.xxhash64("text") == F.col("lost_text")), "left")
-    both = both.withColumn("text", F.coalesce("text", F.lit("")))
+    # only the struct goes into the join, so that each text is moved once
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    doc_id, text = F.col("_doc").getField("doc_id").cast("long"), F.col("_doc").getField("text").cast("string")
+    both = rows.join(lost, doc_id.eqNullSafe(F.col("lost_from")) & (F.xxhash64(text) == F.col("lost_text")), "left")
+    both = both.withColumn("text", F.coalesce(text, F.lit("")))
 
     def pieces(all_lines: Column) -> Column:
         """The lines between two lost ones, for each two. all_lines is a lambda's variable, so that the text is split once."""

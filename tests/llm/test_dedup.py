@@ -221,6 +221,13 @@ def test_cuckoo_filter():
     assert lines.CuckooFilter(table=f.dump()).contains(keys[10_000:]).all()
 
 
+def test_lines_move_each_text_once(docs):
+    node = lines.drop_repeated_lines(docs)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    assert node.left().output().size() == 1
+
+
 def test_lines_of_odd_rows(odd, none):
     out = lines.drop_repeated_lines(odd)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
