@@ -31,7 +31,7 @@ def block(backwards: bool = False) -> WindowSpec:
 
 
 #: Rows of an actor-day beyond which it is cut into slices, and rows of the other days for which there is a task; by chance one gets a few days.
-HOT_DAY, TASK_ROWS = 100_000, 25_000
+HOT_DAY, TASK_ROWS = 10_000, 10_000
 
 
 def hot_days(entries: DataFrame, most: int = HOT_DAY) -> DataFrame | None:
@@ -48,9 +48,9 @@ def either(rows: DataFrame, hot: DataFrame | None, plain, large) -> DataFrame:
     return rest.unionByName(large(rows.join(F.broadcast(hot), list(D), "left_semi").select(rows.columns)).select(rest.columns))
 
 
-def spread(rows: DataFrame, task_rows: int | None = None) -> DataFrame:
-    """rows by D over as many tasks as they need. By their size, Spark would put very many into one, as they are short; but they are sorted many times."""
-    return rows.repartition(max(1, math.ceil(rows.count() / (task_rows or TASK_ROWS))), *D)
+def spread(rows: DataFrame, task_rows: int | None = None, keys: tuple[str, ...] = D) -> DataFrame:
+    """rows by keys over as many tasks as they need. By their size, Spark would put very many into one, as they are short; but they are sorted many times."""
+    return rows.repartition(max(2, math.ceil(rows.count() / (task_rows or TASK_ROWS))), *keys)
 
 
 def blocks(entries: DataFrame, hot: DataFrame | None = None) -> DataFrame:

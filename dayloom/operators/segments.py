@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import FILE_ROWS, stored
 from ..sources.traces import ORD, D
 
-SLICE_ROWS = 50_000
+SLICE_ROWS = 10_000
 SLICE, PIECE, BLOCK = (*D, "_slice"), (*D, "_slice", "block_id"), (*D, "block_id")
 BEFORE, AFTER, ALL = (W.unboundedPreceding, -1), (1, W.unboundedFollowing), (W.unboundedPreceding, W.unboundedFollowing)
 
@@ -39,7 +39,7 @@ def along(keys: tuple[str, ...], order: str = "_slice") -> WindowSpec:
 
 def sliced(rows: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """rows with _slice: places in the total order, about slice_rows to each; written, as the borders are estimates that must not move."""
-    return stored(rows.repartitionByRange(slices_of(rows.count(), slice_rows), *D, *ORD).withColumn("_slice", F.spark_partition_id()))
+    return stored(rows.repartitionByRange(slices_of(rows.count(), slice_rows), *D, *ORD).withColumn("_slice", F.spark_partition_id()), FILE_ROWS)
 
 
 def slices_of(rows: int, slice_rows: int = SLICE_ROWS) -> int:
@@ -60,7 +60,7 @@ def numbered(slices: DataFrame, tasks: int | None = None) -> DataFrame:
     before = F.greatest("_end", F.max("end_us").over(w.rowsBetween(*BEFORE)))  # greatest passes nulls over
     out = met(slices, handed, SLICE, tasks).withColumns({"before_us": before, "nth": (F.col("_rows") + F.row_number().over(w)).cast("int")})
     out = out.withColumn("_new", (F.col("before_us").isNull() | (F.col("ts_us") - F.col("before_us") > F.col("gap_us"))).cast("int"))
-    out = stored(out.withColumn("_opened", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_end", "_rows"))
+    out = stored(out.withColumn("_opened", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_end", "_rows"), FILE_ROWS)
     opened = out.groupBy(*SLICE).agg(F.sum("_new").alias("_n"))
     opened = opened.select(*SLICE, F.coalesce(F.sum("_n").over(along(D).rowsBetween(*BEFORE)), F.lit(0)).alias("_blocks"))
     return met(out, opened, SLICE).withColumn("block_id", F.col("_blocks") + F.col("_opened")).drop("_new", "_opened", "_blocks")
@@ -126,4 +126,4 @@ def attributed(named: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """named entries with blocks, inherited names and owners."""
     slices = sliced(named, slice_rows)
     tasks = slices_of(slices.count(), slice_rows)
-    return owned(stored(inherited(numbered(slices, tasks), tasks)), tasks).drop("_slice")
+    return owned(stored(inherited(numbered(slices, tasks), tasks), FILE_ROWS), tasks).drop("_slice")

@@ -3,7 +3,8 @@
 One sweep does it. Every block-numbered row emits its edges with inline: where it
 starts and ends, the ends of its block with head and tail, answer edges, and the
 edges of its attention window. Grouped by instant, running sums tell what is
-open; the last opener owns what follows.
+open; the last opener owns what follows. Days that are cut into slices are swept in
+two levels, as in segments.py: what a slice hands on is a row.
 """
 
 from __future__ import annotations
@@ -12,22 +13,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import FILE_ROWS, stored
 from ..sources.traces import ORD, D
-from .blocks import ALL, B, block, spread
+from .blocks import ALL, B, block, either, spread
+from .segments import BEFORE, SLICE, SLICE_ROWS, along, met, slices_of
 
 PAY = ("block_id", "nth", "human", "owner", "owner_subject", "owner_session", "ground", "origin", "covered", "path", "key", "ambiguous", "project")
 
 
-def head_tail(b: DataFrame) -> DataFrame:
+def head_tail(b: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """b with block_from_us and block_to_us (own bounds) and from_us and to_us (with head and tail).
 
     A head needs an agent-log prompt that opens the block, a tail a touch in it;
     either takes half the pause to the neighbour at most and stays in the day.
+    hot: days of which no task may hold all rows, as hot_days finds them.
     """
-    b = spread(b)  # the sweep over the day stays in the same tasks
+    return either(b, hot, lambda rows: padded(day_ends(rows if hot is None else spread(rows))), lambda rows: padded(block_ends(rows)))
+
+
+def day_ends(b: DataFrame) -> DataFrame:
+    """b with what head and tail depend on, by windows over the block and the day."""
     every, first = block().rowsBetween(*ALL), block().rowsBetween(*ALL)
     w = W.partitionBy(*D).orderBy("block_id").rangeBetween(1, 1)
-    b = b.withColumns(
+    return b.withColumns(
         {
             "block_from_us": F.min("ts_us").over(every),
             "block_to_us": F.max(F.least("end_us", "day_end_us")).over(every),
@@ -39,7 +47,18 @@ def head_tail(b: DataFrame) -> DataFrame:
             "_first": F.first("nth").over(first),
         }
     )
-    half = lambda x: F.floor(x / 2).cast("long")
+
+
+def block_ends(b: DataFrame) -> DataFrame:
+    """As day_ends, by a row a block, which the rows of the block meet."""
+    ends = b.groupBy(*B).agg(
+        F.min("ts_us").alias("block_from_us"), F.max(F.least("end_us", "day_end_us")).alias("block_to_us"), F.min_by("before_us", "nth").alias("_prev"), F.min_by(F.col("touch") & (F.col("source") == "agent-log"), "nth").alias("_prompt"),
+        F.max("touch").alias("_touched"), F.max("nth").alias("_last"), F.min("nth").alias("_first"),
+    )
+    return b.join(stored(ends.withColumn("_next", F.min("block_from_us").over(W.partitionBy(*D).orderBy("block_id").rangeBetween(1, 1)))), list(B))
+
+
+def padded(b: DataFrame) -> DataFrame:
     head = F.when(F.col("_prompt"), F.least("head_us", F.coalesce(F.expr("(block_from_us - _prev) div 2"), F.col("head_us")))).otherwise(0)
     tail = F.when(F.col("_touched"), F.least("tail_us", F.coalesce(F.expr("(_next - block_to_us) div 2"), F.col("tail_us")))).otherwise(0)
     return b.withColumns({"from_us": F.greatest(F.col("block_from_us") - head, "day_start_us"), "to_us": F.least(F.col("block_to_us") + tail, F.greatest("day_end_us", "block_to_us"))}).drop("_prev", "_next", "_prompt", "_touched")
@@ -81,18 +100,28 @@ def edges(h: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     return out.select(*D, "answers", "e.instant", F.when(c("e.which") == 0, c("_pay0")).when(c("e.which") == 1, c("_pay1")).alias("pay"), "e.cut", "e.in_block", "e.in_window")
 
 
-def pieces(h: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+def pieces(h: DataFrame, answers: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
     """(D, stretch, block_id, from_us, to_us, kind, owner, subject, ground, ...): stretches cut where attention begins and ends.
 
     stretch numbers the stretches of the day; kind is padding, attention or
     background. An answer that holds the middle of a stretch names it; the
-    latest one counts.
+    latest one counts. hot: days that are swept in slices.
     """
-    e = edges(h, answers)
-    at = e.groupBy(*D, "instant").agg(F.max("pay").alias("pay"), F.max("cut").alias("cut"), F.sum("in_block").alias("in_block"), F.sum("in_window").alias("in_window"), F.first("answers").alias("answers"))
+    plain = lambda rows: merged(day_sweep(edges(rows if hot is None else spread(rows), answers)))
+    return either(h, hot, plain, lambda rows: merged(sliced_sweep(edges(rows, answers), slices_of(EDGES * rows.count(), 2 * SLICE_ROWS))))
+
+
+def instants(e: DataFrame, *more: str) -> DataFrame:
+    """The edges of an instant in one row."""
+    return e.groupBy(*D, *more, "instant").agg(F.max("pay").alias("pay"), F.max("cut").alias("cut"), F.sum("in_block").alias("in_block"), F.sum("in_window").alias("in_window"), F.first("answers").alias("answers"))
+
+
+def day_sweep(e: DataFrame) -> DataFrame:
+    """A row from each instant inside a block to the next, with pay, depth and stretch; windows over the day."""
+    at = instants(e)
     w = W.partitionBy(*D).orderBy("instant")
     run = w.rowsBetween(W.unboundedPreceding, 0)
-    at = at.withColumns(
+    return at.withColumns(
         {
             "to_us": F.lead("instant").over(w),
             "open": F.sum("in_block").over(run),
@@ -101,6 +130,36 @@ def pieces(h: DataFrame, answers: DataFrame | None = None) -> DataFrame:
             "stretch": F.sum(F.col("cut").cast("int")).over(run),
         }
     ).where("open > 0 and to_us > instant")
+
+
+#: About as many edges as an event has.
+EDGES = 3
+
+
+def sliced_sweep(e: DataFrame, tasks: int) -> DataFrame:
+    """As day_sweep, over slices of the instants of a day; an instant is in one slice."""
+    at = stored(instants(e.repartitionByRange(tasks, *D, "instant").withColumn("_slice", F.spark_partition_id()), "_slice"), FILE_ROWS)
+    total = lambda c: F.coalesce(F.sum(c).over(along(D).rowsBetween(*BEFORE)), F.lit(0))
+    handed = at.groupBy(*SLICE).agg(
+        F.min("instant").alias("_at"), F.sum("in_block").alias("_o"), F.sum("in_window").alias("_d"), F.sum(F.col("cut").cast("int")).alias("_c"), F.max_by("pay", F.when(F.col("pay").isNotNull(), F.col("instant"))).alias("_p"),
+    )
+    handed = handed.select(*SLICE, F.lead("_at").over(along(D)).alias("_next"), total("_o").alias("_open"), total("_d").alias("_depth"), total("_c").alias("_cuts"), F.last("_p", ignorenulls=True).over(along(D).rowsBetween(*BEFORE)).alias("_pay"))
+    w = W.partitionBy(*SLICE).orderBy("instant")
+    run = w.rowsBetween(W.unboundedPreceding, 0)
+    out = met(at, stored(handed), SLICE, tasks).withColumns(
+        {
+            "to_us": F.coalesce(F.lead("instant").over(w), "_next"),
+            "open": F.col("_open") + F.sum("in_block").over(run),
+            "depth": F.col("_depth") + F.sum("in_window").over(run),
+            "pay": F.coalesce(F.last("pay", ignorenulls=True).over(run), "_pay"),
+            "stretch": F.col("_cuts") + F.sum(F.col("cut").cast("int")).over(run),
+        }
+    ).where("open > 0 and to_us > instant")
+    return out.drop("_slice", "_next", "_open", "_depth", "_cuts", "_pay").repartition(tasks, *D, "stretch")
+
+
+def merged(at: DataFrame) -> DataFrame:
+    """The pieces of swept instants."""
     # the ends of a stretch decide on answers, so find them before pieces merge
     whole = W.partitionBy(*D, "stretch")
     at = at.withColumns({"_from": F.min("instant").over(whole), "_to": F.max("to_us").over(whole)})
@@ -153,6 +212,7 @@ def islands(spans: DataFrame, keys: tuple[str, ...], gap: int = 0) -> DataFrame:
 def live_sessions(b: DataFrame) -> DataFrame:
     """(D, session_id, project, from_us, to_us): while an agent session worked on a project; its events follow each other within the gap."""
     a = b.where("source = 'agent-log' and project <> ''").withColumn("session_id", F.coalesce("session_id", F.lit("")))
+    a = spread(a, keys=(*D, "session_id", "project"))
     nxt = F.lead("ts_us").over(W.partitionBy(*D, "session_id", "project").orderBy(*ORD))
     spans = a.withColumn("t", nxt).where(F.col("t") - F.col("ts_us") <= F.col("gap_us")).withColumnRenamed("ts_us", "f").select(*D, "session_id", "project", "f", "t")
     return islands(spans, (*D, "session_id", "project")).where("to_us > from_us")

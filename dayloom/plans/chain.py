@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import blocks, rollup, rules, stretches
 from ..sources import fixtures, traces
-from ..sources.store import stored
+from ..sources.store import FILE_ROWS, stored
 
 
 class Chain:
@@ -53,15 +53,15 @@ class Chain:
 
     @cached_property
     def b(self) -> DataFrame:
-        return stored(blocks.attributed(stored(self.named), self.hot))
+        return stored(blocks.attributed(stored(self.named, FILE_ROWS), self.hot), FILE_ROWS)
 
     @cached_property
     def h(self) -> DataFrame:
-        return stretches.head_tail(self.b)
+        return stretches.head_tail(blocks.spread(self.b) if self.hot is None else self.b, self.hot)
 
     @cached_property
     def p(self) -> DataFrame:
-        return stored(stretches.pieces(self.h, fixtures.answers(self.spark)))
+        return stored(stretches.pieces(self.h, fixtures.answers(self.spark), self.hot))
 
     @cached_property
     def s(self) -> DataFrame:

@@ -328,7 +328,7 @@ def register(query) -> None:
     query("block_summary", lambda c: V.block_summary(c.b).select(*D, "block_id", "ground", "subject", F.size("traces").alias("traces")), after("own_", f"SELECT {DS}, block_id, arg_min(ground, nth) AS ground, arg_min(owner_subject, nth) AS subject, CAST(count(DISTINCT nullif({tr}, '')) AS INT) AS traces FROM own_ GROUP BY ALL"))
     gaps = lambda c: U.pauses_between(c.runs)
     query("pause_answered", lambda c: V.pause_answered(gaps(c), c.pauses), after("run", f"SELECT r.actor_id, r.local_day, r.from_us, r.to_us, CASE WHEN max(CASE WHEN p.from_us = r.from_us AND p.to_us = r.to_us THEN 1 END) = 1 THEN 'exact' WHEN count(p.from_us) > 0 THEN 'containing' ELSE 'none' END AS answered, coalesce(arg_max(p.project, p.answered_at), '') AS project FROM run r LEFT JOIN (SELECT * FROM {_pause()}) p ON p.actor_id = r.actor_id AND p.local_day = r.local_day AND p.from_us <= r.from_us AND p.to_us >= r.to_us WHERE gap GROUP BY 1, 2, 3, 4"))
-    plain = lambda c: U.project_time(T.stretches(T.pieces(c.h)))
+    plain = lambda c: U.project_time(T.stretches(T.pieces(c.h, hot=c.hot)))
     query("answer_delta", lambda c: V.answer_delta(plain(c), U.project_time(c.s)), after("st", f"SELECT {DS}, project, before_us, after_us, after_us - before_us AS delta_us FROM (SELECT s.actor_id, s.local_day, project, sum(b) AS before_us, sum(a) AS after_us FROM (SELECT s.actor_id, s.local_day, o.owner AS project, s.to_us - s.from_us AS b, 0 AS a FROM st s JOIN own_ o ON o.actor_id = s.actor_id AND o.local_day = s.local_day AND o.nth = s.opener UNION ALL SELECT {DS}, owner, 0, to_us - from_us FROM st) s GROUP BY ALL) WHERE after_us <> before_us"))
 
     # frozen days

@@ -78,3 +78,30 @@ def test_a_day_of_a_million_events_is_many_tasks(spark):
     assert len(sizes) >= 15 and max(sizes) < 150_000
     got = segments.numbered(slices).agg(F.count("*"), F.max("nth"), F.count_distinct("nth"), F.max("block_id"), F.count_if((F.col("block_id") == 1) == (F.col("external_id") <= "000600000"))).first()
     assert tuple(got) == (n, n, n, 2, n)
+
+
+@pytest.mark.parametrize("slice_edges", [5, 60, 10_000])
+def test_sweep_in_slices_gives_the_same_pieces(spark, named, monkeypatch, slice_edges):
+    b = blocks.attributed(named).localCheckpoint()
+    monkeypatch.setattr(stretches, "SLICE_ROWS", slice_edges)
+    hot = named.select(*DAY).distinct().where("actor_id in ('busy', 'unnamed', 'r03', 'r04')").localCheckpoint()
+    day = b.select("local_day").first()[0]
+    said = [("busy", day, 1, 0, 2**60, "all", "", False, False), ("r05", day, 1, 0, 2**60, "", "s", False, True)]
+    answers = spark.createDataFrame(said, "actor_id string, local_day date, made_at int, from_us long, to_us long, project string, subject string, clear_subject boolean, one_off boolean")
+    plain, cut = stretches.head_tail(b), stretches.head_tail(b, hot)
+    assert plain.exceptAll(cut.select(plain.columns)).count() == 0 and cut.count() == plain.count()
+    for a in (None, answers):
+        one, two = stretches.pieces(plain, a), stretches.pieces(cut, a, hot)
+        assert one.count() > 50 and one.exceptAll(two.select(one.columns)).count() == 0 and two.count() == one.count()
+
+
+def test_no_day_of_a_busy_actor_is_one_task(named, monkeypatch):
+    monkeypatch.setattr(segments, "SLICE_ROWS", 20)
+    monkeypatch.setattr(stretches, "SLICE_ROWS", 20)
+    b = blocks.attributed(named).localCheckpoint()
+    hot = blocks.hot_days(named, 100)
+    p = stretches.pieces(stretches.head_tail(b, hot), None, hot).where("actor_id = 'busy'")
+    assert p.select(F.spark_partition_id()).distinct().count() > 1
+    for line in plan_windows(stretches.sliced_sweep(stretches.edges(stretches.block_ends(b).withColumns({"from_us": F.col("block_from_us"), "to_us": F.col("block_to_us")})), 5)):
+        assert "_slice" in line
+    assert max(blocks.HOT_DAY, segments.SLICE_ROWS, blocks.TASK_ROWS) <= 20_000
