@@ -5,7 +5,9 @@ so that h depends on the last 32 bytes. A chunk ends where the top BITS bits
 are zero, at MAX bytes at the latest, never before MIN bytes and never inside a
 character; a rest of fewer than MIN bytes belongs to the chunk before. So chunks
 are long enough not to repeat by chance. Boundaries follow the content, so an insertion moves only the chunks
-around it. A chunk whose digest (BLAKE2b, 128 bits) occurs earlier - in a
+around it. As the least length makes a boundary depend on the one before, a
+passage of a few chunks may be cut in two ways; local_maxima() gives boundaries
+that depend on RADIUS bytes around them alone, which op10 takes. A chunk whose digest (BLAKE2b, 128 bits) occurs earlier - in a
 document with a smaller doc_id, or earlier in its own - is a repeat.
 
 Null and empty texts have no chunks, a very long one has many; empty input gives
@@ -27,13 +29,15 @@ from .common import carried, cut, released, small_batches, table
 from .words import mix, slices, utf8
 
 BITS, MIN, MAX, WINDOW = 6, 64, 1024, 32
+#: For local maxima: bytes to either side, and those that are hashed.
+RADIUS, HASHED = 72, 16
 GEAR = (mix(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def gear_hash(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte; the hash of 2 w bytes comes from two hashes of w bytes."""
+def gear_hash(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The rolling hash of the last window bytes after each byte; the hash of 2 w bytes comes from two hashes of w bytes."""
     h, w = GEAR[data], 1
-    while w < WINDOW:
+    while w < window:
         h[w:] = h[w:] + (h[:-w] << np.uint32(w))
         w *= 2
     return h
@@ -65,18 +69,48 @@ def boundaries(data: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     return out
 
 
+def local_maxima(data: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """As boundaries: a chunk ends where the mixed hash is above those of RADIUS bytes before and not below those of RADIUS bytes after, at MAX bytes at the latest, and never inside a character."""
+    starts_char = (data & 0xC0) != 0x80
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        cuts, last, may = [], 0, []
+        if b - a > 2 * RADIUS:
+            h = gear_hash(data[a:b], HASHED) * np.uint32(2654435769)
+            top, w = h, 1  # the largest of w hashes from each on
+            while w < RADIUS:
+                step = min(w, RADIUS - w)
+                top, w = np.maximum(top[:-step], top[step:]), w + step
+            here = h[RADIUS:-RADIUS]
+            may = (np.flatnonzero((here > top[: len(here)]) & (here >= top[RADIUS + 1 :])) + RADIUS + 1).tolist()
+        for p in [*may, b - a] if b > a else []:
+            while p < b - a and not starts_char[a + p]:
+                p += 1
+            while p - last > MAX:
+                q = last + MAX
+                while not starts_char[a + q]:
+                    q -= 1
+                cuts.append(q)
+                last = q
+            if p > last:
+                cuts.append(p)
+                last = p
+        out.append(cuts)
+    return out
+
+
 CHUNK = "doc_id long, text_hash long, start long, bytes int, digest binary"
 
 
-def chunk(docs: DataFrame) -> DataFrame:
-    """A row CHUNK for each chunk of each document."""
+def chunk(docs: DataFrame, at=boundaries) -> DataFrame:
+    """A row CHUNK for each chunk of each document; at: boundaries or local_maxima."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
                 data, ends = utf8(part.column(2))
                 raw, row, start, size, digest = data.tobytes(), [], [], [], []
-                for i, cuts in enumerate(boundaries(data, ends)):
+                for i, cuts in enumerate(at(data, ends)):
                     a, last = int(ends[i]), 0
                     for p in cuts:
                         digest.append(blake2b(raw[a + last : a + p], digest_size=16).digest())
@@ -84,9 +118,9 @@ def chunk(docs: DataFrame) -> DataFrame:
                         size.append(p - last)
                         last = p
                     row += [i] * len(cuts)
-                at = pa.array(row, pa.int64())
+                of = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], names=["doc_id", "text_hash", "start", "bytes", "digest"]
+                    [part.column(0).take(of), part.column(1).take(of), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], names=["doc_id", "text_hash", "start", "bytes", "digest"]
                 )
 
     return identified(docs).where("text is not null").select("doc_id", "text_hash", "text").mapInArrow(run, CHUNK)
@@ -96,9 +130,9 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).withColumn("text_hash", F.xxhash64("text"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, at=boundaries) -> DataFrame:
     """(doc_id, text_hash, n_chunks, n_bytes, spans): for each document with chunks its repeated chunks, as byte spans (start, end)."""
-    chunks = cut(chunk(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1))))
+    chunks = cut(chunk(docs, at).withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1))))
     place = F.struct("doc_id", "text_hash", "start")
     first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     found = chunks.join(cut(first), "digest").where(place > F.col("first")).select("doc_id", "text_hash", F.struct("start", (F.col("start") + F.col("bytes")).alias("end")).alias("span"))
@@ -108,10 +142,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     return out.withColumn("doc_id", F.when(F.col("doc_id") < 2**63 - 1, F.col("doc_id")))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, at=boundaries) -> DataFrame:
     """docs with n_chunks, n_bytes, spans (of the repeated chunks) and kept (the text without them)."""
     small_batches(docs.sparkSession)
-    found = cut(repeats(docs)).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
+    found = cut(repeats(docs, at)).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     rows = identified(carried(docs, "doc_id", "text"))
     both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").withColumn("raw", F.encode("text", "UTF-8"))
     both = both.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:long,end:long>>)")))
@@ -123,7 +157,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op10_content_defined_chunks(spark, sf_dir: str) -> DataFrame:
-    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), local_maxima)
     return out.select(
         "doc_id", "n_chunks", F.size("spans").cast("long").alias("n_repeated_chunks"), "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
     )

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dayloom.llm import backoff, divergence, lines, neardup, vectorcodes
+from dayloom.llm import backoff, chunks, divergence, lines, neardup, vectorcodes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -302,3 +302,23 @@ def test_one_row_of_each_document_stays(spark):
     assert got.columns == df.columns
     kept = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect()))
     assert [k[:2] for k in kept] == [(False, 1), (False, 3), (False, 8), (True, 0), (True, 0)] and [k[2] for k in kept[3:]] == ["", z]
+
+
+def test_op10_finds_passages_wherever_they_stand():
+    """Boundaries by the bytes around them: a passage of about 50 words shares a chunk with itself in nearly any other text."""
+    rng = random.Random(17)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnoé") for _ in range(rng.randint(2, 10))) for _ in range(n))
+
+    def parts(text):
+        raw = text.encode()
+        cuts = chunks.local_maxima(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        found = [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+        assert b"".join(found) == raw and all(len(x.decode().encode()) <= chunks.MAX for x in found)
+        return set(found)
+
+    caught = 0
+    for _ in range(200):
+        passage = words(60)
+        caught += bool(parts(words(80) + passage + words(70)) & parts(words(33) + passage + words(120)))
+    assert caught >= 192
+    assert parts("") == set() and len(parts("x" * 4000)) == 2 and parts("short") == {b"short"}
