@@ -322,3 +322,42 @@ def test_op10_finds_passages_wherever_they_stand():
         caught += bool(parts(words(80) + passage + words(70)) & parts(words(33) + passage + words(120)))
     assert caught >= 192
     assert parts("") == set() and len(parts("x" * 4000)) == 2 and parts("short") == {b"short"}
+
+
+def test_op10_finds_every_long_passage_and_leaves_lines_alone():
+    """Over 50 words, one word over and over included, but neither a line that many documents have nor what a document repeats itself."""
+    rng = random.Random(29)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnoé") for _ in range(rng.randint(2, 10))) for _ in range(n))
+
+    def parts(text):
+        raw = text.encode()
+        spans = chunks.passages(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        assert max([0, *(q for _, q in spans)]) == len(raw) and all(p < q for p, q in spans) and all(b <= d for (_, b), (c, _), d in zip(spans, spans[1:], [x[1] for x in spans[1:]]))
+        assert all(c <= b for (_, b), (c, _) in zip(spans, spans[1:]))
+        return {raw[p:q].decode() for p, q in spans}
+
+    caught = alone = 0
+    for _ in range(200):
+        passage, line = words(55), words(20)
+        caught += bool(parts(words(80) + passage + words(70)) & parts(words(33) + passage + words(120)))
+        alone += not parts(words(80) + " " + line + " " + words(70)) & parts(words(33) + " " + line + " " + words(120))
+    assert caught >= 197 and alone == 200
+    over = "and " * 60
+    assert parts(words(40) + " " + over + words(90)) & parts(words(77) + " " + over + words(50))
+    assert parts("") == set() and parts("short") == {"short"} and parts("é" * 3000) and parts("  ") == {"  "}
+
+
+def test_op10_tells_repeats_of_others_from_own(spark):
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 10))) for _ in range(n))
+    mine, shared = words(60), words(60)
+    rows = [(1, words(50) + " " + shared + " " + words(50)), (2, mine + "\n" + words(40) + "\n" + mine), (3, words(90) + " " + shared), (4, words(120)), (5, "and " * 300), (None, mine + "\n" + words(10)), (6, None), (7, words(15)), (8, rng.choice("xy"))]
+    rows.append((9, rows[7][1]))
+    out = {r.doc_id: r for r in chunks.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunks.passages).collect()}
+    across = {d: r.n_across > 0 for d, r in out.items()}
+    assert across == {1: False, 2: False, 3: True, 4: False, 5: False, None: True, 6: False, 7: False, 8: False, 9: True}
+    assert out[2].n_repeated > 0 and out[5].n_repeated > 0 and out[1].n_repeated == out[4].n_repeated == 0
+    for d, text in rows:
+        raw, r = (text or "").encode(), out[d]
+        cuts = [0, *(x for s in r.spans for x in (s.start, s.end)), len(raw)]
+        assert cuts == sorted(cuts) and r.n_bytes == len(raw) and r.kept == b"".join(raw[p:q] for p, q in zip(cuts[::2], cuts[1::2], strict=True)).decode()
