@@ -138,8 +138,8 @@ class LineIndex:
 
     @staticmethod
     def of(lines: DataFrame) -> LineIndex:
-        """An index of lines_of(documents)."""
-        postings = cut(lines.select("doc_id", *KEY).distinct())
+        """An index of lines_of(documents), best written: its postings are read off them, as only later inserts and deletes need them."""
+        postings = lines.select("doc_id", *KEY).distinct()
         counts = cut(postings.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(id_of(F.col("doc_id"))).alias("first")))
         common = counts.where("n > 1")
         shards = max(1, common.count() // SHARD_KEYS)
@@ -150,7 +150,7 @@ class LineIndex:
     def insert(docs: DataFrame, into: LineIndex | None = None) -> LineIndex:
         """An index of docs, with those of into. Lines that into has of a document already count once."""
         if into is None:
-            return LineIndex.of(lines_of(docs))
+            return LineIndex.of(cut(lines_of(docs)))
         had = into.postings.withColumnsRenamed({"doc_id": "d", "k": "p", "k2": "q"})
         new = lines_of(docs).select("doc_id", *KEY).distinct()
         new = cut(new.join(had, new.doc_id.eqNullSafe(had.d) & (new.k == had.p) & (new.k2 == had.q), "left_anti"))

@@ -361,3 +361,10 @@ def test_op10_tells_repeats_of_others_from_own(spark):
         raw, r = (text or "").encode(), out[d]
         cuts = [0, *(x for s in r.spans for x in (s.start, s.end)), len(raw)]
         assert cuts == sorted(cuts) and r.n_bytes == len(raw) and r.kept == b"".join(raw[p:q] for p, q in zip(cuts[::2], cuts[1::2], strict=True)).decode()
+
+
+def test_postings_of_a_written_index_are_not_written_again(spark):
+    df = spark.createDataFrame([(1, "a line of some length\nshort"), (2, "a line of some length")], "doc_id long, text string")
+    index = lines.LineIndex.insert(df)
+    assert "Aggregate" in index.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert index.postings.count() == 2 and [r.n for r in index.counts.collect()] == [2]
