@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..sources.traces import D
 
 
+#: The columns that project_rows gives with agent time and claims.
+PROJECT_ROWS = "actor_id string, local_day date, project string, events bigint, attention_us bigint, background_us bigint, agent_us bigint, claimed_us bigint, wall_us bigint"
+
+
 def zero() -> Column:
     return F.lit(0).cast("long")
 

@@ -47,8 +47,11 @@ def slices_of(rows: int, slice_rows: int = SLICE_ROWS) -> int:
 
 
 def met(rows: DataFrame, summary: DataFrame, keys: tuple[str, ...], tasks: int | None = None) -> DataFrame:
-    """rows joined with what is known of their slice or piece: a row for each, so no key of the join has more rows than a slice. tasks: over how many they are dealt."""
-    return (rows.repartition(tasks, *keys) if tasks else rows).join(summary, list(keys))
+    """rows joined with what is known of their slice or piece: a row for each, so no key of the join has more rows than a slice. tasks: over how many they are dealt.
+
+    What is known of slices is a row for SLICE_ROWS rows, so it goes to the rows.
+    """
+    return (rows.repartition(tasks, *keys) if tasks else rows).join(F.broadcast(summary) if keys == SLICE else summary, list(keys))
 
 
 def numbered(slices: DataFrame, tasks: int | None = None) -> DataFrame:

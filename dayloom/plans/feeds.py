@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import blocks
 from ..operators import confirm as C
 from ..operators import review as V
 from ..operators import rollup as U
@@ -21,6 +22,10 @@ from .oracle import after
 
 D = ("actor_id", "local_day")
 DS = "actor_id, local_day"
+#: Of named entries, what project rows are made of: a large day is laid out several times, which takes as long as its rows are wide.
+NAMED = (*T2.ORD, *D, "end_us", "span_us", "day_start_us", "day_end_us", "gap_us", "window_us", "head_us", "tail_us", "touch", "owns", "session_id", "path", "key", "project", "subject", "by_rule", "covered", "ambiguous")
+#: Rows of an actor-day beyond which it is cut into slices there: with so few columns, a task holds more rows, and slices take several exchanges where a whole day takes one.
+LARGE_DAY = 100_000
 
 
 def table(c, name):
@@ -150,11 +155,13 @@ def ingested(c):
 def touched(c):
     """Project rows kept by a stream whose second batch brings late traces to some of the days, and which days of those frozen in between that disturbed."""
     path = f"{store.shared_dir(c.spark)}/{uuid.uuid4().hex}"
-    book = ledger(c, project_rows=c.rows.schema)
+    book = ledger(c, project_rows=U.PROJECT_ROWS)  # asking the chain for its schema would work out its stored steps
 
     def build(e):
         of = type(c)(c.spark, c.sf_dir)
         of.entries = e  # the chain over what is stored
+        of.hot = blocks.hot_days(e, LARGE_DAY)
+        of.named = of.named.select(*NAMED)
         return {"project_rows": of.rows}
 
     late, frozen = F.col("external_id").cast("bigint") % 50 == 3, None

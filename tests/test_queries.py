@@ -2,9 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql.types import StructType
 
 import __spark_entry__
-from dayloom.plans import registry
+from dayloom.operators import blocks, rollup
+from dayloom.plans import feeds, registry
+from dayloom.plans.chain import Chain
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,6 +32,16 @@ def test_same_rows(spark, duck, name):
     assert sorted(repr(tuple(r)) for r in df.select(*cols).collect()) == expected
 
 
+def test_touched_days_work_the_account_out_once_a_batch_on_few_columns(spark, monkeypatch):
+    seen, attributed = [], blocks.attributed
+    monkeypatch.setattr(blocks, "attributed", lambda named, hot=None: seen.append(named.columns) or attributed(named, hot))
+    got = feeds.touched(Chain(spark, SF)).drop("disturbed")
+    assert [set(c) for c in seen] == [set(feeds.NAMED)] * 2
+    full = Chain(spark, SF).rows
+    assert [(f.name, f.dataType) for f in full.schema] == [(f.name, f.dataType) for f in StructType.fromDDL(rollup.PROJECT_ROWS)]
+    assert full.count() > 0 and full.exceptAll(got).count() == 0 and got.exceptAll(full).count() == 0
+
+
 def test_every_sql_runs_and_has_a_query(duck):
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     for sql in registry.ORACLE_SQL.values():
