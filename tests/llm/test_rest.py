@@ -177,6 +177,16 @@ def test_known_language_keeps_what_it_cannot_judge_and_drops_what_is_far(spark):
 
 
 
+def test_known_language_learns_from_every_labelled_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("lang = 'en' and length(text) > 300")
+    rng = random.Random(4)
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2)) for _ in range(200)]
+    held = [i for i in range(10**6, 10**6 + 40) if zlib.crc32(str(i).encode()) % 4 == 2]
+    zh = [(i, "".join(rng.choice(words) for _ in range(300)), "zh") for i in (*held[:2], None)]  # none of them has a share in the evaluation's training part
+    kept = language.known_language(docs.unionByName(spark.createDataFrame(zh, docs.schema)))
+    assert kept.where("lang = 'zh'").count() == 3 and kept.where("lang = 'en'").count() == docs.count()
+
+
 def water(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
